@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from ._shared import staged, table
 
 BINS = 22
-FEATURES = ("marks", "capitals", "variety", "digits", "size")
+FEATURES = ("marks", "capitals", "variety", "digits", "echo")
+#: What an unseen bin counts for; all bins together count as two documents.
+SMALL = 2 / BINS
 #: Bounds of the estimated prior strengths, in documents.
 WEAKEST, STRONGEST = 2.0, 1000.0
 #: Sites (at most 100 bytes each) up to which they are broadcast; more are joined by a shuffle.
@@ -41,7 +43,7 @@ def features() -> list[Column]:
         share(count("A-Z"), count("A-Za-z"), 20).alias("capitals"),
         share(F.size(F.array_distinct(words)), F.size(words), 20).alias("variety"),
         share(count("0-9"), n, 100).alias("digits"),
-        F.least(F.lit(BINS - 1), F.length(F.bin(n))).cast("int").alias("size"),
+        share(F.size(F.filter(F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: a == b), lambda same: same)), F.size(words), 20).alias("echo"),
     ]
 
 
@@ -58,9 +60,9 @@ def fit(rows: DataFrame, labels: DataFrame) -> tuple[float, list[list[float]]]:
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).alias("bin")) for i, f in enumerate(FEATURES)])).alias("p")
     counts = known.select("y", pairs).groupBy("p.f", "p.bin").agg(F.count_if(F.col("y") > 0).alias("good"), F.count_if(F.col("y") <= 0).alias("bad")).collect()
     good, bad = (sum(r[k] for r in counts if r["f"] == 0) for k in ("good", "bad"))
-    ratio = [[math.log((1.0) / (good + BINS)) - math.log(1.0 / (bad + BINS))] * BINS for _ in FEATURES]
+    ratio = [[math.log((bad + 2) / (good + 2))] * BINS for _ in FEATURES]
     for r in counts:
-        ratio[r["f"]][r["bin"]] = math.log((r["good"] + 1) / (good + BINS)) - math.log((r["bad"] + 1) / (bad + BINS))
+        ratio[r["f"]][r["bin"]] = math.log((r["good"] + SMALL) / (good + 2)) - math.log((r["bad"] + SMALL) / (bad + 2))
     return math.log((good + 1) / (bad + 1)), ratio
 
 
