@@ -1,0 +1,309 @@
+"""The corpus operators against plain Python on small tables."""
+
+import base64
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from docgrain.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, token_counts, token_files, topk_search
+from docgrain.llm._pieces import WordIds, tokenizer
+
+from . import data
+
+BYTE, FOLDED, RANKS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return data.frame(spark).repartition(3).cache()
+
+
+def texts():
+    return [(r[0], r[1] or "") for r in data.rows()]
+
+
+def le(ids):
+    return np.array(ids, "<u4").tobytes()
+
+
+# 1
+
+
+def test_main_text():
+    page = (
+        "<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><header>top</header><nav><ul><li><a href=x>menu</a></ul></nav><div class='cookie-notice'>we use</div><div class=ad>buy</div>"
+        "<article><h1>A &amp; B</h1><p>First <b>para\n graph</b> with   text.<p>Short.<br>Yes.<ul><li>one<li>two</ul><form>mail</form></article><aside>side</aside><section id=comments><p>nice!</p></section><footer>&copy; me</footer>"
+    )
+    assert html_text.main_text(page) == "A & B\n\nFirst para graph with text.\n\nShort. Yes.\n\none\n\ntwo"
+    bare = "<div id=menu><a href=1>x</a></div><div><div><p>" + "long prose here. " * 30 + "</p><p>ok</p></div></div><div class='sidebar'>s</div>"
+    assert html_text.main_text(bare) == ("long prose here. " * 30).strip() + "\n\nok"
+    assert [html_text.main_text(x) for x in (None, "", "<p>", "plain &lt;b&gt;")] == ["", "", "", "plain <b>"]
+
+
+def test_extract_keeps_every_page(spark):
+    rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x</p>", 1), (3, "u", "<p>y " + "z" * 300_000 + "</p>", 1), (3, "u", "<p>y</p>", 1)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
+    assert sorted((str(r["page_id"]), r["n_chars"]) for r in got) == [("1", 0), ("2", 0), ("3", 1), ("3", 300_002), ("None", 1)]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+# 2
+
+
+def test_exact_dedup(spark, docs):
+    groups = {}
+    for i, t in texts():
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", t), []).append((-len(t), i is None, i or 0, i))
+    got = exact_dedup.deduplicate(docs).collect()
+    assert len(got) == len(data.rows())
+    by_hash = {hashlib.sha256(k.encode()).hexdigest(): min(v)[3] for k, v in groups.items()}
+    sizes = {hashlib.sha256(k.encode()).hexdigest(): len(v) for k, v in groups.items()}
+    for r in got:
+        assert r["keep_id"] == by_hash[r["text_sha256"]] and r["group_size"] == sizes[r["text_sha256"]] and r["kept"] == (r["doc_id"] == r["keep_id"])
+    assert exact_dedup.deduplicate(data.empty(spark)).count() == 0
+    assert exact_dedup.drop_copies(docs).columns == docs.columns
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, (1 << 52) - 1), max_size=60), min_size=1, max_size=5))
+def test_filters_merge_losslessly(parts):
+    total = None
+    for p in parts:
+        v, c = np.unique(np.array(p, np.int64), return_counts=True)
+        one = exact_dedup.QuotientFilter.unpacked(*exact_dedup.QuotientFilter.of(v, c).packed())
+        total = one if total is None else total.merged(one)
+    v, c = np.unique(np.array([x for p in parts for x in p], np.int64), return_counts=True)
+    assert total.values().tolist() == v.tolist() and total.counts.tolist() == c.tolist()
+
+
+def test_equal_fingerprints_are_verified(docs, monkeypatch):
+    whole = sorted(map(repr, exact_dedup.deduplicate(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "fingerprint_of", lambda digest: F.lit(7).cast("long"))
+    assert sorted(map(repr, exact_dedup.deduplicate(docs).collect())) == whole
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", -1)
+    assert sorted(map(repr, exact_dedup.deduplicate(docs).collect())) == whole
+
+
+# 3, 5, 6, 7
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab Z'.,é\n\t 0東ſΣ|<> \x1c"), max_size=60))
+def test_words_are_safe_cuts(text):
+    for path, space, fold in ((BYTE, True, False), (FOLDED, False, True)):
+        assert WordIds(path, space, fold).text(text) == le(tokenizer(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_packing(spark, docs):
+    assert packing.binary_lengths(2053, 1024) == [1024, 1024, 4, 1] and packing.binary_lengths(0, 8) == []
+    got = packing.pack(docs, BYTE).orderBy("doc_id", "start").collect()
+    assert len({r["sequence_id"] for r in got}) == len(got) and {r["offset"] for r in got} == {0}
+    assert all(r["length"] == 1 << r["bucket"] <= 1024 and len(r["ids"]) == 4 * r["length"] for r in got)
+    want = sorted((str(i), le([*tokenizer(BYTE).encode(t, add_special_tokens=False).ids, 0])) for i, t in texts())
+    line = {}
+    for r in got:
+        line.setdefault((r["doc_id"], r["start"]), []).append(r)
+    one = {i: t for i, t in texts()}
+    for i in one:
+        parts = [line[k][0]["ids"] for k in sorted(k for k in line if k[0] == i)]
+        assert (str(i), b"".join(parts)) in want
+    assert sum(r["length"] for r in got) == sum(len(w[1]) // 4 for w in want)
+    assert packing.pack(data.empty(spark), BYTE).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(docs, BYTE, capacity=1000)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, (1 << 32) - 1), max_size=50))
+def test_control_bytes_round_trip(numbers):
+    control, raw = token_files.pack_ranks(np.array(numbers, np.uint32))
+    assert token_files.unpack_ranks(control, raw, len(numbers)).tolist() == numbers and len(control) == -(-len(numbers) // 4)
+
+
+def test_token_files(spark, docs, tmp_path):
+    token_files.write(docs, str(tmp_path / "t"), FOLDED)
+    got = token_files.read(spark, str(tmp_path / "t")).orderBy("start").collect()
+    want = sorted(((i is not None, i or 0), le([*tokenizer(FOLDED).encode(t, add_special_tokens=False).ids, 2])) for i, t in texts())
+    assert [bytes(r["ids"]) for r in got] == [w[1] for w in want]
+    assert [r["start"] for r in got] == np.cumsum([0, *(len(w[1]) // 4 for w in want)])[:-1].tolist()
+    token_files.write(data.empty(spark), str(tmp_path / "e"), FOLDED)
+    assert token_files.read(spark, str(tmp_path / "e")).count() == 0
+
+
+@pytest.fixture(scope="module")
+def tiktoken_encoding():
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abcthe inA'é\n 0東"), max_size=80), max_size=4))
+def test_merge_replay(tiktoken_encoding, several):
+    got = bpe.TextEncoder(RANKS, P.PATTERN).encode(several) if several else []
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tiktoken_encoding.encode_ordinary(t) for t in several]
+
+
+def test_bpe_round_trip(spark, docs, tiktoken_encoding):
+    got = bpe.decode(bpe.encode(docs, RANKS, P.PATTERN), RANKS).collect()
+    want = sorted((str(i), tiktoken_encoding.encode_ordinary(t), t.encode()) for i, t in texts())
+    assert sorted((str(r["doc_id"]), list(r["ids"]), bytes(r["decoded"])) for r in got) == want
+    assert bpe.encode(data.empty(spark), RANKS, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model"])
+def test_token_counts(spark, docs, name):
+    if name.endswith("json"):
+        count = lambda t: len(tokenizer(P.path(name)).encode(t, add_special_tokens=False).ids)
+    else:
+        import sentencepiece
+
+        model = sentencepiece.SentencePieceProcessor(model_file=P.path(name))
+        count = lambda t: len(model.encode(t))
+    got = token_counts.count_tokens(docs, P.path(name)).collect()
+    want = sorted((str(i), len(t.encode()), count(t), count(t) > 1024) for i, t in texts())
+    assert sorted((str(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got) == want
+    assert token_counts.count_tokens(data.empty(spark), P.path(name)).count() == 0
+
+
+def test_full_memories_change_nothing():
+    w = WordIds(BYTE, True, limit=2)
+    for t in ("a b c d a b c d.", "e f e f, g"):
+        assert w.text(t) == le(tokenizer(BYTE).encode(t, add_special_tokens=False).ids)
+
+
+# 4
+
+
+def components(rows):
+    sets = {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    low = {i: i for i in sets}
+
+    def find(x):
+        while low[x] != x:
+            x = low[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                low[max(x, y)] = min(x, y)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def test_near_dedup(spark, docs):
+    want = components([(i, t) for i, t in texts() if i is not None])
+    got = near_dedup.near_duplicates(docs).collect()
+    assert len(got) == len(data.rows())
+    for r in got:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None or r["component_id"] == 0
+        else:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
+    assert near_dedup.near_duplicates(data.empty(spark)).count() == 0
+
+
+def test_chains_of_near_copies(spark):
+    words = data.prose(9, 400).split(" ")
+    rows = []
+    for i in range(60):  # each shares most words with the next, the ends share little
+        rows.append((1000 - i, " ".join(words[3 * i : 3 * i + 100])))
+    rows += [(2000 + i, data.near(77, 90, i % 7)) for i in range(40)]
+    want = components(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) < len(rows)
+
+
+def test_signature_is_unbiased():
+    a = near_dedup.shingles(data.prose(5, 900))
+    b = near_dedup.shingles(data.near(5, 900, 25))
+    j = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    by = near_dedup.factors(2000, 1)
+    same = near_dedup.signature(a, by) == near_dedup.signature(b, by)
+    assert abs(same.mean() - j) < 0.04
+
+
+# 8
+
+
+def secrets(text):
+    kinds = []
+    for k, (name, pattern, group, least, flags) in enumerate((r.kind, r.pattern, r.group, r.least, re.I | re.A if r.fold else re.A) for r in secret_scan.RULES):
+        kinds += [(m.start(), k, m.end(), name) for m in re.finditer(pattern, text, flags) if len(m[group]) >= least]
+    return sorted(kinds)
+
+
+def test_secret_scan(spark, docs):
+    more = [(100, "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a" * 40 + " xoxb-1234567890-abc"), (101, "AKIAshort passwd:abc"), (102, "token=" + "z" * 50_000)]
+    both = docs.select("doc_id", "text", "found").unionByName(spark.createDataFrame([(*r, "x") for r in more], "doc_id long, text string, found string"))
+    got = secret_scan.scan(both).collect()
+    want = sorted((str(i), secrets(t)) for i, t in [*texts(), *more])
+    assert sorted((str(r["doc_id"]), [tuple(s) for s in r["found"]]) for r in got) == want
+    assert any(w for _, w in want)
+    assert secret_scan.scan(data.empty(spark)).count() == 0
+
+
+def test_trigram_queries():
+    ways = secret_scan.trigram_query(secret_scan.RULES[0])
+    assert frozenset({"tok", "oke", "ken"}) in ways and len(ways) == 6
+    assert secret_scan.trigram_query(secret_scan.RULES[2]) == []
+
+
+def test_redaction(docs):
+    got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
+    assert got[13]["text"] == "[assign] and [access], hex [hex]; token: short" and got[13]["n_chars"] == len(got[13]["text"])
+    assert got[6]["text"] == data.TEXTS[6] and got[1]["text"] is None and not secrets(got[14]["text"])
+
+
+# 9
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=8)], "c") for i in range(400)]
+    rows += [(1000 + i, rows[7][1], "c") for i in range(60)]  # ties
+    rows += [(500, None, "c"), (520, [1.0, None], "c"), (540, [float("nan")] * 8, "c"), (560, [float("inf")] * 8, "c"), (580, [1.0, 2.0], "c"), (None, [1.0] * 8, "c"), (20, rows[20][1], "c")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, cut string").repartition(3)
+    got = topk_search.search(frame, F.col("vec_id") % 20 == 0, k=5).collect()
+    vecs = [(i, [int(np.floor(64 * float(np.float32(x)))) for x in v]) for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = set()
+    for q, v in {i: v for i, v in vecs if i % 20 == 0}.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in vecs if i != q)[:5]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert {tuple(r) for r in got} == want
+    assert topk_search.search(frame, F.lit(False)).count() == 0 and topk_search.search(frame.limit(0), F.lit(True)).count() == 0
+
+
+# 10
+
+
+def test_quality_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    got = quality.classify(docs, labels.where(~held)).join(labels.where(held), "doc_id")
+    assert got.where((F.col("quality") == 1) == F.col("kept")).count() >= 0.95 * got.count()
+    assert got.where("quality = 1 AND kept").count() >= 0.98 * got.where("quality = 1").count()
+
+
+def test_quality_edges(spark, docs):
+    labels = spark.createDataFrame([(0, 1, 0), (6, 1, 0), (9, 1, 0), (12, 0, 0), (2, None, 0), (None, 1, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")
+    got = quality.classify(docs, labels).collect()
+    assert len(got) == len(data.rows()) and all(0 < r["p_quality"] < 1 for r in got)
+    assert quality.classify(docs, labels.limit(0)).where("NOT kept").count() == 0
+    assert quality.classify(data.empty(spark), labels).count() == 0
+    shrunk = {r["path"]: (r["host_posterior"], r["path_posterior"]) for r in got}
+    assert all(abs(h - p) < 0.5 for h, p in shrunk.values())
