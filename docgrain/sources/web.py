@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.operators.rows import is_small
-
 
 def in_scope(path: Column, allow: list[str], deny: list[str]) -> Column:
     """Path prefixes: a denied one never; without allowed ones any other."""
@@ -31,17 +29,16 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, entries: DataFrame, cap: int, most: int = 30) -> DataFrame:
-    """(node, depth) reachable from entries (node) along edges (src, dst), breadth first, until `cap` nodes are seen; a level
-    is taken whole or not at all beyond the cap, smallest nodes first. Every few levels the lineage is cut."""
-    seen = entries.select("node").distinct().withColumn("depth", F.lit(0))
-    level, total = seen, seen.count()
+    """(node, depth) reachable from entries (node) along edges (src, dst), breadth first, until `cap` nodes are seen; beyond
+    the cap the smallest nodes of a level are taken. Levels are kept, so that no level is worked out twice."""
+    edges = edges.select("src", "dst").persist()
+    level = entries.select("node").distinct().withColumn("depth", F.lit(0)).persist()
+    seen, total = level, level.count()
     for depth in range(1, most + 1):
         new = level.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        if total >= cap or new.isEmpty():
+        level = new.orderBy("node").limit(max(cap - total, 0)).withColumn("depth", F.lit(depth)).persist()
+        found = level.count()
+        if not found:
             break
-        level = new.orderBy("node").limit(cap - total).withColumn("depth", F.lit(depth))
-        if depth % 5 == 0 and not is_small(level, 0) and level.sparkSession.sparkContext.getCheckpointDir():
-            level, seen = level.checkpoint(), seen.checkpoint()
-        seen = seen.unionByName(level)
-        total += level.count()
+        seen, total = seen.unionByName(level), total + found
     return seen
