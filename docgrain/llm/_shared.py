@@ -64,39 +64,15 @@ def release(*frames: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ordered_slices(df: DataFrame, key: str, slices: int | None = None) -> DataFrame:
-    """Add `slice`, a non-decreasing function of `key` (nulls first), and bring each slice to one partition in key order.
-
-    The bounds come from a quantile sketch of the key column alone, so the rest of `df` is computed once. Rows of one
-    key share a slice.
-    """
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return df.transform(lambda d: _sliced(d, key, _bounds(df.select(key), key, n))).repartition(n, "slice").sortWithinPartitions("slice", key)
-
-
-def _bounds(keys: DataFrame, key: str, n: int) -> list:
-    if n < 2:
+def slice_bounds(df: DataFrame, key: str, slices: int) -> list[int]:
+    """Keys that part `df` into about equal slices in key order, from a quantile sketch of the key column alone."""
+    if slices < 2:
         return []
-    shares = ", ".join(str(i / n) for i in range(1, n))
-    row = keys.agg(F.expr(f"percentile_approx({key}, array({shares}), 10000)").alias("b")).first()
+    shares = ", ".join(str(i / slices) for i in range(1, slices))
+    row = df.agg(F.expr(f"percentile_approx({key}, array({shares}), 10000)").alias("b")).first()
     return sorted(set(row["b"] or []))
 
 
-def _sliced(df: DataFrame, key: str, bounds: list) -> DataFrame:
-    """`slice` = how many bounds lie below the key, by bisection over an array literal."""
-    if not bounds:
-        return df.withColumn("slice", F.lit(0))
-    cuts = F.array(*[F.lit(b) for b in bounds])
-    lower = F.lit(0)
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        probe = lower + step
-        lower = F.when((probe <= len(bounds)) & (F.get(cuts, probe - 1) < F.col(key)), probe).otherwise(lower)
-        step >>= 1
-    return df.withColumn("slice", lower.cast("int"))
-
-
 def by_bytes(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
     """Runs [from, to) of about `limit` bytes each; a larger item is a run of its own."""
     start = total = i = 0

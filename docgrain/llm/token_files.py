@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pieces import WordIds, tokenizer
-from ._shared import bounded_batches, ordered_slices, per_process, release, shared_dir, staged, table, text_runs
+from ._shared import bounded_batches, per_process, release, shared_dir, slice_bounds, staged, table, text_runs
 
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
@@ -54,26 +55,34 @@ def unpack_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def encode(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 32-bit ids of each text, and the end id."""
+def width(vocabulary: int) -> str:
+    """How ids are held until they are ranked: in two bytes where the vocabulary allows."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
+def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int], held: str) -> DataFrame:
+    """(slice, doc_id, ids): ids of each text and the end id; `slice` counts the bounds below the doc_id (null: none)."""
     bounded_batches(docs.sparkSession)
-    end = int(end_id).to_bytes(4, "little")
+    end, cuts = int(end_id).to_bytes(4, "little"), np.array(bounds, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = per_process(("folded", tokenizer_path), lambda: WordIds(tokenizer_path, space=False, fold=True))
         for batch, texts in text_runs(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([ids_of.text(t) + end for t in texts], pa.binary())], names=["doc_id", "ids"])
+            keys = batch.column("doc_id")
+            at = np.where(keys.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(cuts, pa.compute.fill_null(keys, 0).to_numpy()), 0)
+            ids = [np.frombuffer(ids_of.text(t) + end, "<u4").astype(held).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), keys, pa.array(ids, pa.binary())], names=["slice", "doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "slice int, doc_id long, ids binary")
 
 
-def rank_order(ids: DataFrame, vocabulary: int) -> np.ndarray:
+def rank_order(ids: DataFrame, vocabulary: int, held: str) -> np.ndarray:
     """Ids by falling corpus frequency (ties: by id); the driver gets one row for each id of the vocabulary at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
         for batch in batches:
-            seen += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u4"), minlength=vocabulary)
+            seen += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), held), minlength=vocabulary)
         found = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(seen[found])], names=["id", "n"])
 
@@ -90,28 +99,33 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
     columns don't matter; an empty table gives files without blocks. The encoded ids are staged in the shared folder
     until the files are written.
     """
-    ids = staged(ordered_slices(encode(docs, tokenizer_path, end_id), "doc_id"), compression="zstd")
-    order = rank_order(ids, max(tokenizer(tokenizer_path).get_vocab_size(), end_id + 1))
+    vocabulary = max(tokenizer(tokenizer_path).get_vocab_size(), end_id + 1)
+    held = width(vocabulary)
+    size = np.dtype(held).itemsize
+    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    coded = encode(docs, tokenizer_path, end_id, slice_bounds(docs.select("doc_id"), "doc_id", slices), held)
+    ids = staged(coded.repartition(slices, "slice").sortWithinPartitions("slice", "doc_id"), compression="zstd")
+    order = rank_order(ids, vocabulary, held)
     ranks = np.empty(len(order), np.uint32)
     ranks[order] = np.arange(len(order), dtype=np.uint32)
 
     def block(rows: list[tuple], at: int, before: int) -> pa.RecordBatch:
-        control, data = pack_ranks(ranks[np.frombuffer(b"".join(r[1] for r in rows), "<u4")])
-        columns = [[at], [before], [[r[0] for r in rows]], [[len(r[1]) // 4 for r in rows]], [control], [data]]
+        control, data = pack_ranks(ranks[np.frombuffer(b"".join(r[1] for r in rows), held)])
+        columns = [[at], [before], [[r[0] for r in rows]], [[len(r[1]) // size for r in rows]], [control], [data]]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], names=["slice", "before", "doc_ids", "lengths", "control", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        at, before, held = None, 0, 0
+        at, before, total = None, 0, 0
         for batch in batches:
             for s, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("slice", "doc_id", "ids"))):
-                if rows and (s != at or held >= BLOCK_IDS):
+                if rows and (s != at or total >= BLOCK_IDS):
                     yield block(rows, at, before)
-                    before, rows, held = before + held, [], 0
+                    before, rows, total = before + total, [], 0
                 if s != at:
                     at, before = s, 0
                 rows.append((doc, ids))
-                held += len(ids) // 4
+                total += len(ids) // size
         if rows:
             yield block(rows, at, before)
 
