@@ -23,9 +23,11 @@ from ._pieces import words
 from ._shared import BATCH_BYTES, bounded_batches, per_process, table, text_runs
 
 #: No pair.
-NONE = np.int64(1 << 40)
+NONE = np.int32(2**31 - 1)
 #: Words whose ids a worker keeps; beyond, words are encoded again, which changes no result.
-KEPT = 400_000
+KEPT = 250_000
+#: Bytes of text whose words are replayed together.
+RUN_BYTES = BATCH_BYTES // 2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -38,14 +40,14 @@ class MergeReplay:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
-        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pairs = [(ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
-        pairs.sort()
-        self.keys = np.array([p[0] for p in pairs], np.int64)
-        self.values = np.array([p[1] for p in pairs], np.int64)
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+        pairs = ((ranks[t[:i]] * self.size + ranks[t[i:]], r) for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks)
+        table = np.fromiter(pairs, np.dtype("i8,i4"))
+        table.sort(order="f0")
+        self.keys, self.values = table["f0"].copy(), table["f1"].copy()
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        key = left * self.size + right
+        key = left.astype(np.int64) * self.size + right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.values[at], NONE)
 
@@ -54,14 +56,14 @@ class MergeReplay:
         whole = [self.ranks.get(w) for w in words]
         rest = [w for w, r in zip(words, whole) if r is None]
         replayed = iter(self.replay(rest) if rest else [])
-        return [next(replayed) if r is None else np.array([r], np.int64) for r in whole]
+        return [next(replayed) if r is None else np.array([r], np.int32) for r in whole]
 
     def replay(self, words: list[bytes]) -> list[np.ndarray]:
         sizes = np.array([len(w) for w in words])
         symbols = self.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
         n, ends = len(symbols), np.cumsum(sizes)
-        word = np.repeat(np.arange(len(words)), sizes)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends[sizes > 0] - 1] = -1
         before[(ends - sizes)[sizes > 0]] = -1
         alive = np.ones(n, bool)
@@ -69,8 +71,8 @@ class MergeReplay:
         held = np.flatnonzero(after >= 0)
         pair[held] = self.pair_ranks(symbols[held], symbols[after[held]])
         # The index: positions by rank, as slices of one sorted array, and those that merges add.
-        order = np.argsort(pair, kind="stable")
-        order = order[: np.count_nonzero(pair < NONE)]
+        order = held[np.argsort(pair[held], kind="stable")][: np.count_nonzero(pair < NONE)].astype(np.int32)
+        del held
         found, starts = np.unique(pair[order], return_index=True)
         bounds = dict(zip(found.tolist(), zip(starts.tolist(), [*starts[1:].tolist(), len(order)])))
         added: dict[int, list[int]] = {}
@@ -81,7 +83,7 @@ class MergeReplay:
                 heapq.heappop(heap)
             a, b = bounds.pop(rank, (0, 0))
             new = added.pop(rank, None)
-            at = order[a:b] if new is None else np.unique(np.concatenate([order[a:b], np.array(new)]))
+            at = order[a:b] if new is None else np.unique(np.concatenate([order[a:b], np.array(new, np.int32)]))
             at = at[pair[at] == rank]
             if not len(at):
                 continue
@@ -161,7 +163,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_process(("bpe", path, pattern), lambda: TextEncoder(path, pattern))
-        for batch, texts in text_runs(batches, limit=BATCH_BYTES):
+        for batch, texts in text_runs(batches, limit=RUN_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(encoder.encode(texts))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
@@ -174,8 +176,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = per_process(("bytes", path), lambda: {r: t for t, r in load_ranks(path).items()})
         for batch in batches:
-            column = batch.column(ids)
-            decoded = [b"".join(map(tokens.__getitem__, x)) if x is not None else None for x in map(_values, column)]
+            decoded = [b"".join(map(tokens.__getitem__, x)) if x is not None else None for x in map(_values, batch.column(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, schema)
