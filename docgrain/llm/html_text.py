@@ -33,7 +33,7 @@ ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 CONTAINERS = frozenset({"article", "main", "section", "div", "body", "html", "td", "table", "blockquote"})
 #: Words of class, id or role that mark what isn't the article.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|ising|isement|isements)?|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-bar|aside|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment\w*|disqus|replies|respond|widget|toolbar|pagination|pager|search|contentinfo|complementary|dialog|form)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert(?:s|ising|isement|isements)?|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-bar|aside|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment\w*|disqus|repl(?:y|ies)|respond|discussion|reactions|widget|toolbar|pagination|pager|search|contentinfo|complementary|dialog|form)(?:$|[\s_-])",
     re.I,
 )
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -145,7 +145,9 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    weight = np.array([len(t) - min(linked, len(t)) for t, _, linked, _ in lines]) * regions(lines)
+    content = regions(lines)
+    own = np.array([len(t) - min(linked, len(t)) for t, _, linked, _ in lines])
+    weight = own * content
     inside = np.zeros(len(page.parents))
     for (_, _, _, box), w in zip(lines, weight):
         while True:
@@ -153,9 +155,12 @@ def main_text(html: str | None) -> str:
             if not box:
                 break
             box = page.parents[box]
-    # The article elements, where there are any that hold content; else the smallest container with nearly all content.
+    # The article elements, where there are any that hold content; else the smallest container with nearly all content, and
+    # what else lies in content regions and isn't mostly links, such as a heading above it.
     named = {i for i, kind in enumerate(page.kinds) if kind in ("article", "main") and inside[i] >= 0.3 * inside[0]}
+    near = np.zeros(len(lines), bool)
     if not named:
+        near = content & (2 * own >= np.array([len(t) for t, *_ in lines]))
         best = 0
         for i in range(len(page.parents)):
             if inside[i] >= 0.85 * inside[0]:
@@ -169,7 +174,7 @@ def main_text(html: str | None) -> str:
             box = page.parents[box]
         return True
 
-    return "\n\n".join(t for t, _, _, box in lines if held(box))
+    return "\n\n".join(t for (t, _, _, box), n in zip(lines, near) if n or held(box))
 
 
 def extract(pages: DataFrame) -> DataFrame:

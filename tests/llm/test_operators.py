@@ -44,6 +44,8 @@ def test_main_text():
     assert html_text.main_text(page) == "A & B\n\nFirst para graph with text.\n\nShort. Yes.\n\none\n\ntwo"
     bare = "<div id=menu><a href=1>x</a></div><div><div><p>" + "long prose here. " * 30 + "</p><p>ok</p></div></div><div class='sidebar'>s</div>"
     assert html_text.main_text(bare) == ("long prose here. " * 30).strip() + "\n\nok"
+    headed = "<body><div><a href=1>one</a> <a href=2>two</a></div><h1>Head</h1><div>" + "<p>" + "long prose here. " * 30 + "</p></div></body>"
+    assert html_text.main_text(headed) == "Head\n\n" + ("long prose here. " * 30).strip()
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain &lt;b&gt;")] == ["", "", "", "plain <b>"]
 
 
