@@ -6,9 +6,9 @@ on the full shingle sets.
 
 Links are found in two steps, neither of which emits the pairs within a bucket. First each member of a bucket is
 compared with the bucket's smallest document. Where that leaves a bucket with members of several components, the
-members outside its largest component are compared with the others across components. Only pairs whose sizes and
-256-bit sketches allow the similarity reach confirmation: the sketch bound lies more than five standard deviations
-beyond the threshold.
+members outside its largest component are compared with the others across components, by sketches of 1024 further
+permutations that only these documents get. Only pairs whose sizes and sketches allow the similarity reach confirmation:
+the sketch bounds lie five standard deviations or more beyond the threshold.
 """
 
 from __future__ import annotations
@@ -24,12 +24,21 @@ from ._shared import bounded_batches, staged, table, text_runs
 
 WORDS = 5
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
-#: Differing sketch bits of 256 up to which a pair is confirmed (a pair at the threshold differs in 32 on average).
+#: Differing sketch bits of 256 up to which a pair is confirmed (at 75 percent a pair differs in 32 on average, give or take 6).
 SKETCH_BITS = 72
+#: The same for the finer sketches of 4096 bits (512 on average, give or take 25).
+FINE, FINE_BITS = 1024, 640
 #: Rows (at most 100 bytes each) up to which a side is broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def factors(n: int, seed: int) -> np.ndarray:
+    """Odd multipliers: each permutes 64-bit numbers."""
+    return np.random.default_rng(seed).integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+_FACTORS = factors(PERMUTATIONS, 5)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,11 +63,12 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(mixed(out))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
+def signature(hashes: np.ndarray, by: np.ndarray = _FACTORS) -> np.ndarray:
     """Minima, then maxima, under each permutation."""
-    low, high = np.full(PERMUTATIONS, ~np.uint64(0)), np.zeros(PERMUTATIONS, np.uint64)
-    for a in range(0, len(hashes), 2048):
-        h = hashes[a : a + 2048, None] * _FACTORS
+    low, high = np.full(len(by), ~np.uint64(0)), np.zeros(len(by), np.uint64)
+    step = max(1, (1 << 17) // len(by))
+    for a in range(0, len(hashes), step):
+        h = hashes[a : a + step, None] * by
         low, high = np.minimum(low, h.min(0)), np.maximum(high, h.max(0))
     return np.concatenate([low, high])
 
@@ -112,6 +122,19 @@ def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
 
 
+def fine_sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, fine) of the documents in `ids`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = factors(FINE, 6)
+        for batch, texts in text_runs(batches):
+            found = [sketch(signature(shingles(t), by)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fine"])
+
+    chosen = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    return chosen.mapInArrow(run, "doc_id long, fine array<long>").dropDuplicates(["doc_id"])
+
+
 def small(df: DataFrame) -> DataFrame:
     """Marked for broadcast if its counted rows are few."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -139,27 +162,38 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 def alike(percent: int) -> F.Column:
     """What sizes and sketches of a pair (n, s and n2, s2) allow."""
-    differ = sum((F.bit_count(F.col("s")[i].bitwiseXOR(F.col("s2")[i])) for i in range(1, 4)), F.bit_count(F.col("s")[0].bitwiseXOR(F.col("s2")[0])))
-    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (differ <= SKETCH_BITS)
+    return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (differing("s", "s2", PERMUTATIONS // 16) <= allowed(SKETCH_BITS, 256, percent))
+
+
+def differing(a: str, b: str, longs: int) -> F.Column:
+    return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, longs)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, label) of every vertex of the undirected edges (a, b): the smallest id reachable.
+def allowed(bits: int, of: int, percent: int) -> int:
+    """The bound for 75 percent moved to another threshold; looser ones for lower thresholds."""
+    return bits if percent == 75 else round((1 - percent / 100) * of / 2 + max(bits - of / 8, 0) * 1.3)
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(doc_id, label) of every vertex of the undirected edges (a, b): the smallest id reachable, or after a number of
+    rounds some id that is reachable.
 
     Labels fall to the neighbours' minimum and then to their label's own label, so a path shrinks by half a round; each
     round is staged.
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "doc_id"))
-    while True:
+    while rounds != 0:
         near = both.join(labels.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
         lower = labels.join(near, labels.doc_id == near.a).select("doc_id", F.least("label", "l").alias("hop"), F.col("label").alias("old"))
         jump = lower.join(labels.toDF("at", "jump"), F.col("hop") == F.col("at"), "left")
         new = staged(jump.select("doc_id", F.least("hop", F.coalesce("jump", "hop")).alias("label"), "old"))
-        moved = new.where("label <> old").limit(1).count()
         labels = new.select("doc_id", "label")
-        if not moved:
-            return labels
+        if rounds:
+            rounds -= 1
+        elif new.where("label <> old").isEmpty():
+            break
+    return labels
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -184,21 +218,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     star = members.where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
     star = star.join(heads.withColumnRenamed("doc_id", "a"), "a").join(centers, "b").where(alike(percent)).select("a", "b")
     edges = staged(confirmed(docs, staged(star), percent))
-    label = components(edges)
+    label = components(edges, rounds=2)  # equal labels are one component; unequal ones may be, and are then compared
 
     # Buckets that still hold several components: their members outside the largest one against the others.
     labelled = members.join(label, "doc_id", "left").select("key", "center", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed_in = staged(labelled.join(small(staged(main.select("key", "main"))), "key").join(heads, "doc_id"))
-    left = mixed_in.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", "n", "s", "center")
-    right = mixed_in.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("s").alias("s2"))
-    # Pairs with a center are known; of two members outside the largest component, one order is enough.
+    mixed_in = staged(labelled.join(small(staged(main.select("key", "main"))), "key"))
+    fine = staged(fine_sketches(docs, staged(mixed_in.select("doc_id").distinct())))
+    keys = mixed_in.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # one for each band at most
+    mixed_in = staged(mixed_in.join(heads.select("doc_id", "n"), "doc_id").join(fine, "doc_id").join(keys, "doc_id"))
+    left = mixed_in.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", "n", F.col("fine").alias("f"), F.col("keys").alias("k"), "center")
+    right = mixed_in.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("fine").alias("f2"), F.col("keys").alias("k2"))
+    # Pairs with a center are known; of two members outside the largest component, one order is enough; a pair is compared in
+    # its first common bucket only.
     new = (F.col("la") != F.col("lb")) & (F.col("a") != F.col("center")) & (F.col("b") != F.col("center")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    rest = staged(left.join(right, (left.key == right.key) & new & alike(percent)).select("a", "b").distinct())
+    new &= (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (differing("f", "f2", FINE // 16) <= allowed(FINE_BITS, 4096, percent))
+    new &= F.get(F.array_intersect("k", "k2"), F.lit(0)) == left["key"]
+    rest = staged(left.join(right, (left.key == right.key) & new).select("a", "b"))
     if not rest.isEmpty():
         edges = edges.union(confirmed(docs, rest, percent))
-        label = components(edges)
+    label = components(edges)
     by_class = classes.join(label, classes.rep == label.doc_id, "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = sigs.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
     found = F.coalesce("component_id", "doc_id")
