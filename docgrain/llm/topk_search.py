@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, staged, table
 
 ROW_BLOCK, QUERY_BLOCK, GROUPS = 2048, 256, 4
+#: Below every score, and its negative is a number too.
+NO_SCORE = -np.iinfo(np.int64).max
 BLOCK = "block long, ids binary, parts binary, cuts binary"
 
 
@@ -76,6 +78,15 @@ def local_scores(q: np.ndarray, r: np.ndarray) -> list[np.ndarray]:
     return [(q[:, c] @ r[:, c].T).astype(np.int64) for c in np.array_split(np.arange(q.shape[1]), GROUPS)]
 
 
+def leading(local: list[np.ndarray], total: np.ndarray, other: np.ndarray, k: int) -> np.ndarray:
+    """Each query's k best totals, falling, among the rows with one of a group's k best local scores; NO_SCORE fills up."""
+    lead = np.zeros(total.shape, bool)
+    for s in local:
+        at = np.argpartition(-np.where(other, s, NO_SCORE), k - 1, axis=1)[:, :k] if s.shape[1] > k else np.arange(s.shape[1])[None, :]
+        np.put_along_axis(lead, at, True, axis=1)
+    return -np.sort(-np.where(lead & other, total, NO_SCORE), axis=1)[:, :k]
+
+
 def best(query: np.ndarray, vec: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k best: by falling score, then smaller id."""
     order = np.lexsort((vec, -score, query))
@@ -120,17 +131,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phase 1: the k best totals among the rows that lead a group's local scores."""
         held: dict[int, tuple] = {}
-        low = np.iinfo(np.int64).min
         for key, q, v, local, total, other, _ in scored(batches):
-            lead = np.zeros(total.shape, bool)
-            for s in local:
-                s = np.where(other, s, low)
-                at = np.argpartition(-s, min(k, len(v)) - 1, axis=1)[:, :k] if len(v) > k else np.tile(np.arange(len(v)), (len(q), 1))
-                np.put_along_axis(lead, at, True, axis=1)
-            top = -np.sort(-np.where(lead & other, total, low), axis=1)[:, :k]
+            top = leading(local, total, other, k)
             held[key] = (q, top if key not in held else -np.sort(-np.concatenate([held[key][1], top], axis=1), axis=1)[:, :k])
         for q, top in held.values():
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array([[int(x) for x in t if x > low] for t in top], pa.list_(pa.int64()))], names=["query_id", "scores"])
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array([[int(x) for x in t if x > NO_SCORE] for t in top], pa.list_(pa.int64()))], names=["query_id", "scores"])
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Phases 2 and 3: rows with a local score of the cutoff's share, whose totals reach the cutoff."""

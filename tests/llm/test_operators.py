@@ -289,6 +289,22 @@ def test_topk(spark):
     assert topk_search.search(frame, F.lit(False)).count() == 0 and topk_search.search(frame.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_cutoff():
+    rng = np.random.default_rng(3)
+    q, r = rng.integers(-64, 64, (5, 16)), rng.integers(-64, 64, (300, 16))
+    local = topk_search.local_scores(q, r)
+    total, other = sum(local), np.arange(300)[None, :] != np.arange(5)[:, None]
+    assert (total == q @ r.T).all()
+    top = topk_search.leading(local, total, other, 20)
+    for i in range(5):
+        led = {j for s in local for j in sorted(np.flatnonzero(other[i]), key=lambda j: -s[i, j])[:20]}
+        assert len(led) >= 20 and top[i, 0] == max(total[i, j] for j in led)
+        exact = np.sort(total[i][other[i]])[::-1][19]
+        assert topk_search.NO_SCORE < top[i, 19] <= exact and (total[i] >= top[i, 19]).sum() < 60
+    few = topk_search.leading([s[:, :3] for s in local], total[:, :3], other[:, :3], 20)
+    assert (np.count_nonzero(few > topk_search.NO_SCORE, axis=1) == other[:, :3].sum(1)).all()
+
+
 # 10
 
 
