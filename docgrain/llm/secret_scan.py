@@ -76,6 +76,17 @@ def trigram_query(rule: Rule) -> list[frozenset[str]]:
     return ways if all(ways) else []
 
 
+def prefilter(rule: Rule) -> str:
+    """An expression that finds something wherever the rule has a match that is long enough.
+
+    `least` counts all of group 0, so a trailing repeat needs what the longest text before it leaves.
+    """
+    items, pattern = _parser.parse(rule.pattern), rule.pattern
+    if rule.group == 0 and pattern.endswith("+") and str(items[-1][0]) == "MAX_REPEAT" and items[-1][1][2].getwidth() == (1, 1):
+        pattern = f"{pattern[:-1]}{{{max(1, rule.least - items[:-1].getwidth()[1])},}}"
+    return ("(?i)" if rule.fold else "") + pattern
+
+
 def trigrams(rules: tuple[Rule, ...] = RULES) -> list[tuple[str, bool]]:
     """(trigram, folded) of all queries."""
     return sorted({(t.lower() if r.fold else t, r.fold) for r in rules for way in trigram_query(r) for t in way})
@@ -136,7 +147,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if trigram_query(rule):
             wanted = F.coalesce(F.col("_hits"), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0
         else:
-            wanted = F.rlike(text, F.lit(rule.pattern if rule.least == 1 or not rule.pattern.endswith("+") else f"{rule.pattern[:-1]}{{{rule.least},}}"))
+            wanted = F.rlike(text, F.lit(prefilter(rule)))
         parts.append(F.when(wanted, spans_of(text, rule, r)).otherwise(empty))
     return joined.withColumn("found", F.array_sort(F.concat(*parts))).drop("_id", "_hits")
 

@@ -264,6 +264,24 @@ def test_trigram_queries():
     assert secret_scan.trigram_query(secret_scan.RULES[2]) == []
 
 
+@pytest.mark.parametrize("n", [35, 36, 37, 39, 40])
+def test_github_tokens_of_every_length(spark, n):
+    text = "key ghp_" + "Ab3" * 13 + "x"
+    text = text[: len("key ghp_") + n] + " end"
+    docs = spark.createDataFrame([(1, text), (2, "gho_" + "B" * n)], "doc_id long, text string")
+    got = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in secret_scan.scan(docs).collect()}
+    assert got == {1: secrets(text), 2: secrets("gho_" + "B" * n)} and bool(got[1]) == bool(got[2]) == (n >= 36)
+    assert [r["text"] for r in secret_scan.redact(docs).orderBy("doc_id").collect()] == (["key [github] end", "[github]"] if n >= 36 else [text, "gho_" + "B" * n])
+
+
+def test_prefilters_keep_every_match():
+    at_least = {r.kind: secret_scan.prefilter(r) for r in secret_scan.RULES}
+    assert at_least["hex"] == "[0-9a-f]{16,}" and at_least["github"] == "gh[pousr]_[A-Za-z0-9]{36,}"
+    rule = secret_scan.Rule
+    assert secret_scan.prefilter(rule("a", "x*[0-9]+", 0, 9)) == "x*[0-9]{1,}"
+    assert secret_scan.prefilter(rule("a", "([a-c]+)[0-9]+", 1, 9, True)) == "(?i)([a-c]+)[0-9]+"
+
+
 def test_redaction(docs):
     got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
     assert got[13]["text"] == "[assign] and [access], hex [hex]; token: short" and got[13]["n_chars"] == len(got[13]["text"])
