@@ -76,6 +76,27 @@ def encode(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[int],
     return docs.select("doc_id", "text").mapInArrow(run, "slice int, doc_id long, ids binary")
 
 
+def placed(ids: DataFrame, size: int) -> DataFrame:
+    """`ids` with `before`: the ids of a slice ahead of each row. Each slice is whole and in order in one task here; once it
+    is staged, several tasks may read it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, total = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slices = batch.column("slice").to_numpy()
+            n = pa.compute.binary_length(batch.column("ids")).to_numpy().astype(np.int64) // size
+            starts = np.cumsum(n) - n
+            new = np.concatenate([[slices[0] != last], slices[1:] != slices[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(n)), -1))
+            before = starts - np.where(first >= 0, starts[first], -total)
+            last, total = slices[-1], int(before[-1] + n[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("slice"), batch.column("doc_id"), pa.array(before), batch.column("ids")], names=["slice", "doc_id", "before", "ids"])
+
+    return ids.mapInArrow(run, "slice int, doc_id long, before long, ids binary")
+
+
 def rank_order(ids: DataFrame, vocabulary: int, held: str) -> np.ndarray:
     """Ids by falling corpus frequency (ties: by id); the driver gets one row for each id of the vocabulary at most."""
 
@@ -104,7 +125,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
     size = np.dtype(held).itemsize
     slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     coded = encode(docs, tokenizer_path, end_id, slice_bounds(docs.select("doc_id"), "doc_id", slices), held)
-    ids = staged(coded.repartition(slices, "slice").sortWithinPartitions("slice", "doc_id"), compression="zstd")
+    ids = staged(placed(coded.repartition(slices, "slice").sortWithinPartitions("slice", "doc_id"), size), compression="zstd")
     order = rank_order(ids, vocabulary, held)
     ranks = np.empty(len(order), np.uint32)
     ranks[order] = np.arange(len(order), dtype=np.uint32)
@@ -116,20 +137,20 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        at, before, total = None, 0, 0
+        at, first, total = None, 0, 0
         for batch in batches:
-            for s, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("slice", "doc_id", "ids"))):
-                if rows and (s != at or total >= BLOCK_IDS):
-                    yield block(rows, at, before)
-                    before, rows, total = before + total, [], 0
-                if s != at:
-                    at, before = s, 0
+            for s, doc, before, ids in zip(*(batch.column(c).to_pylist() for c in ("slice", "doc_id", "before", "ids"))):
+                if rows and (s != at or before != first + total or total >= BLOCK_IDS):  # a block's rows follow one another
+                    yield block(rows, at, first)
+                    rows, total = [], 0
+                if not rows:
+                    at, first = s, before
                 rows.append((doc, ids))
                 total += len(ids) // size
         if rows:
-            yield block(rows, at, before)
+            yield block(rows, at, first)
 
-    ids.select("slice", "doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ids.select("slice", "doc_id", "before", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     spark = docs.sparkSession
     spark.createDataFrame([(i, int(x)) for i, x in enumerate(order)], "rank int, id int").coalesce(1).write.parquet(f"{path}/ranks")
     release(ids)

@@ -139,6 +139,24 @@ def test_token_files(spark, docs, tmp_path):
     assert token_files.read(spark, str(tmp_path / "e")).count() == 0
 
 
+def test_token_files_of_slices_that_several_tasks_read(spark, tmp_path):
+    rows = [(i // 2 if i < 40 else i, data.prose(i, 60)) for i in range(1600)]
+    small = {"parquet.block.size": "16384", "spark.sql.files.maxPartitionBytes": "16384", "spark.sql.files.openCostInBytes": "0"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        token_files.write(frame, str(tmp_path / "t"), FOLDED)
+        got = token_files.read(spark, str(tmp_path / "t")).orderBy("start").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    want = sorted((i, le([*tokenizer(FOLDED).encode(t, add_special_tokens=False).ids, 2])) for i, t in rows)
+    assert sorted((r["doc_id"], bytes(r["ids"])) for r in got) == want and [r["doc_id"] for r in got] == [i for i, _ in want]
+    assert [r["start"] for r in got] == np.cumsum([0, *(r["n_tokens"] for r in got)])[:-1].tolist()
+
+
 @pytest.fixture(scope="module")
 def tiktoken_encoding():
     import tiktoken
