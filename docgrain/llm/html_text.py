@@ -4,14 +4,15 @@ The standard library's parser streams events; block boundaries part the text int
 characters, its tags, the characters inside links, and the element that holds it. The ratio of text to tags per line is
 smoothed with a Gaussian; lines above the threshold (the mean less a share of the deviation) cluster into content regions.
 The regions choose the element that carries the article, and all of its lines are the main text, short ones too, so
-the statistics decide where the article is but never drop a sentence of it. Elements that are no prose by name, role or
-class never make lines.
+the statistics decide where the article is but never drop a sentence of it. Elements that are no prose by name never make
+lines; those whose class, id or role says so, and forms, lose theirs unless they hold most of the page's text.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,34 +32,53 @@ ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead"
 #: A start tag ends open elements of the same kind up to the container.
 ENDS_SAME = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "option": ({"option"}, {"select"})}
 CONTAINERS = frozenset({"article", "main", "section", "div", "body", "html", "td", "table", "blockquote"})
-#: Words of class, id or role that mark what isn't the article.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert(?:s|ising|isement|isements)?|sponsor(?:ed|s)?|promo(?:tion|ted)?|banner|nav(?:bar|igation)?|menu|breadcrumbs?|sidebar|side-bar|aside|footer|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommended|comment\w*|disqus|repl(?:y|ies)|respond|discussion|reactions|widget|toolbar|pagination|pager|search|contentinfo|complementary|dialog|form)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id or role that mark what isn't the article, and those of them that mark what readers or links add to it.
+TALK = frozenset("related recommended comment comments commentlist disqus reply replies respond discussion reactions".split())
+MARKED = TALK | frozenset(
+    "ad ads advert adverts advertising advertisement advertisements sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social widget toolbar pagination pager search contentinfo complementary dialog form".split()
 )
+#: Words that name a part or a place: a class of these and of marking words is marked, one with any other word (has-, no-, category-) isn't.
+PLACES = frozenset("site page main global top bottom left right primary secondary mobile desktop container wrapper wrap box block section list area bar inner outer side item items slot unit link links button buttons icons post entry article".split())
+#: Shares of the page's text beyond which a marked element is kept.
+MOST, MOST_TALK = 0.5, 0.9
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+@lru_cache(4096)
+def marked(names: str) -> str:
+    """'talk' or 'mark' if a whole class, id or role of `names` marks what isn't the article; '' if none does."""
+    found = ""
+    for name in names.lower().split():
+        words = [w for w in re.split("[-_]+", name) if w and not w[0].isdigit()]
+        marks = [w for w in words if w in MARKED or w.startswith("comment")]
+        if marks and all(w in PLACES or w in marks for w in words):
+            if any(w in TALK or w.startswith("comment") for w in marks):
+                return "talk"
+            found = "mark"
+    return found
+
+
 class Lines(HTMLParser):
-    """Lines of a page: text, tag count, link characters and the containers that hold it."""
+    """Lines of a page: text, tag count, link characters, the container that holds it and the marked element around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, container
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped, container, marked element
         self.parents, self.kinds = [0], ["page"]
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.around, self.most = [0], [0.0]  # of each marked element: the one around it, the share that keeps it
+        self.lines: list[tuple[str, int, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.links = 0
 
     def end_line(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            self.lines.append((line, self.tags, self.linked, self.open[-1][2] if self.open else 0))
+            self.lines.append((line, self.tags, self.linked, *(self.open[-1][2:] if self.open else (0, 0))))
             self.tags = self.linked = 0
         self.text.clear()
 
     def pop(self) -> None:
-        tag, _, _ = self.open[-1]
+        tag = self.open[-1][0]
         if tag in BLOCKS or tag in DROPPED:
             self.end_line()
         self.links -= tag == "a"
@@ -90,17 +110,27 @@ class Lines(HTMLParser):
                     self.pop()
         if tag in BLOCKS or tag in DROPPED:
             self.end_line()
-        above = self.open[-1] if self.open else ("", False, 0)
+        above = self.open[-1] if self.open else ("", False, 0, 0)
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
-        keep = tag in ("body", "html")
-        dropped = above[1] or tag in DROPPED or (not keep and bool(marks) and bool(MARKED.search(marks))) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v) for k, v in attrs)
+        kind = "" if tag in ("body", "html") else marked(marks)
+        if kind == "mark" and (tag in ("article", "main") or any(k == "role" and v in ("article", "main") for k, v in attrs)):
+            kind = ""
+        if tag == "form":
+            kind = kind or "mark"
+        own_line = tag in BLOCKS or tag == "form"  # parts of a line are dropped at once
+        dropped = above[1] or (tag in DROPPED and tag != "form") or (bool(kind) and not own_line) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v) for k, v in attrs)
+        mark = above[3]
+        if kind and not dropped:
+            self.around.append(mark)
+            self.most.append(MOST_TALK if kind == "talk" else MOST)
+            mark = len(self.around) - 1
         box = above[2]
         if tag in CONTAINERS:
             self.parents.append(box)
             self.kinds.append(tag)
             box = len(self.parents) - 1
         self.links += tag == "a"
-        self.open.append((tag, dropped, box))
+        self.open.append((tag, dropped, box, mark))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -121,9 +151,32 @@ class Lines(HTMLParser):
         if self.open and self.open[-1][1]:
             return
         self.text.append(data)
-        if self.links:
+        if self.links and (not self.open[-1][3] or data.strip()):
             self.linked += len(data)
 
+    def kept(self) -> list[tuple[str, int, int, int]]:
+        """The lines outside marked elements that don't hold most of the page's text; dropped lines' tags go to the next line."""
+        if len(self.around) == 1:
+            return [line[:4] for line in self.lines]
+        share = np.zeros(len(self.around))
+        for text, _, linked, _, mark in self.lines:
+            own = len(text) - min(linked, len(text))
+            share[0] += own
+            while mark:
+                share[mark] += own
+                mark = self.around[mark]
+        stays = [True]
+        for i in range(1, len(share)):
+            stays.append(stays[self.around[i]] and share[i] > self.most[i] * share[0])
+        out, carried = [], 0
+        for text, tags, linked, box, mark in self.lines:
+            if stays[mark]:
+                out.append((text, tags + carried, linked, box))
+                carried = 0
+            else:
+                carried += tags
+        return out
+
 
 def regions(lines: list[tuple[str, int, int, int]], sigma: float = 1.0) -> np.ndarray:
     """Which lines belong to content regions: smoothed text-to-tag ratios above the threshold."""
@@ -142,7 +195,7 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.end_line()
-    lines = page.lines
+    lines = page.kept()
     if not lines:
         return ""
     content = regions(lines)

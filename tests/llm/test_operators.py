@@ -49,6 +49,22 @@ def test_main_text():
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain &lt;b&gt;")] == ["", "", "", "plain <b>"]
 
 
+@pytest.mark.parametrize(
+    "wrap",
+    ["<main class='content has-sidebar'>{}</main>", "<div id='page' class='site no-sidebar sticky-header'>{}</div>", "<article class='post category-search tag-social'>{}</article>", "<form action=x>{}</form>", "<div class=search><article>{}</article></div>", "<article class='widget'>{}</article>", "<section class=discussion>{}</section>"],
+)
+def test_articles_in_marked_elements(wrap):
+    prose = ("long prose here. " * 30).strip()
+    page = wrap.format(f"<h1>Head</h1><p>{prose}</p><div class=site-header>top</div><div class='share-buttons'>share</div><p>short</p>")
+    assert html_text.main_text(f"<body><div class='sidebar left'>s</div>{page}<div id=comments><p>nice</p></div></body>") == f"Head\n\n{prose}\n\nshort"
+
+
+def test_comments_longer_than_the_article_are_dropped():
+    prose, talk = ("long prose here. " * 30).strip(), "<p>" + "my view is this. " * 60 + "</p>"
+    for part in (f"<section id=comments>{talk}</section>", f"<div class=comment-list><article class=comment>{talk}</article></div>", f"<article class='comment'>{talk}</article>"):
+        assert html_text.main_text(f"<body><div><h1>Head</h1><p>{prose}</p></div>{part}</body>") == f"Head\n\n{prose}"
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x</p>", 1), (3, "u", "<p>y " + "z" * 300_000 + "</p>", 1), (3, "u", "<p>y</p>", 1)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
