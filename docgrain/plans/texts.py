@@ -177,6 +177,11 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.rlike("text", F.lit(r"(?<!\d)1[3-9]\d{9}(?!\d)")).alias("has_mobile"))
 
 
+@plan("tx18_masked_texts")
+def _(spark, d):
+    return _docs(spark, d).select("doc_id", F.md5(T.mask_pii(F.col("text"))).alias("masked_md5"))
+
+
 _WORDS = ("idiot", "moron", "trash", "clown")
 
 
