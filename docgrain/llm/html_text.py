@@ -2,10 +2,11 @@
 
 The standard library's parser streams events; block boundaries part the text into lines, and each line knows its
 characters, its tags, the characters inside links, and the element that holds it. The ratio of text to tags per line is
-smoothed with a Gaussian; lines above the threshold (the mean less a share of the deviation) cluster into content regions.
-The regions choose the element that carries the article, and all of its lines are the main text, short ones too, so
-the statistics decide where the article is but never drop a sentence of it. Elements that are no prose by name never make
-lines; those whose class, id or role says so, and forms, lose theirs unless they hold most of the page's text.
+smoothed with a Gaussian; lines above the threshold (the mean less a share of the deviation) form clusters, the content
+regions. The clusters choose the element that carries the article: the smallest one with nearly all of their text. A
+cluster then grows over the other lines of that element, so the statistics decide where the article is but never
+drop a sentence of it. Names only exclude: elements that are no prose by their tag make no lines, and the text of those
+whose class, id or role says so, and of forms, counts for nothing in the ratios unless they hold most of the page's text.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ MARKED = TALK | frozenset(
 PLACES = frozenset("site page main global top bottom left right primary secondary mobile desktop container wrapper wrap box block section list area bar inner outer side item items slot unit link links button buttons icons post entry article".split())
 #: Shares of the page's text beyond which a marked element is kept.
 MOST, MOST_TALK = 0.5, 0.9
+#: Parts of a line; a marked one is dropped at once.
+INLINE = frozenset("a abbr b bdi bdo big cite code data dfn em font i ins kbd label mark q s samp small span strong sub sup time tt u var".split())
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -59,11 +62,16 @@ def marked(names: str) -> str:
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tag count, link characters, the container that holds it and the marked element around it."""
+    """Lines of a page: text, tag count, link characters, the container that holds it and the marked element around it.
+
+    The open elements of each tag, and the open containers, are kept as stacks of places, so that no event searches them all.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped, container, marked element
+        self.places: dict[str, list[int]] = {}
+        self.boxes: list[int] = []
         self.parents, self.kinds = [0], ["page"]
         self.around, self.most = [0], [0.0]  # of each marked element: the one around it, the share that keeps it
         self.lines: list[tuple[str, int, int, int, int]] = []
@@ -77,12 +85,29 @@ class Lines(HTMLParser):
             self.tags = self.linked = 0
         self.text.clear()
 
+    def last(self, tags) -> int:
+        """The place of the innermost open element of `tags`; -1 for none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, *rest) -> None:
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in CONTAINERS:
+            self.boxes.append(len(self.open))
+        self.open.append((tag, *rest))
+
     def pop(self) -> None:
         tag = self.open[-1][0]
-        if tag in BLOCKS or tag in DROPPED:
+        if tag not in INLINE:
             self.end_line()
         self.links -= tag == "a"
         self.open.pop()
+        self.places[tag].pop()
+        if tag in CONTAINERS:
+            self.boxes.pop()
+
+    def pop_to(self, at: int) -> None:
+        while len(self.open) > at:
+            self.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -92,23 +117,17 @@ class Lines(HTMLParser):
             elif tag == "hr":
                 self.end_line()
             return
-        if tag in BLOCKS and tag != "html" and any(t[0] == "head" for t in self.open):
-            while self.open.pop()[0] != "head":
-                pass
-        if tag in ENDS_P and any(t[0] == "p" for t in self.open[-12:]):
-            at = max(i for i, t in enumerate(self.open) if t[0] == "p")
-            if not any(t[0] in CONTAINERS for t in self.open[at + 1 :]):
-                while len(self.open) > at:
-                    self.pop()
+        if tag in BLOCKS and tag != "html" and self.places.get("head"):
+            self.pop_to(self.places["head"][0])
+        box = self.boxes[-1] if self.boxes else -1
+        if tag in ENDS_P and (at := self.last(("p",))) > box:
+            self.pop_to(at)
         elif tag in ENDS_SAME:
             same, stop = ENDS_SAME[tag]
-            while self.open and any(t[0] in same for t in reversed(self.open)):
-                at = max(i for i, t in enumerate(self.open) if t[0] in same)
-                if any(t[0] in stop for t in self.open[at + 1 :]):
-                    break
-                while len(self.open) > at:
-                    self.pop()
-        if tag in BLOCKS or tag in DROPPED:
+            bound = self.last(stop)
+            while (at := self.last(same)) > bound:
+                self.pop_to(at)
+        if tag not in INLINE:
             self.end_line()
         above = self.open[-1] if self.open else ("", False, 0, 0)
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
@@ -117,35 +136,34 @@ class Lines(HTMLParser):
             kind = ""
         if tag == "form":
             kind = kind or "mark"
-        own_line = tag in BLOCKS or tag == "form"  # parts of a line are dropped at once
-        dropped = above[1] or (tag in DROPPED and tag != "form") or (bool(kind) and not own_line) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v) for k, v in attrs)
+        inside = tag == "header" and self.last(("article", "main")) >= 0  # an article's own header holds its title
+        dropped = above[1] or (tag in DROPPED and tag != "form" and not inside) or (bool(kind) and tag in INLINE) or any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and HIDDEN.search(v) for k, v in attrs)
         mark = above[3]
         if kind and not dropped:
             self.around.append(mark)
             self.most.append(MOST_TALK if kind == "talk" else MOST)
             mark = len(self.around) - 1
-        box = above[2]
+        holder = above[2]
         if tag in CONTAINERS:
-            self.parents.append(box)
+            self.parents.append(holder)
             self.kinds.append(tag)
-            box = len(self.parents) - 1
+            holder = len(self.parents) - 1
         self.links += tag == "a"
-        self.open.append((tag, dropped, box, mark))
+        self.push(tag, dropped, holder, mark)
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if not any(t[0] == tag for t in reversed(self.open)):
+        at = self.last((tag,))
+        if at < 0:
             if tag == "p":
                 self.end_line()
             return
-        at = max(i for i, t in enumerate(self.open) if t[0] == tag)
-        if tag not in CONTAINERS and any(t[0] in CONTAINERS for t in self.open[at + 1 :]):
+        if tag not in CONTAINERS and self.boxes and self.boxes[-1] > at:
             return
-        while len(self.open) > at:
-            self.pop()
+        self.pop_to(at)
 
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][1]:
@@ -154,37 +172,27 @@ class Lines(HTMLParser):
         if self.links and (not self.open[-1][3] or data.strip()):
             self.linked += len(data)
 
-    def kept(self) -> list[tuple[str, int, int, int]]:
-        """The lines outside marked elements that don't hold most of the page's text; dropped lines' tags go to the next line."""
+    def prose(self) -> np.ndarray:
+        """Each line's characters outside links; none within a marked element that doesn't hold most of the page's."""
+        own = np.array([len(text) - min(linked, len(text)) for text, _, linked, _, _ in self.lines], float)
         if len(self.around) == 1:
-            return [line[:4] for line in self.lines]
-        share = np.zeros(len(self.around))
-        for text, _, linked, _, mark in self.lines:
-            own = len(text) - min(linked, len(text))
-            share[0] += own
-            while mark:
-                share[mark] += own
-                mark = self.around[mark]
+            return own
+        share = np.bincount([line[4] for line in self.lines], own, len(self.around))
+        for i in range(len(share) - 1, 0, -1):  # an element comes after the one around it
+            share[self.around[i]] += share[i]
         stays = [True]
         for i in range(1, len(share)):
             stays.append(stays[self.around[i]] and share[i] > self.most[i] * share[0])
-        out, carried = [], 0
-        for text, tags, linked, box, mark in self.lines:
-            if stays[mark]:
-                out.append((text, tags + carried, linked, box))
-                carried = 0
-            else:
-                carried += tags
-        return out
-
-
-def regions(lines: list[tuple[str, int, int, int]], sigma: float = 1.0) -> np.ndarray:
-    """Which lines belong to content regions: smoothed text-to-tag ratios above the threshold."""
-    ratio = np.array([(len(t) - min(linked, len(t))) / max(tags, 1) for t, tags, linked, _ in lines])
+        return np.where([stays[line[4]] for line in self.lines], own, -1)
+
+
+def regions(prose: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Which lines belong to content regions: smoothed text-to-tag ratios above the threshold, excluded lines never."""
+    ratio = np.maximum(prose, 0) / tags
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
-    return smooth >= smooth.mean() - 0.5 * smooth.std()
+    return (smooth >= smooth.mean() - 0.5 * smooth.std()) & (prose >= 0)
 
 
 def main_text(html: str | None) -> str:
@@ -195,39 +203,35 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.end_line()
-    lines = page.kept()
-    if not lines:
+    if not page.lines:
+        return ""
+    prose = page.prose()
+    tags = np.maximum([line[1] for line in page.lines], 1)
+    content = regions(prose, tags)
+    if not content.any():
         return ""
-    content = regions(lines)
-    own = np.array([len(t) - min(linked, len(t)) for t, _, linked, _ in lines])
-    weight = own * content
-    inside = np.zeros(len(page.parents))
-    for (_, _, _, box), w in zip(lines, weight):
-        while True:
-            inside[box] += w
-            if not box:
-                break
-            box = page.parents[box]
-    # The article elements, where there are any that hold content; else the smallest container with nearly all content, and
-    # what else lies in content regions and isn't mostly links, such as a heading above it.
-    named = {i for i, kind in enumerate(page.kinds) if kind in ("article", "main") and inside[i] >= 0.3 * inside[0]}
-    near = np.zeros(len(lines), bool)
-    if not named:
-        near = content & (2 * own >= np.array([len(t) for t, *_ in lines]))
-        best = 0
-        for i in range(len(page.parents)):
-            if inside[i] >= 0.85 * inside[0]:
-                best = i
-        named = {best}
-
-    def held(box: int) -> bool:
-        while box not in named:
-            if not box:
-                return False
-            box = page.parents[box]
-        return True
-
-    return "\n\n".join(t for (t, _, _, box), n in zip(lines, near) if n or held(box))
+    # The clusters' text of every element: what it holds itself and, children coming after parents, what those hold.
+    boxes, parents = [line[3] for line in page.lines], page.parents
+    inside = np.bincount(boxes, np.maximum(prose, 0) * content, len(parents))
+    for i in range(len(parents) - 1, 0, -1):
+        inside[parents[i]] += inside[i]
+    # Where article elements hold clusters, what lies outside is excluded; else the smallest element with nearly all of the
+    # clusters' text grows over its lines. Other lines of clusters that aren't mostly links stay where they lie in an element
+    # around it, such as a heading above, or have prose's ratio of their own, so that a teaser beside a paragraph doesn't.
+    chosen = [kind in ("article", "main") and inside[i] >= 0.3 * inside[0] for i, kind in enumerate(page.kinds)]
+    near = np.zeros(len(boxes), bool)
+    if not any(chosen):
+        best = int(np.flatnonzero(inside >= 0.85 * inside[0])[-1])
+        chosen[best] = True
+        around = {0}
+        while best:
+            around.add(best := parents[best])
+        ratio = prose / tags
+        near = content & (2 * prose >= np.array([len(line[0]) for line in page.lines]))
+        near &= np.array([b in around for b in boxes]) | (ratio >= 0.25 * np.median(ratio[content]))
+    for i in range(1, len(parents)):
+        chosen[i] = chosen[i] or chosen[parents[i]]
+    return "\n\n".join(line[0] for line, p, n in zip(page.lines, prose, near) if n or (p >= 0 and chosen[line[3]]))
 
 
 def extract(pages: DataFrame) -> DataFrame:

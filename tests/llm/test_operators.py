@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import re
+import time
 import zlib
+from html import unescape
 
 import numpy as np
 import public_tokenizers as P
@@ -65,6 +67,53 @@ def test_comments_longer_than_the_article_are_dropped():
         assert html_text.main_text(f"<body><div><h1>Head</h1><p>{prose}</p></div>{part}</body>") == f"Head\n\n{prose}"
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='layout with-sidebar'><article><p>{}</p></article></div>", "{}"),
+        ("<article class='post has-comments'><p>{}</p></article>", "{}"),
+        ("<article id='share-prices'><p>{}</p></article>", "{}"),
+        ("<form id='aspnetForm'><div><h1>T</h1><p>{}</p></div></form>", "T\n\n{}"),
+        ("<header>site</header><article><header><h1>Title</h1></header><p>{}</p><footer>by me</footer></article>", "Title\n\n{}"),
+        ("<div class=comments><p>{}</p></div>", "{}"),
+    ],
+)
+def test_names_never_drop_what_holds_the_page(page, want):
+    prose = ("long prose here. " * 30).strip()
+    assert html_text.main_text(f"<body>{page.format(prose)}</body>") == want.format(prose)
+
+
+def test_clusters_choose_the_content_where_nothing_is_named(monkeypatch):
+    prose = [f"Paragraph {i} " + "says many plain words. " * (3 + i % 5) for i in range(8)]
+    teasers = "".join(f"<div><b>Deal</b> <i>{i}</i> <u>now</u></div>" for i in range(12))
+    page = f"<body><div>{teasers}</div><div><h1>Head</h1>{''.join(f'<p>{p}</p>' for p in prose)}<p>End.</p></div><div>{teasers}</div></body>"
+    want = "\n\n".join(["Head", *(p.strip() for p in prose), "End."])
+    assert html_text.main_text(page) == want
+    monkeypatch.setattr(html_text, "regions", lambda prose, tags: np.ones(len(prose), bool))
+    assert html_text.main_text(page) != want
+
+
+def test_deep_nesting_is_linear():
+    began = time.process_time()
+    assert html_text.main_text("<div>x" * 60_000).count("x") == 60_000
+    assert html_text.main_text("<p><b>" * 30_000 + "text") == "text"
+    assert time.process_time() - began < 20
+
+
+def plain_article(html):
+    """What the driver's pages say, by expressions alone: the parts of the article between its blocks' tags."""
+    body = re.search(r"<article>(.*)</article>", html, re.S)[1]
+    blocks = re.split(r"</?(?:p|h1|div|ul|ol|li|blockquote|pre|section)\b[^>]*>", body)
+    lines = [" ".join(unescape(re.sub(r"<[^>]+>", "", re.sub(r"<br\s*/?>", " ", b))).split()) for b in blocks]
+    return "\n\n".join(x for x in lines if x)
+
+
+def test_pages_against_expressions(spark, sf):
+    got = {r["page_id"]: r["text"] for r in html_text.op1_html_text(spark, sf).collect()}
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    assert got == {r["page_id"]: plain_article(r["html"]) for r in pages} and any(got.values())
+
+
 def test_extract_keeps_every_page(spark):
     rows = [(1, "u", None, 1), (2, None, "", 1), (None, "u", "<p>x</p>", 1), (3, "u", "<p>y " + "z" * 300_000 + "</p>", 1), (3, "u", "<p>y</p>", 1)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text long")).collect()
