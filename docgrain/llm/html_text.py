@@ -192,7 +192,7 @@ def regions(prose: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarr
     reach = max(1, int(3 * sigma))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
-    return (smooth >= smooth.mean() - 0.5 * smooth.std()) & (prose >= 0)
+    return (smooth >= (smooth.mean() - 0.5 * smooth.std()) * (1 - 1e-9)) & (prose >= 0)
 
 
 def main_text(html: str | None) -> str:
