@@ -12,7 +12,7 @@ from typing import Any
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python function handles at once.
@@ -38,14 +38,20 @@ def per_process(key: Any, make: Callable[[], Any]) -> Any:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of this machine only where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a local session (tests) gets one of this machine; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "docgrain-checkpoints")
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Staged tables that aren't released yet, in the order of their making.
+STAGED: list[DataFrame] = []
+
+
 def staged(df: DataFrame, **options: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: later jobs survive lost executors without repeating its work."""
     spark = df.sparkSession
@@ -53,6 +59,7 @@ def staged(df: DataFrame, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
+    STAGED.append(out)
     return out
 
 
@@ -62,6 +69,53 @@ def release(*frames: DataFrame) -> None:
         spark = df.sparkSession
         path = spark._jvm.org.apache.hadoop.fs.Path(df.staged_path)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        STAGED[:] = [x for x in STAGED if x is not df]
+
+
+def staged_alone(make: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what `make` returns, then delete all that was staged on the way to it."""
+    before = set(map(id, STAGED))
+    out = staged(make())
+    release(*(x for x in list(STAGED) if x is not out and id(x) not in before))
+    return out
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, rows: int, how: str = "inner") -> DataFrame:
+    """Join `many` with `one` (unique by `key`); keys with more than `rows` rows in `many` are dealt to several tasks.
+
+    The rows of `many` are counted by key. A hot key's rows are dealt by a hash of `spread`, and its row of `one` is copied
+    once for each part.
+    """
+    hot = many.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows)
+    hot = staged(hot.select(key, F.ceil(F.col("_rows") / rows).cast("int").alias("_parts")))
+    if hot.isEmpty():
+        return many.join(one, key, how)
+    hot = broadcast_checked(hot)
+    parts = F.coalesce("_parts", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
+    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
+#: Bytes up to which a staged table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_checked(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """`df` marked for broadcast where its counted rows and their width keep it below BROADCAST_BYTES."""
+    width = sum({"string": 64, "binary": 64}.get(f.dataType.simpleString(), 8) + 8 for f in df.schema)
+    return F.broadcast(df) if df.count() <= min(rows, BROADCAST_BYTES // width) else df
+
+
+def text_digest() -> Column:
+    """128 bits of a row's own text, null apart from empty."""
+    return F.md5(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of `docs` but for those whose doc_id (nulls alike) and text are in `gone` (doc_id, digest)."""
+    gone = broadcast_checked(staged(gone.select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_text")).distinct()))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
 
 
 def slice_bounds(df: DataFrame, key: str, slices: int) -> list[int]:
@@ -86,7 +140,7 @@ def by_bytes(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
 
 
 def text_runs(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_BYTES // 4) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of Arrow batches of about `limit` bytes of text, with the texts (null: empty)."""
+    """Slices of Arrow batches of about `limit` bytes of text, with the texts (null: empty); a longer text is a slice of its own."""
     for batch in batches:
         texts = batch.column(column)
         sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()

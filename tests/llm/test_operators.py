@@ -390,20 +390,53 @@ def test_topk(spark):
     assert topk_search.search(frame, F.lit(False)).count() == 0 and topk_search.search(frame.limit(0), F.lit(True)).count() == 0
 
 
-def test_topk_cutoff():
+def test_topk_phases():
     rng = np.random.default_rng(3)
-    q, r = rng.integers(-64, 64, (5, 16)), rng.integers(-64, 64, (300, 16))
+    q, r = rng.integers(-64, 64, (5, 16)), rng.integers(-64, 64, (3000, 16))
     local = topk_search.local_scores(q, r)
-    total, other = sum(local), np.arange(300)[None, :] != np.arange(5)[:, None]
-    assert (total == q @ r.T).all()
-    top = topk_search.leading(local, total, other, 20)
-    for i in range(5):
-        led = {j for s in local for j in sorted(np.flatnonzero(other[i]), key=lambda j: -s[i, j])[:20]}
-        assert len(led) >= 20 and top[i, 0] == max(total[i, j] for j in led)
-        exact = np.sort(total[i][other[i]])[::-1][19]
-        assert topk_search.NO_SCORE < top[i, 19] <= exact and (total[i] >= top[i, 19]).sum() < 60
-    few = topk_search.leading([s[:, :3] for s in local], total[:, :3], other[:, :3], 20)
-    assert (np.count_nonzero(few > topk_search.NO_SCORE, axis=1) == other[:, :3].sum(1)).all()
+    whole, other = q @ r.T, np.arange(3000)[None, :] != np.arange(5)[:, None]
+    assert len(local) == topk_search.GROUPS and (sum(local) == whole).all()
+    i, j = np.nonzero(topk_search.leading(local, other, 20))
+    cut = topk_search.kth_best(i, topk_search.totals(local, i, j), 5, 20)
+    exact = np.array([np.sort(whole[n][other[n]])[::-1][19] for n in range(5)])
+    assert (topk_search.NO_SCORE < cut).all() and (cut <= exact).all()
+    i, j = topk_search.sufficient(local, other, cut)
+    assert len(i) < 0.25 * whole.size  # the cutoff decides which totals are made at all
+    collected = set(zip(i.tolist(), j.tolist()))
+    assert collected >= {(a, b) for a in range(5) for b in np.flatnonzero(other[a] & (whole[a] >= exact[a]))}
+    assert (topk_search.totals(local, i, j) == whole[i, j]).all()
+    few = topk_search.kth_best(np.array([0, 0, 1]), np.array([5, 7, 1]), 3, 2)
+    assert few.tolist() == [5, topk_search.NO_SCORE, topk_search.NO_SCORE]
+
+
+def test_topk_resolves_few_of_the_embeddings():
+    import duckdb
+
+    rows = duckdb.sql("SELECT vec_id, embedding FROM '/root/testdata/sf0.1/embeddings.parquet'").fetchall()
+    v = np.floor(64 * np.array([r[1] for r in rows], np.float32).astype(float)).astype(np.int64)
+    q, other = v[::20], np.array([r[0] for r in rows])[None, :] != np.array([r[0] for r in rows[::20]])[:, None]
+    local = topk_search.local_scores(q, v)
+    i, j = np.nonzero(topk_search.leading(local, other, 20))
+    cut = topk_search.kth_best(i, topk_search.totals(local, i, j), len(q), 20)
+    assert len(topk_search.sufficient(local, other, cut)[0]) < 0.2 * other.size
+
+
+def test_topk_in_many_blocks(spark, monkeypatch):
+    for name, n in (("ROW_BLOCK", 16), ("QUERY_BLOCK", 4), ("TASK_PAIRS", 5), ("LEAD", 3)):
+        monkeypatch.setattr(topk_search, name, n)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)] + [(20, [9.0] * 6), (40, [1e30] * 6), (60, [-1e30] * 6)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {tuple(r) for r in topk_search.search(frame, F.col("vec_id") % 20 == 0, k=4).collect()}
+    top = (1 << 63) - 2
+    clip = lambda x: max(-(1 << 63) + 1, min((1 << 63) - 1, x))
+    vecs = [(i, [clip(int(np.floor(64 * x))) for x in v]) for i, v in rows]
+    want = set()
+    for q in range(0, 300, 20):
+        v = min(w for i, w in vecs if i == q)
+        ranked = sorted((-max(-top, min(top, sum(a * b for a, b in zip(v, w)))), i) for i, w in vecs if i != q)[:4]
+        want |= {(q, n, i, -s) for n, (s, i) in enumerate(ranked, 1)}
+    assert got == want
 
 
 # 10
