@@ -1,6 +1,10 @@
-"""Byte-level BPE encoding and decoding by merge replay over the words of a corpus.
+"""Byte-level BPE encoding and decoding by merge replay over the words of the whole corpus.
 
-The distinct words of a run of texts lie end to end in one array of symbols. An inverted index leads from the rank of a
+Texts become runs: the numbers of their words (matches of the pattern) in the run's own list of distinct words. The lists'
+distinct words over all runs are replayed, each once in the corpus, and the ids go back to the runs by joins on the word
+and on the run, where they are laid out in the order of the numbers. No dictionary is broadcast or held whole in one task.
+
+In a replay the words lie end to end in one array of symbols. An inverted index leads from the rank of a
 token pair to the positions that hold it. The merges are applied in rank order, each to all its positions at once, and
 only the pairs of the touched neighbours are looked up again. A neighbour pair of lower rank is taken before the scan
 goes on, and of several places in a word the leftmost is merged first, so that the result is that of encoding each word
@@ -11,23 +15,25 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pieces import words
-from ._shared import BATCH_BYTES, bounded_batches, per_process, table, text_runs
+from ._shared import bounded_batches, per_process, staged, table, text_runs
 
 #: No pair.
 NONE = np.int32(2**31 - 1)
-#: Words whose ids a worker keeps; beyond, words are encoded again, which changes no result.
-KEPT = 250_000
-#: Bytes of text whose words are replayed together.
-RUN_BYTES = BATCH_BYTES // 2
+#: Distinct words at which a run ends (two bytes number them), and words in all; a longer document is a run of its own.
+RUN_DISTINCT, RUN_WORDS = 60_000, 4 << 20
+#: Bytes of words that are replayed together, and ids in one batch of the result.
+REPLAY_BYTES, BATCH_IDS = 8 << 20, 1 << 19
+RUNS = "run long, docs array<long>, sizes array<long>, codes binary, words array<string>"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -120,72 +126,157 @@ class MergeReplay:
         return np.split(symbols[kept], np.searchsorted(kept, ends[:-1]))
 
 
-class TextEncoder:
-    """Ids of texts: each match of `pattern` is encoded separately, without special tokens."""
+class RunWords(dict):
+    """Numbers of the words of each part between single spaces, as little-endian 32-bit bytes; a key lacks its space."""
+
+    def __init__(self, pattern):
+        super().__init__()
+        self.find, self.numbers = pattern.findall, {}
+
+    def of(self, text: str) -> bytes:
+        numbers = self.numbers
+        return np.array([numbers.setdefault(w, len(numbers)) for w in self.find(text)], "<u4").tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        found = self.of(" " + part)
+        if len(part) <= 64:
+            self[part] = found
+        return found
+
+    def text(self, text: str) -> bytes:
+        head, *rest = words(text)
+        return self.of(head) + b"".join(map(self.__getitem__, rest)) if rest else self.of(head)
+
 
-    def __init__(self, path: str, pattern: str):
+def split_runs(docs: DataFrame, pattern: str) -> DataFrame:
+    """Runs of documents: their ids, words each, the words' numbers (in two bytes if that is enough) and the distinct words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        self.replay, self.pattern, self.kept = MergeReplay(load_ranks(path)), regex.compile(pattern), {}
+        compiled, task, number = regex.compile(pattern), TaskContext.get().partitionId(), 0
+        held, docs_in, codes, size = RunWords(compiled), [], [], 0
+
+        def out() -> pa.RecordBatch:
+            flat = np.frombuffer(b"".join(codes), "<u4").astype("<u2" if len(held.numbers) <= 1 << 16 else "<u4").tobytes()
+            columns = [[task << 33 | number], [docs_in], [[len(c) // 4 for c in codes]], [flat], [list(held.numbers)]]
+            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["run", "docs", "sizes", "codes", "words"])
 
-    def parts(self, parts: list[str]) -> list[bytes]:
-        split = [self.pattern.findall(p) for p in parts]
-        distinct = list(set(chain.from_iterable(split)))
-        ids = dict(zip(distinct, (x.astype("<u4").tobytes() for x in self.replay.encode([w.encode() for w in distinct]))))
-        return [b"".join([ids[w] for w in p]) for p in split]
+        for batch, texts in text_runs(batches):
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
+                codes.append(held.text(text))
+                docs_in.append(doc)
+                size += len(codes[-1]) // 4
+                if size >= RUN_WORDS or len(held.numbers) >= RUN_DISTINCT:
+                    yield out()
+                    number, held, docs_in, codes, size = number + 1, RunWords(compiled), [], [], 0
+        if docs_in:
+            yield out()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [words(t) for t in texts]
-        new = list(set(chain.from_iterable(p[1:] for p in split)).difference(self.kept))
-        found = self.parts([p[0] for p in split] + [f" {w}" for w in new])
-        full = len(self.kept) >= KEPT
-        self.kept.update(zip(new, found[len(split) :]))
-        out = [h + b"".join(map(self.kept.__getitem__, p[1:])) for h, p in zip(found, split)]
-        for w in new:
-            if full or len(w) > 64:
-                del self.kept[w]
-        return out
+    return docs.select("doc_id", "text").mapInArrow(run, RUNS)
 
 
-def id_lists(encoded: list[bytes]) -> pa.Array:
-    ends = np.cumsum([0, *(len(x) // 4 for x in encoded)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(encoded), "<u4").astype(np.int32)))
+def replayed(distinct: DataFrame, path: str) -> DataFrame:
+    """(word, ids): little-endian 32-bit ids of each word of `distinct` (word)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        replay = per_process(("replay", path), lambda: MergeReplay(load_ranks(path)))
+        held: list[str] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            ids = [x.astype("<u4").tobytes() for x in replay.encode([w.encode() for w in held])]
+            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
+
+        for batch in batches:
+            for word in batch.column("word").to_pylist():
+                held.append(word)
+                size += len(word)
+                if size >= REPLAY_BYTES:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    return distinct.mapInArrow(run, "word string, ids binary")
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces of `flat` that `codes` name, end to end, and where each ends."""
+    n = lengths[codes]
+    ends = np.cumsum(n)
+    return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of each row of `docs` (doc_id, text) by the ranks at `path`.
 
     A null or empty text has an empty array; repeated rows and null ids are encoded like others; other columns don't
-    matter; an empty table gives no rows.
+    matter; an empty table gives no rows. The runs are staged in the shared folder.
     """
     bounded_batches(docs.sparkSession)
+    runs = staged(split_runs(docs, pattern), compression="zstd")
+    listed = runs.select("run", F.posexplode("words").alias("number", "word"))
+    ids = replayed(listed.select("word").distinct(), path)
+    back = listed.join(ids, "word").groupBy("run").agg(F.collect_list(F.struct("number", "ids")).alias("found"))
+    whole = runs.select("run", "docs", "sizes", "codes", F.size("words").alias("distinct")).join(back, "run", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = per_process(("bpe", path, pattern), lambda: TextEncoder(path, pattern))
-        for batch, texts in text_runs(batches, limit=RUN_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), id_lists(encoder.encode(texts))], names=["doc_id", "ids"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+        for batch in batches:
+            for at in range(batch.num_rows):
+                docs, sizes, codes, distinct, found = (batch.column(c)[at] for c in ("docs", "sizes", "codes", "distinct", "found"))
+                sizes = sizes.values.to_numpy()
+                codes = np.frombuffer(codes.as_buffer(), "<u2" if distinct.as_py() <= 1 << 16 else "<u4")
+                starts, lengths, flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
+                if found.is_valid:
+                    order = np.argsort(found.values.field("number").to_numpy())
+                    bytes_of = found.values.field("ids")
+                    lengths = pa.compute.binary_length(bytes_of).to_numpy().astype(np.int64) // 4
+                    starts = (np.cumsum(lengths) - lengths)[order]
+                    flat, lengths = np.frombuffer(b"".join(bytes_of.to_pylist()), "<u4"), lengths[order]
+                ends, first = np.cumsum(sizes), 0
+                cuts = np.searchsorted(ends, np.arange(BATCH_IDS, (ends[-1] if len(ends) else 0) + BATCH_IDS, BATCH_IDS), "right")
+                for last in [*np.unique(np.minimum(cuts + 1, len(sizes))).tolist(), len(sizes)]:  # documents at a time
+                    if last <= first:
+                        continue
+                    a, b = int(ends[first] - sizes[first]), int(ends[last - 1])
+                    got, word_ends = gathered(flat, starts, lengths, codes[a:b])
+                    bounds = np.concatenate([[0], word_ends])[np.concatenate([[0], ends[first:last] - a])]
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([docs.values.slice(first, last - first), lists], names=["doc_id", "ids"])
+                    first = last
+
+    return whole.mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the bytes that the ids stand for."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, {out} binary"
+    """Add the bytes that the ids stand for; null for null ids. A column named `out` is replaced."""
+    rows = rows.drop(out)
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in rows.schema)}, `{out}` binary"
+
+    def token_bytes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ranks = load_ranks(path)
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for t, r in ranks.items():
+            tokens[r] = t
+        lengths = np.array([len(t) for t in tokens], np.int64)
+        return np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(lengths) - lengths, lengths
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = per_process(("bytes", path), lambda: {r: t for t, r in load_ranks(path).items()})
+        flat, starts, lengths = per_process(("bytes", path), token_bytes)
         for batch in batches:
-            decoded = [b"".join(map(tokens.__getitem__, x)) if x is not None else None for x in map(_values, batch.column(ids))]
+            lists = batch.column(ids)
+            got, ends = gathered(flat, starts, lengths, lists.flatten().to_numpy())
+            n = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])]
+            raw = got.tobytes()
+            decoded = [raw[a:b] if ok else None for a, b, ok in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lists.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(run, schema)
 
 
-def _values(x: pa.ListScalar) -> Iterable[int] | None:
-    return x.values.to_numpy().tolist() if x.is_valid else None
-
-
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

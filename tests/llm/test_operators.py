@@ -233,8 +233,29 @@ def tiktoken_encoding():
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abcthe inA'é\n 0東"), max_size=80), max_size=4))
 def test_merge_replay(tiktoken_encoding, several):
-    got = bpe.TextEncoder(RANKS, P.PATTERN).encode(several) if several else []
-    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tiktoken_encoding.encode_ordinary(t) for t in several]
+    import regex
+
+    replay, found = bpe.MergeReplay(bpe.load_ranks(RANKS)), bpe.RunWords(regex.compile(P.PATTERN))
+    codes = [np.frombuffer(found.text(t), "<u4") for t in several]
+    ids = replay.encode([w.encode() for w in found.numbers]) if found.numbers else []
+    assert [[i for c in x for i in ids[c]] for x in codes] == [tiktoken_encoding.encode_ordinary(t) for t in several]
+
+
+def test_bpe_in_many_runs(spark, docs, tiktoken_encoding, monkeypatch):
+    for name, n in (("RUN_DISTINCT", 20), ("RUN_WORDS", 50), ("REPLAY_BYTES", 30), ("BATCH_IDS", 7)):
+        monkeypatch.setattr(bpe, name, n)
+    more = spark.createDataFrame([(50 + i, data.prose(i, 40 * i)) for i in range(6)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").union(more)
+    got = bpe.encode(rows, RANKS, P.PATTERN).collect()
+    want = sorted((str(r["doc_id"]), tiktoken_encoding.encode_ordinary(r["text"] or "")) for r in rows.collect())
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got) == want
+
+
+def test_decoding_nulls_and_clashes(spark):
+    rows = spark.createDataFrame([(1, [0, 1], "x"), (2, None, "x"), (3, [], "x")], "doc_id long, ids array<int>, decoded string")
+    got = {r["doc_id"]: r["decoded"] for r in bpe.decode(rows, RANKS).collect()}
+    tokens = {r: t for t, r in bpe.load_ranks(RANKS).items()}
+    assert got == {1: bytearray(tokens[0] + tokens[1]), 2: None, 3: bytearray()}
 
 
 def test_bpe_round_trip(spark, docs, tiktoken_encoding):
