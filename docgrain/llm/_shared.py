@@ -107,15 +107,16 @@ def broadcast_checked(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= min(rows, BROADCAST_BYTES // width) else df
 
 
-def text_digest() -> Column:
+def text_digest(text: Column | str = "text") -> Column:
     """128 bits of a row's own text, null apart from empty."""
-    return F.md5(F.concat(F.when(F.col("text").isNull(), "0").otherwise("1"), F.coalesce("text", F.lit(""))))
+    text = F.col(text) if isinstance(text, str) else text
+    return F.md5(F.concat(F.when(text.isNull(), "0").otherwise("1"), F.coalesce(text, F.lit(""))))
 
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of `docs` but for those whose doc_id (nulls alike) and text are in `gone` (doc_id, digest)."""
-    gone = broadcast_checked(staged(gone.select(F.col("doc_id").alias("_gone_id"), F.col("digest").alias("_gone_text")).distinct()))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
+    gone = broadcast_checked(staged(gone.select("doc_id", "digest").distinct()))
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (text_digest(docs["text"]) == gone["digest"]), "left_anti")
 
 
 def slice_bounds(df: DataFrame, key: str, slices: int) -> list[int]:

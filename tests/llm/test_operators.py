@@ -5,6 +5,7 @@ import hashlib
 import re
 import time
 import zlib
+from functools import lru_cache
 from html import unescape
 
 import numpy as np
@@ -141,13 +142,29 @@ def test_exact_dedup(spark, docs):
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.lists(st.integers(0, (1 << 52) - 1), max_size=60), min_size=1, max_size=5))
 def test_filters_merge_losslessly(parts):
-    total = None
+    total = exact_dedup.Merging()
     for p in parts:
         v, c = np.unique(np.array(p, np.int64), return_counts=True)
-        one = exact_dedup.QuotientFilter.unpacked(*exact_dedup.QuotientFilter.of(v, c).packed())
-        total = one if total is None else total.merged(one)
+        total.add(exact_dedup.QuotientFilter.unpacked(*exact_dedup.QuotientFilter.of(v, c, 36).packed(), 36))
     v, c = np.unique(np.array([x for p in parts for x in p], np.int64), return_counts=True)
-    assert total.values().tolist() == v.tolist() and total.counts.tolist() == c.tolist()
+    whole = total.result()
+    assert whole.values().tolist() == v.tolist() and whole.counts.tolist() == c.tolist()
+
+
+def test_filter_ranges_follow_the_rows(spark, docs, monkeypatch):
+    assert [exact_dedup.range_bits(n) for n in (0, 1 << 19, (1 << 19) + 1, 10**11)] == [0, 0, 1, 18]
+    whole = sorted(map(repr, exact_dedup.deduplicate(docs).collect()))
+    monkeypatch.setattr(exact_dedup, "FILTER_ENTRIES", 2)
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 1)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", -1)
+    assert sorted(map(repr, exact_dedup.deduplicate(docs).collect())) == whole
+
+
+def test_rows_that_share_an_id(spark):
+    rows = [(1, "a b", "p"), (2, "ab", "p"), (2, "unique text of its own", "p"), (None, "a  b", "p"), (None, "alone", "p"), (3, "twin", "q"), (3, "twin", "p"), (3, "t win", "z"), (4, "x", "p"), (4, "x", "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_points string").repartition(3)
+    want = [(2, "unique text of its own", "p"), (3, "t win", "z"), (4, "x", "p"), (None, "a  b", "p"), (None, "alone", "p")]
+    assert sorted(map(str, map(tuple, exact_dedup.drop_copies(docs).collect()))) == sorted(map(str, want))
 
 
 def test_equal_fingerprints_are_verified(docs, monkeypatch):
@@ -230,12 +247,17 @@ def tiktoken_encoding():
     return tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache
+def merges():
+    return bpe.MergeReplay(bpe.load_ranks(RANKS))
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.text(alphabet=st.sampled_from("abcthe inA'é\n 0東"), max_size=80), max_size=4))
 def test_merge_replay(tiktoken_encoding, several):
     import regex
 
-    replay, found = bpe.MergeReplay(bpe.load_ranks(RANKS)), bpe.RunWords(regex.compile(P.PATTERN))
+    replay, found = merges(), bpe.RunWords(regex.compile(P.PATTERN))
     codes = [np.frombuffer(found.text(t), "<u4") for t in several]
     ids = replay.encode([w.encode() for w in found.numbers]) if found.numbers else []
     assert [[i for c in x for i in ids[c]] for x in codes] == [tiktoken_encoding.encode_ordinary(t) for t in several]
