@@ -80,21 +80,29 @@ def staged_alone(make: Callable[[], DataFrame]) -> DataFrame:
     return out
 
 
-def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, rows: int, how: str = "inner") -> DataFrame:
-    """Join `many` with `one` (unique by `key`); keys with more than `rows` rows in `many` are dealt to several tasks.
-
-    The rows of `many` are counted by key. A hot key's rows are dealt by a hash of `spread`, and its row of `one` is copied
-    once for each part.
+def salted(many: DataFrame, one: DataFrame, key: str, spread: str, rows: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """`many` and `one` (unique by `key`) with what to join them on: keys with more than `rows` rows in `many` are dealt to
+    several tasks by a hash of `spread`, and their rows of `one` are copied once for each part. `many` is counted by key.
     """
-    hot = many.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > rows)
-    hot = staged(hot.select(key, F.ceil(F.col("_rows") / rows).cast("int").alias("_parts")))
+    salt = f"salt_{key}"
+    hot = many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > rows)
+    hot = staged(hot.select(key, F.ceil(F.col("n") / rows).cast("int").alias(f"parts_{key}")))
     if hot.isEmpty():
-        return many.join(one, key, how)
-    hot = broadcast_checked(hot)
-    parts = F.coalesce("_parts", F.lit(1))
-    left = many.join(hot, key, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), parts).cast("int")).drop("_parts")
-    right = one.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+        release(hot)
+        return many, one, [key]
+    hot, parts = broadcast_checked(hot), F.coalesce(f"parts_{key}", F.lit(1))
+    left = many.join(hot, key, "left").withColumn(salt, F.pmod(F.xxhash64(spread), parts).cast("int")).drop(f"parts_{key}")
+    right = one.join(hot, key, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), parts - 1))).drop(f"parts_{key}")
+    return left, right, [key, salt]
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, rows: int, how: str = "inner") -> DataFrame:
+    """`many` joined with `one` (unique by `key`): broadcast if it is small (see `salted` if not)."""
+    small = broadcast_checked(one)
+    if small is not one:
+        return many.join(small, key, how)
+    left, right, on = salted(many, one, key, spread, rows)
+    return left.join(right, on, how).drop(f"salt_{key}")
 
 
 #: Bytes up to which a staged table is broadcast; larger ones are joined by a shuffle.
@@ -119,6 +127,17 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]) & (text_digest(docs["text"]) == gone["digest"]), "left_anti")
 
 
+def one_of_twins(docs: DataFrame, twins: DataFrame) -> DataFrame:
+    """`docs` with rows whose doc_id and text are in `twins` (doc_id, digest) collapsed to the first by all columns' values."""
+    twins = broadcast_checked(staged(twins.select("doc_id", "digest").distinct()))
+    if twins.isEmpty():
+        return docs
+    digest = text_digest(docs["text"])
+    same = docs["doc_id"].eqNullSafe(twins["doc_id"]) & (digest == twins["digest"])
+    one = docs.join(twins, same, "left_semi").groupBy(docs["doc_id"], digest).agg(F.min(F.struct(*(docs[c] for c in docs.columns))).alias("row"))
+    return docs.join(twins, same, "left_anti").union(one.select("row.*"))
+
+
 def slice_bounds(df: DataFrame, key: str, slices: int) -> list[int]:
     """Keys that part `df` into about equal slices in key order, from a quantile sketch of the key column alone."""
     if slices < 2:

@@ -4,23 +4,26 @@ Under each of 64 permutations both the minimum and the maximum of a document's s
 signature values from 64 evaluations a shingle. 32 bands of four values make candidates; every candidate is confirmed
 on the full shingle sets.
 
-Links are found in two steps, neither of which emits the pairs within a bucket. First each member of a bucket is
-compared with the bucket's smallest document. Where that leaves a bucket with members of several components, the
-members outside its largest component are compared with the others across components, by sketches of 1024 further
-permutations that only these documents get. Only pairs whose sizes and sketches allow the similarity reach confirmation:
-the sketch bounds lie five standard deviations or more beyond the threshold.
+Documents with equal sets are one class, and classes are what is linked. Links are found in two steps, neither of which
+emits the pairs within a bucket. First each member of a bucket is compared with the bucket's first class. Where that
+leaves a bucket with members of several components, the members outside its largest component are compared with the others
+across components, by sketches of 1024 further permutations that only these classes get; such a bucket is split by ranges
+of set sizes, and a large one into the cells of a grid, so that its comparisons are dealt to many tasks. Only pairs whose
+sizes and sketches allow the similarity reach confirmation: the sketch bounds lie five standard deviations or more
+beyond the threshold. Joins on a class that many others link to, or on a label that many share, are salted.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, staged, table, text_runs
+from ._shared import STAGED, bounded_batches, broadcast_checked, one_of_twins, release, salted, salted_join, staged, table, text_digest, text_runs, without
 
 WORDS = 5
 PERMUTATIONS, BANDS, ROWS = 64, 32, 4
@@ -28,8 +31,10 @@ PERMUTATIONS, BANDS, ROWS = 64, 32, 4
 SKETCH_BITS = 72
 #: The same for the finer sketches of 4096 bits (512 on average, give or take 25).
 FINE, FINE_BITS = 1024, 640
-#: Rows (at most 100 bytes each) up to which a side is broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows of one key beyond which a join deals them to several tasks: of whole sets, and of narrow rows.
+HOT_SETS, HOT_ROWS = 2_000, 200_000
+#: Side of a grid cell in which the members of a mixed bucket are compared.
+CELL = 2_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,7 +92,8 @@ def sketch(values: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, digest, bands, sketch) of each row; no digest, bands or sketch for an empty set."""
+    """(doc_id, own, n_shingles, digest, bands, sketch) of each row: `own` is the text's digest, `digest` the set's; no digest,
+    bands or sketch for an empty set."""
     import xxhash
 
     bounded_batches(docs.sparkSession)
@@ -104,46 +110,37 @@ def signatures(docs: DataFrame) -> DataFrame:
                 sketches.append(sketch(values) if len(found) else None)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
-                names=["doc_id", "n_shingles", "digest", "bands", "sketch"],
+                [batch.column("doc_id"), batch.column("own"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, longs), pa.array(sketches, longs)],
+                names=["doc_id", "own", "n_shingles", "digest", "bands", "sketch"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    texts = docs.select("doc_id", "text", text_digest(docs["text"]).alias("own"))
+    return texts.mapInArrow(run, "doc_id long, own string, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, hashes) of the documents in `ids`."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_runs(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([shingles(t).tobytes() for t in texts], pa.binary())], names=["doc_id", "hashes"])
-
-    chosen = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id long, hashes binary").dropDuplicates(["doc_id"])
-
+def of_classes(docs: DataFrame, classes: DataFrame, make, column: str, kind: str = "binary") -> DataFrame:
+    """(vid, `column`): what `make` gives for the shingles of each of `classes` (vid, rep, digest), read from a document with
+    its representative's id; of several texts under that id the one whose set has the class's digest."""
+    import xxhash
 
-def fine_sketches(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, fine) of the documents in `ids`."""
+    type_of = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = factors(FINE, 6)
         for batch, texts in text_runs(batches):
-            found = [sketch(signature(shingles(t), by)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "fine"])
-
-    chosen = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
-    return chosen.mapInArrow(run, "doc_id long, fine array<long>").dropDuplicates(["doc_id"])
-
+            sets = [shingles(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([make(x) for x in sets], type_of)], names=["digest", column])
 
-def small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if its counted rows are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    reps = broadcast_checked(staged(classes.select("rep").distinct()))
+    chosen = docs.select("doc_id", "text").join(reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
+    found = chosen.mapInArrow(run, f"digest binary, {column} {kind}")
+    return found.join(broadcast_checked(classes.select("vid", "digest")), "digest").select("vid", column).dropDuplicates(["vid"])
 
 
-def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    sets = staged(sets_of(docs, ids))
+def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The staged pairs (a, b) of classes whose sets have 100 * intersection >= percent * union."""
+    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct())
+    wanted = staged(classes.select("vid", "rep", "digest").join(broadcast_checked(ids), "vid", "left_semi"))
+    sets = staged(of_classes(docs, wanted, lambda x: x.tobytes(), "hashes"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,16 +153,17 @@ def confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs, x, on_a = salted(pairs, sets.toDF("a", "x"), "a", "b", HOT_SETS)
+    pairs, y, on_b = salted(pairs, sets.toDF("b", "y"), "b", "a", HOT_SETS)
+    return pairs.join(x, on_a).join(y, on_b).select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def alike(percent: int) -> F.Column:
+def alike(percent: int) -> Column:
     """What sizes and sketches of a pair (n, s and n2, s2) allow."""
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (differing("s", "s2", PERMUTATIONS // 16) <= allowed(SKETCH_BITS, 256, percent))
 
 
-def differing(a: str, b: str, longs: int) -> F.Column:
+def differing(a: str, b: str, longs: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, longs)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
@@ -175,20 +173,21 @@ def allowed(bits: int, of: int, percent: int) -> int:
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
-    """(doc_id, label) of every vertex of the undirected edges (a, b): the smallest id reachable, or after a number of
+    """(vid, label) of every vertex of the undirected edges (a, b): the smallest id reachable, or after a number of
     rounds some id that is reachable.
 
     Labels fall to the neighbours' minimum and then to their label's own label, so a path shrinks by half a round; each
     round is staged.
     """
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "doc_id"))
+    labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "vid"))
     while rounds != 0:
-        near = both.join(labels.toDF("b", "l"), "b").groupBy("a").agg(F.min("l").alias("l"))
-        lower = labels.join(near, labels.doc_id == near.a).select("doc_id", F.least("label", "l").alias("hop"), F.col("label").alias("old"))
-        jump = lower.join(labels.toDF("at", "jump"), F.col("hop") == F.col("at"), "left")
-        new = staged(jump.select("doc_id", F.least("hop", F.coalesce("jump", "hop")).alias("label"), "old"))
-        labels = new.select("doc_id", "label")
+        near = salted_join(both, labels.toDF("b", "l"), "b", "a", HOT_ROWS).groupBy("a").agg(F.min("l").alias("l"))
+        lower = staged(labels.join(near, labels.vid == near.a).select("vid", F.least("label", "l").alias("hop"), F.col("label").alias("old")))
+        jump = salted_join(lower, labels.toDF("hop", "jump"), "hop", "vid", HOT_ROWS, "left")
+        new = staged(jump.select("vid", F.least("hop", F.coalesce("jump", "hop")).alias("label"), "old"))
+        release(lower)
+        labels = new.select("vid", "label")
         if rounds:
             rounds -= 1
         elif new.where("label <> old").isEmpty():
@@ -196,59 +195,99 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
+def compared(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
+    """`left` (key, size, a, ...) joined with `right` (key, size, b, ...) on key and neighbouring sizes, where `condition` holds.
+
+    The rows of a key and size are counted on both sides; where they fill more than a grid cell, each side is dealt into
+    parts and copied to the other's parts, so that every pair meets in one cell.
+    """
+    left = left.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    n = left.groupBy("key", "size").agg(F.count("*").alias("n")).join(right.groupBy("key", "size").agg(F.count("*").alias("m")), ["key", "size"])
+    hot = staged(n.where((F.col("n") > CELL) | (F.col("m") > CELL)).select("key", "size", F.ceil(F.col("n") / CELL).cast("int").alias("down"), F.ceil(F.col("m") / CELL).cast("int").alias("across")))
+    on = ["key", "size"]
+    if not hot.isEmpty():
+        hot, on = broadcast_checked(hot), [*on, "r", "c"]
+        down, across = F.coalesce("down", F.lit(1)), F.coalesce("across", F.lit(1))
+        left = left.join(hot, ["key", "size"], "left").withColumn("r", F.pmod(F.xxhash64("a"), down).cast("int")).withColumn("c", F.explode(F.sequence(F.lit(0), across - 1))).drop("down", "across")
+        right = right.join(hot, ["key", "size"], "left").withColumn("c", F.pmod(F.xxhash64("b"), across).cast("int")).withColumn("r", F.explode(F.sequence(F.lit(0), down - 1))).drop("down", "across")
+    return left.alias("left").join(right.alias("right"), on).where(condition).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """One row per row of `docs` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents link when their sets of distinct 5-word shingles (words as ASCII blanks part them, A-Z folded) have
-    100 * intersection >= percent * union; component_id is the smallest doc_id reachable. A document without words, and
-    one with a null id, is its own component. Repeated rows share an id and hence a component. Other columns don't
-    matter; an empty table gives no rows.
+    100 * intersection >= percent * union; component_id is the smallest doc_id reachable. A document without words is its
+    own component. A row with a null id links like any other; its component_id is null if no row with an id is reachable.
+    One id with several texts is linked by each of them. Repeated rows share a component. `kept` says that doc_id and
+    component_id are the same (nulls too). Other columns don't matter; an empty table gives no rows.
     """
+    return decided(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def decided(docs: DataFrame, percent: int) -> DataFrame:
+    """The rows of `near_duplicates` with `own` (the text's digest) and `label` (the component; null for an empty set)."""
+    before = set(map(id, STAGED))
     sigs = staged(signatures(docs))
-    classes = sigs.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = staged(classes)
-    chosen = sigs.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    profile = staged(chosen.select("doc_id", F.col("n_shingles").alias("n"), F.col("sketch").alias("s"), "bands"))
-    keyed = profile.select("doc_id", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center < last")
-    buckets = staged(buckets.select("key", "center"))
-    members = staged(keyed.join(small(buckets), "key"))
-    heads = profile.select("doc_id", "n", "s")
-    centers = heads.toDF("b", "n2", "s2")
-    star = members.where("doc_id <> center").select(F.col("doc_id").alias("a"), F.col("center").alias("b")).distinct()
-    star = star.join(heads.withColumnRenamed("doc_id", "a"), "a").join(centers, "b").where(alike(percent)).select("a", "b")
-    edges = staged(confirmed(docs, staged(star), percent))
+    longest = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("s"), F.first("bands").alias("bands"))
+    classes = staged(longest.withColumn("vid", F.monotonically_increasing_id()))
+    keyed = classes.select("vid", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.min("vid").alias("center"), F.max("vid").alias("last")).where("center < last")
+    members = staged(salted_join(keyed, staged(buckets.select("key", "center")), "key", "vid", HOT_ROWS))
+    heads = classes.select("vid", "n", "s")
+    star = staged(members.where("vid <> center").select(F.col("vid").alias("a"), F.col("center").alias("b")).distinct())
+    pairs, centers, on = salted(star, heads.toDF("b", "n2", "s2"), "b", "a", HOT_ROWS)
+    star = pairs.join(heads.withColumnRenamed("vid", "a"), "a").join(centers, on).where(alike(percent)).select("a", "b")
+    edges = staged(confirmed(docs, classes, staged(star), percent))
     label = components(edges, rounds=2)  # equal labels are one component; unequal ones may be, and are then compared
 
     # Buckets that still hold several components: their members outside the largest one against the others.
-    labelled = members.join(label, "doc_id", "left").select("key", "center", "doc_id", F.coalesce("label", "doc_id").alias("label"))
+    labelled = members.join(label, "vid", "left").select("key", "center", "vid", F.coalesce("label", "vid").alias("label"))
     counted = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
     main = counted.groupBy("key").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed_in = staged(labelled.join(small(staged(main.select("key", "main"))), "key"))
-    fine = staged(fine_sketches(docs, staged(mixed_in.select("doc_id").distinct())))
-    keys = mixed_in.groupBy("doc_id").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # one for each band at most
-    mixed_in = staged(mixed_in.join(heads.select("doc_id", "n"), "doc_id").join(fine, "doc_id").join(keys, "doc_id"))
-    left = mixed_in.where("label <> main").select("key", F.col("doc_id").alias("a"), F.col("label").alias("la"), "main", "n", F.col("fine").alias("f"), F.col("keys").alias("k"), "center")
-    right = mixed_in.select("key", F.col("doc_id").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("fine").alias("f2"), F.col("keys").alias("k2"))
+    mixed_in = staged(salted_join(labelled, staged(main.select("key", "main")), "key", "vid", HOT_ROWS))
+    wanted = staged(classes.select("vid", "rep", "digest").join(broadcast_checked(staged(mixed_in.select("vid").distinct())), "vid", "left_semi"))
+    by = factors(FINE, 6)
+    fine = staged(of_classes(docs, wanted, lambda x: sketch(signature(x, by)), "fine", "array<long>"))
+    keys = mixed_in.groupBy("vid").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # one for each band at most
+    size = F.floor(F.ln("n") / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n")
+    mixed_in = staged(mixed_in.join(heads.select("vid", "n", size.alias("size")), "vid").join(fine, "vid").join(keys, "vid"))
+    left = mixed_in.where("label <> main").select("key", "size", F.col("vid").alias("a"), F.col("label").alias("la"), "main", "n", F.col("fine").alias("f"), F.col("keys").alias("k"), "center")
+    right = mixed_in.select("key", "size", F.col("vid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("fine").alias("f2"), F.col("keys").alias("k2"))
     # Pairs with a center are known; of two members outside the largest component, one order is enough; a pair is compared in
     # its first common bucket only.
     new = (F.col("la") != F.col("lb")) & (F.col("a") != F.col("center")) & (F.col("b") != F.col("center")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
     new &= (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (differing("f", "f2", FINE // 16) <= allowed(FINE_BITS, 4096, percent))
-    new &= F.get(F.array_intersect("k", "k2"), F.lit(0)) == left["key"]
-    rest = staged(left.join(right, (left.key == right.key) & new).select("a", "b"))
+    new &= F.get(F.array_intersect("k", "k2"), F.lit(0)) == F.col("key")
+    rest = staged(compared(left, right, new))
     if not rest.isEmpty():
-        edges = edges.union(confirmed(docs, rest, percent))
+        edges = edges.union(confirmed(docs, classes, rest, percent))
     label = components(edges)
-    by_class = classes.join(label, classes.rep == label.doc_id, "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "digest").join(by_class, "digest", "left")
-    found = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"))
+    linked = staged(label.join(classes.select("vid", "rep"), "vid"))
+    smallest = staged(linked.groupBy("label").agg(F.min("rep").alias("component_id")))
+    linked = salted_join(linked.select("vid", "label"), smallest, "label", "vid", HOT_ROWS)
+    by_class = classes.select("vid", "digest", "rep").join(linked, "vid", "left")
+    by_class = staged(by_class.select("digest", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("label", "vid").alias("label")))
+    release(*(x for x in list(STAGED) if id(x) not in before and x is not sigs and x is not by_class))
+    rows = sigs.select("doc_id", "own", "n_shingles", "digest")
+    full = salted_join(rows.where("digest IS NOT NULL"), by_class, "digest", "own", HOT_ROWS).select("doc_id", "own", "n_shingles", "component_id", "label")
+    # Empty sets don't meet in a join.
+    alone = rows.where("digest IS NULL").select("doc_id", "own", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("label"))
+    return full.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of `docs` that are the first of their component."""
-    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of `docs`: its smallest id's; of several texts under that id the first by digest, of equal rows the first.
+
+    A row is told by its id and its text, so a different text under the same id is judged by itself. Documents without words stay.
+    """
+    found = staged(decided(docs, percent))
+    winners = found.where("kept AND label IS NOT NULL").groupBy("label", "doc_id", F.col("own").alias("digest")).agg(F.count("*").alias("rows"))
+    first = staged(winners.groupBy("label").agg(F.min(F.struct("digest", "doc_id", "rows")).alias("w")).select("label", "w.*"))
+    second = winners.join(first.select("label", F.col("digest").alias("best")), "label").where(F.col("digest") > F.col("best"))
+    lost = found.where("NOT kept").select("doc_id", F.col("own").alias("digest"))
+    stay = without(docs, lost.union(second.select("doc_id", "digest")))
+    return one_of_twins(stay, first.where("rows > 1"))
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

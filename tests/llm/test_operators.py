@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docgrain.llm import bpe, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, token_counts, token_files, topk_search
+from docgrain.llm import _shared, bpe, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, token_counts, token_files, topk_search
 from docgrain.llm._pieces import WordIds, tokenizer
 
 from . import data
@@ -336,13 +336,62 @@ def test_near_dedup(spark, docs):
     got = near_dedup.near_duplicates(docs).collect()
     assert len(got) == len(data.rows())
     for r in got:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None or r["component_id"] == 0
+        if r["doc_id"] is None:  # the text of document 0, which hence is reachable
+            assert (r["component_id"], r["kept"]) == (0, False)
         else:
             assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["component_id"] == r["doc_id"])
     assert near_dedup.near_duplicates(data.empty(spark)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = data.near(1, 80, 0), data.near(1, 80, 1), data.near(1, 80, 2)
+    other, lonely = data.prose(90, 40), data.prose(91, 40)
+    rows = [(5, a, "x"), (6, b, "x"), (6, other, "x"), (None, c, "x"), (None, lonely, "x"), (None, lonely, "w"), (7, "", "x"), (7, "", "x"), (8, None, "x"), (5, c, "x"), (5, lonely + " more", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string").repartition(3)
+    first = min((a, c), key=lambda t: hashlib.md5(("1" + t).encode()).hexdigest())
+    want = [(5, first, "x"), (6, other, "x"), (7, "", "x"), (7, "", "x"), (8, None, "x"), (5, lonely + " more", "x")]
+    assert sorted(map(str, map(tuple, near_dedup.keep_one(docs).collect()))) == sorted(map(str, want))
+    two = spark.createDataFrame([(None, lonely, "x"), (None, lonely, "w"), (3, other, "x"), (3, other, "x")], docs.schema)
+    assert sorted(map(str, map(tuple, near_dedup.keep_one(two).collect()))) == sorted(map(str, [(None, lonely, "w"), (3, other, "x")]))
+
+
+def shared_template(n):
+    """Texts that share two thirds of their words with all others and more with every fifth: buckets of many components."""
+    rows = []
+    for i in range(n):
+        own = data.prose(1000 + i // 5, 34).split(" ")
+        own[i % 5 * 6] = f"edit{i}"
+        rows.append((i, " ".join([*data.prose(500, 80).split(" "), *own])))
+    return rows
+
+
+def test_mixed_buckets_in_cells(spark, monkeypatch):
+    for name, n in (("CELL", 3), ("HOT_SETS", 2), ("HOT_ROWS", 2)):
+        monkeypatch.setattr(near_dedup, name, n)
+    monkeypatch.setattr(_shared, "BROADCAST_BYTES", 0)
+    rows = shared_template(60)
+    want = components(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and 5 < len({c for _, c in want.values()}) < 60
+
+
+def test_recall_on_the_documents(spark):
+    """Components against all links of sf0.01, found by an inverted index of whole shingles."""
+    path = "/root/testdata/sf0.01"
+    rows = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    sets, holders = {}, {}
+    for i, t in rows:
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        for x in sets[i]:
+            holders.setdefault(x, []).append(i)
+    pairs = {(a, b) for ids in holders.values() for a in ids[:1] for b in ids[1:]} | {(a, b) for ids in holders.values() if len(ids) < 60 for a in ids for b in ids if a < b}
+    links = [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.op4_near_dedup(spark, path).collect()}
+    joined = sum(got[a] == got[b] for a, b in links)
+    assert len(links) > 20 and joined / len(links) >= 0.99, (joined, len(links))
+
+
 def test_chains_of_near_copies(spark):
     words = data.prose(9, 400).split(" ")
     rows = []
