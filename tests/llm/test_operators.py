@@ -578,6 +578,113 @@ def test_quality_on_held_out_labels(spark):
     assert got.where("quality = 1 AND kept").count() >= 0.98 * got.where("quality = 1").count()
 
 
+def plain_buckets(text):
+    """Buckets by whole numbers of Python, one n-gram at a time."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & top
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & top
+        return x ^ x >> 31
+
+    raw, gold = text.encode(), 0x9E3779B97F4A7C15
+    grams = [int.from_bytes(raw[i : i + 4], "little") * 0x9E3779B1 % (1 << 32) >> 17 for i in range(len(raw) - 3)]
+    words = [mix(sum((c + 1) * (mix((j % 64 + 1) * gold & top) | 1) for j, c in enumerate(w)) & top) for w in raw.split()]
+    pairs = [mix((x * gold + y) & top) for x, y in zip(words, words[1:])]
+    n = max(len(words), 1)
+    return [grams, [w >> 49 for w in words], [x >> 49 for x in pairs]], sum(x == y for x, y in zip(words, words[1:])) / n, len(set(words)) / n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab é\n\t東#"), max_size=200))
+def test_buckets_one_by_one(text):
+    found, echo, variety = quality.buckets(text)
+    assert ([x.tolist() for x in found], echo, variety) == plain_buckets(text)
+
+
+def site_rows():
+    """A large good host, a large host of which most is bad, sparse hosts; borderline texts of the same kind on each."""
+    junk = lambda i: data.prose(300 + i, 30).upper().replace(" ", "!! ")
+    rows = [(i, data.prose(i, 40), "en", "good") for i in range(40)] + [(100 + i, junk(i), "en", "bad") for i in range(36)]
+    rows += [(200 + i, data.prose(400 + i, 30), "fr" if i % 2 else "en", f"sparse{i}") for i in range(6)]
+    for n, host in ((300, "good"), (301, "bad"), (302, "sparse9")):
+        rows.append((n, data.prose(500, 20) + " " + junk(77)[:170], "en", host))
+    return rows, [(r[0], int(r[3] == "good"), 0) for r in rows[:76:2]]
+
+
+def test_quality_against_plain_numbers(spark):
+    rows, labels = site_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    marked = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.classify(docs, marked).collect()}
+    fold = {r["doc_id"]: r["f"] for r in docs.select("doc_id", quality.fold_of(F.col("doc_id")).alias("f")).collect()}
+    of, y = {r[0]: plain_buckets(r[1]) for r in rows}, {r[0]: r[1] for r in labels}
+    docs_in = {(v, f): sum(y[i] == v and fold[i] == f for i in y) for v in (0, 1) for f in (0, 1)}
+
+    def odds(kind, b, f):
+        n = [sum(y[i] == v and fold[i] == 1 - f and b in of[i][0][kind] for i in y) for v in (0, 1)]
+        rate = [(n[v] + quality.SMALL) / (docs_in[v, 1 - f] + 2 * quality.SMALL) for v in (0, 1)]
+        return np.log(rate[1] / rate[0])
+
+    x = {i: [np.mean([odds(k, b, fold[i]) for b in of[i][0][k]]) for k in range(3)] + [of[i][1], of[i][2]] for i in of}
+    good = sum(y.values())
+    prior_odds = np.log((good + 1) / (len(y) - good + 1))
+    train = np.array([x[i] for i in sorted(y)])
+    mean, dev = train.mean(0), train.std(0) + 1e-9
+    z, t = np.column_stack([(train - mean) / dev, np.ones(len(train))]), np.array([y[i] for i in sorted(y)])
+    w = np.zeros(6)
+    for _ in range(200_000):  # plain ascent
+        grad = z.T @ (t - 1 / (1 + np.exp(-z @ w))) - np.array([1.0] * 5 + [1e-6]) * w
+        w += 0.02 * grad
+        if np.abs(grad).max() < 1e-9:
+            break
+    evidence = {i: float(np.append((np.array(x[i]) - mean) / dev, 1) @ w) - prior_odds for i in x}
+    p = {i: 1 / (1 + np.exp(-(e + prior_odds))) for i, e in evidence.items()}
+    site = {r[0]: (r[3], f"{r[3]}/{r[2]}") for r in rows}
+    prior = 1 / (1 + np.exp(-prior_odds))
+
+    def group(level):
+        out = {}
+        for i in p:
+            out.setdefault(site[i][level], []).append(p[i])
+        return out
+
+    def strength(groups, mean_of):
+        big = {k: v for k, v in groups.items() if len(v) >= 2}
+        within = [mean_of(k) * (1 - mean_of(k)) for k in big]
+        excess = sum(len(v) * (np.mean(v) - mean_of(k)) ** 2 - u for (k, v), u in zip(big.items(), within))
+        n, sq = sum(map(len, big.values())), sum(len(v) ** 2 for v in big.values())
+        between = excess / max(n - sq / n, 1e-9)
+        return quality.STRONGEST if between <= 0 else min(quality.STRONGEST, max(quality.WEAKEST, np.mean(within) / between - 1))
+
+    hosts, paths = group(0), group(1)
+    a = strength(hosts, lambda k: prior)
+    b = strength(paths, lambda k: (sum(hosts[k.split("/")[0]]) + a * prior) / (len(hosts[k.split("/")[0]]) + a))
+    for i, (h, path) in site.items():
+        host = (sum(hosts[h]) - p[i] + a * prior) / (len(hosts[h]) - 1 + a)
+        below = (sum(paths[path]) - p[i] + b * host) / (len(paths[path]) - 1 + b)
+        want = 1 / (1 + np.exp(-(evidence[i] + np.log(below / (1 - below)))))
+        assert np.allclose([got[i]["evidence"], got[i]["host_posterior"], got[i]["path_posterior"], got[i]["p_quality"]], [evidence[i], host, below, want], atol=1e-4), i
+
+
+def test_sites_decide_where_evidence_does_not(spark):
+    rows, labels = site_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r for r in quality.classify(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[300]["path_posterior"] > got[302]["path_posterior"] > got[301]["path_posterior"]
+    prior = 20 / 39
+    assert all(abs(got[200 + i]["host_posterior"] - prior) < 0.35 for i in range(6))  # one document moves a sparse host little
+    assert got[300]["p_quality"] > got[302]["p_quality"] > got[301]["p_quality"]
+
+
+def test_rows_told_by_id_and_text(spark):
+    rows, labels = site_rows()
+    rows += [(5, rows[40][1], "en", "bad"), (None, rows[41][1], "en", "bad"), (None, rows[1][1], "en", "good")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = [(r["doc_id"], r["text"]) for r in quality.keep_good(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    assert (5, rows[5][1]) in kept and (5, rows[40][1]) not in kept and (None, rows[1][1]) in kept and (None, rows[41][1]) not in kept
+
+
 def test_quality_edges(spark, docs):
     labels = spark.createDataFrame([(0, 1, 0), (6, 1, 0), (9, 1, 0), (12, 0, 0), (2, None, 0), (None, 1, 0), (0, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(docs, labels).collect()
