@@ -26,6 +26,26 @@ def words(text: str) -> list[str]:
     return text.split(" ")
 
 
+#: A letter that every Unicode version calls one (ASCII and Latin-1 letters, kana, Chinese characters, Korean syllables),
+#: before white space or a mark that is no apostrophe: byte-level patterns end a match there. White space that follows white
+#: space, and a letter after a mark, are no such places.
+_ENDS = re.compile(r"(?<=[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3])(?=[ \t\n\r\x0b\x0c\u3000!-&(-/:-@\[-`{-~\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])")
+
+
+def safe_parts(text: str, size: int, special: tuple[str, ...] = ()) -> list[str]:
+    """`text` cut into parts of about `size` characters where byte-level patterns end a match; a text with one of the
+    special strings isn't cut inside of them, and one without such places not at all."""
+    if len(text) <= size:
+        return [text]
+    parts, start = [], 0
+    for m in _ENDS.finditer(text):
+        at = m.start()
+        if at - start >= size and not any(s in text[max(at - len(s) + 1, 0) : at + len(s) - 1] for s in special):
+            parts.append(text[start:at])
+            start = at
+    return [*parts, text[start:]]
+
+
 def byte_letters() -> list[str]:
     """The printable stand-in of each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

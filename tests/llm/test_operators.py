@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from docgrain.llm import _shared, bpe, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, token_counts, token_files, topk_search
+from docgrain.llm import _pieces, _shared, bpe, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, token_counts, token_files, topk_search
 from docgrain.llm._pieces import WordIds, tokenizer
 
 from . import data
@@ -302,6 +302,33 @@ def test_token_counts(spark, docs, name):
     assert token_counts.count_tokens(data.empty(spark), P.path(name)).count() == 0
 
 
+@pytest.mark.parametrize("unit", ["日本語の漢字。中文，", "word\n", "word\t", "two  words  ", "a.b,c;d! ", "it's <|endoftext|>x ", "x<|endoftext|>"])
+def test_long_texts_are_cut_in_calls(unit, monkeypatch):
+    monkeypatch.setattr(token_counts, "PART", 500)
+    text, counter = unit * 4000, token_counts.Counter(BYTE)
+    seen, call = [], counter.encoder.encode_batch_fast
+    counter.encoder = type("Spy", (), {"encode_batch_fast": staticmethod(lambda parts, **k: (seen.extend(parts), call(parts, **k))[1])})
+    assert counter.counts([text]) == [len(tokenizer(BYTE).encode(text, add_special_tokens=False).ids)]
+    assert max(map(len, seen)) < 600 or unit == "x<|endoftext|>"
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet=st.sampled_from("ab Z'.,é\n\t 　0東。、ſΣ|<> \x1c"), max_size=80), st.integers(1, 9))
+def test_safe_parts(text, size):
+    parts = _pieces.safe_parts(text, size)
+    assert "".join(parts) == text
+    whole = len(tokenizer(BYTE).encode(text, add_special_tokens=False).ids)
+    assert sum(len(tokenizer(BYTE).encode(p, add_special_tokens=False).ids) for p in parts) == whole
+
+
+def test_batches_are_balanced_by_bytes():
+    counter, calls = token_counts.Counter(BYTE), []
+    call = counter.encoder.encode_batch_fast
+    counter.encoder = type("Spy", (), {"encode_batch_fast": staticmethod(lambda parts, **k: (calls.append(sum(map(token_counts.utf8_length, parts))), call(parts, **k))[1])})
+    counter.encoded(["東" * 1000] * 100 + ["a" * 1000] * 300)
+    assert len(calls) > 8 and max(calls) < token_counts.CALL_BYTES + 3001
+
+
 def test_full_memories_change_nothing():
     w = WordIds(BYTE, True, limit=2)
     for t in ("a b c d a b c d.", "e f e f, g"):
