@@ -7,6 +7,7 @@ bits each, stand apart in control bytes, so that a table lookup by control byte
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,9 @@ from ._shared import bounded_batches, per_process, release, shared_dir, slice_bo
 
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
+#: Bytes of text in a slice of the doc_id order: on average at most the first, at least the second. A repeated doc_id is in one
+#: slice, however often it comes; its task sorts and streams it, so what it holds doesn't grow with it.
+SLICE_BYTES, SMALLEST_SLICE = 64 << 20, 4 << 20
 BLOCKS = "slice int, before long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 
@@ -123,7 +127,8 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2) -> N
     vocabulary = max(tokenizer(tokenizer_path).get_vocab_size(), end_id + 1)
     held = width(vocabulary)
     size = np.dtype(held).itemsize
-    slices = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    text_bytes = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    slices = max(1, math.ceil(text_bytes / SLICE_BYTES), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(text_bytes / SMALLEST_SLICE)))
     coded = encode(docs, tokenizer_path, end_id, slice_bounds(docs.select("doc_id"), "doc_id", slices), held)
     ids = staged(placed(coded.repartition(slices, "slice").sortWithinPartitions("slice", "doc_id"), size), compression="zstd")
     order = rank_order(ids, vocabulary, held)
