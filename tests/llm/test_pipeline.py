@@ -9,6 +9,7 @@ import pytest
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
+from docgrain.llm import _shared  # noqa: E402
 from docgrain.llm._pieces import tokenizer  # noqa: E402
 from docgrain.llm.packing import binary_lengths  # noqa: E402
 
@@ -32,7 +33,7 @@ def test_stages(spark, sf_dir):
     columns, seen = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs.collect()
-        docs = corpus_pipeline.staged(stage(spark, docs, sf_dir))
+        docs = _shared.staged(stage(spark, docs, sf_dir))
         seen[name] = (before, docs.collect())
         assert name == "packing" or docs.columns == columns
     before, after = seen["quality"]
@@ -56,4 +57,18 @@ def test_stages(spark, sf_dir):
             want.append((r["doc_id"], at, n, zlib.crc32(ids[at : at + n].tobytes())))
             at += n
     assert sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in after) == sorted(want)
+    left = len(_shared.STAGED)
     assert sorted(map(repr, corpus_pipeline.run(spark, sf_dir).drop("sequence_id").collect())) == sorted(map(repr, docs.drop("sequence_id").collect()))
+    assert len(_shared.STAGED) == left + 1  # the last stage's documents alone
+
+
+def test_a_text_under_a_copy_s_id_stays(spark, tmp_path):
+    path, text = str(tmp_path), data.prose(70, 60)
+    rows = [(1, text + "  more"), (2, text.replace(" ", "") + "more"), (2, data.prose(71, 50)), (None, text + " more"), (None, data.prose(72, 50)), (3, data.near(70, 60, 1) + " more"), (3, data.prose(73, 50))]
+    spark.createDataFrame([(i, t, "en", "s1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = _shared.staged(stage(spark, docs, path))
+    want = [rows[i] for i in (0, 2, 4, 6)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in docs.collect()))) == sorted(map(str, want))
