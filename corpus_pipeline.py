@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from docgrain.llm import exact_dedup, near_dedup, packing, quality, secret_scan
-from docgrain.llm._shared import staged, table
+from docgrain.llm._shared import release, staged_alone, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows over all that the others kept; what a stage staged on its way goes as soon as its rows are written."""
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        docs = staged_alone(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
