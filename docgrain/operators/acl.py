@@ -40,13 +40,24 @@ def secured(chunks: DataFrame, principals: DataFrame) -> DataFrame:
 
 
 def fully_visible_documents(chunks: DataFrame, principals: DataFrame) -> DataFrame:
-    """(principal_id, document_id) of documents none of whose latest chunks fails a gate. Administrators pass."""
-    latest = chunks.where("is_latest").select("document_id", "level_rank", "acl_tags", "deny_subjects")
-    people = principals.select("principal_id", "clearance", "subjects")
-    passes = (F.col("clearance") >= ADMIN) | (clearance_gate(F.col("clearance")) & deny_gate(F.col("subjects")) & tag_gate(F.col("subjects")))
-    # One pass: every principal's verdict is an aggregate of the document's own rows.
-    each = spread_join(latest.withColumn("_k", F.lit(0)), people.withColumn("_k", F.lit(0)), "_k", "document_id")
-    return each.groupBy("principal_id", "document_id").agg(F.bool_and(passes).alias("ok")).where("ok").drop("ok")
+    """(principal_id, document_id) of documents none of whose latest chunks fails a gate. Administrators pass.
+
+    A document's chunks come down to its distinct requirements (level, tags, denied subjects). Each meets the principals by
+    equality of a tag with a subject (an administrator has one more, which every requirement has); a document is visible to
+    those who meet all of its requirements.
+    """
+    admin = F.lit("*administrator*")
+    needs = chunks.where("is_latest").groupBy("document_id", "level_rank", "acl_tags", "deny_subjects").agg(F.lit(1).alias("one"))
+    needs = needs.withColumn("need", F.struct("level_rank", "acl_tags", "deny_subjects"))
+    counts = needs.groupBy("document_id").agg(F.count("*").alias("needs"))
+    tagged = needs.select("document_id", "need", F.explode(F.array_distinct(F.array_append(F.coalesce("acl_tags", F.array().cast("array<string>")), admin))).alias("subject"))
+    held = F.when(F.col("clearance") >= ADMIN, F.array_append("subjects", admin)).otherwise(F.col("subjects"))
+    people = principals.select("principal_id", "clearance", "subjects", F.explode(F.array_distinct(held)).alias("subject"))
+    denied = F.arrays_overlap(F.coalesce("need.deny_subjects", F.array().cast("array<string>")), "subjects")
+    passes = (F.col("subject") == admin) | ((F.col("need.level_rank") <= F.col("clearance")) & ~denied)
+    met = spread_join(tagged, people, "subject", "document_id").where(passes).select("principal_id", "document_id", "need").distinct()
+    met = met.groupBy("principal_id", "document_id").agg(F.count("*").alias("met"))
+    return met.join(counts, "document_id").where("met = needs").select("principal_id", "document_id")
 
 
 def normal_path(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import size_checked, top, within_budget
+from .rows import size_checked, staged, top, within_budget
 
 MAX_HOPS, TOP, SEEDS = 2, 10, 8
 
@@ -73,14 +73,20 @@ def linked(layers: DataFrame, n: int = SEEDS) -> DataFrame:
     return top(best, ["query_id"], [F.desc("score"), F.col("name_key"), F.col("entity_id")], n)
 
 
-def tree(nodes: DataFrame, key: str, parent: str, most: int = 20) -> DataFrame:
-    """Nodes with depth and root; a node whose parent isn't there is a root. Levels are joined one by one until none is new."""
+def tree(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """Nodes with depth and root; a node whose parent isn't there is a root, and one below a circle has no root and no row.
+
+    Levels are joined one by one until none is new, and each is staged.
+    """
+    nodes = staged(nodes.select(key, parent))
     parents = nodes.select(F.col(key).alias("_p"))
     level = nodes.join(parents, nodes[parent] == parents["_p"], "left_anti").select(key, F.lit(0).cast("int").alias("depth"), F.col(key).alias("root"))
-    out = level
-    for depth in range(1, most + 1):
-        level = nodes.select(key, F.col(parent).alias("_up")).join(level.select(F.col(key).alias("_up"), "root"), "_up").select(key, F.lit(depth).cast("int").alias("depth"), "root")
-        if level.isEmpty():
-            break
+    levels = [staged(level)]
+    while not levels[-1].isEmpty():
+        above = levels[-1].select(F.col(key).alias("_up"), "root")
+        level = nodes.select(key, F.col(parent).alias("_up")).join(size_checked(above), "_up").select(key, F.lit(len(levels)).cast("int").alias("depth"), "root")
+        levels.append(staged(level))
+    out = levels[0]
+    for level in levels[1:-1]:
         out = out.unionByName(level)
     return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 
-from .rows import spread_join, top
+from .rows import size_checked, spread_join, staged, top
 
 RECALL, SERVED, RRF_K, THRESHOLD, WEIGHT = 50, 8, 60, 0.5, 0.001
 MISS = 2147483647
@@ -33,11 +33,6 @@ def vector_recall(seen: DataFrame, asked: DataFrame, dim: int, model: str | None
     return top(pairs, ["query_id"], [F.desc("score"), F.col("chunk_id")], n, "rank")
 
 
-def postings(seen: DataFrame, tokens: Column) -> DataFrame:
-    """(chunk_id, token), each once."""
-    return seen.select("chunk_id", F.explode(F.array_distinct(tokens)).alias("token"))
-
-
 def match_terms(asked: DataFrame, items: Column) -> DataFrame:
     """(query_id, principal_id, grp, item, need, token, groups) of the questions' match items."""
     each = asked.select("query_id", "principal_id", items.alias("items"))
@@ -46,23 +41,56 @@ def match_terms(asked: DataFrame, items: Column) -> DataFrame:
     return each.select("query_id", "principal_id", "groups", "item", F.col("x.grp").alias("grp"), F.size("x.tokens").alias("need"), F.explode("x.tokens").alias("token"))
 
 
-def text_recall(seen: DataFrame, index: DataFrame, terms: DataFrame, n: int = RECALL) -> DataFrame:
-    """(query_id, chunk_id, score, rank): readable chunks that match, by matched items, then chunk_id.
+def asked_postings(seen: DataFrame, tokens: Column, terms: DataFrame) -> DataFrame:
+    """(principal_id, chunk_id, token) of readable chunks, for the tokens that some question asks for.
+
+    A chunk's tokens meet the asked ones right where they are made, and only what is left meets the chunk's readers.
+    """
+    wanted = size_checked(terms.select("token").distinct())
+    readers = seen.select("principal_id", "chunk_id")
+    made = seen.select("chunk_id", "content").dropDuplicates(["chunk_id"]).select("chunk_id", F.explode(F.array_distinct(tokens)).alias("token"))
+    return made.join(wanted, "token").join(readers, "chunk_id").select("principal_id", "chunk_id", "token")
+
+
+def text_recall(index: DataFrame, terms: DataFrame, n: int = RECALL) -> DataFrame:
+    """(query_id, chunk_id, score, rank): readable chunks that match, by matched items, then chunk_id. `index`: see asked_postings.
 
     The score stands for a database's text rank, which is not part of the query's definition.
     """
-    hits = index.join(terms, "token").groupBy("query_id", "principal_id", "chunk_id", "grp", "item", "need", "groups").agg(F.count("*").alias("have")).where("have = need")
-    found = hits.groupBy("query_id", "principal_id", "chunk_id", "groups").agg(F.count_distinct("grp").alias("met"), F.count("*").alias("score")).where("met = groups")
-    found = found.join(seen.select("principal_id", "chunk_id"), ["principal_id", "chunk_id"], "left_semi").select("query_id", "chunk_id", "score")
-    return top(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], n, "rank")
+    hits = index.join(size_checked(terms), ["principal_id", "token"]).groupBy("query_id", "chunk_id", "grp", "item", "need", "groups").agg(F.count("*").alias("have")).where("have = need")
+    found = hits.groupBy("query_id", "chunk_id", "groups").agg(F.count_distinct("grp").alias("met"), F.count("*").alias("score")).where("met = groups")
+    return top(found.select("query_id", "chunk_id", "score"), ["query_id"], [F.desc("score"), F.col("chunk_id")], n, "rank")
+
+
+#: Characters of the pieces by which substring terms meet texts; a shorter term is a piece of its own.
+PIECE = 8
+
+
+def term_pieces(terms: Column) -> Column:
+    """A piece of each term that any text with the term holds: its first PIECE characters; of a model code its letters."""
+    code = lambda t: F.rlike(t, F.lit(r"^[a-z]{1,6}-\d{2,6}$"))
+    return F.array_distinct(F.transform(terms, lambda t: F.when(code(t), F.split_part(t, F.lit("-"), F.lit(1))).otherwise(F.substring(t, 1, PIECE))))
 
 
 def substring_recall(seen: DataFrame, asked: DataFrame, terms: Column, n: int = RECALL) -> DataFrame:
-    """(query_id, chunk_id, place, rank): chunks whose content or heading has a term, by the place of the longest term."""
+    """(query_id, chunk_id, place, rank): chunks whose content or heading has a term, by the place of the longest term.
+
+    Texts and terms meet by equality of pieces, the overlapping runs of characters of the lengths that terms' pieces have;
+    only the pairs that meet are verified by the terms' pattern.
+    """
     asked = asked.select("query_id", "principal_id", terms.alias("terms")).where(F.size("terms") > 0)
-    asked = asked.select("query_id", "principal_id", F.concat(F.lit("(?i)"), T.substring_pattern(F.col("terms"))).alias("pattern"), F.get("terms", F.lit(0)).alias("longest"))
-    rows = seen.select("principal_id", "chunk_id", F.lower("content").alias("content"), F.lower("heading_path").alias("heading"))
-    pairs = spread_join(rows, asked, "principal_id", "chunk_id").where(F.rlike("content", F.col("pattern")) | F.rlike("heading", F.col("pattern")))
+    asked = staged(asked.select("query_id", "principal_id", F.concat(F.lit("(?i)"), T.substring_pattern(F.col("terms"))).alias("pattern"), F.get("terms", F.lit(0)).alias("longest"), term_pieces(F.col("terms")).alias("pieces")))
+    rows = staged(seen.select("principal_id", "chunk_id", F.lower("content").alias("content"), F.lower(F.coalesce("heading_path", F.lit(""))).alias("heading")))
+    wanted = asked.select("query_id", "principal_id", F.explode("pieces").alias("piece"))
+    sizes = sorted(r["n"] for r in wanted.select(F.length("piece").alias("n")).distinct().collect())  # PIECE numbers at most
+    if not sizes:
+        return top(rows.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0).alias("place")).where("false"), ["query_id"], ["place", "chunk_id"], n, "rank")
+    both = F.concat_ws("\n", "content", "heading")
+    found = F.flatten(F.array(*(F.array_distinct(F.regexp_extract_all(both, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))) for k in sizes)))
+    texts = rows.select("chunk_id", "content", "heading").dropDuplicates(["chunk_id"])
+    held = texts.select("chunk_id", F.explode(found).alias("piece")).join(size_checked(wanted.select("piece").distinct()), "piece")
+    met = held.join(rows.select("principal_id", "chunk_id"), "chunk_id").join(size_checked(wanted), ["principal_id", "piece"]).select("query_id", "principal_id", "chunk_id").distinct()
+    pairs = met.join(texts, "chunk_id").join(size_checked(asked.select("query_id", "pattern", "longest")), "query_id").where(F.rlike("content", F.col("pattern")) | F.rlike("heading", F.col("pattern")))
     where = lambda c: F.when(F.instr(F.col(c), F.col("longest")) > 0, F.instr(F.col(c), F.col("longest"))).otherwise(MISS)
     pairs = pairs.select("query_id", "chunk_id", F.least(where("content"), where("heading")).alias("place"))
     return top(pairs, ["query_id"], ["place", "chunk_id"], n, "rank")

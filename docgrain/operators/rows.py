@@ -1,13 +1,45 @@
-"""Row helpers: checked broadcasts, spread joins, top rows, paging, ordered budgets."""
+"""Row helpers: staging, checked broadcasts, spread joins, top rows, paging, ordered budgets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast (at most about 1 kB each).
 BROADCAST_ROWS = 20_000
-SPREAD = 16
+#: Rows of the larger side that one salt of a spread join takes.
+SPREAD_ROWS, MOST_SALTS = 250_000, 4096
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a local session gets one of this machine and a cluster must name one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "docgrain-shared")
+    return found
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """`df` written to the shared folder and read back, so that lost executors and later uses don't repeat its work."""
+    path = fresh_path(df.sparkSession, "rows")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` spread over the session's cores where its files hold fewer partitions than that (a table of one small file)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -21,12 +53,13 @@ def size_checked(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread_join(many: DataFrame, few: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
-    """Join on a key with few distinct values. A small side is broadcast; a larger one is repeated for each of SPREAD
-    salts, over which the other side's rows are dealt, so that no key lands in one task."""
+    """Join on a key with few distinct values. A small side is broadcast; a larger one is repeated for as many salts as the
+    other side's counted rows need, over which those are dealt, so that no key lands in one task."""
     if is_small(few):
         return many.join(F.broadcast(few), key, how)
-    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
+    salts = min(MOST_SALTS, -(-many.count() // SPREAD_ROWS)) or 1
+    salted = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
 def top(df: DataFrame, by: list[str], order: list[Column | str], n: int, rank: str | None = None) -> DataFrame:

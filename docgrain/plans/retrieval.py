@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 from docgrain.operators import acl, expand, recall
-from docgrain.operators.rows import top
+from docgrain.operators.rows import dealt, staged, top
 from docgrain.sources import substrate as S
 
 from ._registry import plan
@@ -46,22 +46,22 @@ def vector(spark, d):
 
 
 def fts(spark, d):
-    seen = readable(spark, d)
-    index = recall.postings(S.chunks(spark, d), T.index_tokens(F.lower("content")))
-    return recall.text_recall(seen, index, recall.match_terms(S.questions(spark, d), T.match_items(F.lower("question"))))
+    terms = staged(recall.match_terms(S.questions(spark, d), T.match_items(F.lower("question"))))
+    return recall.text_recall(recall.asked_postings(dealt(readable(spark, d)), T.index_tokens(F.lower("content")), terms), terms)
 
 
 def substring(spark, d):
-    return recall.substring_recall(readable(spark, d), S.questions(spark, d), T.substring_terms(F.lower("question")))
+    return recall.substring_recall(dealt(readable(spark, d)), S.questions(spark, d), T.substring_terms(F.lower("question")))
 
 
 def lists(spark, d):
-    return {"vector": vector(spark, d), "fts": fts(spark, d), "likes": substring(spark, d)}
+    """The ranked lists, each staged once, as several steps read them."""
+    return {"vector": staged(vector(spark, d)), "fts": staged(fts(spark, d)), "likes": staged(substring(spark, d))}
 
 
 def served(spark, d):
     found = lists(spark, d)
-    return recall.served(recall.candidates(recall.fused(found)), found["vector"], S.chunks(spark, d))
+    return staged(recall.served(recall.candidates(recall.fused(found)), found["vector"], S.chunks(spark, d)))
 
 
 def hits(spark, d):

@@ -90,15 +90,14 @@ def _(spark, d):
     return parts.where(in_scope(F.col("path"), ["/T", "/t", "/E"], ["/E"])).distinct()
 
 
-@plan("sc4_crawl_reach", """WITH RECURSIVE e AS (SELECT page_id AS src, page_id * 2 AS dst FROM pages UNION ALL SELECT page_id, page_id * 2 + 1 FROM pages), g AS (SELECT src, dst FROM e WHERE dst IN (SELECT page_id FROM pages)),
-w AS (SELECT 1::BIGINT AS node, 0 AS depth UNION ALL SELECT dst, depth + 1 FROM w JOIN g ON src = node WHERE dst <> node AND depth < 30) SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY node""")
+@plan("sc4_crawl_reach", r"""WITH RECURSIVE g AS (SELECT DISTINCT url AS src, regexp_extract(url, '^(https?://[^/?#]+)', 1) || href AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']([^"''#]*)', 1)) AS href FROM pages) WHERE starts_with(href, '/')),
+w AS (SELECT DISTINCT url AS node, 0 AS depth FROM pages WHERE page_id % 2 = 0 UNION SELECT dst, depth + 1 FROM w JOIN g ON src = node WHERE depth < 1000)
+SELECT node, min(depth)::INTEGER AS depth FROM w GROUP BY node""")
 def _(spark, d):
-    from docgrain.sources.web import reachable
+    from docgrain.sources.web import links, reachable
 
-    ids = S.table(spark, d, "pages").select("page_id")
-    edges = ids.select(F.col("page_id").alias("src"), (F.col("page_id") * 2).alias("dst")).union(ids.select("page_id", F.col("page_id") * 2 + 1))
-    edges = edges.join(ids.select(F.col("page_id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    return reachable(edges, spark.createDataFrame([(1,)], "node long"), 1_000_000)
+    pages = S.table(spark, d, "pages")
+    return reachable(links(pages).select(F.col("url").alias("src"), F.col("link").alias("dst")), pages.where("page_id % 2 = 0").select(F.col("url").alias("node")))
 
 
 @plan("sc6_parser_dispatch", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'text' WHEN 1 THEN 'markdown' WHEN 2 THEN 'html' WHEN 3 THEN 'pdf' ELSE 'image' END AS parser FROM pages""")

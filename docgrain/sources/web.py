@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgrain.operators.rows import fresh_path, size_checked, staged
+
 
 def in_scope(path: Column, allow: list[str], deny: list[str]) -> Column:
     """Path prefixes: a denied one never; without allowed ones any other."""
@@ -28,17 +30,28 @@ def links(pages: DataFrame) -> DataFrame:
     return each.select("page_id", "url", absolute.alias("link"))
 
 
-def reachable(edges: DataFrame, entries: DataFrame, cap: int, most: int = 30) -> DataFrame:
-    """(node, depth) reachable from entries (node) along edges (src, dst), breadth first, until `cap` nodes are seen; beyond
-    the cap the smallest nodes of a level are taken. Levels are kept, so that no level is worked out twice."""
-    edges = edges.select("src", "dst").persist()
-    level = entries.select("node").distinct().withColumn("depth", F.lit(0)).persist()
-    seen, total = level, level.count()
-    for depth in range(1, most + 1):
-        new = level.select(F.col("node").alias("src")).join(edges, "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        level = new.orderBy("node").limit(max(cap - total, 0)).withColumn("depth", F.lit(depth)).persist()
+def reachable(edges: DataFrame, entries: DataFrame, cap: int | None = None) -> DataFrame:
+    """(node, depth) reachable from entries (node) along edges (src, dst), breadth first, over as many levels as there are.
+
+    With `cap` the walk ends at that many nodes; of the level that passes it the smallest are taken. Each level is written to
+    the shared folder, so that a level's plan reads the ones before instead of repeating them.
+    """
+    spark = edges.sparkSession
+    edges = staged(edges.select("src", "dst").distinct())
+    path = fresh_path(spark, "levels")
+    entries.select("node").distinct().withColumn("depth", F.lit(0)).write.parquet(f"{path}/0")
+    levels = [spark.read.parquet(f"{path}/0")]
+    total = levels[0].count()
+    while cap is None or total < cap:
+        seen = spark.read.schema(levels[0].schema).parquet(*(f"{path}/{i}" for i in range(len(levels))))
+        new = edges.join(size_checked(levels[-1].select(F.col("node").alias("src"))), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        new = new.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(len(levels)))
+        new = new if cap is None else new.orderBy("node").limit(cap - total)
+        new.write.parquet(f"{path}/{len(levels)}")
+        level = spark.read.schema(levels[0].schema).parquet(f"{path}/{len(levels)}")
         found = level.count()
         if not found:
             break
-        seen, total = seen.unionByName(level), total + found
-    return seen
+        levels.append(level)
+        total += found
+    return spark.read.schema(levels[0].schema).parquet(*(f"{path}/{i}" for i in range(len(levels))))
