@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 TARGET, MOST, OVERLAP = 400, 800, 60
 CHUNKS = "chunk_index int, content string, token_count int, heading string, group_id string"
@@ -64,6 +65,18 @@ def units(text: str, is_table: bool, verbatim: bool, count: Callable[[str], int]
     return [u for u in out if u]
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def sentence_list(text: pd.Series) -> pd.Series:
+    """The sentences of each text."""
+    return text.map(lambda t: sentences(t or ""))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def unit_sizes(text: pd.Series, is_table: pd.Series, verbatim: pd.Series) -> pd.Series:
+    """Tokens of each of a block's units."""
+    return pd.Series([[count_tokens(u) for u in units(t or "", x, v, count_tokens, MOST)] for t, x, v in zip(text, is_table, verbatim)])
+
+
 def chunked(blocks: list[dict], key: str = "", count: Callable[[str], int] = count_tokens, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> list[tuple]:
     """(content, tokens, heading, group) of a document's blocks. No unit is ever lost; units of one table that was split
     share a group id, made from the document and the block."""

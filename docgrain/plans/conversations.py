@@ -11,9 +11,3 @@ from ._registry import plan
 @plan("engine_latency_report", f"{S.cte('audit')} SELECT action, count(*) AS total, round(coalesce(quantile_cont(value, 0.5), 0), 6) AS value_p50, round(coalesce(quantile_cont(value, 0.95), 0), 6) AS value_p95, round(coalesce(quantile_cont(value, 0.99), 0), 6) AS value_p99 FROM audit GROUP BY action")
 def _(spark, d):
     return Engine(spark).report_latency(S.events(spark, d), "action", "value")
-
-
-@plan("engine_ingested_chunks")
-def _(spark, d):
-    pages = S.table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return Engine(spark).ingest(pages, "html")

@@ -40,3 +40,8 @@ def preview(text: Column, most: int = PREVIEW_CHARS) -> Column:
 def single_kind(files: DataFrame, by: str, ext: str) -> DataFrame:
     """Batches (by, kinds, accepted): a batch must hold one kind of file."""
     return files.groupBy(by).agg(F.count_distinct(ext).alias("kinds")).withColumn("accepted", F.col("kinds") == 1)
+
+
+def object_key(tenant: Column, kb: Column, group: Column, version: Column, name: Column) -> Column:
+    """Where an object store keeps a document's version."""
+    return F.concat_ws("/", tenant, kb, group, F.concat(F.lit("v"), version.cast("string")), name)

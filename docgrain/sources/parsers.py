@@ -12,6 +12,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BLOCKS = "array<struct<text:string,heading:string,is_table:boolean,verbatim:boolean>>"
 # Elements that are no content.
@@ -46,6 +47,12 @@ def plain_images(text: str) -> str:
     return text
 
 
+@F.pandas_udf(StringType())
+def image_text(text: pd.Series) -> pd.Series:
+    """`plain_images` of a column; null stays null."""
+    return text.map(lambda t: None if t is None else plain_images(t))
+
+
 def cell(text: str) -> str:
     return re.sub(r"[\t\r\n]", " ", plain_images(text)).strip()
 
