@@ -29,19 +29,21 @@ class Engine:
         return chunks.withColumn("fts_text", T.index_text(T.normalized(F.col("content")), T.normalized(F.col("heading"))))
 
     def search(self, chunks: DataFrame, principals: DataFrame, questions: DataFrame, dim: int, rerank: Callable[[F.Column, F.Column], F.Column] | None = None) -> DataFrame:
-        """Served rows of each question (query_id, principal_id, question, q_embedding); `rerank` scores (question, content)."""
+        """Served rows of each question (query_id, principal_id, question, q_embedding); `rerank` scores (question, content); where it gives null for a
+        row of a question, that question keeps the vector scores."""
         seen = acl.secured(chunks, principals)
         asked = questions.withColumn("q", F.lower("question"))
+        terms = recall.match_terms(asked, T.match_items(F.col("q")))
         lists = {
             "vector": recall.vector_recall(seen, asked, dim),
-            "fts": recall.text_recall(seen, recall.postings(chunks, T.index_tokens(F.lower("content"))), recall.match_terms(asked, T.match_items(F.col("q")))),
+            "fts": recall.text_recall(recall.asked_postings(seen, T.index_tokens(F.lower("content")), terms), terms),
             "ilike": recall.substring_recall(seen, asked, T.substring_terms(F.col("q"))),
         }
         cands = recall.candidates(recall.fused(lists))
         scores = lists["vector"]
         if rerank:
             both = cands.join(asked.select("query_id", "question"), "query_id").join(chunks.select("chunk_id", "content"), "chunk_id")
-            scores = both.select("query_id", "chunk_id", rerank(F.col("question"), F.col("content")).alias("score"))
+            scores = recall.reranked(both.select("query_id", "chunk_id", rerank(F.col("question"), F.col("content")).alias("score")), scores)
         return recall.served(cands, scores, chunks)
 
     def expand_graph(self, seeds: DataFrame, relations: DataFrame, mentions: DataFrame, chunks: DataFrame, principals: DataFrame) -> DataFrame:

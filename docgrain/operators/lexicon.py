@@ -44,6 +44,12 @@ def mined_terms(texts: DataFrame, least: int) -> DataFrame:
     return counts.where(F.col("freq") >= least).join(aliases, ["kb_id", "term"])
 
 
+def rebuilt(lexicon: DataFrame, mined: DataFrame, kbs: DataFrame) -> DataFrame:
+    """`lexicon` with all rows of the rebuilt knowledge bases (kb_id) replaced by what was mined for them, each term once."""
+    kept = lexicon.join(kbs.select("kb_id").distinct(), "kb_id", "left_anti")
+    return kept.unionByName(mined.join(kbs.select("kb_id").distinct(), "kb_id", "left_semi").dropDuplicates(["kb_id", "term"]))
+
+
 def acceptable(term: Column) -> Column:
     """Long enough, not a stop word, not only digits and marks."""
     cjk = F.rlike(term, F.lit(f"^{T.CJK}+$"))

@@ -110,6 +110,12 @@ def candidates(fused_rows: DataFrame, n: int = RECALL) -> DataFrame:
     return top(fused_rows, ["query_id"], [F.desc("rrf"), F.col("first_path"), F.col("chunk_id")], n)
 
 
+def reranked(scores: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, score): the reranker's scores; for a query of which it left one out, all of the fallback's."""
+    failed = scores.where("score IS NULL").select("query_id").distinct()
+    return scores.join(failed, "query_id", "left_anti").unionByName(fallback.select("query_id", "chunk_id", "score").join(failed, "query_id", "left_semi"))
+
+
 def served(cands: DataFrame, scores: DataFrame, weights: DataFrame, n: int = SERVED) -> DataFrame:
     """The n best by base score (cosine, 0 without) plus governance weight; rank from 1."""
     rows = cands.join(scores.select("query_id", "chunk_id", "score"), ["query_id", "chunk_id"], "left").join(weights.select("chunk_id", "governance_weight"), "chunk_id", "left")

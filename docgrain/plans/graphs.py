@@ -39,9 +39,9 @@ def found(spark, d):
     return graph.neighbours(reached, mentions(spark, d), acl.secured(S.chunks(spark, d), S.principals(spark)))
 
 
-@plan("st4_recursive_union", f"WITH RECURSIVE {_REL}, {_SEEDS}, {_WALK.format(hops=3)} SELECT query_id, entity_id, hop, weight FROM agg WHERE query_id < 5")
+@plan("st4_recursive_union", f"WITH RECURSIVE {_REL}, {_SEEDS}, {_WALK.format(hops=3)} SELECT query_id, entity_id, hop, weight FROM agg")
 def _(spark, d):
-    return graph.expand(seeds(spark, d).where("query_id < 5"), relations(spark, d), 3)
+    return graph.expand(seeds(spark, d), relations(spark, d), 3)
 
 
 _NEAR = f"{_VISIBLE.replace('WITH ', 'WITH RECURSIVE ', 1)}, {_REL}, {_SEEDS}, {_WALK.format(hops=2)}, {_MENTIONS}, near AS (SELECT query_id, chunk_id, hop, weight, row_number() OVER (PARTITION BY query_id ORDER BY hop, weight DESC, chunk_id)::INTEGER AS rank FROM (SELECT s.query_id, v.chunk_id, min(a.hop) AS hop, sum(a.weight)::BIGINT AS weight FROM agg a JOIN seeds s ON s.query_id = a.query_id JOIN ment m ON m.entity_id = a.entity_id JOIN visible v ON v.chunk_id = m.chunk_id AND v.principal_id = s.principal_id GROUP BY 1, 2))"
@@ -102,13 +102,13 @@ def _(spark, d):
     return left
 
 
-_LINKS = "keys AS (SELECT item_id AS query_id, unnest(['part ' || item_id, 'part 1' || item_id % 10, '7']) AS key FROM benchmark WHERE item_id < 20), ent AS (SELECT p_partkey AS entity_id, lower(p_name) AS name_key FROM part)"
+_LINKS = "keys AS (SELECT item_id AS query_id, unnest(['part ' || item_id, 'part 1' || item_id % 10, '7']) AS key FROM benchmark), ent AS (SELECT p_partkey AS entity_id, lower(p_name) AS name_key FROM part)"
 
 
 @plan("gr5_seed_linking", f"""WITH {_LINKS}, s AS (SELECT query_id, entity_id, name_key, max(CASE WHEN name_key = key THEN 1.0 WHEN starts_with(name_key, key) THEN 0.6 ELSE 0.3 END::DOUBLE) AS score FROM keys JOIN ent ON contains(name_key, key) GROUP BY 1, 2, 3)
 SELECT query_id, entity_id, name_key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_key, entity_id) AS n FROM s) WHERE n <= 8""")
 def _(spark, d):
-    asked = S.table(spark, d, "benchmark").where("item_id < 20")
+    asked = S.table(spark, d, "benchmark")
     i = F.col("item_id").cast("string")
     keys = asked.select(F.col("item_id").alias("query_id"), F.explode(F.array(F.concat(F.lit("part "), i), F.concat(F.lit("part 1"), (F.col("item_id") % 10).cast("string")), F.lit("7"))).alias("key"))
     names = S.table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.lower("p_name").alias("term"))
@@ -140,14 +140,14 @@ def _(spark, d):
     return S.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n")).where("n > 12").select("o_custkey")
 
 
-_LEX = "lex AS (SELECT p_name AS term, [p_brand, p_type] AS aliases FROM part WHERE p_partkey % 40 = 0)"
+_LEX = "lex AS (SELECT p_name AS term, [p_brand, p_type] AS aliases FROM part)"
 
 
-@plan("lx2_alias_map", f"WITH {_LEX}, f AS (SELECT unnest(list_append(aliases, term)) AS key, list_append(aliases, term) AS forms FROM lex), k AS (SELECT DISTINCT p_brand AS key FROM part WHERE p_partkey % 80 = 0), o AS (SELECT DISTINCT key, unnest(forms) AS form FROM k JOIN f USING (key)) SELECT key, form FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY form) AS n FROM o WHERE form <> key) WHERE n <= 2")
+@plan("lx2_alias_map", f"WITH {_LEX}, f AS (SELECT unnest(list_append(aliases, term)) AS key, list_append(aliases, term) AS forms FROM lex), k AS (SELECT DISTINCT p_brand AS key FROM part), o AS (SELECT DISTINCT key, unnest(forms) AS form FROM k JOIN f USING (key)) SELECT key, form FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY form) AS n FROM o WHERE form <> key) WHERE n <= 2")
 def _(spark, d):
     part = S.table(spark, d, "part")
-    lex = part.where("p_partkey % 40 = 0").select(F.col("p_name").alias("term"), F.array("p_brand", "p_type").alias("aliases"))
-    return lexicon.alias_map(lex, part.where("p_partkey % 80 = 0").select(F.col("p_brand").alias("key")).distinct())
+    lex = part.select(F.col("p_name").alias("term"), F.array("p_brand", "p_type").alias("aliases"))
+    return lexicon.alias_map(lex, part.select(F.col("p_brand").alias("key")).distinct())
 
 
 @plan("lx3_alias_tokens", "SELECT DISTINCT p_brand AS alias, array_to_string(regexp_extract_all(lower(p_brand), '[a-z0-9_]{2,}'), ' ') AS tokens FROM part")
@@ -155,7 +155,7 @@ def _(spark, d):
     return S.table(spark, d, "part").select(F.col("p_brand").alias("alias"), T.index_text(F.lower("p_brand")).alias("tokens")).distinct()
 
 
-@plan("ag21_term_frequency", r"""WITH t AS (SELECT source AS kb_id, unnest(regexp_extract_all(lower(text), '(^|[^a-z0-9])([a-z]{1,6}[-_ ]?[0-9]{2,6})', 2)) AS c FROM documents WHERE doc_id < 0), c AS (SELECT kb_id, term, count(*) AS freq FROM (SELECT 'kb' AS kb_id, unnest(['xyz-1000', 'xyz-1000', 'ax-30']) AS term) GROUP BY 1, 2) SELECT kb_id, term, freq FROM c WHERE freq >= 2""")
+@plan("ag21_term_frequency", r"""WITH c AS (SELECT kb_id, term, count(*) AS freq FROM (SELECT 'kb' AS kb_id, unnest(['xyz-1000', 'xyz-1000', 'ax-30']) AS term) GROUP BY 1, 2) SELECT kb_id, term, freq FROM c WHERE freq >= 2""")
 def _(spark, d):
     texts = spark.createDataFrame([("kb", "See XYZ-1000, also xyz1000."), ("kb", "The ax 30 too")], "kb_id string, content string")
     return lexicon.mined_terms(texts, 2).select("kb_id", "term", "freq")

@@ -1,6 +1,6 @@
 """All plans of the engine."""
 
-from . import access, aggregates, conversations, evaluation, graphs, ingest, joins, parsing, retrieval, streams, texts, windows  # noqa: F401
+from . import access, aggregates, conversations, evaluation, graphs, ingest, joins, parsing, retrieval, streams, texts, wholes, windows  # noqa: F401
 from ._registry import PLANS
 
 

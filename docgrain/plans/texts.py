@@ -62,9 +62,9 @@ def _(spark, d):
     return rows.select("q", F.array_join(T.model_codes(F.lower("q")), ",").alias("codes"))
 
 
-@plan("tx8_cell_text", r"SELECT doc_id, trim(translate(substr(text, 1, 300), chr(9) || chr(10) || chr(13), '   ')) AS cell FROM documents")
+@plan("tx8_cell_text", r"SELECT doc_id, trim(translate(text, chr(9) || chr(10) || chr(13), '   ')) AS cell FROM documents")
 def _(spark, d):
-    return _docs(spark, d).select("doc_id", T.cell_text(F.substring("text", 1, 300)).alias("cell"))
+    return _docs(spark, d).select("doc_id", T.cell_text(F.col("text")).alias("cell"))
 
 
 @plan("tx11_without_noise", r"SELECT page_id, md5(regexp_replace(html, '(?is)<(script|style|nav|footer|header|noscript|iframe|form)\b[^>]*>.*?</(script|style|nav|footer|header|noscript|iframe|form)>', '', 'g')) AS body FROM pages")
@@ -241,9 +241,7 @@ def _(spark, d):
 @plan("tx26_json_salvage", """SELECT * FROM (VALUES ('Sure: {"a": 1} done', '1'), ('no json', NULL), ('{"a": {"b": 2}} x', '{"b":2}'), ('} {', NULL)) t(raw, a)""")
 def _(spark, d):
     rows = spark.createDataFrame([('Sure: {"a": 1} done',), ("no json",), ('{"a": {"b": 2}} x',), ("} {",)], "raw string")
-    start, end = F.instr("raw", F.lit("{")), F.length("raw") - F.instr(F.reverse("raw"), F.lit("}")) + 1
-    body = F.when((start > 0) & (F.instr("raw", F.lit("}")) > 0) & (end > start), F.substring(F.col("raw"), start, end - start + 1))
-    return rows.select("raw", F.get_json_object(body, "$.a").alias("a"))
+    return rows.select("raw", F.get_json_object(T.salvaged(F.col("raw")), "$.a").alias("a"))
 
 
 @plan("tx27_confidence", "SELECT * FROM (VALUES ('0.7', 0.7::DOUBLE), ('1.5', 1.0), ('-2', 0.0), ('true', NULL), ('x', NULL), (NULL, NULL)) t(raw, c)")
@@ -288,13 +286,13 @@ def _(spark, d):
     return _answers(spark, d).select("conv_id", "turn", F.array_join(c["valid"], ",").alias("valid"), F.size(c["hallucinated"]).alias("hallucinated"), c["insufficient"].alias("insufficient"))
 
 
-_PAIRS = "ac AS (SELECT a.conv_id, a.turn, lower(regexp_replace(substr(a.text, 1, 300), '[^A-Za-z0-9]', '', 'g')) AS x, lower(regexp_replace(b.text, '[^A-Za-z0-9]', '', 'g')) AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)"
+_PAIRS = "ac AS (SELECT a.conv_id, a.turn, lower(regexp_replace(a.text, '[^A-Za-z0-9]', '', 'g')) AS x, lower(regexp_replace(b.text, '[^A-Za-z0-9]', '', 'g')) AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1)"
 
 
 def _pairs(spark, d):
     c = S.table(spark, d, "conversations")
     clean = lambda x: F.lower(F.regexp_replace(x, "[^A-Za-z0-9]", ""))
-    a = c.select("conv_id", "turn", clean(F.substring("text", 1, 300)).alias("x"))
+    a = c.select("conv_id", "turn", clean(F.col("text")).alias("x"))
     b = c.select("conv_id", (F.col("turn") + 1).alias("turn"), clean(F.col("text")).alias("y"))
     return a.join(b, ["conv_id", "turn"])
 

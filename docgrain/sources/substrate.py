@@ -61,7 +61,7 @@ def principals(spark: SparkSession) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("question"), (F.col("item_id") % 3).cast("int").alias("principal_id"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), (F.col("item_id") % 3).cast("int").alias("principal_id"))
 
 
 def with_query_vectors(asked: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,7 @@ CTE = {
     "principals": f"principals AS (SELECT * FROM (VALUES {_LISTS}) v(principal_id, p_tenant, clearance, subjects, kbs))",
     "visible": """visible AS (SELECT p.principal_id, c.* FROM principals p JOIN chunks c ON list_contains(p.kbs, c.kb_id) AND c.tenant_id = p.p_tenant AND c.is_latest AND c.level_rank <= p.clearance
     AND NOT list_has_any(c.deny_subjects, p.subjects) AND list_has_any(c.acl_tags, p.subjects))""",
-    "questions": "questions AS (SELECT item_id AS query_id, substr(text, 1, 80) AS question, (item_id % 3)::INTEGER AS principal_id FROM benchmark)",
+    "questions": "questions AS (SELECT item_id AS query_id, text AS question, (item_id % 3)::INTEGER AS principal_id FROM benchmark)",
     "audit": "audit AS (SELECT event_id, ts, user_id, event_type AS action, value, (props->>'$.k')::INTEGER AS k, props FROM events)",
 }
 
