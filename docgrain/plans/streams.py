@@ -1,11 +1,8 @@
 """Streaming operators run to the end of what is there, through a file sink, and read back."""
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from docgrain.operators.rows import fresh_path
 from docgrain.sources import substrate as S
 from docgrain.streaming import rates
 
@@ -13,9 +10,8 @@ from ._registry import plan
 
 
 def _folder(spark):
-    """Below the cluster's shared folder; of this machine only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + os.path.join(tempfile.gettempdir(), "docgrain-streams")
-    return f"{base}/stream-{uuid.uuid4().hex}"
+    """Below the cluster's shared folder."""
+    return fresh_path(spark, "stream")
 
 
 def _events(spark, d):
@@ -58,3 +54,38 @@ def _(spark, d):
 def _(spark, d):
     rows = _drained(spark, rates.over_limit(_events(spark, d).withColumn("user_id", F.col("user_id") % 2), "user_id", "ts", limit=1))
     return rows.select(F.date_format("minute", "yyyy-MM-dd HH:mm").alias("minute"), "user_id", "n")
+
+
+@plan("stream_login_locks", """WITH RECURSIVE e AS (SELECT user_id % 50 AS user_id, ts, event_type = 'error' AS bad, row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS n, 0 AS failures, TIMESTAMP '1970-01-01' AS until, false AS hit, NULL::TIMESTAMP AS ts FROM e UNION ALL
+SELECT e.user_id, e.n, CASE WHEN e.ts < s.until THEN s.failures WHEN NOT e.bad OR s.failures = 1 THEN 0 ELSE s.failures + 1 END, CASE WHEN e.ts >= s.until AND e.bad AND s.failures = 1 THEN e.ts + INTERVAL 720 MINUTE ELSE s.until END, e.ts >= s.until AND e.bad AND s.failures = 1, e.ts FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS locked_at FROM s WHERE hit""")
+def _(spark, d):
+    tries = _events(spark, d).select((F.col("user_id") % 50).alias("user_id"), "ts", (F.col("action") == "error").alias("failed"))
+    rows = _drained(spark, rates.lockouts(tries, "user_id", "ts", "failed", most=2, minutes=720))
+    return rows.select("user_id", F.date_format("locked_at", "yyyy-MM-dd HH:mm:ss").alias("locked_at"))
+
+
+@plan("stream_seen_once", "SELECT DISTINCT user_id FROM events")
+def _(spark, d):
+    return _drained(spark, rates.once(_events(spark, d), "user_id", "ts", "60 days").select("user_id"))
+
+
+@plan("stream_ingested_rows", "SELECT user_id % 10 AS part, event_type AS action, event_type <> 'error' AND user_id % 5 < 3 AS done, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def _(spark, d):
+    out = _folder(spark)
+    rows = _events(spark, d).withColumn("attempts", (F.col("user_id") % 5).cast("int"))
+    rates.ingest(rows, lambda df: df.select("user_id", "action", "value"), F.col("action") != "error", f"{out}/rows", f"{out}/state").awaitTermination()
+    read = lambda part, done: spark.read.option("basePath", f"{out}/rows/{part}").parquet(f"{out}/rows/{part}").select("user_id", "action", "value", F.lit(done).alias("done"))
+    both = read("done", True).unionByName(read("dead", False))
+    return both.groupBy((F.col("user_id") % 10).alias("part"), "action", "done").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@plan("stream_serial_segments", """WITH e AS (SELECT user_id % 40 AS document_id, (event_id % 8)::INTEGER AS segment, min(event_id) AS first, bool_or(event_type <> 'error') AS ok FROM events GROUP BY 1, 2),
+g AS (SELECT document_id, segment FROM e WHERE ok), r AS (SELECT document_id, segment, segment = row_number() OVER (PARTITION BY document_id ORDER BY segment) - 1 AS unbroken FROM g)
+SELECT document_id, max(segment) + 1 AS done FROM r WHERE unbroken GROUP BY document_id""")
+def _(spark, d):
+    parts = spark.readStream.schema(S.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(d)
+    parts = parts.select((F.col("user_id") % 40).alias("document_id"), (F.col("event_id") % 8).cast("int").alias("segment"), (F.col("event_type") != "error").alias("ok"))
+    rows = _drained(spark, rates.serial_segments(parts, "document_id", "segment", "ok"))
+    return rows.groupBy("document_id").agg((F.max("segment") + 1).alias("done"))

@@ -61,6 +61,29 @@ def lockouts(stream: DataFrame, user: str, ts: str, failed: str, most: int = 5,
     return stream.select(user, ts, failed).groupBy(user).applyInPandasWithState(step, f"{user} {kind}, locked_at timestamp", "count long, until long", "append", GroupStateTimeout.NoTimeout)
 
 
+def serial_segments(stream: DataFrame, document: str, segment: str, ok: str) -> DataFrame:
+    """(document, segment) in the order in which a document's segments may be released: the next one as soon as it and all
+    before it have succeeded. Those that succeed early wait in the document's state; failures are tried again by the source.
+    """
+    kind = dict(stream.dtypes)[document]
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        upcoming, waiting = state.get if state.exists else (0, [])
+        early = set(waiting)
+        for pdf in frames:
+            early |= {int(s) for s in pdf.loc[pdf[ok].astype(bool), segment] if s >= upcoming}
+        out = []
+        while upcoming in early:
+            early.discard(upcoming)
+            out.append((key[0], upcoming))
+            upcoming += 1
+        state.update((upcoming, sorted(early)))
+        if out:
+            yield pd.DataFrame(out, columns=[document, segment])
+
+    return stream.select(document, segment, ok).groupBy(document).applyInPandasWithState(step, f"{document} {kind}, {segment} int", "upcoming int, waiting array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
 def once(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
     """Rows of a key that was not seen within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
