@@ -5,7 +5,7 @@ signature values from 64 evaluations a shingle. 32 bands of four values make can
 on the full shingle sets.
 
 Documents with equal sets are one class, and classes are what is linked. Links are found in two steps, neither of which
-emits the pairs within a bucket. First each member of a bucket is compared with the bucket's first class. Where that
+emits the pairs within a bucket. First each member of a bucket is compared with the bucket's class of the smallest doc_id. Where that
 leaves a bucket with members of several components, the members outside its largest component are compared with the others
 across components, by sketches of 1024 further permutations that only these classes get; such a bucket is split by ranges
 of set sizes, and a large one into the cells of a grid, so that its comparisons are dealt to many tasks. Only pairs whose
@@ -231,9 +231,10 @@ def decided(docs: DataFrame, percent: int) -> DataFrame:
     sigs = staged(signatures(docs))
     longest = sigs.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("s"), F.first("bands").alias("bands"))
     classes = staged(longest.withColumn("vid", F.monotonically_increasing_id()))
-    keyed = classes.select("vid", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("vid").alias("center"), F.max("vid").alias("last")).where("center < last")
-    members = staged(salted_join(keyed, staged(buckets.select("key", "center")), "key", "vid", HOT_ROWS))
+    keyed = classes.select("vid", "rep", F.explode("bands").alias("key"))
+    first = F.min(F.struct(F.col("rep").isNull(), "rep", "vid"))["vid"]  # the earliest document, from which copies were made
+    buckets = keyed.groupBy("key").agg(first.alias("center"), F.count("*").alias("n")).where("n > 1")
+    members = staged(salted_join(keyed.select("vid", "key"), staged(buckets.select("key", "center")), "key", "vid", HOT_ROWS))
     heads = classes.select("vid", "n", "s")
     star = staged(members.where("vid <> center").select(F.col("vid").alias("a"), F.col("center").alias("b")).distinct())
     pairs, centers, on = salted(star, heads.toDF("b", "n2", "s2"), "b", "a", HOT_ROWS)
