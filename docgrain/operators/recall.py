@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,24 +17,65 @@ RECALL, SERVED, RRF_K, THRESHOLD, WEIGHT = 50, 8, 60, 0.5, 0.001
 MISS = 2147483647
 
 
-def dot(a: Column, b: Column, dim: int) -> Column:
-    """Inner product of vectors of `dim` components, unrolled so that it is compiled."""
-    return sum((F.get(a, F.lit(i)) * F.get(b, F.lit(i)) for i in range(1, dim)), F.get(a, F.lit(0)) * F.get(b, F.lit(0)))
+#: Chunks and questions in a block of vectors.
+CHUNK_BLOCK, QUESTION_BLOCK = 4096, 256
+VECTORS = "principal_id int, ids binary, vectors binary"
+
+
+def vector_blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
+    """(principal_id, ids, vectors) of rows (principal_id, id, vector): blocks of at most `size` rows of one principal, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def out(key: int) -> pa.RecordBatch:
+            ids, vectors = (np.concatenate(x) for x in zip(*held.pop(key)))
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["principal_id", "ids", "vectors"])
+
+        for batch in batches:
+            people, ids = batch.column("principal_id").to_numpy(), batch.column("id").to_numpy()
+            vectors = batch.column("vector").flatten().to_numpy().reshape(-1, dim)
+            for key in np.unique(people).tolist():
+                at = np.flatnonzero(people == key)
+                for first in range(0, len(at), size):
+                    some = at[first : first + size]
+                    held.setdefault(key, []).append((ids[some], vectors[some]))
+                    if sum(len(x) for x, _ in held[key]) + size > 2 * size:
+                        yield out(key)
+        for key in list(held):
+            yield out(key)
+
+    return rows.select("principal_id", "id", "vector").mapInArrow(run, VECTORS)
 
 
 def vector_recall(seen: DataFrame, asked: DataFrame, dim: int, model: str | None = None, n: int = RECALL) -> DataFrame:
     """(query_id, chunk_id, score, rank): the n nearest by cosine (6 digits), then chunk_id.
 
     `seen`: readable chunks with embedding, embedding_model and principal_id; `asked`: questions with q_embedding. Only
-    vectors of one model are compared.
+    vectors of one model are compared. Blocks of a principal's chunks and questions meet, each pair of blocks as one product
+    of matrices, and only a block's best rows leave it.
     """
     seen = seen.where("embedding IS NOT NULL")
     seen = seen.where(F.col("embedding_model") == model) if model else seen
-    seen = seen.select("principal_id", "chunk_id", "embedding").withColumn("norm", F.sqrt(dot(F.col("embedding"), F.col("embedding"), dim)))
-    asked = asked.select("query_id", "principal_id", "q_embedding").withColumn("q_norm", F.sqrt(dot(F.col("q_embedding"), F.col("q_embedding"), dim)))
-    score = F.round(dot(F.col("embedding"), F.col("q_embedding"), dim) / (F.col("norm") * F.col("q_norm")), 6)
-    pairs = spread_join(seen, asked, "principal_id", "chunk_id").select("query_id", "chunk_id", score.alias("score"))
-    return top(pairs, ["query_id"], [F.desc("score"), F.col("chunk_id")], n, "rank")
+    seen = seen.where(F.size("embedding") == dim).select(F.col("principal_id").cast("int").alias("principal_id"), F.col("chunk_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = asked.where(F.size("q_embedding") == dim).select(F.col("principal_id").cast("int").alias("principal_id"), F.col("query_id").cast("long").alias("id"), F.col("q_embedding").cast("array<double>").alias("vector"))
+    questions = staged(vector_blocks(asked, QUESTION_BLOCK, dim)).toDF("principal_id", "q_ids", "q_vectors")
+    pairs = spread_join(vector_blocks(seen, CHUNK_BLOCK, dim), questions, "principal_id", "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")
+                v, q = np.frombuffer(row["vectors"], "<f8").reshape(-1, dim), np.frombuffer(row["q_vectors"], "<f8").reshape(-1, dim)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    cosine = q @ v.T / np.outer(np.sqrt((q * q).sum(1)), np.sqrt((v * v).sum(1)))
+                score = np.copysign(np.floor(np.abs(cosine) * 1e6 + 0.5) / 1e6, cosine)
+                at = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :n]
+                found = np.take_along_axis(score, at, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, at.shape[1])), pa.array(ids[at].ravel()), pa.array(found.ravel())], names=["query_id", "chunk_id", "score"])
+
+    found = pairs.mapInArrow(run, "query_id long, chunk_id long, score double").withColumn("score", F.round("score", 6))
+    return top(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], n, "rank")
 
 
 def match_terms(asked: DataFrame, items: Column) -> DataFrame:
