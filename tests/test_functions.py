@@ -76,7 +76,7 @@ def test_chunks_keep_every_token_within_the_limit(blocks):
     for b in blocks:
         if b["verbatim"] or not b["is_table"]:
             assert all(ch in joined for ch in set(b["text"]) if ch.isalnum())
-    assert all(c[1] <= 20 + 3 * 20 for c in got)
+    assert all(c[1] <= 20 for c in got)
 
 
 def test_split_table_repeats_its_header():

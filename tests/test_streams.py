@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from docgrain.operators import cdc
+from docgrain.engine import Engine
 from docgrain.plans import registry
 from docgrain.streaming import rates
 
@@ -51,6 +52,18 @@ def test_document_sink_replaces_only_its_partitions(spark, tmp_path):
 
 
 def test_ingested_pages(spark, sf):
-    rows = registry.queries()["engine_ingested_chunks"](spark, sf)
-    assert rows.where("token_count > 1600 OR content = ''").count() == 0
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
+    rows = Engine(spark).ingest(pages, "html")
+    assert rows.where("token_count > 800 OR content = ''").count() == 0
     assert rows.select("doc_id").distinct().count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+
+
+def test_serial_segments_wait_for_their_turn(spark, tmp_path):
+    schema = "document string, segment int, ok boolean"
+    for n, rows in enumerate([[("a", 1, True), ("b", 0, False), ("a", 3, True)], [("a", 0, True), ("b", 0, True)], [("a", 2, True), ("a", 0, True)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = rates.serial_segments(stream, "document", "segment", "ok").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        done = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).select("document", "segment").collect()))
+        assert done == [[], [("a", 0), ("a", 1), ("b", 0)], [("a", 0), ("a", 1), ("a", 2), ("a", 3), ("b", 0)]][n]
