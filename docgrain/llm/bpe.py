@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by merge replay over the words of the whole corpus.
 
-Texts become runs: the numbers of their words (matches of the pattern) in the run's own list of distinct words. The lists'
-distinct words over all runs are replayed, each once in the corpus, and the ids go back to the runs by joins on the word
-and on the run, where they are laid out in the order of the numbers. No dictionary is broadcast or held whole in one task.
+Texts become runs: the numbers of their words (matches of the pattern) in the run's own list of distinct words. The
+lists' words go to buckets by a hash, where each distinct word is replayed, and the ids go back to the runs, which lay them
+out by the numbers. Words and ids travel packed; the runs themselves stay in a bucketed table, so that only the ids move to
+them. No dictionary is broadcast or held whole in one task.
 
 In a replay the words lie end to end in one array of symbols. An inverted index leads from the rank of a
 token pair to the positions that hold it. The merges are applied in rank order, each to all its positions at once, and
@@ -15,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import heapq
+import uuid
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -25,15 +28,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pieces import words
-from ._shared import bounded_batches, per_process, staged, table, text_runs
+from ._shared import bounded_batches, per_process, shared_dir, table, text_runs
+from .token_files import pack_ranks, unpack_ranks
 
 #: No pair.
 NONE = np.int32(2**31 - 1)
-#: Distinct words at which a run ends (two bytes number them), and words in all; a longer document is a run of its own.
-RUN_DISTINCT, RUN_WORDS = 60_000, 4 << 20
-#: Bytes of words that are replayed together, and ids in one batch of the result.
-REPLAY_BYTES, BATCH_IDS = 8 << 20, 1 << 19
-RUNS = "run long, docs array<long>, sizes array<long>, codes binary, words array<string>"
+#: Distinct words, and words in all, at which a run ends; a longer document is a run of its own.
+RUN_DISTINCT, RUN_WORDS = 300_000, 4 << 20
+#: Buckets of the table of runs at most.
+TABLE_BUCKETS = 1024
+#: Buckets of words; bytes of words that a task replays together (a word that comes again later is replayed again).
+BUCKETS, REPLAY_BYTES = 256, 8 << 20
+#: Ids in one batch of the result.
+BATCH_IDS = 1 << 19
+#: A row is a bucket's words of a run, packed, or (in bucket BUCKETS, the last) its documents.
+RUNS = "run long, bucket int, sizes binary, data binary, docs array<long>, words array<long>, control binary, ranks binary"
+COLUMNS = [c.split()[0] for c in RUNS.split(", ")]
+TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+
+
+def narrow(numbers: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as they need; the first byte says how many."""
+    size = 1 if (most := int(numbers.max(initial=0))) < 1 << 8 else 2 if most < 1 << 16 else 4
+    return bytes([size]) + numbers.astype(f"<u{size}").tobytes()
+
+
+def wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{data[0]}", offset=1).astype(np.int64)
+
+
+def packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=COLUMNS)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -135,7 +160,7 @@ class RunWords(dict):
 
     def of(self, text: str) -> bytes:
         numbers = self.numbers
-        return np.array([numbers.setdefault(w, len(numbers)) for w in self.find(text)], "<u4").tobytes()
+        return b"".join([numbers.setdefault(w, len(numbers)).to_bytes(4, "little") for w in self.find(text)])
 
     def __missing__(self, part: str) -> bytes:
         found = self.of(" " + part)
@@ -149,7 +174,8 @@ class RunWords(dict):
 
 
 def split_runs(docs: DataFrame, pattern: str) -> DataFrame:
-    """Runs of documents: their ids, words each, the words' numbers (in two bytes if that is enough) and the distinct words."""
+    """Packed runs of documents (see RUNS): a row for each bucket's distinct words, and one of the documents' ids, words each,
+    and the words as ranks by frequency, followed by the ranks of the listed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -158,10 +184,22 @@ def split_runs(docs: DataFrame, pattern: str) -> DataFrame:
         held, docs_in, codes, size = RunWords(compiled), [], [], 0
 
         def out() -> pa.RecordBatch:
-            flat = np.frombuffer(b"".join(codes), "<u4").astype("<u2" if len(held.numbers) <= 1 << 16 else "<u4").tobytes()
-            columns = [[task << 33 | number], [docs_in], [[len(c) // 4 for c in codes]], [flat], [list(held.numbers)]]
-            types = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.string()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["run", "docs", "sizes", "codes", "words"])
+            listed = [w.encode() for w in held.numbers]
+            flat = np.frombuffer(b"".join(codes), "<u4")
+            rank = np.empty(len(listed), np.uint32)
+            rank[np.argsort(-np.bincount(flat, minlength=len(listed)), kind="stable")] = np.arange(len(listed), dtype=np.uint32)
+            bucket = np.array([crc32(w) % BUCKETS for w in listed], np.int64)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(BUCKETS), "right")
+            key, rows, first = task << 33 | number, [], 0
+            for b, end in enumerate(ends.tolist()):
+                if end > first:
+                    some = [listed[i] for i in order[first:end].tolist()]
+                    rows.append((key, b, narrow(np.array([len(w) for w in some])), b"".join(some), None, None, None, None))
+                first = end
+            control, ranks = pack_ranks(np.concatenate([rank[flat], rank[order]]))
+            rows.append((key, BUCKETS, None, None, docs_in, [len(c) // 4 for c in codes], control, ranks))
+            return packed_rows(rows)
 
         for batch, texts in text_runs(batches):
             for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
@@ -177,29 +215,49 @@ def split_runs(docs: DataFrame, pattern: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, RUNS)
 
 
-def replayed(distinct: DataFrame, path: str) -> DataFrame:
-    """(word, ids): little-endian 32-bit ids of each word of `distinct` (word)."""
+def cut(data: bytes, sizes: np.ndarray) -> list[bytes]:
+    ends = np.cumsum(sizes)
+    return [data[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+
+def replayed(listed: DataFrame, path: str) -> DataFrame:
+    """`listed` (the words' rows of RUNS) with ids in the place of the words: numbers of ids as sizes, the ids as data.
+
+    The rows of a bucket are in one task, which replays the distinct words of REPLAY_BYTES at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         replay = per_process(("replay", path), lambda: MergeReplay(load_ranks(path)))
-        held: list[str] = []
+        held: list[tuple] = []
+        numbers: dict[bytes, int] = {}
         size = 0
 
-        def out() -> pa.RecordBatch:
-            ids = [x.astype("<u4").tobytes() for x in replay.encode([w.encode() for w in held])]
-            return pa.RecordBatch.from_arrays([pa.array(held, pa.string()), pa.array(ids, pa.binary())], names=["word", "ids"])
+        def out() -> Iterator[pa.RecordBatch]:
+            ids = replay.encode(list(numbers))
+            lengths = np.array([len(x) for x in ids], np.int64)
+            flat, starts = np.concatenate(ids), np.cumsum(lengths) - lengths
+            rows = []
+            for key, bucket, codes in held:
+                rows.append((key, bucket, narrow(lengths[codes]), narrow(gathered(flat, starts, lengths, codes)[0]), None, None, None, None))
+                if len(rows) == 64:
+                    yield packed_rows(rows)
+                    rows = []
+            if rows:
+                yield packed_rows(rows)
 
         for batch in batches:
-            for word in batch.column("word").to_pylist():
-                held.append(word)
-                size += len(word)
+            for key, bucket, sizes, data in zip(*(batch.column(c).to_pylist() for c in ("run", "bucket", "sizes", "data"))):
+                before = len(numbers)
+                codes = np.array([numbers.setdefault(w, len(numbers)) for w in cut(data, wide(sizes))], np.int64)
+                size += len(data) * (len(numbers) - before) // max(len(codes), 1)
+                held.append((key, bucket, codes))
                 if size >= REPLAY_BYTES:
-                    yield out()
-                    held, size = [], 0
+                    yield from out()
+                    held, numbers, size = [], {}, 0
         if held:
-            yield out()
+            yield from out()
 
-    return distinct.mapInArrow(run, "word string, ids binary")
+    return listed.mapInArrow(run, RUNS)
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,45 +267,51 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: n
     return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)], ends
 
 
+def laid_out(docs: pa.Array, sizes: np.ndarray, codes: np.ndarray, pieces: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, ids) of a run's documents: `codes` are the ranks of their words, then those of the words that `pieces` list."""
+    ends = np.cumsum(sizes)
+    total = int(ends[-1])
+    listed = codes[total:]
+    lengths, starts = np.zeros(len(listed), np.int64), np.zeros(len(listed), np.int64)
+    flat, found = (np.concatenate([wide(p[i]) for p in pieces] or [np.zeros(0, np.int64)]) for i in (1, 0))
+    lengths[listed], starts[listed] = found, np.cumsum(found) - found
+    first = 0
+    while first < len(sizes):  # documents of about BATCH_IDS words at a time
+        begin = int(ends[first] - sizes[first])
+        last = max(int(np.searchsorted(ends, begin + BATCH_IDS, "right")), first + 1)
+        ids, word_ends = gathered(flat, starts, lengths, codes[begin : int(ends[last - 1])].astype(np.int64))
+        bounds = np.concatenate([[0], word_ends])[np.concatenate([[0], ends[first:last] - begin])]
+        yield pa.RecordBatch.from_arrays([docs.slice(first, last - first), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
+        first = last
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of each row of `docs` (doc_id, text) by the ranks at `path`.
 
     A null or empty text has an empty array; repeated rows and null ids are encoded like others; other columns don't
-    matter; an empty table gives no rows. The runs are staged in the shared folder.
+    matter; an empty table gives no rows. The runs are kept in a
+    bucketed table in the shared folder.
     """
-    bounded_batches(docs.sparkSession)
-    runs = staged(split_runs(docs, pattern), compression="zstd")
-    listed = runs.select("run", F.posexplode("words").alias("number", "word"))
-    ids = replayed(listed.select("word").distinct(), path)
-    back = listed.join(ids, "word").groupBy("run").agg(F.collect_list(F.struct("number", "ids")).alias("found"))
-    whole = runs.select("run", "docs", "sizes", "codes", F.size("words").alias("distinct")).join(back, "run", "left")
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    # One row of documents and a few of words for each run; a run is in one bucket of the table.
+    name, buckets = f"bpe_runs_{uuid.uuid4().hex}", max(1, min(TABLE_BUCKETS, docs.rdd.getNumPartitions()))
+    split_runs(docs, pattern).write.bucketBy(buckets, "run").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    runs = spark.table(name)
+    ids = replayed(runs.where(F.col("bucket") < BUCKETS).repartition("bucket"), path)
+    back = ids.select("run", "bucket", "sizes", "data").repartition(buckets, "run").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("bucket", "sizes", "data"))).alias("pieces"))
+    whole = runs.where(F.col("bucket") == BUCKETS).select("run", "docs", "words", "control", "ranks").hint("merge").join(back, "run", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                docs, sizes, codes, distinct, found = (batch.column(c)[at] for c in ("docs", "sizes", "codes", "distinct", "found"))
-                sizes = sizes.values.to_numpy()
-                codes = np.frombuffer(codes.as_buffer(), "<u2" if distinct.as_py() <= 1 << 16 else "<u4")
-                starts, lengths, flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, "<u4")
-                if found.is_valid:
-                    order = np.argsort(found.values.field("number").to_numpy())
-                    bytes_of = found.values.field("ids")
-                    lengths = pa.compute.binary_length(bytes_of).to_numpy().astype(np.int64) // 4
-                    starts = (np.cumsum(lengths) - lengths)[order]
-                    flat, lengths = np.frombuffer(b"".join(bytes_of.to_pylist()), "<u4"), lengths[order]
-                ends, first = np.cumsum(sizes), 0
-                cuts = np.searchsorted(ends, np.arange(BATCH_IDS, (ends[-1] if len(ends) else 0) + BATCH_IDS, BATCH_IDS), "right")
-                for last in [*np.unique(np.minimum(cuts + 1, len(sizes))).tolist(), len(sizes)]:  # documents at a time
-                    if last <= first:
-                        continue
-                    a, b = int(ends[first] - sizes[first]), int(ends[last - 1])
-                    got, word_ends = gathered(flat, starts, lengths, codes[a:b])
-                    bounds = np.concatenate([[0], word_ends])[np.concatenate([[0], ends[first:last] - a])]
-                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32)))
-                    yield pa.RecordBatch.from_arrays([docs.values.slice(first, last - first), lists], names=["doc_id", "ids"])
-                    first = last
-
-    return whole.mapInArrow(run, "doc_id long, ids array<int>")
+                row = {c: batch.column(c)[at] for c in ("docs", "words", "control", "ranks", "pieces")}
+                pieces = [(p["sizes"], p["data"]) for p in row["pieces"].as_py() or []]
+                sizes = row["words"].values.to_numpy()
+                n = int(sizes.sum()) + sum((len(p[0]) - 1) // p[0][0] for p in pieces)
+                yield from laid_out(row["docs"].values, sizes, unpack_ranks(row["control"].as_py(), row["ranks"].as_py(), n), pieces)
+
+    return whole.select("docs", "words", "control", "ranks", "pieces").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
