@@ -36,8 +36,8 @@ class Engine:
         terms = recall.match_terms(asked, T.match_items(F.col("q")))
         lists = {
             "vector": recall.vector_recall(seen, asked, dim),
-            "fts": recall.text_recall(recall.asked_postings(seen, T.index_tokens(F.lower("content")), terms), terms),
-            "ilike": recall.substring_recall(seen, asked, T.substring_terms(F.col("q"))),
+            "fts": recall.text_recall(recall.asked_postings(chunks, seen, T.index_tokens(F.lower("content")), terms), terms),
+            "ilike": recall.substring_recall(chunks, seen, asked, T.substring_terms(F.col("q"))),
         }
         cands = recall.candidates(recall.fused(lists))
         scores = lists["vector"]

@@ -9,6 +9,7 @@ from docgrain.functions import text as T
 
 from .rows import top
 
+# Fixed values that results depend on: budgets of navigation terms, and names with a name in the other script in brackets.
 NAV_TERMS, NAV_TOKENS, TERM_CHARS = 2, 6, 12
 CJK_FIRST = r"([一-鿿]{2,12})\s*[（(]\s*([A-Za-z][A-Za-z0-9_\-]{1,30})\s*[)）]"
 ASCII_FIRST = r"([A-Za-z][A-Za-z0-9_\-]{1,30})\s*[（(]\s*([一-鿿]{2,12})\s*[)）]"

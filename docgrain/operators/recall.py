@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 
-from .rows import size_checked, spread_join, staged, top
+from .rows import dealt, size_checked, spread_join, staged, top
 
 RECALL, SERVED, RRF_K, THRESHOLD, WEIGHT = 50, 8, 60, 0.5, 0.001
 MISS = 2147483647
@@ -86,15 +86,20 @@ def match_terms(asked: DataFrame, items: Column) -> DataFrame:
     return each.select("query_id", "principal_id", "groups", "item", F.col("x.grp").alias("grp"), F.size("x.tokens").alias("need"), F.explode("x.tokens").alias("token"))
 
 
-def asked_postings(seen: DataFrame, tokens: Column, terms: DataFrame) -> DataFrame:
-    """(principal_id, chunk_id, token) of readable chunks, for the tokens that some question asks for.
+def read_texts(chunks: DataFrame, seen: DataFrame) -> DataFrame:
+    """The chunks that someone may read, each once and dealt to all cores."""
+    return dealt(chunks).join(size_checked(seen.select("chunk_id").distinct(), 200_000), "chunk_id", "left_semi")
+
+
+def asked_postings(chunks: DataFrame, seen: DataFrame, tokens: Column, terms: DataFrame) -> DataFrame:
+    """(principal_id, chunk_id, token) of readable chunks (`seen`), for the tokens that some question asks for.
 
     A chunk's tokens meet the asked ones right where they are made, and only what is left meets the chunk's readers.
     """
+    seen = staged(seen.select("principal_id", "chunk_id"))
     wanted = size_checked(terms.select("token").distinct())
-    readers = seen.select("principal_id", "chunk_id")
-    made = seen.select("chunk_id", "content").dropDuplicates(["chunk_id"]).select("chunk_id", F.explode(F.array_distinct(tokens)).alias("token"))
-    return made.join(wanted, "token").join(readers, "chunk_id").select("principal_id", "chunk_id", "token")
+    made = read_texts(chunks, seen).select("chunk_id", F.explode(F.array_distinct(tokens)).alias("token"))
+    return made.join(wanted, "token").join(seen, "chunk_id").select("principal_id", "chunk_id", "token")
 
 
 def text_recall(index: DataFrame, terms: DataFrame, n: int = RECALL) -> DataFrame:
@@ -117,24 +122,24 @@ def term_pieces(terms: Column) -> Column:
     return F.array_distinct(F.transform(terms, lambda t: F.when(code(t), F.split_part(t, F.lit("-"), F.lit(1))).otherwise(F.substring(t, 1, PIECE))))
 
 
-def substring_recall(seen: DataFrame, asked: DataFrame, terms: Column, n: int = RECALL) -> DataFrame:
-    """(query_id, chunk_id, place, rank): chunks whose content or heading has a term, by the place of the longest term.
+def substring_recall(chunks: DataFrame, seen: DataFrame, asked: DataFrame, terms: Column, n: int = RECALL) -> DataFrame:
+    """(query_id, chunk_id, place, rank): readable chunks (`seen`) whose content or heading has a term, by the place of the longest.
 
     Texts and terms meet by equality of pieces, the overlapping runs of characters of the lengths that terms' pieces have;
     only the pairs that meet are verified by the terms' pattern.
     """
     asked = asked.select("query_id", "principal_id", terms.alias("terms")).where(F.size("terms") > 0)
     asked = staged(asked.select("query_id", "principal_id", F.concat(F.lit("(?i)"), T.substring_pattern(F.col("terms"))).alias("pattern"), F.get("terms", F.lit(0)).alias("longest"), term_pieces(F.col("terms")).alias("pieces")))
-    rows = staged(seen.select("principal_id", "chunk_id", F.lower("content").alias("content"), F.lower(F.coalesce("heading_path", F.lit(""))).alias("heading")))
+    rows = staged(seen.select("principal_id", "chunk_id"))
     wanted = asked.select("query_id", "principal_id", F.explode("pieces").alias("piece"))
     sizes = sorted(r["n"] for r in wanted.select(F.length("piece").alias("n")).distinct().collect())  # PIECE numbers at most
     if not sizes:
         return top(rows.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0).alias("place")).where("false"), ["query_id"], ["place", "chunk_id"], n, "rank")
     both = F.concat_ws("\n", "content", "heading")
     found = F.flatten(F.array(*(F.array_distinct(F.regexp_extract_all(both, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))) for k in sizes)))
-    texts = rows.select("chunk_id", "content", "heading").dropDuplicates(["chunk_id"])
+    texts = read_texts(chunks, rows).select("chunk_id", F.lower("content").alias("content"), F.lower(F.coalesce("heading_path", F.lit(""))).alias("heading"))
     held = texts.select("chunk_id", F.explode(found).alias("piece")).join(size_checked(wanted.select("piece").distinct()), "piece")
-    met = held.join(rows.select("principal_id", "chunk_id"), "chunk_id").join(size_checked(wanted), ["principal_id", "piece"]).select("query_id", "principal_id", "chunk_id").distinct()
+    met = held.join(rows, "chunk_id").join(size_checked(wanted), ["principal_id", "piece"]).select("query_id", "principal_id", "chunk_id").distinct()
     pairs = met.join(texts, "chunk_id").join(size_checked(asked.select("query_id", "pattern", "longest")), "query_id").where(F.rlike("content", F.col("pattern")) | F.rlike("heading", F.col("pattern")))
     where = lambda c: F.when(F.instr(F.col(c), F.col("longest")) > 0, F.instr(F.col(c), F.col("longest"))).otherwise(MISS)
     pairs = pairs.select("query_id", "chunk_id", F.least(where("content"), where("heading")).alias("place"))

@@ -68,12 +68,11 @@ def _(spark, d):
     return found(spark, d).groupBy("query_id").agg(F.count_if(F.col("chunk_id") % 5 == 0).alias("graph_covered"), F.count_if(F.col("chunk_id") % 5 != 0).alias("graph_unique"))
 
 
-@plan("gr1_entity_upsert", "SELECT p_brand AS kb, p_size AS name_key, max_by(p_name, p_partkey) AS name FROM part GROUP BY 1, 2")
+@plan("gr1_entity_upsert", "SELECT p_brand AS kb, p_size AS name_key, coalesce(max_by(p_name, p_partkey) FILTER (p_partkey % 2 = 1), max_by(p_name, p_partkey)) AS name FROM part GROUP BY 1, 2")
 def _(spark, d):
     rows = S.table(spark, d, "part").select(F.col("p_brand").alias("kb"), F.col("p_size").alias("name_key"), F.col("p_name").alias("name"), F.col("p_partkey").alias("seq"))
-    half = F.lit(rows.agg(F.max("seq")).first()[0] // 2)
-    old = top(rows.where(F.col("seq") <= half), ["kb", "name_key"], [F.desc("seq")], 1).drop("seq")
-    return graph.upsert(old, rows.where(F.col("seq") > half), ["kb", "name_key"], "seq")
+    old = top(rows.where("seq % 2 = 0"), ["kb", "name_key"], [F.desc("seq")], 1).drop("seq")
+    return graph.upsert(old, rows.where("seq % 2 = 1"), ["kb", "name_key"], "seq")
 
 
 @plan("gr2_mention_insert", "SELECT l_orderkey AS chunk_id, l_partkey AS entity_id, min(CASE WHEN l_returnflag = 'A' THEN 'old' ELSE 'new' END) = 'new' AND count(*) FILTER (l_returnflag = 'A') = 0 AS is_new FROM lineitem GROUP BY 1, 2")

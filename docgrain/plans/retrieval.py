@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 from docgrain.operators import acl, expand, recall
-from docgrain.operators.rows import dealt, staged, top
+from docgrain.operators.rows import staged, top
 from docgrain.sources import substrate as S
 
 from ._registry import plan
@@ -47,11 +47,11 @@ def vector(spark, d):
 
 def fts(spark, d):
     terms = staged(recall.match_terms(S.questions(spark, d), T.match_items(F.lower("question"))))
-    return recall.text_recall(recall.asked_postings(dealt(readable(spark, d)), T.index_tokens(F.lower("content")), terms), terms)
+    return recall.text_recall(recall.asked_postings(S.chunks(spark, d), readable(spark, d), T.index_tokens(F.lower("content")), terms), terms)
 
 
 def substring(spark, d):
-    return recall.substring_recall(dealt(readable(spark, d)), S.questions(spark, d), T.substring_terms(F.lower("question")))
+    return recall.substring_recall(S.chunks(spark, d), readable(spark, d), S.questions(spark, d), T.substring_terms(F.lower("question")))
 
 
 def lists(spark, d):

@@ -7,7 +7,7 @@ from docgrain.functions.answers import is_no_answer
 from docgrain.operators import conversation as C  # noqa: F401
 from docgrain.operators import evaluation as E
 from docgrain.operators import governance as G
-from docgrain.operators import lexicon, recall
+from docgrain.operators import images, lexicon, recall
 from docgrain.operators.rows import staged
 from docgrain.sources import substrate as S
 
@@ -154,3 +154,23 @@ def _(spark, d):
     failed = (F.col("query_id") % 4 == 0) & (F.col("chunk_id") % 7 == 0)
     scores = cands.select("query_id", "chunk_id", F.when(~failed, F.col("chunk_id") * 37 % 101 / F.lit(100.0)).alias("score"))
     return recall.served(cands, recall.reranked(scores, found["vector"]), S.chunks(spark, d)).select("query_id", "chunk_id", "final_score", "rank")
+
+
+@plan("wk2_item_terms", """WITH p AS (SELECT item_id, regexp_extract_all(lower(d.text), '[a-z]+') AS w, trim(regexp_replace(lower(b.text), '[^a-z]+', ' ', 'g')) AS q FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
+t AS (SELECT DISTINCT item_id, unnest(w) AS term, w[1] AS alias, q, string_split(q, ' ')[1:3] AS qt FROM p)
+SELECT item_id AS query_id, term, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(term) DESC, term)::INTEGER AS place FROM t WHERE length(term) BETWEEN 4 AND 12 AND term <> alias AND NOT contains(q, term) AND len(list_filter(qt, lambda x: contains(x, term) OR contains(term, x))) = 0) WHERE place <= 2""")
+def _(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    texts = S.documents(spark, d).select(F.col("doc_id").alias("query_id"), words.alias("terms"))
+    query = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
+    asked = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"), F.slice(F.split(query, " "), 1, 3).alias("query_terms"))
+    pages = asked.join(texts, "query_id").withColumn("aliases", F.slice("terms", 1, 1))
+    return lexicon.nav_terms(pages)
+
+
+@plan("xt2_image_measures", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: (floor(abs(x::DOUBLE) * 1000) % 256)::INTEGER) AS p FROM embeddings)
+SELECT vec_id, len(list_filter(p, lambda x: x < 128)) / 64.0::DOUBLE AS dark_ratio, len(list_filter(p, lambda x: x >= 200 AND x < 245)) / 64.0::DOUBLE AS light_ratio, list_sort(p)[52] AS bg_level FROM p""")
+def _(spark, d):
+    hexes = F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex((F.floor(F.abs(x.cast("double")) * 1000) % 256).cast("long")), 2, "0")), "")
+    rows = S.table(spark, d, "embeddings").select("vec_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.unhex(hexes).alias("pixels"))
+    return images.measured(rows).select("vec_id", "dark_ratio", "light_ratio", "bg_level")

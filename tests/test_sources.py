@@ -1,12 +1,15 @@
 """Walks over many levels, office files with odd parts, and answers that fall back."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from docgrain.engine import Engine
 from docgrain.functions import text as T
-from docgrain.operators import acl, graph, lexicon, recall
-from docgrain.plans import _made
+from docgrain.operators import acl, graph, images, lexicon, recall
+from docgrain.plans import _made, registry
 from docgrain.sources import office, web
+from docgrain.sources import substrate as S
 
 
 def test_reach_goes_over_all_levels(spark):
@@ -76,3 +79,39 @@ def test_rebuilt_lexicon(spark):
 )
 def test_line_breaks(spark, raw, want):
     assert spark.createDataFrame([(raw,)], "t string").select(T.line_breaks(F.col("t"))).first()[0] == want
+
+
+def test_image_measures_pixel_by_pixel():
+    rng = np.random.default_rng(1)
+    level = np.where(rng.random((23, 31)) < 0.12, 20, rng.integers(190, 256, (23, 31))).astype(np.uint8)
+    level[5:13, 4:12] = 90
+    got = images.measures(level)
+    at = lambda y, x: int(level[min(max(y, 0), 22), min(max(x, 0), 30)])
+    spots = [(y, x) for y in range(23) for x in range(31)]
+    near = lambda y, x, r: [at(y + j, x + i) for j in range(-r, r + 1) for i in range(-r, r + 1)]
+    noise = sum(at(*s) < 100 and sum(v < 100 for v in near(*s, 1)) <= 1 for s in spots) / len(spots)
+    stain = sum(all(v < 128 for v in near(*s, 2)) for s in spots) / len(spots)
+    assert np.allclose(got[1:3], (noise, stain)) and noise > 0 and stain == 16 / len(spots)
+    flat = sorted(level.ravel().tolist())
+    assert got[7] == next(v for v in range(256) if sum(x <= v for x in flat) >= 0.8 * len(flat))
+    assert images.measures(np.array([[[200, 10, 20], [10, 200, 20]]], np.uint8))[6] == 0.5
+
+
+def test_measured_images(spark):
+    rows = [(1, 600, 600, bytes([255]) * 360_000), (2, 2, 2, bytes([10, 10, 10, 10])), (3, 2, 2, b"x"), (4, None, None, None), (5, 600, 600, bytes([212]) * 360_000)]
+    got = images.measured(spark.createDataFrame(rows, "id int, width int, height int, pixels binary"))
+    got = {r["id"]: r for r in got.select("*", images.quality_verdict(F.lit(True), F.lit(0.0)).alias("verdict"), images.watermarked().alias("marked")).collect()}
+    assert [got[i]["verdict"] for i in (1, 2, 5)] == ["pass", "reject_to_manual", "enhance"] and got[3]["dark_ratio"] is None and got[4]["bg_level"] is None
+    assert not got[5]["marked"]
+
+
+def test_engine_serves_what_the_plan_serves(spark, sf):
+    asked = S.with_query_vectors(S.questions(spark, sf), spark, sf)
+    chunks, engine = S.chunks(spark, sf, True), Engine(spark)
+    shown = ["query_id", "chunk_id", "final_score", "rank"]
+    got = sorted(map(tuple, engine.search(chunks, S.principals(spark), asked, S.DIM).select(shown).collect()))
+    want = sorted(map(tuple, registry.queries()["rt8_top_served"](spark, sf).select(shown).collect()))
+    found = {r[0] for r in map(tuple, asked.select("query_id").collect())}
+    assert got == [r for r in want if r[0] in found] and got
+    ranked = engine.search(chunks, S.principals(spark), asked, S.DIM, rerank=lambda q, c: F.when(F.length(q) % 2 == 0, F.lit(2.0))).collect()
+    assert {r["query_id"] for r in ranked} == {r[0] for r in got} and any(r["final_score"] > 1.5 for r in ranked)
