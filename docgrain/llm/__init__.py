@@ -2,13 +2,13 @@
 
 
 def queries() -> dict:
-    from . import bpe, exact_dedup, html_text, near_dedup, packing, quality, secret_scan, token_counts, token_files, topk_search
+    from . import bpe, exact_dedup, html_text, near_dedup, packing, quality, resampling, secret_scan, token_counts, token_files, topk_search
 
-    modules = (html_text, exact_dedup, packing, near_dedup, token_files, bpe, token_counts, secret_scan, topk_search, quality)
+    modules = (html_text, exact_dedup, packing, near_dedup, token_files, bpe, token_counts, secret_scan, topk_search, quality, resampling)
     return {name: f for m in modules for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exact_dedup, topk_search
+    from . import exact_dedup, resampling, topk_search
 
-    return {name: sql for m in (exact_dedup, topk_search) for name, sql in m.SQL.items()}
+    return {name: sql for m in (exact_dedup, resampling, topk_search) for name, sql in m.SQL.items()}
