@@ -176,22 +176,22 @@ def central_directory(file: pa.NativeFile) -> tuple[int, int, int]:
     if at < 0:
         raise ValueError("no end record of a ZIP package")
     end = size - tail + at
-    entries, length, offset = struct.unpack_from("<HII", data, at + 10)
-    if FULL16 == entries or FULL32 in (length, offset):
-        file.seek(max(end - 20, 0))
-        locator = file.read(20)
-        if locator[:4] == LOCATOR64:
-            # The ZIP64 end record stands before its locator; its named place is off by what precedes the package.
-            named = struct.unpack_from("<Q", locator, 8)[0]
-            for place in (named, end - 20 - 56):
-                file.seek(place)
-                record64 = file.read(56)
-                if record64[:4] == END64:
-                    length, offset = struct.unpack_from("<QQ", record64, 40)
-                    end = place
-                    break
-            else:
-                raise ValueError("no ZIP64 end record where its locator points")
+    length, offset = struct.unpack_from("<II", data, at + 12)
+    file.seek(max(end - 20, 0))
+    locator = file.read(20)
+    if end >= 76 and locator[:4] == LOCATOR64:
+        # The ZIP64 end record stands before its locator; its named place is off by what precedes the package.
+        for place in (struct.unpack_from("<Q", locator, 8)[0], end - 76):
+            file.seek(min(place, size))
+            record64 = file.read(56)
+            if record64[:4] == END64:
+                length, offset = struct.unpack_from("<QQ", record64, 40)
+                end = place
+                break
+        else:
+            raise ValueError("no ZIP64 end record where its locator points")
+    elif FULL32 in (length, offset):
+        raise ValueError("no locator of a ZIP64 end record")
     return end - length, length, end - length - offset
 
 
