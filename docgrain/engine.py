@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import acl, chunking, graph, recall, reports
+from .operators import acl, chunking, graph, postings, recall, reports
 from .sources import parsers
 
 
@@ -28,15 +28,19 @@ class Engine:
         chunks = chunking.chunk_documents(blocks)
         return chunks.withColumn("fts_text", T.index_text(T.normalized(F.col("content")), T.normalized(F.col("heading"))))
 
-    def search(self, chunks: DataFrame, principals: DataFrame, questions: DataFrame, dim: int, rerank: Callable[[F.Column, F.Column], F.Column] | None = None) -> DataFrame:
+    def index(self, path: str) -> postings.PostingIndex:
+        """The stored inverted index of chunks at `path`, which ingestion keeps up with `replace` and `synced`."""
+        return postings.PostingIndex(self.spark, path, T.index_tokens(F.lower("content")))
+
+    def search(self, chunks: DataFrame, principals: DataFrame, questions: DataFrame, dim: int, rerank: Callable[[F.Column, F.Column], F.Column] | None = None, index: postings.PostingIndex | None = None) -> DataFrame:
         """Served rows of each question (query_id, principal_id, question, q_embedding); `rerank` scores (question, content); where it gives null for a
-        row of a question, that question keeps the vector scores."""
+        row of a question, that question keeps the vector scores. Full text is searched in `index` where there is one."""
         seen = acl.secured(chunks, principals)
         asked = questions.withColumn("q", F.lower("question"))
         terms = recall.match_terms(asked, T.match_items(F.col("q")))
         lists = {
             "vector": recall.vector_recall(seen, asked, dim),
-            "fts": recall.text_recall(recall.asked_postings(chunks, seen, T.index_tokens(F.lower("content")), terms), terms),
+            "fts": recall.text_recall(index.asked(seen, terms) if index else recall.asked_postings(chunks, seen, T.index_tokens(F.lower("content")), terms), terms),
             "ilike": recall.substring_recall(chunks, seen, asked, T.substring_terms(F.col("q"))),
         }
         cands = recall.candidates(recall.fused(lists))

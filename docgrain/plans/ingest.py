@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from docgrain.functions import text as T
 from docgrain.operators import cdc
 from docgrain.operators import governance as G
+from docgrain.operators.rows import fresh_path
 from docgrain.sources import substrate as S
+from docgrain.sources.snapshots import SnapshotTable
 
 from ._registry import plan
 
@@ -70,9 +72,14 @@ def _(spark, d):
 
 @plan("sc16_document_sink", "SELECT doc_id, CASE WHEN doc_id // 4 % 3 = 0 THEN 'new' ELSE md5(text) END AS v FROM documents")
 def _(spark, d):
-    old = S.documents(spark, d).select(F.floor(F.col("doc_id") / 4).alias("document_id"), "doc_id", F.md5("text").alias("v"))
+    old = S.documents(spark, d).select(F.floor(F.col("doc_id") / 4).cast("long").alias("document_id"), "doc_id", F.md5("text").alias("v"))
     new = old.where("document_id % 3 = 0").withColumn("v", F.lit("new"))
-    return cdc.replace_rows(old, new, "document_id").select("doc_id", "v")
+    table = SnapshotTable(spark, fresh_path(spark, "documents"), "document_id long, doc_id long, v string", "document_id")
+    table.commit("load", old)
+    table.commit("parse", new.withColumn("v", F.lit("stale")))
+    for _ in range(2):  # the second is the first repeated: it changes nothing
+        table.commit("parse again", new)
+    return table.rows().select("doc_id", "v")
 
 
 _NOW = "TIMESTAMP '2024-01-31 12:00:00'"

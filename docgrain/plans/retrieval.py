@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
-from docgrain.operators import acl, expand, recall
-from docgrain.operators.rows import staged, top
+from docgrain.operators import acl, expand, postings, recall
+from docgrain.operators.rows import fresh_path, staged, top
 from docgrain.sources import substrate as S
 
 from ._registry import plan
@@ -45,9 +45,14 @@ def vector(spark, d):
     return recall.vector_recall(readable(spark, d, True), S.with_query_vectors(S.questions(spark, d), spark, d), S.DIM)
 
 
+def index(spark, d):
+    """The stored inverted index of the chunks, which every search of a session reads."""
+    return postings.stored(spark, f"{d}/documents.parquet", T.index_tokens(F.lower("content")), lambda: S.chunks(spark, d))
+
+
 def fts(spark, d):
     terms = staged(recall.match_terms(S.questions(spark, d), T.match_items(F.lower("question"))))
-    return recall.text_recall(recall.asked_postings(S.chunks(spark, d), readable(spark, d), T.index_tokens(F.lower("content")), terms), terms)
+    return recall.text_recall(index(spark, d).asked(readable(spark, d), terms), terms)
 
 
 def substring(spark, d):
@@ -78,6 +83,20 @@ def _(spark, d):
     return fts(spark, d)
 
 
+@plan("rt2_updated_index", f"""{S.cte('chunks')}, t AS (SELECT DISTINCT document_id, chunk_id, unnest(regexp_extract_all(lower(content), '[A-Za-z0-9_]{{2,}}')) AS token FROM chunks WHERE document_id % 7 <> 0 AND document_id % 11 <> 0)
+SELECT document_id, count(*) AS postings, count(DISTINCT token) AS tokens, sum(chunk_id)::BIGINT AS chunk_sum FROM t GROUP BY document_id""")
+def _(spark, d):
+    now, doc = S.chunks(spark, d), F.col("document_id")
+    before = now.where(doc % 5 != 4).withColumn("content", F.when(doc % 3 == 0, F.reverse("content")).otherwise(F.col("content")))
+    action = F.when(doc % 7 == 0, "retired").when(doc % 5 == 4, "new").when(doc % 3 == 0, "changed").otherwise("unchanged")
+    made = postings.PostingIndex(spark, fresh_path(spark, "postings"), T.index_tokens(F.lower("content")))
+    made.replace("first", before)
+    for _ in range(2):  # a repeated job changes nothing
+        made.synced("sync", now.select("document_id", action.alias("action")).distinct(), now)
+    made.replace("purge", gone=now.where(doc % 11 == 0).select("document_id").distinct())
+    return made.postings().groupBy("document_id").agg(F.count("*").alias("postings"), F.count_distinct("token").alias("tokens"), F.sum("chunk_id").alias("chunk_sum"))
+
+
 @plan("rt3_substring_recall", f"{_with('likes')} SELECT query_id, chunk_id, place, rank FROM likes")
 def _(spark, d):
     return substring(spark, d)
