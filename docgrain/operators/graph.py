@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import size_checked, staged, top, within_budget
+from .rows import hub_join, size_checked, staged, top, within_budget
 
 MAX_HOPS, TOP, SEEDS = 2, 10, 8
 
@@ -36,22 +36,49 @@ def without_documents(entities: DataFrame, mentions: DataFrame, relations: DataF
 
 def expand(seeds: DataFrame, relations: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """(query_id, entity_id, hop, weight) reached from seeds (query_id, entity_id) along directed relations (src, dst,
-    support). Seeds have hop 1 and no weight; a path never meets an entity twice; hops are smallest, weights add up."""
-    walk = seeds.select("query_id", "entity_id", F.lit(1).alias("hop"), F.lit(0).cast("long").alias("weight"), F.array("entity_id").alias("path"))
-    out = walk
+    support). Seeds have hop 1 and no weight; a path never meets an entity twice; hops are smallest, weights add up. A
+    repeated seed or relation makes paths of its own.
+
+    No path is held: a frontier has, for each query, seed and entity, how many paths lead there and their summed weights, so its
+    size doesn't grow with their number. Walks that come back are kept out: to the seed by a condition, as each frontier knows
+    its seed, and in the fourth hop to the entity two steps before by subtracting the walks that go there and back. So
+    `max_hops` is at most 4.
+    """
+    if not 1 <= max_hops <= 4:
+        raise ValueError("paths of more than four hops need their entities held")
+    edges = staged(relations.where("src <> dst").select(F.col("src").alias("entity_id"), "dst", F.col("support").cast("long").alias("support")))
+    first = seeds.groupBy("query_id", "entity_id").agg(F.count("*").alias("paths"))
+    frontiers = [staged(first.select("query_id", F.col("entity_id").alias("seed"), "entity_id", "paths", F.lit(0).cast("long").alias("weight")))]
     for hop in range(2, max_hops + 1):
-        walk = walk.join(relations.select(F.col("src").alias("entity_id"), "dst", "support"), "entity_id").where(~F.array_contains("path", F.col("dst")))
-        walk = walk.select("query_id", F.col("dst").alias("entity_id"), F.lit(hop).alias("hop"), (F.col("weight") + F.col("support")).alias("weight"), F.array_append("path", F.col("dst")).alias("path"))
-        out = out.unionByName(walk)
+        steps = hub_join(frontiers[-1], edges, "entity_id", "dst").where("dst <> seed")
+        steps = steps.select("query_id", "seed", F.col("dst").alias("entity_id"), "paths", (F.col("weight") + F.col("paths") * F.col("support")).alias("weight"))
+        if hop == 4:
+            steps = steps.unionByName(returning(frontiers[1], edges))
+        sums = steps.groupBy("query_id", "seed", "entity_id").agg(F.sum("paths").alias("paths"), F.sum("weight").alias("weight"))
+        frontiers.append(staged(sums.where("paths > 0")))
+    out = frontiers[0].withColumn("hop", F.lit(1))
+    for hop, frontier in enumerate(frontiers[1:], 2):
+        out = out.unionByName(frontier.withColumn("hop", F.lit(hop)))
     return out.groupBy("query_id", "entity_id").agg(F.min("hop").alias("hop"), F.sum("weight").alias("weight"))
 
 
+def returning(second: DataFrame, edges: DataFrame) -> DataFrame:
+    """Minus the walks seed, entity, other, entity of the second frontier: there and back between the entity and any other but the seed."""
+    back = edges.select(F.col("dst").alias("entity_id"), F.col("entity_id").alias("dst"), F.col("support").alias("home"))
+    both = staged(edges.join(back, ["entity_id", "dst"]).groupBy("entity_id", "dst").agg(F.count("*").alias("n"), F.sum(F.col("support") + F.col("home")).alias("total")))
+    all_of = both.groupBy("entity_id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    own = both.select("entity_id", F.col("dst").alias("seed"), F.col("n").alias("own_n"), F.col("total").alias("own_total"))
+    walks = second.join(all_of, "entity_id").join(own, ["entity_id", "seed"], "left")
+    n, total = (F.col(c) - F.coalesce(f"own_{c}", F.lit(0)) for c in ("n", "total"))
+    return walks.select("query_id", "seed", "entity_id", (-F.col("paths") * n).alias("paths"), (-(F.col("weight") * n + F.col("paths") * total)).alias("weight"))
+
+
 def neighbours(reached: DataFrame, mentions: DataFrame, seen: DataFrame, n: int = TOP) -> DataFrame:
     """(query_id, chunk_id, hop, weight, rank): readable chunks that mention reached entities, nearest first.
 
     `reached` has a principal_id; `seen` is (principal_id, chunk_id).
     """
-    hits = reached.join(mentions.select("entity_id", "chunk_id"), "entity_id").join(seen.select("principal_id", "chunk_id"), ["principal_id", "chunk_id"], "left_semi")
+    hits = hub_join(reached, mentions.select("entity_id", "chunk_id"), "entity_id", "chunk_id").join(seen.select("principal_id", "chunk_id"), ["principal_id", "chunk_id"], "left_semi")
     found = hits.groupBy("query_id", "chunk_id").agg(F.min("hop").alias("hop"), F.sum("weight").alias("weight"))
     return top(found, ["query_id"], [F.col("hop"), F.desc("weight"), F.col("chunk_id")], n, "rank")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 
+from .automaton import finds
 from .rows import top
 
 # Fixed values that results depend on: budgets of navigation terms, and names with a name in the other script in brackets.
@@ -59,16 +60,10 @@ def acceptable(term: Column) -> Column:
 
 
 def nav_hits(page_terms: DataFrame, needles: DataFrame) -> DataFrame:
-    """(document_id, term, needle) where a page's term contains a needle, case aside: the term's substrings of the
-    needles' lengths meet the needles by equality, so no pair that doesn't match is made."""
-    bounds = needles.agg(F.min(F.length("needle")), F.max(F.length("needle"))).first()
-    if bounds[0] is None:
-        return page_terms.select("document_id", "term", F.lit("").alias("needle")).limit(0)
-    low = F.lower("term")
-    starts = F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1)))
-    sizes = F.array(*[F.lit(n) for n in range(bounds[0], bounds[1] + 1)])
-    pieces = F.flatten(F.transform(sizes, lambda n: F.transform(F.filter(starts, lambda i: i + n - 1 <= F.length(low)), lambda i: F.substring(low, i, n))))
-    return page_terms.select("document_id", "term", F.explode(F.array_distinct(pieces)).alias("needle")).join(needles, "needle").select("document_id", "term", "needle")
+    """(document_id, term, needle) where a page's term contains a needle, case aside: one automaton of all needles passes the terms."""
+    pages = page_terms.select("document_id", "term", F.lower("term").alias("text")).withColumnRenamed("term", "own")
+    found = finds(pages, "text", needles.select(F.col("needle").alias("term")))
+    return found.select("document_id", F.col("own").alias("term"), F.col("term").alias("needle"))
 
 
 def nav_terms(pages: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 
+from .automaton import finds
 from .rows import dealt, size_checked, spread_join, staged, top
 
 RECALL, SERVED, RRF_K, THRESHOLD, WEIGHT = 50, 8, 60, 0.5, 0.001
@@ -112,38 +113,33 @@ def text_recall(index: DataFrame, terms: DataFrame, n: int = RECALL) -> DataFram
     return top(found.select("query_id", "chunk_id", "score"), ["query_id"], [F.desc("score"), F.col("chunk_id")], n, "rank")
 
 
-#: Characters of the pieces by which substring terms meet texts; a shorter term is a piece of its own.
-PIECE = 8
+#: What may stand between the letters and the digits of a model code.
+SEPARATORS = ("", "-", "_", " ")
 
 
-def term_pieces(terms: Column) -> Column:
-    """A piece of each term that any text with the term holds: its first PIECE characters; of a model code its letters."""
+def spellings(terms: Column) -> Column:
+    """(term, form) of each spelling that counts as the term: a model code has one for each separator."""
     code = lambda t: F.rlike(t, F.lit(r"^[a-z]{1,6}-\d{2,6}$"))
-    return F.array_distinct(F.transform(terms, lambda t: F.when(code(t), F.split_part(t, F.lit("-"), F.lit(1))).otherwise(F.substring(t, 1, PIECE))))
+    head, tail = (lambda t, i=i: F.split_part(t, F.lit("-"), F.lit(i)) for i in (1, 2))
+    forms = lambda t: F.when(code(t), F.array(*(F.concat(head(t), F.lit(s), tail(t)) for s in SEPARATORS))).otherwise(F.array(t))
+    return F.flatten(F.transform(terms, lambda t: F.transform(forms(t), lambda f: F.struct(t.alias("term"), f.alias("form")))))
 
 
 def substring_recall(chunks: DataFrame, seen: DataFrame, asked: DataFrame, terms: Column, n: int = RECALL) -> DataFrame:
     """(query_id, chunk_id, place, rank): readable chunks (`seen`) whose content or heading has a term, by the place of the longest.
 
-    Texts and terms meet by equality of pieces, the overlapping runs of characters of the lengths that terms' pieces have;
-    only the pairs that meet are verified by the terms' pattern.
+    One automaton of all asked terms passes each readable text once; a chunk's finds then meet its readers' questions.
     """
     asked = asked.select("query_id", "principal_id", terms.alias("terms")).where(F.size("terms") > 0)
-    asked = staged(asked.select("query_id", "principal_id", F.concat(F.lit("(?i)"), T.substring_pattern(F.col("terms"))).alias("pattern"), F.get("terms", F.lit(0)).alias("longest"), term_pieces(F.col("terms")).alias("pieces")))
+    asked = asked.select("query_id", "principal_id", F.get("terms", F.lit(0)).alias("longest"), F.explode(spellings(F.col("terms"))).alias("x"))
+    asked = staged(asked.select("query_id", "principal_id", F.col("x.form").alias("term"), (F.col("x.form") == F.col("longest")).alias("leads")))
     rows = staged(seen.select("principal_id", "chunk_id"))
-    wanted = asked.select("query_id", "principal_id", F.explode("pieces").alias("piece"))
-    sizes = sorted(r["n"] for r in wanted.select(F.length("piece").alias("n")).distinct().collect())  # PIECE numbers at most
-    if not sizes:
-        return top(rows.select(F.lit(0).cast("long").alias("query_id"), "chunk_id", F.lit(0).alias("place")).where("false"), ["query_id"], ["place", "chunk_id"], n, "rank")
-    both = F.concat_ws("\n", "content", "heading")
-    found = F.flatten(F.array(*(F.array_distinct(F.regexp_extract_all(both, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))) for k in sizes)))
-    texts = read_texts(chunks, rows).select("chunk_id", F.lower("content").alias("content"), F.lower(F.coalesce("heading_path", F.lit(""))).alias("heading"))
-    held = texts.select("chunk_id", F.explode(found).alias("piece")).join(size_checked(wanted.select("piece").distinct()), "piece")
-    met = held.join(rows, "chunk_id").join(size_checked(wanted), ["principal_id", "piece"]).select("query_id", "principal_id", "chunk_id").distinct()
-    pairs = met.join(texts, "chunk_id").join(size_checked(asked.select("query_id", "pattern", "longest")), "query_id").where(F.rlike("content", F.col("pattern")) | F.rlike("heading", F.col("pattern")))
-    where = lambda c: F.when(F.instr(F.col(c), F.col("longest")) > 0, F.instr(F.col(c), F.col("longest"))).otherwise(MISS)
-    pairs = pairs.select("query_id", "chunk_id", F.least(where("content"), where("heading")).alias("place"))
-    return top(pairs, ["query_id"], ["place", "chunk_id"], n, "rank")
+    texts = read_texts(chunks, rows).select("chunk_id", F.explode(F.array("content", "heading_path")).alias("text"))
+    held = finds(texts.select("chunk_id", F.lower("text").alias("text")), "text", asked.select("term"))
+    held = held.groupBy("chunk_id", "term").agg(F.min("place").alias("place"))
+    met = held.join(rows, "chunk_id").join(size_checked(asked), ["principal_id", "term"])
+    found = met.groupBy("query_id", "chunk_id").agg(F.coalesce(F.min(F.when(F.col("leads"), F.col("place"))), F.lit(MISS)).alias("place"))
+    return top(found, ["query_id"], ["place", "chunk_id"], n, "rank")
 
 
 def fused(paths: dict[str, DataFrame]) -> DataFrame:

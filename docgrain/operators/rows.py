@@ -15,6 +15,16 @@ BROADCAST_ROWS = 20_000
 SPREAD_ROWS, MOST_SALTS = 250_000, 4096
 
 
+#: Bytes of an Arrow batch that goes to Python, where the session leaves them unbounded.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes, so that a run of very long texts can't make a huge one."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "2147483647") == "2147483647":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where it is unset, a local session gets one of this machine and a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -62,6 +72,22 @@ def spread_join(many: DataFrame, few: DataFrame, key: str, spread_by: str, how:
     return many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")
 
 
+#: Rows of one key that one task of a hub join takes.
+HUB_ROWS = 100_000
+
+
+def hub_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how: str = "inner") -> DataFrame:
+    """Join on a key of which `right` may have very many rows: those are dealt to tasks by a hash of `spread_by`, and only the
+    rows of `left` with such a key are repeated, once for each of its tasks."""
+    hubs = staged(right.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > HUB_ROWS).select(F.col(key).alias("_hub"), F.ceil(F.col("n") / HUB_ROWS).cast("int").alias("_parts")))
+    if hubs.isEmpty():
+        return left.join(right, key, how)
+    hubs, parts = size_checked(hubs), F.coalesce("_parts", F.lit(1))
+    many = right.join(hubs, right[key] == hubs["_hub"], "left").withColumn("_salt", F.pmod(F.xxhash64(spread_by), parts).cast("int")).drop("_hub", "_parts")
+    few = left.join(hubs, left[key] == hubs["_hub"], "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_hub", "_parts")
+    return few.join(many, [key, "_salt"], how).drop("_salt")
+
+
 def top(df: DataFrame, by: list[str], order: list[Column | str], n: int, rank: str | None = None) -> DataFrame:
     """The first n rows of each group; Spark limits each partition's groups before it shuffles."""
     out = df.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= n)
