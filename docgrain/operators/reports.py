@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .selection import at_places, percentiles
+
 #: Bucket bounds of durations, in seconds; beyond the last is +Inf (null here).
 BUCKETS = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0)
 
@@ -13,10 +15,16 @@ def rate(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.when(whole == 0, 0.0).otherwise(F.round(part * 100.0 / whole, digits))
 
 
+SHARES = (0.5, 0.95, 0.99)
+
+
 def latency_percentiles(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
-    """Exact interpolated p50, p95 and p99 of each column; 0 where all values are null."""
-    parts = [F.round(F.coalesce(F.percentile(c, F.lit(p)), F.lit(0.0)), 6).alias(f"{c}_p{int(p * 100)}") for c in columns for p in (0.5, 0.95, 0.99)]
-    return rows.groupBy(by).agg(*parts)
+    """Exact interpolated p50, p95 and p99 of each column, by selection; 0 where all values are null."""
+    each = rows.select(by, F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select(by, "x.name", "x.value")
+    found = percentiles(each, [by, "name"], "value", SHARES)
+    absent = rows.groupBy(by).agg(F.lit(None).cast("string").alias("name"), F.lit(0.0).alias("share"), F.lit(None).cast("double").alias("value"))
+    name = lambda c, p: F.round(F.coalesce(F.max(F.when((F.col("name") == c) & (F.col("share") == p), F.col("value"))), F.lit(0.0)), 6).alias(f"{c}_p{int(p * 100)}")
+    return found.unionByName(absent).groupBy(by).agg(*(name(c, p) for c in columns for p in SHARES))
 
 
 def usage(rows: DataFrame, by: str, day: Column) -> DataFrame:
@@ -53,18 +61,20 @@ def bucket_quantile(buckets: DataFrame, by: str, q: float) -> DataFrame:
 
 
 def nearest_ranks(rows: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
-    """Values at place round(share * (n - 1)), half to even, by ranking; no group is gathered in one row."""
-    ranked = rows.select(by, value, (F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1).alias("at"), F.count("*").over(Window.partitionBy(by)).alias("n"))
-    place = lambda p: F.bround(F.lit(p) * (F.col("n") - 1), 0)
-    return ranked.groupBy(by).agg(*[F.max(F.when(F.col("at") == place(p), F.col(value))).alias(name) for name, p in shares.items()])
+    """Values at place round(share * (n - 1)), half to even, by selection; no group is gathered or sorted in one task."""
+    place = lambda p, n: F.bround(F.lit(p) * (n - 1), 0).cast("long")
+    found = at_places(rows, [by], value, lambda n: F.array(*(place(p, n) for p in shares.values())))
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("place") == place(p, F.col("n")), F.col("value"))).alias(name) for name, p in shares.items()])
 
 
 def load_summary(rows: DataFrame, failed: Column, value: str, wall: float) -> DataFrame:
     n = F.count("*")
-    return rows.agg(
+    shares = percentiles(rows, [], value, SHARES)
+    shares = shares.agg(*[F.round(F.max(F.when(F.col("share") == p, F.col("value"))), 6).alias(f"p{int(p * 100)}") for p in SHARES])
+    whole = rows.agg(
         n.alias("requests"),
         F.round(n / wall, 6).alias("qps"),
         F.round(F.count_if(failed) * 100.0 / n, 2).alias("error_pct"),
         F.round(F.avg(value), 6).alias("mean"),
-        *[F.round(F.percentile(value, F.lit(p)), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)],
     )
+    return whole.withColumn("one", F.lit(1)).join(F.broadcast(shares.withColumn("one", F.lit(1))), "one").drop("one")
