@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 from ._shared import bounded_batches, broadcast_checked, by_bytes, release, salted_join, staged, table
 
 #: Positions in a block, and those that a task holds for all languages until it closes their blocks.
-BLOCK_WORDS, HELD_WORDS = 1 << 19, 1 << 22
-#: Bytes of text that are split into words at once.
-SLICE_BYTES = 2 << 20
+BLOCK_WORDS, HELD_WORDS = 1 << 20, 3 << 20
+#: Bytes of text that are split into words at once, and pairs that leave a task at once.
+SLICE_BYTES, SENT_PAIRS = 2 << 20, 1 << 16
 #: Rows of one parent beyond which they are dealt to several tasks of a join, and frequent pairs up to which they are broadcast.
 HOT_ROWS, BROADCAST_ROWS = 200_000, 500_000
 #: Fixed by the contract: A-Z is folded, the marks and line ends part pieces (here all become full stops), tabs part words.
@@ -85,9 +85,11 @@ def word_blocks(texts: DataFrame, carry: int) -> DataFrame:
                 ids[ids == stop + 1] = 0
                 n[stop] = 0
             number += 1
-            row = [[task << 33 | number], [lang], [own], [int(n.sum())], [packed(ids)], [len(ids)], [names.cast(pa.string()).to_pylist()], [n.tolist()]]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, kinds)], names=["block", "lang", "own", "n_words", "ids", "size", "words", "counts"])
+            row = [[task << 33 | number], [lang], [own], [int(n.sum())], [packed(ids)], [len(ids)]]
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+            ends = pa.array([0, len(names)], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, names.cast(pa.string())), pa.ListArray.from_arrays(ends, pa.array(n))]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(row, kinds)), *lists], names=["block", "lang", "own", "n_words", "ids", "size", "words", "counts"])
 
         def put(lang: str, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
             for part in slices(b".".join([*raw, b""]), SLICE_BYTES):
@@ -141,7 +143,9 @@ def pairs_of(blocks: DataFrame) -> DataFrame:
                     continue
                 n = np.bincount(which[at < own], minlength=len(found))
                 names = np.concatenate([[0], batch.column("names")[row].values.to_numpy()])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), block)), pa.array(found), pa.array(names[found >> 32]), pa.array(names[found & 0xFFFFFFFF]), pa.array(n)], names=["block", "code", "left", "right", "n"])
+                for i in range(0, len(found), SENT_PAIRS):
+                    code = found[i : i + SENT_PAIRS]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(code), pa.array(names[code >> 32]), pa.array(names[code & 0xFFFFFFFF]), pa.array(n[i : i + SENT_PAIRS])], names=["block", "code", "left", "right", "n"])
 
     return blocks.select("block", "own", "size", "ids", "names").mapInArrow(run, "block long, code long, left long, right long, n long")
 
@@ -160,7 +164,8 @@ def renamed(blocks: DataFrame, found: DataFrame, pairs: bool) -> DataFrame:
         known, names = known[order], names[order]
         at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
         row["ids"] = packed(np.where(known[at] == codes, at + 1, 0))
-        return pa.table({**{c: pa.array([row[c]], EMPTY.schema.field(c).type) for c in EMPTY.column_names[:-1]}, "names": pa.array([names.tolist()], pa.list_(pa.int64()))})
+        names = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.array(names))
+        return pa.table({**{c: pa.array([row[c]], EMPTY.schema.field(c).type) for c in EMPTY.column_names[:-1]}, "names": names})
 
     sides = blocks.select("block", "lang", "own", "n_words", "ids", "size"), found.select(F.col("block").alias("at"), "code", "id")
     return sides[0].groupBy("block").cogroup(sides[1].groupBy("at")).applyInArrow(run, BLOCKS)
@@ -170,8 +175,15 @@ EMPTY = pa.table({"block": pa.array([], pa.int64()), "lang": pa.array([], pa.str
 
 
 def with_ids(counted: DataFrame) -> DataFrame:
-    """Frequent grams with an id of their own, fixed by writing them."""
-    return staged(counted.withColumn("id", F.monotonically_increasing_id() + 1))
+    """Frequent grams numbered from 1: their places in the files that they are written to, after those in the files before."""
+    rows = staged(counted.withColumn("place", F.monotonically_increasing_id()))
+    file = F.shiftrightunsigned("place", 33)
+    before, total = [], 1
+    for r in rows.groupBy(file.alias("file")).count().orderBy("file").collect():  # one row a file
+        before.append((r["file"], total - (r["file"] << 33)))
+        total += r["count"]
+    shift = F.broadcast(counted.sparkSession.createDataFrame(before, "file long, shift long"))
+    return rows.withColumn("file", file).join(shift, "file").withColumn("id", F.col("place") + F.col("shift")).drop("file", "place", "shift")
 
 
 def pair_grams(named: DataFrame, parents: DataFrame) -> DataFrame:
@@ -201,6 +213,16 @@ def levels(texts: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[
     return totals, grams
 
 
+WIDE = "CAST({} AS DECIMAL(20, 0))".format
+
+
+def worst_cut(scale: int) -> str:
+    """The cut of a gram (f, heads, tails) with the lowest score, and the shortest first part, as (score, k, l, r)."""
+    return f"""array_min(transform(sequence(1, size(heads)), k -> named_struct(
+        'score', (CAST({scale} AS DECIMAL(10, 0)) * {WIDE('f')}) div ({WIDE('heads[k - 1]')} + {WIDE('tails[size(heads) - k]')}),
+        'k', k, 'l', heads[k - 1], 'r', tails[size(heads) - k])))"""
+
+
 def mine(docs: DataFrame, longest: int = 4, least: int = 30, scale: int = 2_000_000, percent: int = 80, top: int = 2000) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases of 2 to `longest` words from `docs` (lang, text).
 
@@ -212,7 +234,6 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, scale: int = 2_000_
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     totals, grams = levels(texts, longest, least)
-    wide = "CAST({} AS DECIMAL(20, 0))".format
     # Ids are a level's own.
     longer = [g.select(F.lit(k).alias("k"), F.col(side).alias("id"), "f") for k, g in enumerate(grams[2:], 2) for side in ("left", "right")]
     phrases = grams[1].withColumn("k", F.lit(2))
@@ -223,11 +244,8 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, scale: int = 2_000_
         for x in longer[1:]:
             holders = holders.union(x)
         holders = holders.groupBy("k", "id").agg(F.max("f").alias("most"))
-        phrases = phrases.join(holders, ["k", "id"], "left").where(F.expr(f"most IS NULL OR {wide('most')} * 100 < {wide('f')} * {percent}"))
-    cuts = f"""array_min(transform(sequence(1, size(heads)), k -> named_struct(
-        'score', (CAST({scale} AS DECIMAL(10, 0)) * {wide('f')}) div ({wide('heads[k - 1]')} + {wide('tails[size(heads) - k]')}),
-        'k', k, 'l', heads[k - 1], 'r', tails[size(heads) - k])))"""
-    scored = phrases.select("lang", "phrase", F.col("f").alias("a"), F.expr(cuts).alias("cut"))
+        phrases = phrases.join(holders, ["k", "id"], "left").where(F.expr(f"most IS NULL OR {WIDE('most')} * 100 < {WIDE('f')} * {percent}"))
+    scored = phrases.select("lang", "phrase", F.col("f").alias("a"), F.expr(worst_cut(scale)).alias("cut"))
     scored = scored.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     best = scored.withColumn("rank", place).where(F.col("rank") <= top)
