@@ -83,9 +83,9 @@ def _(spark, d):
     return S.events(spark, d).where(inside).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"))
 
 
-@plan("fl11_keyword_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('A1'))")
+@plan("fl11_keyword_filter", "SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), lower('GeAr'))")
 def _(spark, d):
-    return S.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lower(F.lit("A1")))).select("p_partkey", "p_name")
+    return S.table(spark, d, "part").where(F.contains(F.lower("p_name"), F.lower(F.lit("GeAr")))).select("p_partkey", "p_name")
 
 
 @plan("fl12_one_profile", "SELECT vec_id FROM embeddings WHERE label % 2 = 0 AND embedding IS NOT NULL")

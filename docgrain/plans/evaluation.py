@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from docgrain.operators import evaluation as E
 from docgrain.sources import substrate as S
 
-from ._registry import plan
+from ._registry import case, plan
 
 # Cases: labelled documents; the score is a hash of the id, the verdicts follow from it.
 _CASES = """cases AS (SELECT doc_id, quality = 1 AS answerable, (doc_id * 37 % 1000) / 1000.0::DOUBLE AS score, doc_id % 10 = 0 AS refused, doc_id % 4 <> 1 AS file_hit, doc_id % 7 = 2 AS unlabelled FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1))"""
@@ -51,14 +51,14 @@ def _(spark, d):
     return E.precheck(cases(spark, d), 0.5)
 
 
-@plan("xt8_baseline_compare", """SELECT * FROM (VALUES ('refusal_rate', 99.0::DOUBLE, 97.5::DOUBLE, true), ('miss_rate', 1.0, 2.5, true), ('hit_rate', 97.0, 80.0, false), ('p95', 4.0, 4.2, false)) t(metric, base, now, regressed)""")
+@case("xt8_baseline_compare", """SELECT * FROM (VALUES ('refusal_rate', 99.0::DOUBLE, 97.5::DOUBLE, true), ('miss_rate', 1.0, 2.5, true), ('hit_rate', 97.0, 80.0, false), ('p95', 4.0, 4.2, false)) t(metric, base, now, regressed)""")
 def _(spark, d):
     base = spark.createDataFrame([("refusal_rate", 99.0), ("miss_rate", 1.0), ("hit_rate", 97.0), ("p95", 4.0)], "metric string, base double")
     now = spark.createDataFrame([("refusal_rate", 97.5), ("miss_rate", 2.5), ("hit_rate", 80.0), ("p95", 4.2)], "metric string, now double")
     return E.compared(base, now, higher=["refusal_rate", "hit_rate"], skipped=["hit_rate"], most=1.0)
 
 
-@plan("xt9_caliber_drift", """SELECT * FROM (VALUES ('graph', 'changed'), ('rerank', 'not recorded'), ('model', 'same')) t(name, drift)""")
+@case("xt9_caliber_drift", """SELECT * FROM (VALUES ('graph', 'changed'), ('rerank', 'not recorded'), ('model', 'same')) t(name, drift)""")
 def _(spark, d):
     names = spark.createDataFrame([("graph",), ("rerank",), ("model",)], "name string")
     base, now = '{"graph": true, "model": "m1"}', '{"graph": false, "rerank": false, "model": "m1"}'

@@ -7,7 +7,7 @@ from docgrain.operators import acl, graph, lexicon
 from docgrain.operators.rows import top
 from docgrain.sources import substrate as S
 
-from ._registry import plan
+from ._registry import case, plan
 
 _VISIBLE = S.cte("chunks", "principals", "visible")
 # Parts supply suppliers: a directed graph; suppliers (100000 and up) lead back to few parts.
@@ -101,16 +101,17 @@ def _(spark, d):
     return left
 
 
-_LINKS = "keys AS (SELECT item_id AS query_id, unnest(['part ' || item_id, 'part 1' || item_id % 10, '7']) AS key FROM benchmark), ent AS (SELECT p_partkey AS entity_id, lower(p_name) AS name_key FROM part)"
+_LINKS = "keys AS (SELECT DISTINCT item_id AS query_id, unnest([lower(p_name), split_part(lower(p_name), ' ', 1), split_part(lower(p_name), ' ', 2)]) AS key FROM benchmark JOIN part ON p_partkey = item_id + 1), ent AS (SELECT p_partkey AS entity_id, lower(p_name) AS name_key FROM part)"
 
 
 @plan("gr5_seed_linking", f"""WITH {_LINKS}, s AS (SELECT query_id, entity_id, name_key, max(CASE WHEN name_key = key THEN 1.0 WHEN starts_with(name_key, key) THEN 0.6 ELSE 0.3 END::DOUBLE) AS score FROM keys JOIN ent ON contains(name_key, key) GROUP BY 1, 2, 3)
 SELECT query_id, entity_id, name_key, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name_key, entity_id) AS n FROM s) WHERE n <= 8""")
 def _(spark, d):
     asked = S.table(spark, d, "benchmark")
-    i = F.col("item_id").cast("string")
-    keys = asked.select(F.col("item_id").alias("query_id"), F.explode(F.array(F.concat(F.lit("part "), i), F.concat(F.lit("part 1"), (F.col("item_id") % 10).cast("string")), F.lit("7"))).alias("key"))
     names = S.table(spark, d, "part").select(F.col("p_partkey").alias("document_id"), F.lower("p_name").alias("term"))
+    asked = asked.join(names, asked.item_id + 1 == names.document_id)
+    words = F.split("term", " ")
+    keys = asked.select(F.col("item_id").alias("query_id"), F.explode(F.array("term", words[0], words[1])).alias("key")).distinct()
     hits = lexicon.nav_hits(names, keys.select(F.col("key").alias("needle")).distinct())
     layer = F.when(F.col("name_key") == F.col("key"), 1.0).otherwise(0.3)
     layers = hits.select(F.col("document_id").alias("entity_id"), F.col("term").alias("name_key"), F.col("needle").alias("key")).join(keys, "key").withColumn("layer", layer)
@@ -154,7 +155,7 @@ def _(spark, d):
     return S.table(spark, d, "part").select(F.col("p_brand").alias("alias"), T.index_text(F.lower("p_brand")).alias("tokens")).distinct()
 
 
-@plan("ag21_term_frequency", r"""WITH c AS (SELECT kb_id, term, count(*) AS freq FROM (SELECT 'kb' AS kb_id, unnest(['xyz-1000', 'xyz-1000', 'ax-30']) AS term) GROUP BY 1, 2) SELECT kb_id, term, freq FROM c WHERE freq >= 2""")
+@case("ag21_term_frequency", r"""WITH c AS (SELECT kb_id, term, count(*) AS freq FROM (SELECT 'kb' AS kb_id, unnest(['xyz-1000', 'xyz-1000', 'ax-30']) AS term) GROUP BY 1, 2) SELECT kb_id, term, freq FROM c WHERE freq >= 2""")
 def _(spark, d):
     texts = spark.createDataFrame([("kb", "See XYZ-1000, also xyz1000."), ("kb", "The ax 30 too")], "kb_id string, content string")
     return lexicon.mined_terms(texts, 2).select("kb_id", "term", "freq")
@@ -181,7 +182,7 @@ def _(spark, d):
     return lexicon.clean_sections(rows, valid).select("document_id", "place", "heading", F.array_join("chunk_ids", ",").alias("chunk_ids"))
 
 
-@plan("wk2_nav_terms", "SELECT * FROM (VALUES (1, 'router', 1), (1, '访问令牌', 2), (2, 'app router', 1)) t(query_id, term, place)")
+@case("wk2_nav_terms", "SELECT * FROM (VALUES (1, 'router', 1), (1, '访问令牌', 2), (2, 'app router', 1)) t(query_id, term, place)")
 def _(spark, d):
     rows = [(1, ["访问令牌", "Router", "令牌", "the_id", "12 34"], ["报销"], "报销 the_id", ["令牌"]), (2, ["App  Router", "app", "报销流程"], ["报销流程"], "报销流程", [])]
     return lexicon.nav_terms(spark.createDataFrame(rows, "query_id int, terms array<string>, query_terms array<string>, query string, aliases array<string>"))

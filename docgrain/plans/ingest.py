@@ -9,7 +9,7 @@ from docgrain.operators.rows import fresh_path
 from docgrain.sources import substrate as S
 from docgrain.sources.snapshots import SnapshotTable
 
-from ._registry import plan
+from ._registry import case, plan
 
 _PAGES = """syn AS (SELECT url, 'e' || page_id AS etag, '' AS modified, md5(html) AS content_hash, (1 + page_id % 3)::INTEGER AS version, page_id % 7 <> 0 AS live, page_id FROM pages WHERE page_id % 5 <> 0),
 fnd AS (SELECT url, CASE WHEN page_id % 2 = 0 THEN 'e' || page_id ELSE 'x' END AS etag, '' AS modified, CASE WHEN page_id % 3 = 0 THEN 'new' ELSE md5(html) END AS content_hash FROM pages WHERE page_id % 11 <> 0)"""
@@ -168,7 +168,7 @@ def _(spark, d):
     return done.groupBy("kb_id").agg(F.count_if(F.col("fts").isNull()).alias("pending"), F.count("filled").alias("filled"))
 
 
-@plan("xt20_window_fit", """SELECT * FROM (VALUES (1, 3, 2), (2, 2, 2), (3, 0, 4), (4, 0, 2)) t(id, history_kept, chunks_kept)""")
+@case("xt20_window_fit", """SELECT * FROM (VALUES (1, 3, 2), (2, 2, 2), (3, 0, 4), (4, 0, 2)) t(id, history_kept, chunks_kept)""")
 def _(spark, d):
     rows = [(1, 100, [10, 10, 10], [20, 20]), (2, 100, [900, 10, 10], [20, 20]), (3, 100, [900, 900], [150, 150, 150, 150, 150, 150]), (4, 100, [900], [700, 700, 700, 700])]
     fit = G.window_fit(F.col("fixed"), F.col("h"), F.col("c"), limit=800)
@@ -176,7 +176,7 @@ def _(spark, d):
     return out.select("id", fit["history_kept"].alias("history_kept"), fit["chunks_kept"].cast("int").alias("chunks_kept"))
 
 
-@plan("xt21_config_fingerprint", """SELECT substr(sha1('{"chunk_max":800,"chunk_target":400,"model":"m1"}'), 1, 12) AS fingerprint""")
+@case("xt21_config_fingerprint", """SELECT substr(sha1('{"chunk_max":800,"chunk_target":400,"model":"m1"}'), 1, 12) AS fingerprint""")
 def _(spark, d):
     config = F.to_json(F.struct(F.lit(800).alias("chunk_max"), F.lit(400).alias("chunk_target"), F.lit("m1").alias("model")))
     return spark.range(1).select(T.short_hash(config).alias("fingerprint"))

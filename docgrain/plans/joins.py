@@ -73,9 +73,9 @@ def _(spark, d):
     return sums.join(mentioned, "document_id", "left_anti")
 
 
-@plan("jn8_orphans", "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R')")
+@plan("jn8_orphans", "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R' AND l_quantity >= 45)")
 def _(spark, d):
-    used = S.table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey"))
+    used = S.table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 45").select(F.col("l_partkey").alias("p_partkey"))
     return S.table(spark, d, "part").where("p_partkey % 3 = 0").join(used, "p_partkey", "left_anti").select("p_partkey")
 
 

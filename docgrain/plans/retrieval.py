@@ -145,27 +145,37 @@ def search_hybrid(spark, d):
     return verdict.join(rows.select("query_id", "chunk_id", "final_score", "rrf", "rank"), "query_id", "left")
 
 
-_REST = """{head}, g AS (SELECT DISTINCT h.query_id, h.principal_id, v.table_group_id FROM hits h JOIN visible v USING (principal_id, chunk_id) WHERE v.table_group_id IS NOT NULL),
-r AS (SELECT g.query_id, g.table_group_id, v.chunk_id, v.chunk_index, row_number() OVER w AS n, sum(v.token_count) OVER w AS s FROM g JOIN visible v USING (principal_id, table_group_id) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = g.query_id AND h.chunk_id = v.chunk_id) WINDOW w AS (PARTITION BY g.query_id, g.table_group_id ORDER BY v.chunk_index, v.chunk_id ROWS UNBOUNDED PRECEDING))
+# A knowledge base is one document of short chunks with one table and a section for each language, so that a question's hits share them.
+_GROUPED = """grouped AS (SELECT * REPLACE (substr(kb_id, 4)::BIGINT AS document_id, split_part(heading_path, '/', 1) AS heading_path, CASE WHEN chunk_id % 2 = 0 THEN 'g' || kb_id END AS table_group_id, greatest(1, length(content) // 8)::INTEGER AS token_count, chunk_id AS chunk_index) FROM visible)"""
+
+
+def grouped(spark, d):
+    rows = readable(spark, d).withColumn("document_id", F.substring("kb_id", 4, 9).cast("long")).withColumn("heading_path", F.split_part("heading_path", F.lit("/"), F.lit(1)))
+    rows = rows.withColumn("table_group_id", F.when(F.col("chunk_id") % 2 == 0, F.concat(F.lit("g"), "kb_id"))).withColumn("chunk_index", F.col("chunk_id"))
+    return rows.withColumn("token_count", F.greatest(F.lit(1), F.floor(F.length("content") / 8)).cast("int"))
+
+
+_REST = """{head}, {grouped}, g AS (SELECT DISTINCT h.query_id, h.principal_id, v.table_group_id FROM hits h JOIN grouped v USING (principal_id, chunk_id) WHERE v.table_group_id IS NOT NULL),
+r AS (SELECT g.query_id, g.table_group_id, v.chunk_id, v.chunk_index, row_number() OVER w AS n, sum(v.token_count) OVER w AS s FROM g JOIN grouped v USING (principal_id, table_group_id) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = g.query_id AND h.chunk_id = v.chunk_id) WINDOW w AS (PARTITION BY g.query_id, g.table_group_id ORDER BY v.chunk_index, v.chunk_id ROWS UNBOUNDED PRECEDING))
 SELECT query_id, table_group_id, chunk_id, chunk_index FROM r WHERE n <= 3 AND s <= 2048"""
 
 
-@plan("rt11_table_rest", _REST.format(head=_with("hits")))
+@plan("rt11_table_rest", _REST.format(head=_with("hits"), grouped=_GROUPED))
 def _(spark, d):
-    return expand.table_rest(hits(spark, d), readable(spark, d))
+    return expand.table_rest(hits(spark, d), grouped(spark, d))
 
 
-_SECTION = """{head}, sec AS (SELECT h.query_id, h.principal_id, v.document_id, v.heading_path, min(h.rank) AS section FROM hits h JOIN visible v USING (principal_id, chunk_id) WHERE v.table_group_id IS NULL AND length(trim(v.heading_path)) >= 2 GROUP BY 1, 2, 3, 4),
-c AS (SELECT * FROM (SELECT s.query_id, s.section, v.chunk_index, v.chunk_id, v.token_count, row_number() OVER (PARTITION BY s.query_id, s.section ORDER BY v.chunk_index, v.chunk_id) AS k FROM sec s JOIN visible v USING (principal_id, document_id, heading_path) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = s.query_id AND h.chunk_id = v.chunk_id)) WHERE k <= 3),
+_SECTION = """{head}, {grouped}, sec AS (SELECT h.query_id, h.principal_id, v.document_id, v.heading_path, min(h.rank) AS section FROM hits h JOIN grouped v USING (principal_id, chunk_id) WHERE v.table_group_id IS NULL AND length(trim(v.heading_path)) >= 2 GROUP BY 1, 2, 3, 4),
+c AS (SELECT * FROM (SELECT s.query_id, s.section, v.chunk_index, v.chunk_id, v.token_count, row_number() OVER (PARTITION BY s.query_id, s.section ORDER BY v.chunk_index, v.chunk_id) AS k FROM sec s JOIN grouped v USING (principal_id, document_id, heading_path) WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.query_id = s.query_id AND h.chunk_id = v.chunk_id)) WHERE k <= 3),
 l AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY section, chunk_index, chunk_id) AS i FROM c),
 f AS (SELECT query_id, 0::BIGINT AS i, 1200::BIGINT AS left_, -1::BIGINT AS section, false AS stopped, NULL::BIGINT AS chunk_id, false AS took FROM (SELECT DISTINCT query_id FROM l)
   UNION ALL SELECT l.query_id, l.i, CASE WHEN NOT (f.section = l.section AND f.stopped) AND l.token_count <= f.left_ THEN f.left_ - l.token_count ELSE f.left_ END, l.section, (f.section = l.section AND f.stopped) OR l.token_count > f.left_, l.chunk_id, NOT (f.section = l.section AND f.stopped) AND l.token_count <= f.left_ FROM f JOIN l ON l.query_id = f.query_id AND l.i = f.i + 1)
 SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY i) - 1)::INTEGER AS place FROM f WHERE took"""
 
 
-@plan("rt12_section_rest", _SECTION.format(head=_with("hits").replace("WITH ", "WITH RECURSIVE ", 1)))
+@plan("rt12_section_rest", _SECTION.format(head=_with("hits").replace("WITH ", "WITH RECURSIVE ", 1), grouped=_GROUPED))
 def _(spark, d):
-    return expand.section_rest(hits(spark, d), readable(spark, d))
+    return expand.section_rest(hits(spark, d), grouped(spark, d))
 
 
 _STATS = ", ".join(f"count(*) FILTER ({p}) AS {p}_covered, count(*) FILTER ({p} AND NOT ({' OR '.join(q for q in PATHS if q != p)})) AS {p}_unique" for p in PATHS)

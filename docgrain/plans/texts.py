@@ -8,7 +8,7 @@ from docgrain.operators import conversation as C
 from docgrain.sources import files, parsers
 from docgrain.sources import substrate as S
 
-from ._registry import plan
+from ._registry import case, plan
 
 _LITERALS = ("并发编程", "报销标准，1000元", "税", "ABC xyz_1 a", "", "Java 并发 Spring")
 _SQL_LITERALS = ", ".join(f"('{t}')" for t in _LITERALS)
@@ -38,25 +38,25 @@ def _(spark, d):
     return rows.select("k", F.md5(T.index_text(F.col("s"))).alias("tokens"))
 
 
-@plan("tx3_match_items", """SELECT * FROM (VALUES ('并发编程', 'cjk:并发+发编|cjk:发编+编程'), ('Java Spring Boot', 'ascii:java|ascii:spring|ascii:boot'), ('xyz-1000', 'ascii:xyz|ascii:1000|ascii:xyz+1000'), ('M-1002', 'ascii:1002'), ('', ''), ('，。！？', '')) t(q, items)""")
+@case("tx3_match_items", """SELECT * FROM (VALUES ('并发编程', 'cjk:并发+发编|cjk:发编+编程'), ('Java Spring Boot', 'ascii:java|ascii:spring|ascii:boot'), ('xyz-1000', 'ascii:xyz|ascii:1000|ascii:xyz+1000'), ('M-1002', 'ascii:1002'), ('', ''), ('，。！？', '')) t(q, items)""")
 def _(spark, d):
     rows = spark.createDataFrame([(q,) for q in ("并发编程", "Java Spring Boot", "xyz-1000", "M-1002", "", "，。！？")], "q string")
     return rows.select("q", F.array_join(F.transform(T.match_items(F.lower("q")), lambda x: F.concat(x["grp"], F.lit(":"), F.array_join(x["tokens"], "+"))), "|").alias("items"))
 
 
-@plan("tx4_substring_terms", """SELECT * FROM (VALUES ('.*+?[](){}|^$ 报销流程', '报销流程'), ('什么 如何', ''), ('差旅费报销需要提供哪些凭证', '差旅费报销,提供,凭证'), ('AX-3000 get_retrieval how', 'get_retrieval,ax-3000')) t(q, terms)""")
+@case("tx4_substring_terms", """SELECT * FROM (VALUES ('.*+?[](){}|^$ 报销流程', '报销流程'), ('什么 如何', ''), ('差旅费报销需要提供哪些凭证', '差旅费报销,提供,凭证'), ('AX-3000 get_retrieval how', 'get_retrieval,ax-3000')) t(q, terms)""")
 def _(spark, d):
     rows = spark.createDataFrame([(q,) for q in (".*+?[](){}|^$ 报销流程", "什么 如何", "差旅费报销需要提供哪些凭证", "AX-3000 get_retrieval how")], "q string")
     return rows.select("q", F.array_join(T.substring_terms(F.lower("q")), ",").alias("terms"))
 
 
-@plan("tx5_substring_pattern", r"""SELECT * FROM (VALUES ('xyz-1000', 'xyz[-_ ]?1000'), ('a.b*c', 'a\.b\*c'), ('报销', '报销')) t(term, pattern)""")
+@case("tx5_substring_pattern", r"""SELECT * FROM (VALUES ('xyz-1000', 'xyz[-_ ]?1000'), ('a.b*c', 'a\.b\*c'), ('报销', '报销')) t(term, pattern)""")
 def _(spark, d):
     rows = spark.createDataFrame([("xyz-1000",), ("a.b*c",), ("报销",)], "term string")
     return rows.select("term", T.substring_pattern(F.array("term")).alias("pattern"))
 
 
-@plan("tx6_model_codes", "SELECT * FROM (VALUES ('XYZ-1000 and xyz1000', 'xyz-1000'), ('java 1000', 'java-1000'), ('M_1002x', ''), ('ax 30, by-4567', 'ax-30,by-4567')) t(q, codes)")
+@case("tx6_model_codes", "SELECT * FROM (VALUES ('XYZ-1000 and xyz1000', 'xyz-1000'), ('java 1000', 'java-1000'), ('M_1002x', ''), ('ax 30, by-4567', 'ax-30,by-4567')) t(q, codes)")
 def _(spark, d):
     rows = spark.createDataFrame([("XYZ-1000 and xyz1000",), ("java 1000",), ("M_1002x",), ("ax 30, by-4567",)], "q string")
     return rows.select("q", F.array_join(T.model_codes(F.lower("q")), ",").alias("codes"))
@@ -124,10 +124,10 @@ def _(spark, d):
     return S.table(spark, d, "pages").select("page_id", kind.alias("modality"))
 
 
-@plan("sc15_scanned", "SELECT doc_id // 4 AS document_id, sum(length(substr(text, 1, (doc_id // 4 % 5)::INTEGER))) < 10 AS scanned FROM documents GROUP BY 1")
+@plan("sc15_scanned", "SELECT doc_id // 4 AS document_id, sum(length(text)) < 10 AS scanned FROM documents GROUP BY 1")
 def _(spark, d):
     group = F.floor(F.col("doc_id") / 4)
-    return _docs(spark, d).groupBy(group.alias("document_id")).agg((F.sum(F.length(F.substring(F.col("text"), F.lit(1), (group % 5).cast("int")))) < 10).alias("scanned"))
+    return _docs(spark, d).groupBy(group.alias("document_id")).agg((F.sum(F.length("text")) < 10).alias("scanned"))
 
 
 @plan("sc18_unexported_samples", "SELECT conv_id, turn, '2024-02-01' AS exported_at FROM conversations WHERE role = 'assistant' AND conv_id % 3 <> 0")
@@ -165,7 +165,7 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", T.snippet(F.col("text"), F.lit("tionha")).alias("snippet"))
 
 
-@plan("tx18_mask_pii", """SELECT * FROM (VALUES ('id 510123199001011234.', 'id 510123********1234.'), ('510123900101123', '510123******123'), ('6222021234567890123', '622202********0123'), ('card 6222021234567890', 'card 622202****7890'), ('call 13812345678 now', 'call 138****5678 now'), ('12345678901234567890', '12345678901234567890'), ('12812345678', '12812345678')) t(raw, masked)""")
+@case("tx18_mask_pii", """SELECT * FROM (VALUES ('id 510123199001011234.', 'id 510123********1234.'), ('510123900101123', '510123******123'), ('6222021234567890123', '622202********0123'), ('card 6222021234567890', 'card 622202****7890'), ('call 13812345678 now', 'call 138****5678 now'), ('12345678901234567890', '12345678901234567890'), ('12812345678', '12812345678')) t(raw, masked)""")
 def _(spark, d):
     raw = ("id 510123199001011234.", "510123900101123", "6222021234567890123", "card 6222021234567890", "call 13812345678 now", "12345678901234567890", "12812345678")
     return spark.createDataFrame([(r,) for r in raw], "raw string").select("raw", T.mask_pii(F.col("raw")).alias("masked"))
@@ -176,7 +176,14 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.rlike("text", F.lit(r"(?<!\d)1[3-9]\d{9}(?!\d)")).alias("has_mobile"))
 
 
-@plan("tx18_masked_texts")
+# Longer kinds first; twice each, as neighbours share the character between them.
+_MASKED = "text"
+for _digits, _head, _stars, _tail in ((r"[0-9]{8}", r"[0-9]{6}", 8, "[0-9]{3}[0-9Xx]"), (r"[0-9]{6}", r"[0-9]{6}", 6, "[0-9]{3}"), (r"[0-9]{9}", r"[0-9]{6}", 8, "[0-9]{4}"), (r"[0-9]{6}", r"[0-9]{6}", 4, "[0-9]{4}"), (r"[0-9]{4}", r"1[3-9][0-9]", 4, "[0-9]{4}")):
+    for _ in range(2):
+        _MASKED = f"regexp_replace({_MASKED}, '(^|[^0-9])({_head}){_digits}({_tail})($|[^0-9])', '\\1\\2{'*' * _stars}\\3\\4', 'g')"
+
+
+@plan("tx18_masked_texts", f"SELECT doc_id, md5({_MASKED}) AS masked_md5 FROM documents")
 def _(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(T.mask_pii(F.col("text"))).alias("masked_md5"))
 
@@ -233,18 +240,19 @@ def _(spark, d):
     return S.table(spark, d, "part").select(T.name_key(F.concat("p_name", F.lit("  "), "p_type")).alias("name_key")).distinct()
 
 
-@plan("tx25_relation_names", r"SELECT item_id, CASE WHEN length(r) > 20 THEN '' ELSE r END AS relation FROM (SELECT item_id, trim(regexp_replace(substr(text, 1, (5 + item_id % 20)::INTEGER), '\s+', ' ', 'g')) AS r FROM benchmark)")
+@plan("tx25_relation_names", r"SELECT item_id, n::INTEGER AS n, CASE WHEN length(r) > 20 THEN '' ELSE r END AS relation FROM (SELECT item_id, n, trim(regexp_replace(p, '\s+', ' ', 'g')) AS r FROM (SELECT item_id, unnest(x) AS p, generate_subscripts(x, 1) AS n FROM (SELECT item_id, regexp_split_to_array(text, '[.,]') AS x FROM benchmark)))")
 def _(spark, d):
-    return S.table(spark, d, "benchmark").select("item_id", T.relation_name(F.substring(F.col("text"), F.lit(1), (5 + F.col("item_id") % 20).cast("int"))).alias("relation"))
+    pieces = S.table(spark, d, "benchmark").select("item_id", F.posexplode(F.split("text", "[.,]")).alias("at", "p"))
+    return pieces.select("item_id", (F.col("at") + 1).alias("n"), T.relation_name(F.col("p")).alias("relation"))
 
 
-@plan("tx26_json_salvage", """SELECT * FROM (VALUES ('Sure: {"a": 1} done', '1'), ('no json', NULL), ('{"a": {"b": 2}} x', '{"b":2}'), ('} {', NULL)) t(raw, a)""")
+@case("tx26_json_salvage", """SELECT * FROM (VALUES ('Sure: {"a": 1} done', '1'), ('no json', NULL), ('{"a": {"b": 2}} x', '{"b":2}'), ('} {', NULL)) t(raw, a)""")
 def _(spark, d):
     rows = spark.createDataFrame([('Sure: {"a": 1} done',), ("no json",), ('{"a": {"b": 2}} x',), ("} {",)], "raw string")
     return rows.select("raw", F.get_json_object(T.salvaged(F.col("raw")), "$.a").alias("a"))
 
 
-@plan("tx27_confidence", "SELECT * FROM (VALUES ('0.7', 0.7::DOUBLE), ('1.5', 1.0), ('-2', 0.0), ('true', NULL), ('x', NULL), (NULL, NULL)) t(raw, c)")
+@case("tx27_confidence", "SELECT * FROM (VALUES ('0.7', 0.7::DOUBLE), ('1.5', 1.0), ('-2', 0.0), ('true', NULL), ('x', NULL), (NULL, NULL)) t(raw, c)")
 def _(spark, d):
     rows = spark.createDataFrame([("0.7",), ("1.5",), ("-2",), ("true",), ("x",), (None,)], "raw string")
     return rows.select("raw", T.confidence(F.col("raw")).alias("c"))
@@ -319,7 +327,7 @@ def _(spark, d):
     return b.join(other, "item_id").select("item_id", (T.token_overlap(F.col("x"), F.col("y")) < 0.2).alias("flagged"))
 
 
-@plan("tx34_no_answer", """SELECT * FROM (VALUES ('知识库中未找到相关内容。', true), ('#### 说明' || chr(10) || '**知识库中未找到**相关内容', true), ('关于考勤打卡，知识库中未找到相关内容。', true), ('关于住宿，知识库中没有明文上限，但第八条规定了标准。', false), ('报销标准为每天 500 元[1]。', false), ('', false)) t(answer, refused)""")
+@case("tx34_no_answer", """SELECT * FROM (VALUES ('知识库中未找到相关内容。', true), ('#### 说明' || chr(10) || '**知识库中未找到**相关内容', true), ('关于考勤打卡，知识库中未找到相关内容。', true), ('关于住宿，知识库中没有明文上限，但第八条规定了标准。', false), ('报销标准为每天 500 元[1]。', false), ('', false)) t(answer, refused)""")
 def _(spark, d):
     from docgrain.functions.answers import is_no_answer
 
@@ -337,7 +345,7 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.sha2("text", 256).alias("content_hash"), T.short_hash(F.col("text")).alias("short_hash"))
 
 
-@plan("tx42_alias_pairs", """SELECT * FROM (VALUES ('kb', '访问令牌', 'AccessToken', 2::BIGINT), ('kb', '应用路由', 'AppRouter', 1)) t(kb_id, term, alias, freq)""")
+@case("tx42_alias_pairs", """SELECT * FROM (VALUES ('kb', '访问令牌', 'AccessToken', 2::BIGINT), ('kb', '应用路由', 'AppRouter', 1)) t(kb_id, term, alias, freq)""")
 def _(spark, d):
     from docgrain.operators.lexicon import mined_terms
 
@@ -357,7 +365,7 @@ def _(spark, d):
     return rows.groupBy("document_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "line"))), lambda x: x["line"]), "\n\n")).alias("context"))
 
 
-@plan("tx45_rule_score", """SELECT * FROM (VALUES ('你好', true, 50), ('它的报销标准是什么', true, 55), ('它的报销标准是什么', false, NULL), ('报销单到底怎么弄呢', false, 60), ('报销标准是什么样的', false, NULL)) t(q, h, score)""")
+@case("tx45_rule_score", """SELECT * FROM (VALUES ('你好', true, 50), ('它的报销标准是什么', true, 55), ('它的报销标准是什么', false, NULL), ('报销单到底怎么弄呢', false, 60), ('报销标准是什么样的', false, NULL)) t(q, h, score)""")
 def _(spark, d):
     rows = spark.createDataFrame([("你好", True), ("它的报销标准是什么", True), ("它的报销标准是什么", False), ("报销单到底怎么弄呢", False), ("报销标准是什么样的", False)], "q string, h boolean")
     return rows.select("q", "h", T.rule_score(F.col("q"), F.col("h")).alias("score"))
@@ -380,23 +388,23 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.posexplode(chunking.word_windows(F.col("text"), 100, 20)).alias("n", "t")).select("doc_id", "n", F.md5("t").alias("digest"))
 
 
-@plan("xt14_reasoning", r"""WITH t AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN substr(text, 1, 20) || '<reasoning> ' || substr(text, 21, 30) || ' </reasoning>' || substr(text, 60, 30) WHEN item_id % 3 = 1 THEN '<reasoning>' || substr(text, 1, 40) ELSE substr(text, 1, 40) END AS a FROM benchmark)
+@plan("xt14_reasoning", r"""WITH t AS (SELECT item_id, CASE WHEN item_id % 3 = 0 THEN text || '<reasoning> ' || text || ' </reasoning>' || text WHEN item_id % 3 = 1 THEN '<reasoning>' || text ELSE text END AS a FROM benchmark)
 SELECT item_id, CASE WHEN contains(a, '</reasoning>') THEN regexp_replace(regexp_replace(a, '(?s)<reasoning>.*?</reasoning>', ''), '^\s+|\s+$', '', 'g') ELSE a END AS body, CASE WHEN contains(a, '</reasoning>') THEN regexp_replace(regexp_extract(a, '(?s)<reasoning>(.*?)</reasoning>', 1), '^\s+|\s+$', '', 'g') ELSE '' END AS reasoning FROM t""")
 def _(spark, d):
     t, i = F.col("text"), F.col("item_id") % 3
-    a = F.when(i == 0, F.concat(F.substring(t, 1, 20), F.lit("<reasoning> "), F.substring(t, 21, 30), F.lit(" </reasoning>"), F.substring(t, 60, 30))).when(i == 1, F.concat(F.lit("<reasoning>"), F.substring(t, 1, 40))).otherwise(F.substring(t, 1, 40))
+    a = F.when(i == 0, F.concat(t, F.lit("<reasoning> "), t, F.lit(" </reasoning>"), t)).when(i == 1, F.concat(F.lit("<reasoning>"), t)).otherwise(t)
     r = T.reasoning(F.col("a"))
     return S.table(spark, d, "benchmark").select("item_id", a.alias("a")).select("item_id", r["body"].alias("body"), r["reasoning"].alias("reasoning"))
 
 
-@plan("xt15_followups", r"""WITH t AS (SELECT item_id, 'x <followups>' || chr(10) || ' ' || substr(text, 1, 10) || chr(10) || chr(10) || substr(text, 11, 10) || '</followups>' AS a FROM benchmark), l AS (SELECT item_id, unnest(x) AS q, generate_subscripts(x, 1) AS i FROM (SELECT item_id, list_filter(list_transform(string_split(regexp_extract(a, '(?s)<followups>(.*?)</followups>', 1), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS x FROM t)) SELECT item_id, i::INTEGER AS n, q FROM l""")
+@plan("xt15_followups", r"""WITH t AS (SELECT item_id, 'x <followups>' || chr(10) || ' ' || text || chr(10) || chr(10) || text || '</followups>' AS a FROM benchmark), l AS (SELECT item_id, unnest(x) AS q, generate_subscripts(x, 1) AS i FROM (SELECT item_id, list_filter(list_transform(string_split(regexp_extract(a, '(?s)<followups>(.*?)</followups>', 1), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS x FROM t)) SELECT item_id, i::INTEGER AS n, q FROM l""")
 def _(spark, d):
-    a = F.concat(F.lit("x <followups>\n "), F.substring("text", 1, 10), F.lit("\n\n"), F.substring("text", 11, 10), F.lit("</followups>"))
+    a = F.concat(F.lit("x <followups>\n "), F.col("text"), F.lit("\n\n"), F.col("text"), F.lit("</followups>"))
     rows = S.table(spark, d, "benchmark").select("item_id", F.posexplode(T.followups(a)).alias("n", "q"))
     return rows.select("item_id", (F.col("n") + 1).alias("n"), "q")
 
 
-@plan("xt16_line_breaks", """SELECT * FROM (VALUES ('#### 核心业务1. 语言 2. 图像', '#### 核心业务' || chr(10) || '1. 语言' || chr(10) || '2. 图像'), ('a' || chr(10) || chr(10) || chr(10) || chr(10) || 'b ', 'a' || chr(10) || chr(10) || 'b')) t(raw, fixed)""")
+@case("xt16_line_breaks", """SELECT * FROM (VALUES ('#### 核心业务1. 语言 2. 图像', '#### 核心业务' || chr(10) || '1. 语言' || chr(10) || '2. 图像'), ('a' || chr(10) || chr(10) || chr(10) || chr(10) || 'b ', 'a' || chr(10) || chr(10) || 'b')) t(raw, fixed)""")
 def _(spark, d):
     rows = spark.createDataFrame([("#### 核心业务1. 语言 2. 图像",), ("a\n\n\n\nb ",)], "raw string")
     return rows.select("raw", T.line_breaks(F.col("raw")).alias("fixed"))

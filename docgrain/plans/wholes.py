@@ -1,5 +1,6 @@
 """Operators of short texts and settings over whole tables, whose words and numbers make their inputs."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
@@ -8,7 +9,7 @@ from docgrain.operators import conversation as C  # noqa: F401
 from docgrain.operators import evaluation as E
 from docgrain.operators import governance as G
 from docgrain.operators import images, lexicon, recall
-from docgrain.operators.rows import staged
+from docgrain.operators.rows import size_checked, staged
 from docgrain.sources import substrate as S
 
 from . import retrieval as R
@@ -39,13 +40,30 @@ def _(spark, d):
     return _talk(spark, d).select("conv_id", "turn", T.substring_pattern(T.substring_terms(F.col("q"))).alias("pattern")).where("pattern <> ''")
 
 
-@plan("tx6_codes_in_documents", "WITH w AS (SELECT doc_id, lower(regexp_extract(text, '[A-Za-z]+')) AS a FROM documents WHERE regexp_matches(text, '[A-Za-z]')) SELECT doc_id, CASE WHEN length(a) <= 6 THEN a || '-' || (doc_id % 900 + 100) ELSE '' END AS codes FROM w")
-def _(spark, d):
-    word = F.lower(F.regexp_extract("text", "[A-Za-z]+", 0))
+# Each document's whole text with a code of its own behind it. For SQL, whose expressions can't look around, every mark
+# between words is doubled, so that one stays on either side of a code.
+_CODED = r"""coded AS (SELECT doc_id, source, text || ' (use ' || lower(regexp_extract(text, '[A-Za-z]+')) || ['-', '_', ' ', ''][doc_id % 4 + 1] || (doc_id % 900 + 100) || ', now) 使用访问令牌（Token' || chr((65 + doc_id % 7)::INTEGER) || '）' AS text FROM documents WHERE text IS NOT NULL),
+found AS (SELECT doc_id, source, list_transform(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9])', '\1\1', 'g'), '(?:^|[^a-z0-9])([a-z]{1,6}(?:--|__|  )?[0-9]{2,6})(?:$|[^a-z0-9])', 1), lambda c: regexp_replace(c, '^([a-z]+)[-_ ]*([0-9]+)$', '\1-\2')) AS codes FROM coded)"""
+
+
+def _coded(spark, d):
     between = F.get(F.array(*map(F.lit, ("-", "_", " ", ""))), (F.col("doc_id") % 4).cast("int"))
-    text = F.concat(F.lit("(use "), word, between, (F.col("doc_id") % 900 + 100).cast("string"), F.lit(", now)"))
-    text = F.regexp_replace(text, r"^\(use ", "(")
-    return S.documents(spark, d).where(F.rlike("text", F.lit("[A-Za-z]"))).select("doc_id", F.array_join(T.model_codes(text), ",").alias("codes"))
+    code = F.concat(F.lower(F.regexp_extract("text", "[A-Za-z]+", 0)), between, (F.col("doc_id") % 900 + 100).cast("string"))
+    text = F.concat("text", F.lit(" (use "), code, F.lit(", now) 使用访问令牌（Token"), F.char(65 + F.col("doc_id") % 7), F.lit("）"))
+    return S.documents(spark, d).where("text IS NOT NULL").withColumn("text", text)
+
+
+@plan("tx6_codes_in_documents", f"WITH {_CODED} SELECT doc_id, array_to_string(list_sort(list_distinct(codes)), ',') AS codes FROM found")
+def _(spark, d):
+    return _coded(spark, d).select("doc_id", F.array_join(F.array_sort(T.model_codes(F.lower("text"))), ",").alias("codes"))
+
+
+@plan("ag21_coded_terms", rf"""WITH {_CODED}, each AS (SELECT source, c AS term, unnest([replace(c, '-', ''), replace(c, '-', ' ')]) AS alias, NULL AS pair FROM (SELECT source, unnest(codes) AS c FROM found)
+UNION ALL SELECT source, x[1], x[2], 1 FROM (SELECT source, unnest(list_zip(regexp_extract_all(text, '([一-鿿]{{2,12}})\s*[（(]\s*([A-Za-z][A-Za-z0-9_\-]{{1,30}})\s*[)）]', 1), regexp_extract_all(text, '([一-鿿]{{2,12}})\s*[（(]\s*([A-Za-z][A-Za-z0-9_\-]{{1,30}})\s*[)）]', 2))) AS x FROM coded))
+SELECT source AS kb_id, term, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases, (CASE WHEN bool_or(pair IS NULL) THEN count(*) // 2 ELSE count(*) END)::BIGINT AS freq FROM each GROUP BY 1, 2 HAVING (CASE WHEN bool_or(pair IS NULL) THEN count(*) // 2 ELSE count(*) END) >= 2""")
+def _(spark, d):
+    mined = lexicon.mined_terms(_coded(spark, d).select(F.col("source").alias("kb_id"), F.col("text").alias("content")), 2)
+    return mined.select("kb_id", "term", F.array_join("aliases", ",").alias("aliases"), "freq")
 
 
 @plan("tx20_planted_injections", """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'instruction_override' WHEN 1 THEN 'role_rewrite' WHEN 2 THEN 'instruction_override,data_exfil' WHEN 3 THEN 'privilege_probe' ELSE '' END AS labels FROM documents WHERE text IS NOT NULL""")
@@ -156,16 +174,19 @@ def _(spark, d):
     return recall.served(cands, recall.reranked(scores, found["vector"]), S.chunks(spark, d)).select("query_id", "chunk_id", "final_score", "rank")
 
 
-@plan("wk2_item_terms", """WITH p AS (SELECT item_id, regexp_extract_all(lower(d.text), '[a-z]+') AS w, trim(regexp_replace(lower(b.text), '[^a-z]+', ' ', 'g')) AS q FROM benchmark b JOIN documents d ON d.doc_id = b.item_id),
-t AS (SELECT DISTINCT item_id, unnest(w) AS term, w[1] AS alias, q, string_split(q, ' ')[1:3] AS qt FROM p)
-SELECT item_id AS query_id, term, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY length(term) DESC, term)::INTEGER AS place FROM t WHERE length(term) BETWEEN 4 AND 12 AND term <> alias AND NOT contains(q, term) AND len(list_filter(qt, lambda x: contains(x, term) OR contains(term, x))) = 0) WHERE place <= 2""")
+@plan("wk2_item_terms", """WITH b AS (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS i, count(*) OVER () AS n, trim(regexp_replace(lower(text), '[^a-z]+', ' ', 'g')) AS q FROM benchmark),
+p AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS w, q FROM documents JOIN b ON i = doc_id % n),
+t AS (SELECT DISTINCT doc_id, unnest(w) AS term, w[1] AS alias, q, string_split(q, ' ') AS qt FROM p)
+SELECT doc_id AS query_id, term, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(term) DESC, term)::INTEGER AS place FROM t WHERE length(term) BETWEEN 4 AND 12 AND term <> alias AND NOT contains(q, term) AND len(list_filter(qt, lambda x: contains(term, x))) = 0) WHERE place <= 2""")
 def _(spark, d):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
-    texts = S.documents(spark, d).select(F.col("doc_id").alias("query_id"), words.alias("terms"))
+    """Each document's page asked by one of the benchmark's questions, by turns."""
+    items = S.table(spark, d, "benchmark")
+    n = items.count()
     query = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
-    asked = S.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), query.alias("query"), F.slice(F.split(query, " "), 1, 3).alias("query_terms"))
-    pages = asked.join(texts, "query_id").withColumn("aliases", F.slice("terms", 1, 1))
-    return lexicon.nav_terms(pages)
+    asked = items.select((F.row_number().over(Window.orderBy("item_id")) - 1).alias("i"), query.alias("query"), F.split(query, " ").alias("query_terms"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1))
+    pages = S.documents(spark, d).select(F.col("doc_id").alias("query_id"), (F.col("doc_id") % n).cast("int").alias("i"), words.alias("terms"))
+    return lexicon.nav_terms(pages.join(size_checked(asked), "i").withColumn("aliases", F.slice("terms", 1, 1)))
 
 
 @plan("xt2_image_measures", """WITH p AS (SELECT vec_id, list_transform(embedding, lambda x: (floor(abs(x::DOUBLE) * 1000) % 256)::INTEGER) AS p FROM embeddings)

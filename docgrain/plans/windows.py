@@ -47,12 +47,12 @@ def _(spark, d):
     return hit.select("c_custkey", "pattern", "percent", (rollout_bucket(F.col("c_custkey").cast("string")) < F.col("percent")).alias("enabled"))
 
 
-_FACTS = "facts AS (SELECT conv_id % 20 AS user_id, conv_id * 100 + turn AS pos, substr(text, 1, 40) AS fact FROM conversations)"
+_FACTS = "facts AS (SELECT conv_id % 20 AS user_id, conv_id * 100 + turn AS pos, text AS fact FROM conversations)"
 
 
 @plan("wn7_merged_facts", f"WITH {_FACTS}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id, substr(fact, 1, 20) ORDER BY pos) AS k FROM facts), l AS (SELECT user_id, pos, fact, row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) AS n FROM f WHERE k = 1) SELECT user_id, pos, fact FROM l WHERE n <= 20")
 def _(spark, d):
-    facts = S.table(spark, d, "conversations").select((F.col("conv_id") % 20).alias("user_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.substring("text", 1, 40).alias("fact"))
+    facts = S.table(spark, d, "conversations").select((F.col("conv_id") % 20).alias("user_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("pos"), F.col("text").alias("fact"))
     return C.merged_facts(facts)
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from docgrain.plans import registry
+from docgrain.plans._registry import CASES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 PLANS, SQL = registry.queries(), registry.oracle_sql()
@@ -38,3 +39,14 @@ def test_each_plan_has_an_oracle_or_a_test():
     here = os.path.dirname(os.path.abspath(__file__))
     tested = "".join(open(os.path.join(here, f)).read() for f in os.listdir(here) if f.endswith(".py"))
     assert [n for n in PLANS if n not in SQL and n not in tested] == []
+
+
+@pytest.mark.parametrize("name", sorted(CASES))
+def test_case(spark, con, sf, name):
+    """Given rows and what is expected of them."""
+    plan, sql = CASES[name]
+    df = plan(spark, sf)
+    cursor = con.execute(sql)
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    assert rows(df.columns, map(tuple, df.collect())) == rows(columns, cursor.fetchall())
