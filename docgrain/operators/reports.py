@@ -48,6 +48,15 @@ def histogram(rows: DataFrame, by: str, seconds: str) -> DataFrame:
     return each.select(by, F.explode(bounds).alias("x")).select(by, "x.le", "x.n")
 
 
+def interpolated(counts: Column, total: Column, share: float) -> Column:
+    """The quantile of a histogram (cumulative counts by BUCKETS), interpolated in its bucket; the last bound for what lies beyond."""
+    bounds, want = F.array(*(F.lit(b) for b in BUCKETS)), total * share
+    at = F.size(F.filter(counts, lambda c: c < want))
+    under, base = (F.coalesce(F.when(at > 0, F.get(x, at - 1)), F.lit(0)) for x in (counts, bounds))
+    width, inside = F.get(bounds, at) - base, F.get(counts, at) - under
+    return F.when(at >= len(BUCKETS), BUCKETS[-1]).otherwise(base + width * F.when(inside == 0, 0.0).otherwise((want - under) / inside))
+
+
 def bucket_quantile(buckets: DataFrame, by: str, q: float) -> DataFrame:
     """The q-quantile, interpolated in its bucket; the last bound for what lies beyond."""
     line = F.array_sort(F.collect_list(F.when(F.col("le").isNotNull(), F.struct("le", "n")))).alias("line")

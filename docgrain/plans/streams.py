@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docgrain.operators.rows import fresh_path
 from docgrain.sources import substrate as S
-from docgrain.streaming import rates
+from docgrain.streaming import rates, stateful
 
 from ._registry import plan
 
@@ -81,11 +81,50 @@ def _(spark, d):
     return both.groupBy((F.col("user_id") % 10).alias("part"), "action", "done").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def _segments(spark, d, documents):
+    """Events as segments of documents: eight each, of two pages."""
+    rows = spark.readStream.schema(S.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(d)
+    return rows.select((F.col("user_id") % documents).alias("document"), (F.col("event_id") % 8).cast("int").alias("segment"), (F.col("event_type") != "error").alias("ok"), F.when(F.col("value") < 1, 3).otherwise(1).alias("attempts"), F.lit(2).alias("pages"), F.lit(8).alias("total"), F.lit(16).alias("all_pages"), F.col("ts").cast("timestamp").alias("ts"))
+
+
 @plan("stream_serial_segments", """WITH e AS (SELECT user_id % 40 AS document_id, (event_id % 8)::INTEGER AS segment, min(event_id) AS first, bool_or(event_type <> 'error') AS ok FROM events GROUP BY 1, 2),
 g AS (SELECT document_id, segment FROM e WHERE ok), r AS (SELECT document_id, segment, segment = row_number() OVER (PARTITION BY document_id ORDER BY segment) - 1 AS unbroken FROM g)
 SELECT document_id, max(segment) + 1 AS done FROM r WHERE unbroken GROUP BY document_id""")
 def _(spark, d):
-    parts = spark.readStream.schema(S.table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet*").option("recursiveFileLookup", "true").parquet(d)
-    parts = parts.select((F.col("user_id") % 40).alias("document_id"), (F.col("event_id") % 8).cast("int").alias("segment"), (F.col("event_type") != "error").alias("ok"))
-    rows = _drained(spark, rates.serial_segments(parts, "document_id", "segment", "ok"))
-    return rows.groupBy("document_id").agg((F.max("segment") + 1).alias("done"))
+    rows = _drained(spark, stateful.serial_segments(_segments(spark, d, 40).withColumn("attempts", F.lit(0))))
+    return rows.where("event = 'released'").groupBy(F.col("document").alias("document_id")).agg((F.max("segment") + 1).alias("done"))
+
+
+@plan("stream_closed_chains", f"""WITH RECURSIVE {_CLOSED.format(late='10 MINUTE')}, s AS (SELECT user_id % 1500 AS document, (event_id % 8)::INTEGER AS segment, event_type <> 'error' AS ok, value < 1 AS spent, ts FROM events),
+bad AS (SELECT document, min((ts, segment)) AS pos FROM s WHERE NOT ok AND spent GROUP BY 1),
+good AS (SELECT document, segment, min((ts, segment)) AS pos FROM s WHERE ok GROUP BY 1, 2),
+whole AS (SELECT document, max(pos) AS pos FROM good GROUP BY 1 HAVING count(*) = 8),
+news AS (SELECT document, max(ts) AS last FROM s GROUP BY 1)
+SELECT document AS document_id, CASE WHEN whole.pos IS NOT NULL AND (bad.pos IS NULL OR whole.pos < bad.pos) THEN 'finalised' ELSE 'dead' END AS status FROM news LEFT JOIN bad USING (document) LEFT JOIN whole USING (document), m
+WHERE whole.pos IS NOT NULL OR bad.pos IS NOT NULL OR last + INTERVAL 2 DAY < mark""")
+def _(spark, d):
+    rows = _drained(spark, stateful.serial_segments(_segments(spark, d, 1500)))
+    return rows.where("event <> 'released'").select(F.col("document").alias("document_id"), F.col("event").alias("status"))
+
+
+@plan("stream_slow_alerts", f"""WITH {_CLOSED.format(late='10 MINUTE')}, b AS (SELECT unnest([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0])::DOUBLE AS le, generate_subscripts([0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0], 1) AS i),
+t AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS s, value / 20 AS v FROM e), n AS (SELECT s, count(*) AS n FROM t GROUP BY 1),
+h AS (SELECT n.s, n.n, i, le, (SELECT count(*) FROM t WHERE t.s = n.s AND t.v <= le) AS c FROM n, b), k AS (SELECT s, n, count(*) FILTER (c < n * 0.95::DOUBLE) AS pos FROM h GROUP BY 1, 2),
+p AS (SELECT k.s, k.n, CASE WHEN pos >= 11 THEN 10.0 ELSE coalesce(lo.le, 0) + (hi.le - coalesce(lo.le, 0)) * CASE WHEN hi.c = coalesce(lo.c, 0) THEN 0 ELSE (k.n * 0.95::DOUBLE - coalesce(lo.c, 0)) / (hi.c - coalesce(lo.c, 0)) END END AS p FROM k LEFT JOIN h hi ON hi.s = k.s AND hi.i = pos + 1 LEFT JOIN h lo ON lo.s = k.s AND lo.i = pos)
+SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, n, round(p, 6)::DOUBLE AS p FROM p, m WHERE s + INTERVAL 1 HOUR <= mark AND n >= 5 AND round(p, 6) > 4.0""")
+def _(spark, d):
+    rows = _drained(spark, rates.slow_alerts(_events(spark, d), "ts", F.col("value") / 20, "1 hour", most=4.0))
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "n", "p")
+
+
+# Six times as slow a clock, so that the table's month makes six.
+_SLOW = "make_timestamp(1704067200000000 + (epoch_us(ts) - 1704067200000000) * 6)"
+
+
+@plan("stream_monthly_usage", f"""WITH e AS (SELECT {_SLOW} AS ts, user_id % 100 AS user_id, value FROM events), m AS (SELECT max(ts) - INTERVAL 36 HOUR AS mark FROM e),
+d AS (SELECT date_trunc('day', ts) AS day, user_id, sum(value) AS tokens, count(*) AS messages FROM e GROUP BY 1, 2)
+SELECT user_id, strftime(date_trunc('month', day), '%Y%m') AS month, round(sum(tokens), 4) AS tokens, sum(messages)::BIGINT AS messages FROM d, m GROUP BY user_id, date_trunc('month', day), mark HAVING date_trunc('month', day) + INTERVAL 1 MONTH + INTERVAL 35 DAY < mark""")
+def _(spark, d):
+    micros = F.lit(1704067200000000) + (F.unix_micros("ts") - 1704067200000000) * 6
+    rows = _drained(spark, stateful.monthly_counters(_events(spark, d).withColumn("ts", F.timestamp_micros(micros)).withColumn("user_id", F.col("user_id") % 100), "ts", "user_id", "value"))
+    return rows.select(F.col("user").alias("user_id"), "month", F.round("tokens", 4).alias("tokens"), "messages")

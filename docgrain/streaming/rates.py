@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from docgrain.operators.reports import BUCKETS, interpolated
+
 
 def over_limit(stream: DataFrame, user: str, ts: str, limit: int = 20, late: str = "10 minutes") -> DataFrame:
     """(minute, user, n): fixed epoch minutes in which a user made more than `limit` requests."""
@@ -32,10 +34,22 @@ def alerts(stream: DataFrame, ts: str, failed: Column, length: str = "1 hour", s
     return w.where((F.col("n") >= least) & (F.col("failed") > F.col("n") * share)).select(F.col("w.start").alias("start"), "n", "failed")
 
 
+def slow_alerts(stream: DataFrame, ts: str, seconds: Column, length: str = "5 minutes", share: float = 0.95, most: float = 1.0, least: int = 5, late: str = "10 minutes") -> DataFrame:
+    """(start, n, p): windows of at least `least` durations whose quantile passes a bound.
+
+    A window's state is a histogram of cumulative counts, which merges by addition; the quantile is interpolated in its bucket.
+    """
+    names = [f"le{i}" for i in range(len(BUCKETS))]
+    counts = [F.count_if(F.col("_s") <= b).alias(name) for b, name in zip(BUCKETS, names)]
+    w = stream.withColumn("_s", seconds).where("_s IS NOT NULL").withWatermark(ts, late).groupBy(F.window(ts, length).alias("w")).agg(F.count("*").alias("n"), *counts)
+    quantile = interpolated(F.array(*names), F.col("n"), share)
+    return w.select(F.col("w.start").alias("start"), "n", F.round(quantile, 6).alias("p")).where((F.col("n") >= least) & (F.col("p") > most))
+
+
 def usage_counters(stream: DataFrame, ts: str, user: str, tokens: str, late: str = "36 hours") -> DataFrame:
-    """Daily tokens and messages by user; state older than the watermark is dropped, as a counter's expiry would."""
+    """Daily tokens and messages by user, and each day's event time; state older than the watermark is dropped, as a counter's expiry would."""
     days = stream.withWatermark(ts, late).groupBy(F.window(ts, "1 day").alias("w"), user)
-    return days.agg(F.sum(tokens).alias("tokens"), F.count("*").alias("messages")).select(F.col("w.start").alias("day"), user, "tokens", "messages")
+    return days.agg(F.sum(tokens).alias("tokens"), F.count("*").alias("messages")).select(F.col("w.start").alias("day"), user, "tokens", "messages", F.window_time("w").alias("at"))
 
 
 def lockouts(stream: DataFrame, user: str, ts: str, failed: str, most: int = 5, minutes: int = 15) -> DataFrame:
@@ -61,29 +75,6 @@ def lockouts(stream: DataFrame, user: str, ts: str, failed: str, most: int = 5,
     return stream.select(user, ts, failed).groupBy(user).applyInPandasWithState(step, f"{user} {kind}, locked_at timestamp", "count long, until long", "append", GroupStateTimeout.NoTimeout)
 
 
-def serial_segments(stream: DataFrame, document: str, segment: str, ok: str) -> DataFrame:
-    """(document, segment) in the order in which a document's segments may be released: the next one as soon as it and all
-    before it have succeeded. Those that succeed early wait in the document's state; failures are tried again by the source.
-    """
-    kind = dict(stream.dtypes)[document]
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        upcoming, waiting = state.get if state.exists else (0, [])
-        early = set(waiting)
-        for pdf in frames:
-            early |= {int(s) for s in pdf.loc[pdf[ok].astype(bool), segment] if s >= upcoming}
-        out = []
-        while upcoming in early:
-            early.discard(upcoming)
-            out.append((key[0], upcoming))
-            upcoming += 1
-        state.update((upcoming, sorted(early)))
-        if out:
-            yield pd.DataFrame(out, columns=[document, segment])
-
-    return stream.select(document, segment, ok).groupBy(document).applyInPandasWithState(step, f"{document} {kind}, {segment} int", "upcoming int, waiting array<int>", "append", GroupStateTimeout.NoTimeout)
-
-
 def once(stream: DataFrame, key: str, ts: str, late: str = "1 day") -> DataFrame:
     """Rows of a key that was not seen within the watermark."""
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
