@@ -100,20 +100,33 @@ def linked(layers: DataFrame, n: int = SEEDS) -> DataFrame:
     return top(best, ["query_id"], [F.desc("score"), F.col("name_key"), F.col("entity_id")], n)
 
 
-def tree(nodes: DataFrame, key: str, parent: str) -> DataFrame:
-    """Nodes with depth and root; a node whose parent isn't there is a root, and one below a circle has no root and no row.
+def tree(nodes: DataFrame, key: str, parent: str, name: str | None = None) -> DataFrame:
+    """Nodes with depth and root; a node whose parent isn't there is a root, and one on or below a circle has no row. With
+    `name`, also path: the names from the root down, in slashes.
 
-    Levels are joined one by one until none is new, and each is staged.
+    Pointers double: a node that points some levels up takes over where that node points, until it points at a root. So a
+    tree of n levels takes log n rounds, each staged; a round that finishes no node leaves circles only. `key` is unique.
     """
-    nodes = staged(nodes.select(key, parent))
-    parents = nodes.select(F.col(key).alias("_p"))
-    level = nodes.join(parents, nodes[parent] == parents["_p"], "left_anti").select(key, F.lit(0).cast("int").alias("depth"), F.col(key).alias("root"))
-    levels = [staged(level)]
-    while not levels[-1].isEmpty():
-        above = levels[-1].select(F.col(key).alias("_up"), "root")
-        level = nodes.select(key, F.col(parent).alias("_up")).join(size_checked(above), "_up").select(key, F.lit(len(levels)).cast("int").alias("depth"), "root")
-        levels.append(staged(level))
-    out = levels[0]
-    for level in levels[1:-1]:
-        out = out.unionByName(level)
-    return out
+    own = F.concat(F.lit("/"), F.col(name)) if name else F.lit("")
+    nodes = staged(nodes.select(F.col(key).alias("node"), F.col(parent).alias("parent"), own.alias("tail")))
+    there = nodes.select(F.col("node").alias("parent"), F.lit(True).alias("below"))
+    state = nodes.join(there, "parent", "left")
+    state = staged(state.select("node", F.when(F.col("below"), F.col("parent")).otherwise(F.col("node")).alias("up"), F.when(F.col("below"), 1).otherwise(0).alias("steps"), F.col("below").isNull().alias("done"), "tail"))
+    done = [state.where("done")]
+    pending = state.where("NOT done")
+    while not pending.isEmpty():
+        above = done[0]
+        for d in done[1:]:
+            above = above.unionByName(d)
+        above = above.unionByName(pending).select(F.col("node").alias("up"), F.col("up").alias("next"), F.col("steps").alias("more"), F.col("done").alias("ends"), F.col("tail").alias("head"))
+        moved = hub_join(above, pending.drop("done"), "up", "node")
+        moved = staged(moved.select("node", F.col("next").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("done"), F.concat("head", "tail").alias("tail")))
+        pending = moved.where("NOT done")
+        if moved.where("done").isEmpty():
+            break
+        done.append(moved.where("done"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    path = [F.concat("tail", F.lit("/")).alias("path")] if name else []
+    return out.select(F.col("node").alias(key), F.col("steps").cast("int").alias("depth"), F.col("up").alias("root"), *path)

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 #: Rows up to which a side is broadcast (at most about 1 kB each).
 BROADCAST_ROWS = 20_000
@@ -98,9 +99,41 @@ def latest(df: DataFrame, by: str, version: str) -> DataFrame:
     return top(df, [by], [F.desc(version)], 1)
 
 
-def page(df: DataFrame, order: list[Column | str], number: int, size: int) -> DataFrame:
-    """Page `number` (from 1)."""
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+#: Rows in a run of a page index, on average.
+RUN_ROWS = 500_000
+
+
+class PageIndex:
+    """Rows parted into runs by ranges of an order, with each run's number of rows: a page reads the runs that it lies in."""
+
+    def __init__(self, df: DataFrame, order: list[Column]):
+        self.spark, self.order, self.columns = df.sparkSession, order, df.columns
+        self.path = fresh_path(self.spark, "pages")
+        runs = max(1, -(-df.count() // RUN_ROWS))
+        df.repartitionByRange(runs, *order).withColumn("_run", F.spark_partition_id()).write.partitionBy("_run").parquet(self.path)
+        rows = self._rows(df.schema)
+        self.counts = [(r["_run"], r["count"]) for r in rows.groupBy("_run").count().orderBy("_run").collect()]  # one row a run
+        self.schema, self.total = df.schema, sum(n for _, n in self.counts)
+
+    def _rows(self, schema) -> DataFrame:
+        return self.spark.read.schema(StructType([*schema.fields, StructField("_run", IntegerType())])).parquet(self.path)
+
+    def page(self, number: int, size: int) -> DataFrame:
+        """Page `number` (from 1), in order; what lies beyond the end is empty."""
+        first, last, before, runs = (number - 1) * size, number * size, 0, []
+        for run, n in self.counts:
+            if before < last and before + n > first:
+                runs.append((run, before))
+            before += n
+        if not runs:
+            return self.spark.createDataFrame([], self.schema)
+        rows = self.spark.read.schema(self.schema).parquet(*(f"{self.path}/_run={r}" for r, _ in runs)).orderBy(*self.order)
+        return rows.offset(max(first - runs[0][1], 0)).limit(size).select(*self.columns)
+
+
+def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
+    """Page `number` (from 1) of an index made for it alone; keep a PageIndex for more than one."""
+    return PageIndex(df, order).page(number, size)
 
 
 def within_budget(df: DataFrame, by: list[str], order: list[Column | str], cost: str, rows: int, budget: int) -> DataFrame:

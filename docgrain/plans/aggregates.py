@@ -133,6 +133,19 @@ def _(spark, d):
     return page(S.events(spark, d), [F.desc("ts"), F.col("event_id")], 3, 20).select("event_id", "action")
 
 
+@plan("sl1_event_pages", "WITH n AS (SELECT count(*) AS n FROM events), r AS (SELECT event_id, row_number() OVER (ORDER BY value DESC, event_id) - 1 AS i FROM events), p AS (SELECT unnest([1, (n + 998) // 999 // 2, (n + 998) // 999, (n + 998) // 999 + 1]) AS page FROM n) SELECT page, event_id FROM p JOIN r ON i // 999 = page - 1")
+def _(spark, d):
+    """The first page, the one in the middle, the last, and one beyond."""
+    from docgrain.operators.rows import PageIndex
+
+    index = PageIndex(S.table(spark, d, "events").select("event_id", "value"), [F.desc("value"), F.col("event_id")])
+    pages, out = -(-index.total // 999), None
+    for number in (1, pages // 2, pages, pages + 1):
+        one = index.page(number, 999).select(F.lit(number).cast("long").alias("page"), "event_id")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @plan("sl3_total_order", "SELECT p_partkey, row_number() OVER (ORDER BY p_retailprice DESC, p_name, p_partkey) AS place FROM part QUALIFY place <= 100")
 def _(spark, d):
     best = S.table(spark, d, "part").orderBy(F.desc("p_retailprice"), "p_name", "p_partkey").limit(100)  # a top list: one task sees 100 rows

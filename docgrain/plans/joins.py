@@ -175,12 +175,12 @@ def _(spark, d):
 
 
 @plan("xt11_department_tree", f"""WITH RECURSIVE {_DEPTS}, n AS (SELECT path, regexp_replace(path, '[^/]+/$', '') AS parent FROM depts WHERE NOT path LIKE '%/ASIA/' AND path <> '/ASIA/'),
-w AS (SELECT path, 0 AS depth, path AS root FROM n WHERE parent NOT IN (SELECT path FROM n) UNION ALL SELECT n.path, depth + 1, root FROM n JOIN w ON n.parent = w.path) SELECT path, depth, root FROM w""")
+w AS (SELECT path, 0 AS depth, path AS root, '/' || split_part(path, '/', len(string_split(path, '/')) - 1) || '/' AS walked FROM n WHERE parent NOT IN (SELECT path FROM n) UNION ALL SELECT n.path, depth + 1, root, walked || split_part(n.path, '/', len(string_split(n.path, '/')) - 1) || '/' FROM n JOIN w ON n.parent = w.path) SELECT path, depth, root, walked FROM w""")
 def _(spark, d):
     from docgrain.operators.graph import tree
 
-    nodes = departments(spark, d).where("path <> '/ASIA/'").select("path", F.regexp_replace("path", "[^/]+/$", "").alias("parent"))
-    return tree(nodes, "path", "parent").select("path", "depth", "root")
+    nodes = departments(spark, d).where("path <> '/ASIA/'").select("path", F.regexp_replace("path", "[^/]+/$", "").alias("parent"), F.element_at(F.split("path", "/"), -2).alias("name"))
+    return tree(nodes.withColumnRenamed("path", "node"), "node", "parent", "name").select(F.col("node").alias("path"), "depth", "root", F.col("path").alias("walked"))
 
 
 @plan("xt12_move_guard", f"WITH {_DEPTS} SELECT a.path, b.path AS target, NOT starts_with(b.path, a.path) AS allowed FROM depts a JOIN depts b ON split_part(a.path, '/', 2) = split_part(b.path, '/', 2) WHERE a.path LIKE '%/team0/' OR length(a.path) < 9")
