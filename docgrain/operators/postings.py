@@ -13,12 +13,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docgrain.sources.snapshots import SnapshotTable
 
-from .rows import fresh_path, size_checked, staged
+from .rows import bounded_batches, fresh_path, size_checked, staged
 
 SCHEMA = "token string, chunk_ids array<long>, document_ids array<long>, bucket int"
 #: Text bytes that one bucket of tokens has postings of; postings that a task inverts at once, and those in a row at most.
@@ -31,16 +32,17 @@ def bucket_of(token: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def inverted(postings: DataFrame) -> DataFrame:
-    """(token, chunk_ids, document_ids): the postings (token, chunk_id, document_id) of a run of rows with a row for each token."""
+def inverted(chunks: DataFrame) -> DataFrame:
+    """(token, chunk_ids, document_ids): the postings of a run of chunks (chunk_id, document_id, tokens) with a row for each token."""
+    bounded_batches(chunks.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
 
-        def out() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held).combine_chunks()
-            coded = table.column("token").chunk(0).dictionary_encode()
-            word, chunk, doc = coded.indices.to_numpy().astype(np.int64), table.column("chunk_id").to_numpy(), table.column("document_id").to_numpy()
+        def out() -> pa.RecordBatch:
+            words, chunk, doc = pa.concat_arrays([w for w, _, _ in held]), *(np.concatenate(x) for x in list(zip(*held))[1:])
+            coded = words.dictionary_encode()
+            word = coded.indices.to_numpy().astype(np.int64)
             order = np.lexsort((chunk, word))
             word, chunk, doc = word[order], chunk[order], doc[order]
             new = np.r_[True, word[1:] != word[:-1]]
@@ -48,18 +50,20 @@ def inverted(postings: DataFrame) -> DataFrame:
             first = np.flatnonzero(place % ROW_POSTINGS == 0)
             ends = pa.array(np.append(first, len(word)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (chunk, doc)]
-            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word[first])), *lists], names=["token", "chunk_ids", "document_ids"])
+            return pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(word[first])), *lists], names=["token", "chunk_ids", "document_ids"])
 
         for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-            if sum(b.num_rows for b in held) >= HELD_POSTINGS:
-                yield from out()
+            lists = batch.column("tokens")
+            times = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            if times.sum():
+                held.append((lists.flatten(), *(np.repeat(batch.column(c).to_numpy(), times) for c in ("chunk_id", "document_id"))))
+            if sum(len(w) for w, _, _ in held) >= HELD_POSTINGS:
+                yield out()
                 held.clear()
         if held:
-            yield from out()
+            yield out()
 
-    return postings.select("token", "chunk_id", "document_id").mapInArrow(run, "token string, chunk_ids array<long>, document_ids array<long>")
+    return chunks.select("chunk_id", "document_id", "tokens").mapInArrow(run, "token string, chunk_ids array<long>, document_ids array<long>")
 
 
 def each(rows: DataFrame) -> DataFrame:
@@ -75,8 +79,10 @@ class PostingIndex:
         self.tokens, self.first = tokens, 8
         self.table = SnapshotTable(spark, path, SCHEMA, "document_id", "bucket", ("token",), self._packed, each)
 
-    def _packed(self, postings: DataFrame) -> DataFrame:
-        return inverted(postings).withColumn("bucket", bucket_of(F.col("token"), self.table.manifest().notes.get("buckets", self.first)))
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        """Of chunks with their tokens, or of single postings (when segments are merged)."""
+        rows = rows if "tokens" in rows.columns else rows.withColumn("tokens", F.array("token"))
+        return inverted(rows).withColumn("bucket", bucket_of(F.col("token"), self.table.manifest().notes.get("buckets", self.first)))
 
     def buckets(self, chunks: DataFrame | None = None) -> int:
         """The number of buckets, which the first chunks' bytes decide and the manifest keeps."""
@@ -93,7 +99,8 @@ class PostingIndex:
         if chunks is not None:
             docs = chunks.select("document_id")
             gone = docs if gone is None else gone.select("document_id").union(docs)  # a document may have lost all its tokens
-            rows = chunks.select(F.explode(F.array_distinct(self.tokens)).alias("token"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"))
+            known = chunks.where("chunk_id IS NOT NULL AND document_id IS NOT NULL")
+            rows = known.select(F.array_distinct(self.tokens).alias("tokens"), F.col("chunk_id").cast("long").alias("chunk_id"), F.col("document_id").cast("long").alias("document_id"))
         return self.table.commit(job, rows, gone, {"buckets": self.first})
 
     def synced(self, job: str, changes: DataFrame, chunks: DataFrame) -> int:

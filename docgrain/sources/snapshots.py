@@ -140,7 +140,7 @@ class SnapshotTable:
         old = self.manifest()
         if job in old.jobs:
             return old.version
-        keys = [x.select(self.key) for x in (rows, gone) if x is not None and self.key in x.columns]
+        keys = [x.select(self.key) for x in (rows, gone) if x is not None]
         segment = self._segment(rows, (keys[0].union(keys[1]) if len(keys) > 1 else keys[0]) if old.segments else None)
 
         def change(found: Manifest) -> Manifest:
