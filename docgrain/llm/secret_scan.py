@@ -283,12 +283,12 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` with each span of a secret (overlapping ones together) replaced by its kind in brackets; n_chars follows."""
     columns = docs.columns
     (kept,) = unused(docs, "own_found")
-    rows = scan(docs.withColumnRenamed("found", kept), rules)  # a column named `found` keeps its values here
+    rows = scan(docs.withColumnRenamed("found", kept), rules)  # a column named `found`, in letters of any case, keeps its values here
     changed = F.size("found") > 0
     rows = rows.withColumn("text", F.when(changed, replaced(F.col("text"), F.col("found"))).otherwise(F.col("text")))
     if "n_chars" in columns:
         rows = rows.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*(F.col(kept).alias("found") if c == "found" else c for c in columns))
+    return rows.select(*(F.col(kept).alias(c) if c.lower() == "found" else c for c in columns))
 
 
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
+from pyspark import Accumulator, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from ._shared import bounded_batches, staged, table
 
 #: Two groups: a sum of two reaches the cutoff only if one reaches its half, which few do; more groups let more through.
 ROW_BLOCK, QUERY_BLOCK, GROUPS = 2048, 256, 2
-#: One row block in so many is a lead block (at least one is).
+#: One row block in so many is a lead block, and a table has about as many blocks at least.
 LEAD = 8
 #: Block pairs that a task scores.
 TASK_PAIRS = 64
@@ -166,22 +166,24 @@ class Found:
             yield pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(v), pa.array(score)], names=["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, made: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows for each row where `is_query` holds, but for rows of its own id.
 
     Ties go to the smaller vec_id. Vectors that are null or hold null or non-finite components, and rows with a null id,
     take no part; of vectors of different length the shorter counts as padded with zeros. Repeated rows are rows of their
     own, but one query; of several vectors under one query id the first in order of their components asks. With no queries, or
     no other rows, there is no result. Scores are 64-bit integers; scaled components and scores beyond that range count as
-    its ends. Other columns don't matter.
+    its ends. Other columns don't matter. `made` counts pairs that the cutoff was held against, and those that got a total.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
     rows = usable(vectors).withColumn("cut", F.lit(None).cast("long"))
-    width = rows.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
-    row_blocks = staged(blocks(rows, ROW_BLOCK, width).withColumn("lead", F.pmod(F.xxhash64("block"), F.lit(LEAD)) == 0))
-    if row_blocks.where("lead").isEmpty():  # few blocks: all lead
-        row_blocks = row_blocks.withColumn("lead", F.lit(True))
+    about = rows.agg(F.max(F.size("v")).alias("w"), F.count("*").alias("n")).first()
+    width = about["w"] or 1
+    row_blocks = staged(blocks(rows, min(ROW_BLOCK, max(1, about["n"] // LEAD)), width).withColumn("draw", F.xxhash64("block")))
+    first = row_blocks.agg(F.min(F.struct(F.pmod("draw", F.lit(LEAD)).alias("m"), "draw")).alias("first")).first()["first"]
+    lead = F.pmod("draw", F.lit(LEAD)) == 0
+    row_blocks = row_blocks.withColumn("lead", lead if first is None or first["m"] == 0 else F.col("draw") == first["draw"])
     queries = usable(vectors.where(is_query)).groupBy("vec_id").agg(F.min("v").alias("v"))
 
     def meet(some: DataFrame, query_blocks: DataFrame) -> DataFrame:
@@ -220,6 +222,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         for block, q, v, local, other, cuts in scored(batches):
             cut = found.cut(block, cuts)
             i, j = sufficient(local, other, cut)
+            if made:
+                made[0].add(other.size)
+                made[1].add(len(i))
             score = totals(local, i, j)
             reach = score >= cut[i]
             found.add(block, q, i[reach], v[j[reach]], score[reach])

@@ -519,6 +519,12 @@ def test_patterns_that_are_not_read_are_refused(pattern):
         secret_scan.Pattern(pattern)
 
 
+def test_a_column_named_like_the_spans_keeps_its_values(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefghijklmnop", "kept", 7)], "doc_id long, text string, Found string, n_chars long")
+    row = secret_scan.redact(docs).first()
+    assert row.asDict() == {"doc_id": 1, "text": "[assign]", "Found": "kept", "n_chars": 8}
+
+
 def test_redaction(docs):
     got = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
     assert got[13]["text"] == "[assign] and [access], hex [hex]; token: short" and got[13]["n_chars"] == len(got[13]["text"])
@@ -720,3 +726,20 @@ def test_quality_edges(spark, docs):
     assert quality.classify(data.empty(spark), labels).count() == 0
     shrunk = {r["path"]: (r["host_posterior"], r["path_posterior"]) for r in got}
     assert all(abs(h - p) < 0.5 for h, p in shrunk.values())
+
+
+@pytest.mark.parametrize("rows", [1, 2, 7, 500])
+def test_the_cutoff_keeps_pairs_away(spark, sf, rows):
+    """All three phases on the table's vectors: results as by SQL, and most pairs beyond the lead block get no total."""
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").limit(rows).coalesce(1)
+    made = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk_search.search(vectors, F.col("vec_id") % 20 == 0, made=made).collect()}
+    v = {r["vec_id"]: np.floor(64 * np.array(r["embedding"], float)).astype(int) for r in vectors.collect()}
+    want = {}
+    for q in (i for i in v if i % 20 == 0):
+        best = sorted((-int(v[q] @ x), i) for i, x in v.items() if i != q)[:20]
+        want |= {(q, n): (i, -s) for n, (s, i) in enumerate(best, 1)}
+    assert got == want
+    held, totals = made[0].value, made[1].value
+    if rows == 500:
+        assert held > 0.6 * 25 * 500 and totals < 0.5 * held
