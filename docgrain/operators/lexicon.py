@@ -60,10 +60,11 @@ def acceptable(term: Column) -> Column:
 
 
 def nav_hits(page_terms: DataFrame, needles: DataFrame) -> DataFrame:
-    """(document_id, term, needle) where a page's term contains a needle, case aside: one automaton of all needles passes the terms."""
+    """(document_id, term, needle), each once, where a page's term contains a needle, case aside: one automaton of all needles passes
+    the terms, which may be repeated."""
     pages = page_terms.select("document_id", "term", F.lower("term").alias("text")).withColumnRenamed("term", "own")
     found = finds(pages, "text", needles.select(F.col("needle").alias("term")))
-    return found.select("document_id", F.col("own").alias("term"), F.col("term").alias("needle"))
+    return found.select("document_id", F.col("own").alias("term"), F.col("term").alias("needle")).distinct()
 
 
 def nav_terms(pages: DataFrame) -> DataFrame:

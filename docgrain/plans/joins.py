@@ -93,8 +93,8 @@ def _needles(spark, d):
 
 
 def _page_terms(spark, d):
-    words = F.explode(F.regexp_extract_all(F.col("text"), F.lit("([A-Za-z]{4,})"), F.lit(1)))
-    return S.documents(spark, d).select(F.floor(F.col("doc_id") / 4).alias("document_id"), words.alias("term")).distinct()
+    words = F.explode(F.array_distinct(F.regexp_extract_all(F.col("text"), F.lit("([A-Za-z]{4,})"), F.lit(1))))
+    return S.documents(spark, d).select(F.floor(F.col("doc_id") / 4).alias("document_id"), words.alias("term"))
 
 
 @plan("jn10_term_needles", f"WITH {_NAV} SELECT document_id, term, needle FROM terms JOIN held USING (term)")
