@@ -5,8 +5,12 @@ characters, its tags, the characters inside links, and the element that holds it
 smoothed with a Gaussian; lines above the threshold (the mean less a share of the deviation) form clusters, the content
 regions. The clusters choose the element that carries the article: the smallest one with nearly all of their text. A
 cluster then grows over the other lines of that element, so the statistics decide where the article is but never
-drop a sentence of it. Names only exclude: elements that are no prose by their tag make no lines, and the text of those
-whose class, id or role says so, and of forms, counts for nothing in the ratios unless they hold most of the page's text.
+drop a sentence of it. Names only exclude and never choose: elements that are no prose by their tag make no lines, and the
+text of those whose class, id or role says so, and of forms, counts for nothing in the ratios unless they hold most of the
+page's text.
+
+Tags and comments that never end would make the parser search the rest of the page at each of them, so they are made text, or
+the end of the page, before it sees them.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ DROPPED = frozenset("head script style noscript template nav header footer aside
 BLOCKS = frozenset(
     "address article blockquote body caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html legend li main ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements at whose start and end a line ends; scripts, buttons and unknown elements may stand inside of one.
+PARTS = BLOCKS | frozenset("head nav header footer aside form main menu dialog iframe".split())
 #: A start tag of these ends an open p.
 ENDS_P = BLOCKS - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"} | {"form", "nav", "header", "footer", "aside", "main"}
 #: A start tag ends open elements of the same kind up to the container.
@@ -38,8 +44,10 @@ TALK = frozenset("related recommended comment comments commentlist disqus reply
 MARKED = TALK | frozenset(
     "ad ads advert adverts advertising advertisement advertisements sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login share sharing social widget toolbar pagination pager search contentinfo complementary dialog form".split()
 )
-#: Words that name a part or a place: a class of these and of marking words is marked, one with any other word (has-, no-, category-) isn't.
-PLACES = frozenset("site page main global top bottom left right primary secondary mobile desktop container wrapper wrap box block section list area bar inner outer side item items slot unit link links button buttons icons post entry article".split())
+#: Words that name a part or a place: what stands before them at the end of a class is what it names.
+PLACES = frozenset("site page main global top bottom left right primary secondary mobile desktop container wrapper wrap box block section list area bar inner outer side item items slot unit link links button buttons icons post posts entry article message".split())
+#: Words before a name that say something about the element, not what it is.
+ABOUT = frozenset("has no not with without is in category cat tag type format layout".split())
 #: Shares of the page's text beyond which a marked element is kept.
 MOST, MOST_TALK = 0.5, 0.9
 #: Parts of a line; a marked one is dropped at once.
@@ -49,12 +57,17 @@ HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 @lru_cache(4096)
 def marked(names: str) -> str:
-    """'talk' or 'mark' if a whole class, id or role of `names` marks what isn't the article; '' if none does."""
+    """'talk' or 'mark' if a whole class, id or role of `names` marks what isn't the article; '' if none does. A compound is what its
+    last word says, places aside: `google-ads-unit` is adverts, `social-science` and `share-prices` aren't for sharing."""
     found = ""
     for name in names.lower().split():
         words = [w for w in re.split("[-_]+", name) if w and not w[0].isdigit()]
         marks = [w for w in words if w in MARKED or w.startswith("comment")]
-        if marks and all(w in PLACES or w in marks for w in words):
+        if not marks or words[0] in ABOUT:
+            continue
+        while words[-1] in PLACES and words[-1] not in marks:
+            words.pop()
+        if words[-1] in marks:
             if any(w in TALK or w.startswith("comment") for w in marks):
                 return "talk"
             found = "mark"
@@ -72,7 +85,7 @@ class Lines(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped, container, marked element
         self.places: dict[str, list[int]] = {}
         self.boxes: list[int] = []
-        self.parents, self.kinds = [0], ["page"]
+        self.parents = [0]
         self.around, self.most = [0], [0.0]  # of each marked element: the one around it, the share that keeps it
         self.lines: list[tuple[str, int, int, int, int]] = []
         self.text: list[str] = []
@@ -96,8 +109,8 @@ class Lines(HTMLParser):
         self.open.append((tag, *rest))
 
     def pop(self) -> None:
-        tag = self.open[-1][0]
-        if tag not in INLINE:
+        tag, dropped = self.open[-1][:2]
+        if tag in PARTS and not dropped:
             self.end_line()
         self.links -= tag == "a"
         self.open.pop()
@@ -119,6 +132,11 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS and tag != "html" and self.places.get("head"):
             self.pop_to(self.places["head"][0])
+        above = self.open[-1] if self.open else ("", False, 0, 0)
+        if above[1]:  # what lies in a dropped element ends nothing outside of it
+            self.links += tag == "a"
+            self.push(tag, True, *above[2:])
+            return
         box = self.boxes[-1] if self.boxes else -1
         if tag in ENDS_P and (at := self.last(("p",))) > box:
             self.pop_to(at)
@@ -127,7 +145,7 @@ class Lines(HTMLParser):
             bound = self.last(stop)
             while (at := self.last(same)) > bound:
                 self.pop_to(at)
-        if tag not in INLINE:
+        if tag in PARTS:
             self.end_line()
         above = self.open[-1] if self.open else ("", False, 0, 0)
         marks = " ".join(v for k, v in attrs if v and k in ("class", "id", "role"))
@@ -146,7 +164,6 @@ class Lines(HTMLParser):
         holder = above[2]
         if tag in CONTAINERS:
             self.parents.append(holder)
-            self.kinds.append(tag)
             holder = len(self.parents) - 1
         self.links += tag == "a"
         self.push(tag, dropped, holder, mark)
@@ -195,12 +212,23 @@ def regions(prose: np.ndarray, tags: np.ndarray, sigma: float = 1.0) -> np.ndarr
     return (smooth >= (smooth.mean() - 0.5 * smooth.std()) * (1 - 1e-9)) & (prose >= 0)
 
 
+def closed(html: str) -> str:
+    """`html` without what never ends: a comment runs to the end of the page, a `<` without a later `>` is text."""
+    start = html.find("<!--", html.rfind("-->") + 1)
+    if start >= 0:
+        script = max(html.rfind(x, 0, start) for x in ("<script", "<style"))
+        outside = script < 0 or max(html.rfind(x, script, start) for x in ("</script", "</style")) >= 0
+        html = html[:start] if outside else html[:start] + html[start:].replace("<!--", "<!-")
+    end = html.rfind(">") + 1
+    return html[:end] + html[end:].replace("<", "&lt;")
+
+
 def main_text(html: str | None) -> str:
     """The article of a page, its blocks joined by empty lines; '' for none."""
     if not html:
         return ""
     page = Lines()
-    page.feed(html)
+    page.feed(closed(html))
     page.close()
     page.end_line()
     if not page.lines:
@@ -215,20 +243,17 @@ def main_text(html: str | None) -> str:
     inside = np.bincount(boxes, np.maximum(prose, 0) * content, len(parents))
     for i in range(len(parents) - 1, 0, -1):
         inside[parents[i]] += inside[i]
-    # Where article elements hold clusters, what lies outside is excluded; else the smallest element with nearly all of the
-    # clusters' text grows over its lines. Other lines of clusters that aren't mostly links stay where they lie in an element
-    # around it, such as a heading above, or have prose's ratio of their own, so that a teaser beside a paragraph doesn't.
-    chosen = [kind in ("article", "main") and inside[i] >= 0.3 * inside[0] for i, kind in enumerate(page.kinds)]
-    near = np.zeros(len(boxes), bool)
-    if not any(chosen):
-        best = int(np.flatnonzero(inside >= 0.85 * inside[0])[-1])
-        chosen[best] = True
-        around = {0}
-        while best:
-            around.add(best := parents[best])
-        ratio = prose / tags
-        near = content & (2 * prose >= np.array([len(line[0]) for line in page.lines]))
-        near &= np.array([b in around for b in boxes]) | (ratio >= 0.25 * np.median(ratio[content]))
+    # The smallest element with nearly all of the clusters' text grows over its lines. Other lines of clusters that aren't mostly
+    # links stay where they lie in an element around it, such as a heading above, or have prose's ratio of their own, so that a
+    # teaser beside a paragraph doesn't.
+    best = int(np.flatnonzero(inside >= 0.85 * inside[0])[-1])
+    chosen = [i == best for i in range(len(parents))]
+    around = {0}
+    while best:
+        around.add(best := parents[best])
+    ratio = prose / tags
+    near = content & (2 * prose >= np.array([len(line[0]) for line in page.lines]))
+    near &= np.array([b in around for b in boxes]) | (ratio >= 0.25 * np.median(ratio[content]))
     for i in range(1, len(parents)):
         chosen[i] = chosen[i] or chosen[parents[i]]
     return "\n\n".join(line[0] for line, p, n in zip(page.lines, prose, near) if n or (p >= 0 and chosen[line[3]]))
