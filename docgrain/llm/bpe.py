@@ -35,13 +35,15 @@ from .token_files import pack_ranks, unpack_ranks
 NONE = np.int32(2**31 - 1)
 #: Distinct words, and words in all, at which a run ends; a longer document is a run of its own.
 RUN_DISTINCT, RUN_WORDS = 300_000, 4 << 20
-#: Buckets of the table of runs at most.
-TABLE_BUCKETS = 1024
-#: Buckets of words; bytes of words that a task replays together (a word that comes again later is replayed again).
-BUCKETS, REPLAY_BYTES = 256, 8 << 20
+#: Bytes of text for a bucket of the table of runs and for one of words, and how many buckets there are before that counts.
+TABLE_BYTES, TABLE_BUCKETS = 256 << 20, 1024
+WORD_BYTES, WORD_BUCKETS = 4 << 30, 256
+#: Bytes of words that a task replays together (a word that comes again later is replayed again).
+REPLAY_BYTES = 8 << 20
 #: Ids in one batch of the result.
 BATCH_IDS = 1 << 19
-#: A row is a bucket's words of a run, packed, or (in bucket BUCKETS, the last) its documents.
+#: A row is a bucket's words of a run, packed, or (in bucket DOCUMENTS) its documents.
+DOCUMENTS = -1
 RUNS = "run long, bucket int, sizes binary, data binary, docs array<long>, words array<long>, control binary, ranks binary"
 COLUMNS = [c.split()[0] for c in RUNS.split(", ")]
 TYPES = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
@@ -173,7 +175,13 @@ class RunWords(dict):
         return self.of(head) + b"".join(map(self.__getitem__, rest)) if rest else self.of(head)
 
 
-def split_runs(docs: DataFrame, pattern: str) -> DataFrame:
+def widths(docs: DataFrame) -> tuple[int, int]:
+    """Buckets of the table of runs and of words, from the texts' bytes; the table has no more than the texts have partitions."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    return max(1, min(docs.rdd.getNumPartitions(), max(TABLE_BUCKETS, -(-size // TABLE_BYTES)))), max(WORD_BUCKETS, -(-size // WORD_BYTES))
+
+
+def split_runs(docs: DataFrame, pattern: str, buckets: int) -> DataFrame:
     """Packed runs of documents (see RUNS): a row for each bucket's distinct words, and one of the documents' ids, words each,
     and the words as ranks by frequency, followed by the ranks of the listed words."""
 
@@ -188,9 +196,9 @@ def split_runs(docs: DataFrame, pattern: str) -> DataFrame:
             flat = np.frombuffer(b"".join(codes), "<u4")
             rank = np.empty(len(listed), np.uint32)
             rank[np.argsort(-np.bincount(flat, minlength=len(listed)), kind="stable")] = np.arange(len(listed), dtype=np.uint32)
-            bucket = np.array([crc32(w) % BUCKETS for w in listed], np.int64)
+            bucket = np.array([crc32(w) % buckets for w in listed], np.int64)
             order = np.argsort(bucket, kind="stable")
-            ends = np.searchsorted(bucket[order], np.arange(BUCKETS), "right")
+            ends = np.searchsorted(bucket[order], np.arange(buckets), "right")
             key, rows, first = task << 33 | number, [], 0
             for b, end in enumerate(ends.tolist()):
                 if end > first:
@@ -198,7 +206,7 @@ def split_runs(docs: DataFrame, pattern: str) -> DataFrame:
                     rows.append((key, b, narrow(np.array([len(w) for w in some])), b"".join(some), None, None, None, None))
                 first = end
             control, ranks = pack_ranks(np.concatenate([rank[flat], rank[order]]))
-            rows.append((key, BUCKETS, None, None, docs_in, [len(c) // 4 for c in codes], control, ranks))
+            rows.append((key, DOCUMENTS, None, None, docs_in, [len(c) // 4 for c in codes], control, ranks))
             return packed_rows(rows)
 
         for batch, texts in text_runs(batches):
@@ -289,18 +297,19 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """(doc_id, ids) of each row of `docs` (doc_id, text) by the ranks at `path`.
 
     A null or empty text has an empty array; repeated rows and null ids are encoded like others; other columns don't
-    matter; an empty table gives no rows. The runs are kept in a
-    bucketed table in the shared folder.
+    matter; an empty table gives no rows. The runs are kept in bucketed files in the shared folder; the catalog names them only while
+    they are written.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     # One row of documents and a few of words for each run; a run is in one bucket of the table.
-    name, buckets = f"bpe_runs_{uuid.uuid4().hex}", max(1, min(TABLE_BUCKETS, docs.rdd.getNumPartitions()))
-    split_runs(docs, pattern).write.bucketBy(buckets, "run").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    name, (buckets, word_buckets) = f"bpe_runs_{uuid.uuid4().hex}", widths(docs)
+    split_runs(docs, pattern, word_buckets).write.bucketBy(buckets, "run").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     runs = spark.table(name)
-    ids = replayed(runs.where(F.col("bucket") < BUCKETS).repartition("bucket"), path)
+    spark.sql(f"DROP TABLE {name}")  # its files stay, and the plan above knows their buckets
+    ids = replayed(runs.where(F.col("bucket") != DOCUMENTS).repartition("bucket"), path)
     back = ids.select("run", "bucket", "sizes", "data").repartition(buckets, "run").groupBy("run").agg(F.array_sort(F.collect_list(F.struct("bucket", "sizes", "data"))).alias("pieces"))
-    whole = runs.where(F.col("bucket") == BUCKETS).select("run", "docs", "words", "control", "ranks").hint("merge").join(back, "run", "left")
+    whole = runs.where(F.col("bucket") == DOCUMENTS).select("run", "docs", "words", "control", "ranks").hint("merge").join(back, "run", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

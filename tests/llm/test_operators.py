@@ -743,3 +743,17 @@ def test_the_cutoff_keeps_pairs_away(spark, sf, rows):
     held, totals = made[0].value, made[1].value
     if rows == 500:
         assert held > 0.6 * 25 * 500 and totals < 0.5 * held
+
+
+def test_bpe_leaves_no_table_and_grows_with_the_texts(spark, docs, monkeypatch):
+    before = {t.name for t in spark.catalog.listTables()}
+    coded = bpe.encode(docs, RANKS, P.PATTERN)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    want = {(r["doc_id"], tuple(r["ids"])) for r in coded.collect()}
+    small = bpe.widths(docs)
+    monkeypatch.setattr(bpe, "WORD_BYTES", 100)
+    monkeypatch.setattr(bpe, "TABLE_BYTES", 1 << 14)
+    monkeypatch.setattr(bpe, "TABLE_BUCKETS", 1)
+    wide = bpe.widths(docs)
+    assert wide[1] > small[1] == bpe.WORD_BUCKETS and 1 < wide[0] <= 3
+    assert {(r["doc_id"], tuple(r["ids"])) for r in bpe.encode(docs, RANKS, P.PATTERN).collect()} == want
