@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._pieces import WordIds, tokenizer
-from ._shared import bounded_batches, per_process, release, shared_dir, slice_bounds, staged, table, text_runs
+from ._shared import bounded_batches, per_process, release, remove, shared_dir, slice_bounds, staged, table, text_runs
 
 #: Ids in a block; a longer document has a block of its own.
 BLOCK_IDS = 1 << 18
@@ -193,7 +193,9 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    out = staged(read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")))
+    remove(spark, path)
+    return out
 
 
 QUERIES = {"op5_token_files": op5_token_files}

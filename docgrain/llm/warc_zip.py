@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import bounded_batches, broadcast_checked, release, salted_join, shared_dir, staged, table
+from ._shared import bounded_batches, broadcast_checked, release, remove, salted_join, shared_dir, staged, table
 
 #: A package is closed at so many bytes of records, or so many records.
 PACKAGE_BYTES, PACKAGE_RECORDS = 256 << 20, 100_000
@@ -368,8 +368,7 @@ def op12_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     packages = write(table(spark, sf_dir, "pages"), folder)
     out = read(packages).select(page_of(F.col("record_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", page_of(F.col("refers_to")).alias("refers_to"))
     out = staged(out)
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, folder)
     release(packages)
     return out
 

@@ -757,3 +757,15 @@ def test_bpe_leaves_no_table_and_grows_with_the_texts(spark, docs, monkeypatch):
     wide = bpe.widths(docs)
     assert wide[1] > small[1] == bpe.WORD_BUCKETS and 1 < wide[0] <= 3
     assert {(r["doc_id"], tuple(r["ids"])) for r in bpe.encode(docs, RANKS, P.PATTERN).collect()} == want
+
+
+def test_slice_bounds_in_two_levels(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * F.col("id")).alias("k"), F.lit("x").alias("part")).union(spark.sql("SELECT CAST(NULL AS LONG), 'y'")).repartition(3)
+    monkeypatch.setattr(_shared, "FENCES", 10)
+    for slices in (1, 2, 10, 11, 200):
+        bounds = _shared.slice_bounds(df, "k", slices)
+        assert bounds == sorted(set(bounds)) and slices - 1 <= len(bounds) <= slices + 10
+        counts = np.bincount(np.searchsorted(np.array(bounds, np.int64), np.arange(5000) ** 2), minlength=len(bounds) + 1)
+        assert counts.max() <= 1.5 * 5000 / slices + 40
+    same = spark.createDataFrame([(7,)] * 50, "k long")
+    assert set(_shared.slice_bounds(same, "k", 100)) <= {7}
