@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import acl, chunking, graph, postings, recall, reports
+from .operators import acl, chunking, graph, postings, recall, reports, rows
 from .sources import parsers
 
 
@@ -57,3 +57,7 @@ class Engine:
     def report_latency(self, audit: DataFrame, by: str, value: str) -> DataFrame:
         total = audit.groupBy(by).agg(F.count("*").alias("total"))
         return total.join(reports.latency_percentiles(audit, by, [value]), by)
+
+    def release(self) -> int:
+        """Delete what searches and reports have staged, once their results are written."""
+        return rows.release(self.spark)

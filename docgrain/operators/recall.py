@@ -20,7 +20,7 @@ MISS = 2147483647
 
 #: Chunks and questions in a block of vectors.
 CHUNK_BLOCK, QUESTION_BLOCK = 4096, 256
-VECTORS = "principal_id int, ids binary, vectors binary"
+VECTORS = "principal_id long, ids binary, vectors binary"
 
 
 def vector_blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
@@ -31,7 +31,7 @@ def vector_blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
 
         def out(key: int) -> pa.RecordBatch:
             ids, vectors = (np.concatenate(x) for x in zip(*held.pop(key)))
-            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["principal_id", "ids", "vectors"])
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["principal_id", "ids", "vectors"])
 
         for batch in batches:
             people, ids = batch.column("principal_id").to_numpy(), batch.column("id").to_numpy()
@@ -58,8 +58,8 @@ def vector_recall(seen: DataFrame, asked: DataFrame, dim: int, model: str | None
     """
     seen = seen.where("embedding IS NOT NULL")
     seen = seen.where(F.col("embedding_model") == model) if model else seen
-    seen = seen.where(F.size("embedding") == dim).select(F.col("principal_id").cast("int").alias("principal_id"), F.col("chunk_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
-    asked = asked.where(F.size("q_embedding") == dim).select(F.col("principal_id").cast("int").alias("principal_id"), F.col("query_id").cast("long").alias("id"), F.col("q_embedding").cast("array<double>").alias("vector"))
+    seen = seen.where(F.size("embedding") == dim).select(F.col("principal_id").cast("long").alias("principal_id"), F.col("chunk_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    asked = asked.where(F.size("q_embedding") == dim).select(F.col("principal_id").cast("long").alias("principal_id"), F.col("query_id").cast("long").alias("id"), F.col("q_embedding").cast("array<double>").alias("vector"))
     questions = staged(vector_blocks(asked, QUESTION_BLOCK, dim)).toDF("principal_id", "q_ids", "q_vectors")
     pairs = spread_join(vector_blocks(seen, CHUNK_BLOCK, dim), questions, "principal_id", "ids")
 
@@ -173,7 +173,7 @@ def gate(asked: DataFrame, rows: DataFrame, people: DataFrame, threshold: float
     """(query_id, top1, status): refused without knowledge bases, and under the threshold."""
     best = rows.groupBy("query_id").agg(F.max("final_score").alias("top1"))
     scope = people.select("principal_id", (F.size("kbs") == 0).alias("empty"))
-    out = asked.select("query_id", "principal_id").join(F.broadcast(scope), "principal_id", "left").join(best, "query_id", "left")
+    out = asked.select("query_id", "principal_id").join(size_checked(scope), "principal_id", "left").join(best, "query_id", "left")
     status = F.when(F.coalesce("empty", F.lit(True)), "NO_AUTHORIZED_KB").when(F.coalesce("top1", F.lit(-1.0)) < threshold, "NO_RELEVANT_CONTENT").otherwise("OK")
     return out.select("query_id", F.when(F.col("empty"), None).otherwise(F.col("top1")).alias("top1"), status.alias("status"))
 

@@ -40,13 +40,27 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Folders that this session has staged rows in.
+STAGED: list[str] = []
+
+
 def staged(df: DataFrame) -> DataFrame:
     """`df` written to the shared folder and read back, so that lost executors and later uses don't repeat its work."""
     path = fresh_path(df.sparkSession, "rows")
     df.write.parquet(path)
+    STAGED.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete all that was staged so far, once the results that read it are written; how many folders that were."""
+    gone = len(STAGED)
+    while STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """`df` spread over the session's cores where its files hold fewer partitions than that (a table of one small file)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -109,6 +123,7 @@ class PageIndex:
     def __init__(self, df: DataFrame, order: list[Column]):
         self.spark, self.order, self.columns = df.sparkSession, order, df.columns
         self.path = fresh_path(self.spark, "pages")
+        STAGED.append(self.path)
         runs = max(1, -(-df.count() // RUN_ROWS))
         df.repartitionByRange(runs, *order).withColumn("_run", F.spark_partition_id()).write.partitionBy("_run").parquet(self.path)
         rows = self._rows(df.schema)

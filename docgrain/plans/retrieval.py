@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as T
 from docgrain.operators import acl, expand, postings, recall
-from docgrain.operators.rows import fresh_path, staged, top
+from docgrain.operators.rows import fresh_path, size_checked, staged, top
 from docgrain.sources import substrate as S
 
 from ._registry import plan
@@ -41,8 +41,14 @@ def readable(spark, d, vectors=False):
     return acl.secured(S.chunks(spark, d, vectors), S.principals(spark))
 
 
-def vector(spark, d):
-    return recall.vector_recall(readable(spark, d, True), S.with_query_vectors(S.questions(spark, d), spark, d), S.DIM)
+def pairs(spark, d):
+    """(principal_id, chunk_id) of all that may be read, staged once for the three recalls."""
+    return staged(readable(spark, d).select("principal_id", "chunk_id"))
+
+
+def vector(spark, d, seen=None):
+    rows = readable(spark, d, True) if seen is None else S.chunk_vectors(spark, d).join(seen, "chunk_id")
+    return recall.vector_recall(rows, S.with_query_vectors(S.questions(spark, d), spark, d), S.DIM)
 
 
 def index(spark, d):
@@ -50,18 +56,19 @@ def index(spark, d):
     return postings.stored(spark, f"{d}/documents.parquet", T.index_tokens(F.lower("content")), lambda: S.chunks(spark, d))
 
 
-def fts(spark, d):
+def fts(spark, d, seen=None):
     terms = staged(recall.match_terms(S.questions(spark, d), T.match_items(F.lower("question"))))
-    return recall.text_recall(index(spark, d).asked(readable(spark, d), terms), terms)
+    return recall.text_recall(index(spark, d).asked(readable(spark, d) if seen is None else seen, terms), terms)
 
 
-def substring(spark, d):
-    return recall.substring_recall(S.chunks(spark, d), readable(spark, d), S.questions(spark, d), T.substring_terms(F.lower("question")))
+def substring(spark, d, seen=None):
+    return recall.substring_recall(S.chunks(spark, d), readable(spark, d) if seen is None else seen, S.questions(spark, d), T.substring_terms(F.lower("question")))
 
 
 def lists(spark, d):
     """The ranked lists, each staged once, as several steps read them."""
-    return {"vector": staged(vector(spark, d)), "fts": staged(fts(spark, d)), "likes": staged(substring(spark, d))}
+    seen = pairs(spark, d)
+    return {"vector": staged(vector(spark, d, seen)), "fts": staged(fts(spark, d, seen)), "likes": staged(substring(spark, d, seen))}
 
 
 def served(spark, d):
@@ -70,7 +77,7 @@ def served(spark, d):
 
 
 def hits(spark, d):
-    return served(spark, d).join(F.broadcast(S.questions(spark, d).select("query_id", "principal_id")), "query_id").select("query_id", "principal_id", "chunk_id", "rank", "final_score")
+    return served(spark, d).join(size_checked(S.questions(spark, d).select("query_id", "principal_id")), "query_id").select("query_id", "principal_id", "chunk_id", "rank", "final_score")
 
 
 @plan("rt1_vector_recall", f"{_with('vec')} SELECT query_id, chunk_id, score, rank FROM vec")
@@ -135,7 +142,7 @@ def _(spark, d):
 @plan("rt10_empty_scope", f"{_HEAD} SELECT query_id FROM questions JOIN principals USING (principal_id) WHERE len(kbs) = 0")
 def _(spark, d):
     empty = S.principals(spark).where(F.size("kbs") == 0).select("principal_id")
-    return S.questions(spark, d).join(F.broadcast(empty), "principal_id").select("query_id")
+    return S.questions(spark, d).join(size_checked(empty), "principal_id").select("query_id")
 
 
 @plan("search_hybrid", f"{_with('served')}, gate AS ({_GATE}) SELECT query_id, chunk_id, final_score, rrf, rank, status FROM gate LEFT JOIN (SELECT query_id, chunk_id, final_score, rrf, rank FROM served) USING (query_id)")

@@ -51,9 +51,12 @@ def chunks(spark: SparkSession, sf_dir: str, with_vectors: bool = False) -> Data
         F.greatest(F.lit(1), F.floor(F.length("text") / 2)).cast("int").alias("token_count"),
         F.when(i % 5 == 0, F.concat(F.lit("g"), F.floor(i / 20).cast("string"))).alias("table_group_id"),
     )
-    if not with_vectors:
-        return out
-    return out.join(vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), "embedding", F.when(F.col("label") % 2 == 0, "m1").otherwise("m2").alias("embedding_model")), "chunk_id", "left")
+    return out.join(chunk_vectors(spark, sf_dir), "chunk_id", "left") if with_vectors else out
+
+
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.when(F.col("label") % 2 == 0, "m1").otherwise("m2")
+    return vectors(spark, sf_dir).select(F.col("vec_id").alias("chunk_id"), "embedding", model.alias("embedding_model"))
 
 
 def principals(spark: SparkSession) -> DataFrame:
