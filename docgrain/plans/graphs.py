@@ -161,12 +161,6 @@ def _(spark, d):
     return lexicon.mined_terms(texts, 2).select("kb_id", "term", "freq")
 
 
-@plan("ag21_document_terms")
-def _(spark, d):
-    mined = lexicon.mined_terms(S.documents(spark, d).select(F.col("source").alias("kb_id"), F.col("text").alias("content")), 2)
-    return mined.select("kb_id", "term", F.array_join("aliases", ",").alias("aliases"), "freq")
-
-
 @plan("wk4_changed_pages", "SELECT document_id FROM (SELECT doc_id // 4 AS document_id, md5(string_agg(text, '|' ORDER BY doc_id)) AS h, md5(string_agg(CASE WHEN doc_id % 9 = 0 THEN '' ELSE text END, '|' ORDER BY doc_id)) AS old FROM documents GROUP BY 1) WHERE h <> old")
 def _(spark, d):
     digest = lambda c: F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", c.alias("t")))), lambda x: x["t"]), "|"))

@@ -42,8 +42,8 @@ def _(spark, d):
 
 # Each document's whole text with a code of its own behind it. For SQL, whose expressions can't look around, every mark
 # between words is doubled, so that one stays on either side of a code.
-_CODED = r"""coded AS (SELECT doc_id, source, text || ' (use ' || lower(regexp_extract(text, '[A-Za-z]+')) || ['-', '_', ' ', ''][doc_id % 4 + 1] || (doc_id % 900 + 100) || ', now) 使用访问令牌（Token' || chr((65 + doc_id % 7)::INTEGER) || '）' AS text FROM documents WHERE text IS NOT NULL),
-found AS (SELECT doc_id, source, list_transform(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9])', '\1\1', 'g'), '(?:^|[^a-z0-9])([a-z]{1,6}(?:--|__|  )?[0-9]{2,6})(?:$|[^a-z0-9])', 1), lambda c: regexp_replace(c, '^([a-z]+)[-_ ]*([0-9]+)$', '\1-\2')) AS codes FROM coded)"""
+_CODED = r"""coded AS (SELECT doc_id, source, text || ' (use ' || lower(regexp_extract(text, '[A-Za-z]+')) || ['-', '_', ' ', ''][doc_id % 4 + 1] || (doc_id % 900 + 100) || ', now) 使用访问令牌（Token' || chr((65 + doc_id % 7)::INTEGER) || '）' AS text FROM documents WHERE text IS NOT NULL)"""
+_CODES = r"""found AS (SELECT doc_id, source, list_transform(regexp_extract_all(regexp_replace(lower(text), '([^a-z0-9])', '\1\1', 'g'), '(?:^|[^a-z0-9])([a-z]{1,6}(?:--|__|  )?[0-9]{2,6})(?:$|[^a-z0-9])', 1), lambda c: regexp_replace(c, '^([a-z]+)[-_ ]*([0-9]+)$', '\1-\2')) AS codes FROM coded)"""
 
 
 def _coded(spark, d):
@@ -53,14 +53,24 @@ def _coded(spark, d):
     return S.documents(spark, d).where("text IS NOT NULL").withColumn("text", text)
 
 
-@plan("tx6_codes_in_documents", f"WITH {_CODED} SELECT doc_id, array_to_string(list_sort(list_distinct(codes)), ',') AS codes FROM found")
+@plan("tx6_codes_in_documents", f"WITH {_CODED}, {_CODES} SELECT doc_id, array_to_string(list_sort(list_distinct(codes)), ',') AS codes FROM found")
 def _(spark, d):
     return _coded(spark, d).select("doc_id", F.array_join(F.array_sort(T.model_codes(F.lower("text"))), ",").alias("codes"))
 
 
-@plan("ag21_coded_terms", rf"""WITH {_CODED}, each AS (SELECT source, c AS term, unnest([replace(c, '-', ''), replace(c, '-', ' ')]) AS alias, NULL AS pair FROM (SELECT source, unnest(codes) AS c FROM found)
+_TERMS = rf"""each AS (SELECT source, c AS term, unnest([replace(c, '-', ''), replace(c, '-', ' ')]) AS alias, NULL AS pair FROM (SELECT source, unnest(codes) AS c FROM found)
 UNION ALL SELECT source, x[1], x[2], 1 FROM (SELECT source, unnest(list_zip(regexp_extract_all(text, '([一-鿿]{{2,12}})\s*[（(]\s*([A-Za-z][A-Za-z0-9_\-]{{1,30}})\s*[)）]', 1), regexp_extract_all(text, '([一-鿿]{{2,12}})\s*[（(]\s*([A-Za-z][A-Za-z0-9_\-]{{1,30}})\s*[)）]', 2))) AS x FROM coded))
-SELECT source AS kb_id, term, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases, (CASE WHEN bool_or(pair IS NULL) THEN count(*) // 2 ELSE count(*) END)::BIGINT AS freq FROM each GROUP BY 1, 2 HAVING (CASE WHEN bool_or(pair IS NULL) THEN count(*) // 2 ELSE count(*) END) >= 2""")
+SELECT source AS kb_id, term, string_agg(DISTINCT alias, ',' ORDER BY alias) AS aliases, (CASE WHEN bool_or(pair IS NULL) THEN count(*) // 2 ELSE count(*) END)::BIGINT AS freq FROM each GROUP BY 1, 2 HAVING (CASE WHEN bool_or(pair IS NULL) THEN count(*) // 2 ELSE count(*) END) >= 2"""
+_PLAIN = "coded AS (SELECT source, doc_id, text FROM documents)"
+
+
+@plan("ag21_document_terms", f"WITH {_PLAIN}, {_CODES}, {_TERMS}")
+def _(spark, d):
+    mined = lexicon.mined_terms(S.documents(spark, d).select(F.col("source").alias("kb_id"), F.col("text").alias("content")), 2)
+    return mined.select("kb_id", "term", F.array_join("aliases", ",").alias("aliases"), "freq")
+
+
+@plan("ag21_coded_terms", f"WITH {_CODED}, {_CODES}, {_TERMS}")
 def _(spark, d):
     mined = lexicon.mined_terms(_coded(spark, d).select(F.col("source").alias("kb_id"), F.col("text").alias("content")), 2)
     return mined.select("kb_id", "term", F.array_join("aliases", ",").alias("aliases"), "freq")
