@@ -6,11 +6,13 @@ on the full shingle sets.
 
 Documents with equal sets are one class, and classes are what is linked. Links are found in two steps, neither of which
 emits the pairs within a bucket. First each member of a bucket is compared with the bucket's class of the smallest doc_id. Where that
-leaves a bucket with members of several components, the members outside its largest component are compared with the others
-across components, by sketches of 1024 further permutations that only these classes get; such a bucket is split by ranges
-of set sizes, and a large one into the cells of a grid, so that its comparisons are dealt to many tasks. Only pairs whose
-sizes and sketches allow the similarity reach confirmation: the sketch bounds lie five standard deviations or more
-beyond the threshold. Joins on a class that many others link to, or on a label that many share, are salted.
+leaves a bucket with members of several components, its members meet again by their rarest shingles: two sets that are
+75 percent alike share one of the rarest quarter of either, so texts that share a template and nothing else never meet.
+Of the members that hold a rare shingle, those outside its largest component are compared with the others across
+components; such members are split by ranges of set sizes, and many into the cells of a grid, so that their comparisons are
+dealt to many tasks. Only pairs whose sizes and sketches allow the similarity reach confirmation, those of this step by sketches of
+1024 further permutations too: the sketch bounds lie five standard deviations or more beyond the threshold. Joins on a class
+that many others link to, or on a label that many share, are salted.
 """
 
 from __future__ import annotations
@@ -33,8 +35,11 @@ SKETCH_BITS = 72
 FINE, FINE_BITS = 1024, 640
 #: Rows of one key beyond which a join deals them to several tasks: of whole sets, and of narrow rows.
 HOT_SETS, HOT_ROWS = 2_000, 200_000
-#: Side of a grid cell in which the members of a mixed bucket are compared.
+#: Side of a grid cell in which the members that hold one rare shingle are compared.
 CELL = 2_000
+#: Bits of a shingle's counter; rarer ones come first. The table of counters has one size whatever the input, and what meets
+#: doesn't depend on it: any order that is the same for all sets finds every link.
+COUNTER_BITS = 18
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -118,29 +123,76 @@ def signatures(docs: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "doc_id long, own string, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
-def of_classes(docs: DataFrame, classes: DataFrame, make, column: str, kind: str = "binary") -> DataFrame:
-    """(vid, `column`): what `make` gives for the shingles of each of `classes` (vid, rep, digest), read from a document with
-    its representative's id; of several texts under that id the one whose set has the class's digest."""
+def whole_sets(docs: DataFrame, classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The staged sets (vid, hashes) of those of `classes` (vid, rep, digest) that are in `ids` (vid), read from a document with
+    the representative's id; of several texts under that id the one whose set has the class's digest."""
     import xxhash
 
-    type_of = {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_runs(batches):
-            sets = [shingles(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([make(x) for x in sets], type_of)], names=["digest", column])
+            sets = [shingles(t).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(map(xxhash.xxh3_128_digest, sets), pa.binary()), pa.array(sets, pa.binary())], names=["digest", "hashes"])
 
-    reps = broadcast_checked(staged(classes.select("rep").distinct()))
+    wanted = staged(classes.select("vid", "rep", "digest").join(broadcast_checked(staged(ids.distinct())), "vid", "left_semi"))
+    reps = broadcast_checked(staged(wanted.select("rep").distinct()))
     chosen = docs.select("doc_id", "text").join(reps, docs["doc_id"].eqNullSafe(reps["rep"]), "left_semi")
-    found = chosen.mapInArrow(run, f"digest binary, {column} {kind}")
-    return found.join(broadcast_checked(classes.select("vid", "digest")), "digest").select("vid", column).dropDuplicates(["vid"])
+    found = chosen.mapInArrow(run, "digest binary, hashes binary")
+    return staged(found.join(broadcast_checked(wanted.select("vid", "digest")), "digest").select("vid", "hashes").dropDuplicates(["vid"]))
+
 
+def counter_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The staged pairs (a, b) of classes whose sets have 100 * intersection >= percent * union."""
-    ids = staged(pairs.select(F.explode(F.array("a", "b")).alias("vid")).distinct())
-    wanted = staged(classes.select("vid", "rep", "digest").join(broadcast_checked(ids), "vid", "left_semi"))
-    sets = staged(of_classes(docs, wanted, lambda x: x.tobytes(), "hashes"))
+
+def counters(sets: DataFrame) -> np.ndarray:
+    """How often the sets (vid, hashes) hold a shingle of each counter; the driver gets a row for each counter at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column("hashes"):
+                np.add.at(held, counter_of(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], names=["at", "n"])
+
+    held = np.zeros(1 << COUNTER_BITS, np.int64)
+    found = sets.select("hashes").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    held[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return held
+
+
+def rarest(hashes: np.ndarray, held: np.ndarray, percent: int) -> np.ndarray:
+    """As many of a set's shingles, from the rarest on, as it can't all lack in common with a set that is alike."""
+    return hashes[np.lexsort((hashes, held[counter_of(hashes)]))[: len(hashes) + 1 - -(-percent * len(hashes) // 100)]]
+
+
+def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """(vid, key): a row for each of the rarest shingles of the sets (vid, hashes)."""
+    held = counters(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [rarest(np.frombuffer(x.as_buffer(), np.uint64), held, percent) for x in batch.column("hashes")]
+            vids = np.repeat(batch.column("vid").to_numpy(), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(vids), pa.array(np.concatenate(found).view(np.int64) if found else vids)], names=["vid", "key"])
+
+    return sets.select("vid", "hashes").mapInArrow(run, "vid long, key long")
+
+
+def fine_sketches(sets: DataFrame) -> DataFrame:
+    """(vid, fine) of the sets (vid, hashes)."""
+    by = factors(FINE, 6)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketch(signature(np.frombuffer(x.as_buffer(), np.uint64), by)) for x in batch.column("hashes")]
+            yield pa.RecordBatch.from_arrays([batch.column("vid"), pa.array(found, pa.list_(pa.int64()))], names=["vid", "fine"])
+
+    return sets.select("vid", "hashes").mapInArrow(run, "vid long, fine array<long>")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets (vid, hashes) have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,6 +247,12 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     return labels
 
 
+def largest(labelled: DataFrame) -> DataFrame:
+    """(key, main): the label that most rows (key, vid, label) of a key have, of keys with several labels."""
+    counted = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
+    return counted.groupBy("key").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1").select("key", "main")
+
+
 def compared(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
     """`left` (key, size, a, ...) joined with `right` (key, size, b, ...) on key and neighbouring sizes, where `condition` holds.
 
@@ -239,30 +297,29 @@ def decided(docs: DataFrame, percent: int) -> DataFrame:
     star = staged(members.where("vid <> center").select(F.col("vid").alias("a"), F.col("center").alias("b")).distinct())
     pairs, centers, on = salted(star, heads.toDF("b", "n2", "s2"), "b", "a", HOT_ROWS)
     star = pairs.join(heads.withColumnRenamed("vid", "a"), "a").join(centers, on).where(alike(percent)).select("a", "b")
-    edges = staged(confirmed(docs, classes, staged(star), percent))
+    star = staged(star)
+    edges = staged(confirmed(whole_sets(docs, classes, star.select(F.explode(F.array("a", "b")).alias("vid"))), star, percent))
     label = components(edges, rounds=2)  # equal labels are one component; unequal ones may be, and are then compared
 
-    # Buckets that still hold several components: their members outside the largest one against the others.
-    labelled = members.join(label, "vid", "left").select("key", "center", "vid", F.coalesce("label", "vid").alias("label"))
-    counted = labelled.groupBy("key", "label").agg(F.count("*").alias("m"))
-    main = counted.groupBy("key").agg(F.max(F.struct("m", "label"))["label"].alias("main"), F.count("*").alias("labels")).where("labels > 1")
-    mixed_in = staged(salted_join(labelled, staged(main.select("key", "main")), "key", "vid", HOT_ROWS))
-    wanted = staged(classes.select("vid", "rep", "digest").join(broadcast_checked(staged(mixed_in.select("vid").distinct())), "vid", "left_semi"))
-    by = factors(FINE, 6)
-    fine = staged(of_classes(docs, wanted, lambda x: sketch(signature(x, by)), "fine", "array<long>"))
-    keys = mixed_in.groupBy("vid").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # one for each band at most
+    # The members of buckets that still hold several components meet by their rarest shingles.
+    labelled = members.join(label, "vid", "left").select("key", "vid", F.coalesce("label", "vid").alias("label"))
+    mixed_in = staged(salted_join(labelled, staged(largest(labelled)), "key", "vid", HOT_ROWS).select("vid", "label").distinct())
+    sets = whole_sets(docs, classes, mixed_in.select("vid"))
     size = F.floor(F.ln("n") / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n")
-    mixed_in = staged(mixed_in.join(heads.select("vid", "n", size.alias("size")), "vid").join(fine, "vid").join(keys, "vid"))
-    left = mixed_in.where("label <> main").select("key", "size", F.col("vid").alias("a"), F.col("label").alias("la"), "main", "n", F.col("fine").alias("f"), F.col("keys").alias("k"), "center")
-    right = mixed_in.select("key", "size", F.col("vid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("fine").alias("f2"), F.col("keys").alias("k2"))
-    # Pairs with a center are known; of two members outside the largest component, one order is enough; a pair is compared in
-    # its first common bucket only.
-    new = (F.col("la") != F.col("lb")) & (F.col("a") != F.col("center")) & (F.col("b") != F.col("center")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
-    new &= (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (differing("f", "f2", FINE // 16) <= allowed(FINE_BITS, 4096, percent))
-    new &= F.get(F.array_intersect("k", "k2"), F.lit(0)) == F.col("key")
-    rest = staged(compared(left, right, new))
+    rare = staged(rare_keys(sets, percent).join(mixed_in, "vid"))
+    rare = staged(salted_join(rare, staged(largest(rare)), "key", "vid", HOT_ROWS))
+    rare = salted_join(rare, staged(heads.join(mixed_in, "vid", "left_semi").select("vid", "n", "s", size.alias("size"))), "vid", "key", HOT_ROWS)
+    left = rare.where("label <> main").select("key", "size", F.col("vid").alias("a"), F.col("label").alias("la"), "main", "n", "s")
+    right = rare.select("key", "size", F.col("vid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    # Of two members outside the largest component, one order is enough.
+    new = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(percent)
+    rest = staged(compared(left, right, new).distinct())
     if not rest.isEmpty():
-        edges = edges.union(confirmed(docs, classes, rest, percent))
+        fine = staged(fine_sketches(sets))
+        pairs, f, on_a = salted(rest, fine.toDF("a", "f"), "a", "b", HOT_ROWS)
+        pairs, f2, on_b = salted(pairs, fine.toDF("b", "f2"), "b", "a", HOT_ROWS)
+        near = pairs.join(f, on_a).join(f2, on_b).where(differing("f", "f2", FINE // 16) <= allowed(FINE_BITS, 4096, percent)).select("a", "b")
+        edges = edges.union(confirmed(sets, staged(near), percent))
     label = components(edges)
     linked = staged(label.join(classes.select("vid", "rep"), "vid"))
     smallest = staged(linked.groupBy("label").agg(F.min("rep").alias("component_id")))

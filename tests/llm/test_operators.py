@@ -402,6 +402,36 @@ def test_mixed_buckets_in_cells(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want and 5 < len({c for _, c in want.values()}) < 60
 
 
+def test_alike_sets_share_a_rare_shingle():
+    r = np.random.default_rng(3)
+    for percent in (50, 75, 90, 100):
+        for n in (1, 2, 3, 4, 5, 7, 40, 400):
+            x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            for gone in range(len(x)):
+                for more in (0, 1, n // 8):
+                    y = np.unique(np.concatenate([r.permutation(x)[gone:], r.integers(0, 1 << 63, more, dtype=np.uint64)]))
+                    shared = len(np.intersect1d(x, y))
+                    if 100 * shared < percent * (len(x) + len(y) - shared):
+                        continue
+                    held = r.integers(0, 3, 1 << near_dedup.COUNTER_BITS)  # any counts do
+                    assert np.intersect1d(near_dedup.rarest(x, held, percent), near_dedup.rarest(y, held, percent)).size
+
+
+def test_texts_that_share_a_template_only_never_meet(spark, monkeypatch):
+    met = []
+    compared = near_dedup.compared
+
+    def spy(left, right, condition):
+        met.append(left.select("key", "a").join(right.select("key", "b"), "key").where("a <> b").count())
+        return compared(left, right, condition)
+
+    monkeypatch.setattr(near_dedup, "compared", spy)
+    template = data.prose(500, 100)
+    rows = [(i, f"{template} {data.prose(10_000 + i, 100)}") for i in range(300)]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["kept"] for r in got) and met == [0]
+
+
 def test_recall_on_the_documents(spark):
     """Components against all links of sf0.01, found by an inverted index of whole shingles."""
     path = "/root/testdata/sf0.01"
