@@ -68,7 +68,7 @@ class WordIds(dict):
     go to the library's model directly, as their pre-tokens are known; all others through the whole encoder.
     """
 
-    def __init__(self, path: str, space: bool, fold: bool = False, limit: int = 500_000):
+    def __init__(self, path: str, space: bool, fold: bool = False, limit: int = 150_000):
         super().__init__()
         self.encoder, self.space, self.fold, self.limit = tokenizer(path), space, fold, limit
         self.tokenize, self.letters = self.encoder.model.tokenize, byte_letters()
