@@ -34,10 +34,14 @@ def web_changes(synced: DataFrame, found: DataFrame, complete: Column) -> DataFr
 
 
 def version_chain(documents: DataFrame, changes: DataFrame) -> DataFrame:
-    """(url, version, is_latest) after changes: a changed url gains a version and its older ones stop being the latest."""
-    moved = changes.select("url", "action", F.col("version").alias("to"))
+    """(url, version, is_latest) after changes: a changed url gains a version and its older ones stop being the latest.
+
+    `documents`: (url, version, top, is_latest), `top` the last version of a row's own chain. A url may have several chains; each
+    change of it counts for all of them, and a revived chain's latest version is its own last one, not that of the page that came back.
+    """
+    moved = changes.select("url", "action")
     old = documents.join(moved, "url", "left")
-    still = F.when(F.col("action").isin("changed", "retired"), False).when(F.col("action") == "revived", F.col("version") == F.col("to")).otherwise(F.col("is_latest"))
+    still = F.when(F.col("action").isin("changed", "retired"), False).when(F.col("action") == "revived", F.col("version") == F.col("top")).otherwise(F.col("is_latest"))
     added = changes.where("action IN ('new', 'changed')").select("url", "version", F.lit(True).alias("is_latest"))
     return old.select("url", "version", still.alias("is_latest")).unionByName(added)
 
