@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docgrain.functions import text as T
 
 from .automaton import finds
-from .rows import dealt, size_checked, spread_join, staged, top
+from .rows import bounded_batches, dealt, size_checked, spread_join, staged, top
 
 RECALL, SERVED, RRF_K, THRESHOLD, WEIGHT = 50, 8, 60, 0.5, 0.001
 MISS = 2147483647
@@ -26,6 +26,8 @@ VECTORS = "principal_id long, ids binary, vectors binary"
 def vector_blocks(rows: DataFrame, size: int, dim: int) -> DataFrame:
     """(principal_id, ids, vectors) of rows (principal_id, id, vector): blocks of at most `size` rows of one principal, as bytes."""
 
+    bounded_batches(rows.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 

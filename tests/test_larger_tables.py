@@ -1,9 +1,16 @@
 """What larger or odder tables than the test tables show: repeated keys, long texts, many rows in a batch."""
 
+import re
+
 import duckdb
+import pandas as pd
 from pyspark.sql import functions as F
 
-from docgrain.plans import registry
+from docgrain.operators import chunking, graph, lexicon, recall
+from docgrain.operators.rows import BATCH_BYTES
+from docgrain.plans import parsing, registry
+from docgrain.sources import parsers
+from docgrain.sources import substrate as S
 
 PLANS, SQL = registry.queries(), registry.oracle_sql()
 
@@ -18,3 +25,20 @@ def test_cd2_several_pages_of_one_url(spark, tmp_path):
         cursor = con.execute(SQL[name])
         df = PLANS[name](spark, str(tmp_path)).select(*(c[0] for c in cursor.description))
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, cursor.fetchall()))
+
+
+def test_python_steps_get_bounded_batches(spark, tmp_path):
+    """A batch's bytes are bounded for each kind of Python step, whatever the rows of a partition."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.range(1).select(F.col("id").alias("doc_id"), F.lit("x").alias("text")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    blocks = docs.select("doc_id", F.array(F.struct("text", F.lit("").alias("heading"), F.lit(False).alias("is_table"), F.lit(False).alias("verbatim"))).alias("blocks"))
+    vectors = docs.select(F.lit(0).cast("long").alias("principal_id"), F.col("doc_id").alias("id"), F.array(F.lit(1.0)).alias("vector"))
+    steps = [lambda: S.documents(spark, str(tmp_path)), lambda: parsers.parsed(docs, "text", parsers.markdown_blocks), lambda: chunking.chunk_documents(blocks), lambda: recall.vector_blocks(vectors, 4, 1)]
+    for step in steps:
+        spark.conf.unset(key)
+        step()
+        assert int(spark.conf.get(key)) == BATCH_BYTES
+    sizes = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
+    long = spark.range(0, 400, 1, 1).select(sizes(F.repeat(F.lit("x"), 100_000)).alias("n"))
+    assert max(r["n"] for r in long.collect()) <= BATCH_BYTES // 100_000 + 1
