@@ -123,8 +123,10 @@ _PARAGRAPHS = f"{_WORDS}, n AS (SELECT *, doc_id % 40 + 1 AS n FROM t), k AS (SE
 
 
 def _paragraphs():
-    numbered = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 40 + 1).cast("int")), lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(" "), _repeated(F.col("a"), F.lit(99), " ")))
-    return F.array_join(numbered, "\n\n")
+    """The word is bound outside of the paragraphs' function, which would look it up in the text once for each of them."""
+    places = F.sequence(F.lit(1), (F.col("doc_id") % 40 + 1).cast("int"))
+    numbered = lambda words: F.transform(places, lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(" "), words))
+    return F.get(F.transform(F.array(_repeated(F.col("a"), F.lit(99), " ")), lambda words: F.array_join(numbered(words), "\n\n")), F.lit(0))
 
 
 @plan("ch4_greedy_chunks", f"WITH {_PARAGRAPHS} SELECT doc_id, i::INTEGER AS chunk_index, (100 * (last - first + 1))::INTEGER AS token_count FROM c")

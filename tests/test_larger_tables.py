@@ -42,3 +42,15 @@ def test_python_steps_get_bounded_batches(spark, tmp_path):
     sizes = F.pandas_udf(lambda s: pd.Series([len(s)] * len(s)), "int")
     long = spark.range(0, 400, 1, 1).select(sizes(F.repeat(F.lit("x"), 100_000)).alias("n"))
     assert max(r["n"] for r in long.collect()) <= BATCH_BYTES // 100_000 + 1
+
+
+def test_counter_is_the_pattern(spark):
+    for text in ("", "a b", "a_b-c, d.", "x\x1cy\x00\x7f z", "1\t2\n3", "né 中文 a!", "  a\x85b"):
+        assert chunking.count_tokens(text) == len(chunking._TOKEN.findall(text)), repr(text)
+
+
+def test_ch4_looks_up_its_word_once(spark, sf):
+    """The regular expression over the whole text isn't part of what runs for each paragraph."""
+    plan = PLANS["ch4_greedy_chunks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    each = plan[plan.index("transform(sequence(") :].split("AS blocks")[0]
+    assert "regexp_replace" not in each
