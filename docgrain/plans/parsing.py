@@ -156,8 +156,8 @@ def _(spark, d):
 def _(spark, d):
     root = fresh_path(spark, "folder")
     rows = S.documents(spark, d).select("source", F.coalesce(F.regexp_replace("text", "\n", " "), F.lit("")).alias("line"))
-    rows.coalesce(1).write.partitionBy("source").text(f"{root}/data")
-    rows.select("line").coalesce(1).write.text(f"{root}/data/.git/objects")
+    rows.write.partitionBy("source").text(f"{root}/data")
+    rows.select("line").write.text(f"{root}/data/.git/objects")
     found = files.scan_folder(spark, root, ["*.txt"])
     return found.groupBy(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source")).agg(F.sum("size").alias("size"))
 

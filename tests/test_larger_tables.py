@@ -54,3 +54,15 @@ def test_ch4_looks_up_its_word_once(spark, sf):
     plan = PLANS["ch4_greedy_chunks"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     each = plan[plan.index("transform(sequence(") :].split("AS blocks")[0]
     assert "regexp_replace" not in each
+
+
+def test_sc2_writes_as_many_tasks_as_it_reads(spark, tmp_path, monkeypatch):
+    rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.lit("x\ny").alias("text"), F.lit("s").alias("source"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(parsing, "fresh_path", lambda spark, name: f"{tmp_path}/{name}")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert [tuple(r) for r in PLANS["sc2_folder_scan"](spark, str(tmp_path)).collect()] == [("s", 1600)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(list(tmp_path.glob("folder/data/source=s/*.txt"))) >= 4 and len(list(tmp_path.glob("folder/data/.git/objects/*.txt"))) >= 4
