@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .rows import hub_join, size_checked, staged, top, within_budget
+from .rows import hub_join, is_small, size_checked, staged, top, within_budget
 
 MAX_HOPS, TOP, SEEDS = 2, 10, 8
+#: Mentions that one task counts when documents are deleted.
+TASK_ROWS = 500_000
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -27,10 +29,17 @@ def relation_support(raw: DataFrame) -> DataFrame:
 
 
 def without_documents(entities: DataFrame, mentions: DataFrame, relations: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The graph after documents are deleted: their mentions and relations, then entities nobody mentions; frequencies anew."""
-    mentions = mentions.join(size_checked(gone), "document_id", "left_anti")
-    relations = relations.join(size_checked(gone), "document_id", "left_anti")
-    freq = mentions.groupBy("entity_id").agg(F.count_distinct("document_id").alias("doc_freq"))
+    """The graph after documents are deleted: their mentions and relations, then entities nobody mentions; frequencies anew.
+
+    Mentions are dealt by document to as many tasks as their counted rows need: there they meet the deleted documents and become
+    distinct, so only an entity's counts go on.
+    """
+    parts = -(-mentions.count() // TASK_ROWS) or 1
+    dealt = lambda df: df.repartition(parts, "document_id")
+    small = size_checked(gone.select("document_id"))
+    relations = relations.join(small, "document_id", "left_anti")
+    mentions = dealt(mentions).join(small if is_small(gone) else dealt(gone.select("document_id")), "document_id", "left_anti")
+    freq = mentions.select("entity_id", "document_id").distinct().groupBy("entity_id").agg(F.count("document_id").alias("doc_freq"))
     return entities.drop("doc_freq").join(freq, "entity_id"), mentions, relations
 
 

@@ -66,3 +66,32 @@ def test_sc2_writes_as_many_tasks_as_it_reads(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(list(tmp_path.glob("folder/data/source=s/*.txt"))) >= 4 and len(list(tmp_path.glob("folder/data/.git/objects/*.txt"))) >= 4
+
+
+def test_terms_are_read_in_one_pass(spark):
+    """One scan each; repeated rows, runs too long for a name, and a budget that the first choice takes."""
+    said = [("k", "2（词语） 12ab(词语) xab_1 （词语） " + "y" * 40 + "（词语）"), ("k", "一二三四五六七八九十一二三四（ab） ab12 AB-12"), ("k", None), (None, "词语(ab1) 词语(ab1)")]
+    mined = lexicon.mined_terms(spark.createDataFrame(said, "kb_id string, content string"), 1)
+    assert mined._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    want = []
+    for kb, text in said:
+        for pattern, t in ((lexicon.CJK_FIRST, 1), (lexicon.ASCII_FIRST, 2)):
+            want += [(kb, m[t], m[3 - t]) for m in re.finditer(pattern, text or "", re.A)]
+    got = {(r["kb_id"], r["term"]): (r["freq"], r["aliases"]) for r in mined.collect()}
+    assert got.pop(("k", "ab-12")) == (2, ["ab 12", "ab12"])
+    assert got == {k: (sum(x[:2] == k for x in want), sorted({x[2] for x in want if x[:2] == k})) for k in {x[:2] for x in want}} and len(got) >= 3
+    rows = [(1, ["一二三四五六七", "一二三四五", "alpha", "beta"], ["zz"], "q", [])] * 3 + [(2, ["gamma"], ["zz"], "q", ["gamma"]), (3, ["一二三四五六", "alphas", "beta"], ["zz"], "q", [])]
+    found = lexicon.nav_terms(spark.createDataFrame(rows, "query_id int, terms array<string>, query_terms array<string>, query string, aliases array<string>"))
+    assert sorted(map(tuple, found.collect())) == [(1, "一二三四五六七", 1), (3, "alphas", 1), (3, "一二三四五六", 2)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_gr4_deals_mentions_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_ROWS", 100)
+    mentions = spark.range(2000).select((F.col("id") % 7).alias("entity_id"), F.when(F.col("id") % 50 != 0, F.col("id") % 300).alias("document_id"))
+    mentions = mentions.unionByName(mentions)
+    gone, entities = spark.range(0, 300, 4).toDF("document_id"), spark.range(9).select(F.col("id").alias("entity_id"), F.lit(0).alias("doc_freq"))
+    left, kept, _ = graph.without_documents(entities, mentions, mentions, gone)
+    plain = mentions.join(gone, "document_id", "left_anti").groupBy("entity_id").agg(F.count_distinct("document_id").alias("n"))
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, plain.collect()))
+    assert kept.rdd.getNumPartitions() == 40
