@@ -23,7 +23,7 @@ from .rows import bounded_batches, fresh_path, size_checked, staged
 
 SCHEMA = "token string, chunk_ids array<long>, document_ids array<long>, bucket int"
 #: Text bytes that one bucket of tokens has postings of; postings that a task inverts at once, and those in a row at most.
-BUCKET_BYTES, HELD_POSTINGS, ROW_POSTINGS = 32 << 20, 1 << 21, 4096
+BUCKET_BYTES, HELD_POSTINGS, ROW_POSTINGS = 32 << 20, 1 << 20, 4096
 #: Buckets and tokens that a search names in the scan's filter; with more asked, the tokens still meet by a join.
 NAMED_BUCKETS, NAMED_TOKENS = 4096, 1000
 
@@ -41,12 +41,14 @@ def inverted(chunks: DataFrame) -> DataFrame:
 
         def out() -> pa.RecordBatch:
             words, chunk, doc = pa.concat_arrays([w for w, _, _ in held]), *(np.concatenate(x) for x in list(zip(*held))[1:])
+            held.clear()
             coded = words.dictionary_encode()
-            word = coded.indices.to_numpy().astype(np.int64)
+            word = coded.indices.to_numpy()
             order = np.lexsort((chunk, word))
             word, chunk, doc = word[order], chunk[order], doc[order]
             new = np.r_[True, word[1:] != word[:-1]]
-            place = np.arange(len(word)) - np.maximum.accumulate(np.where(new, np.arange(len(word)), 0))
+            at = np.arange(len(word), dtype=np.int32)
+            place = at - np.maximum.accumulate(np.where(new, at, 0))
             first = np.flatnonzero(place % ROW_POSTINGS == 0)
             ends = pa.array(np.append(first, len(word)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (chunk, doc)]
@@ -59,7 +61,6 @@ def inverted(chunks: DataFrame) -> DataFrame:
                 held.append((lists.flatten(), *(np.repeat(batch.column(c).to_numpy(), times) for c in ("chunk_id", "document_id"))))
             if sum(len(w) for w, _, _ in held) >= HELD_POSTINGS:
                 yield out()
-                held.clear()
         if held:
             yield out()
 
