@@ -10,7 +10,9 @@ leaves a bucket with members of several components, its members meet again by th
 75 percent alike share one of the rarest quarter of either, so texts that share a template and nothing else never meet.
 Of the members that hold a rare shingle, those outside its largest component are compared with the others across
 components; such members are split by ranges of set sizes, and many into the cells of a grid, so that their comparisons are
-dealt to many tasks. Only pairs whose sizes and sketches allow the similarity reach confirmation, those of this step by sketches of
+dealt to many tasks. All sets order their shingles alike, so two sets share nothing before the first shingle by which they meet: a
+pair goes on from a shingle only if both sets hold enough shingles from there on, which most near copies of one text that aren't
+alike themselves fail. Only pairs whose sizes and sketches allow the similarity reach confirmation, those of this step by sketches of
 1024 further permutations too: the sketch bounds lie five standard deviations or more beyond the threshold. Joins on a class
 that many others link to, or on a label that many share, are salted.
 """
@@ -167,16 +169,17 @@ def rarest(hashes: np.ndarray, held: np.ndarray, percent: int) -> np.ndarray:
 
 
 def rare_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """(vid, key): a row for each of the rarest shingles of the sets (vid, hashes)."""
+    """(vid, key, at): a row for each of the rarest shingles of the sets (vid, hashes), and how many rarer ones its set has."""
     held = counters(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [rarest(np.frombuffer(x.as_buffer(), np.uint64), held, percent) for x in batch.column("hashes")]
             vids = np.repeat(batch.column("vid").to_numpy(), [len(x) for x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(vids), pa.array(np.concatenate(found).view(np.int64) if found else vids)], names=["vid", "key"])
+            keys, at = (np.concatenate(found).view(np.int64), np.concatenate([np.arange(len(x)) for x in found])) if found else (vids, vids)
+            yield pa.RecordBatch.from_arrays([pa.array(vids), pa.array(keys), pa.array(at)], names=["vid", "key", "at"])
 
-    return sets.select("vid", "hashes").mapInArrow(run, "vid long, key long")
+    return sets.select("vid", "hashes").mapInArrow(run, "vid long, key long, at long")
 
 
 def fine_sketches(sets: DataFrame) -> DataFrame:
@@ -215,6 +218,25 @@ def alike(percent: int) -> Column:
     return (100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")) & (differing("s", "s2", PERMUTATIONS // 16) <= allowed(SKETCH_BITS, 256, percent))
 
 
+def reachable(n: str, at: str, n2: str | Column, percent: int) -> Column:
+    """Whether a set of n shingles can be alike to one of n2 if the first shingle that they share comes after `at` others of its own."""
+    return (F.col(n) - F.col(at)) * (100 + percent) >= percent * (F.col(n) + (F.col(n2) if isinstance(n2, str) else n2))
+
+
+def size_class(n: str, percent: int) -> Column:
+    """Sets that are alike have the same class or neighbouring ones."""
+    return F.floor(F.ln(n) / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col(n)
+
+
+def classes_met(percent: int) -> Column:
+    """The size classes of the sets that one of `n` shingles and class `size` can be alike to from place `at` on."""
+
+    def least(c: Column) -> Column:  # no set of the class is smaller; one less than its bound, for rounding
+        return F.floor(F.exp(c * (math.log(100 / percent) + 1e-9))) - 1 if percent < 100 else c
+
+    return F.filter(F.array(*(F.col("size") + d for d in (-1, 0, 1))), lambda c: reachable("n", "at", least(c), percent))
+
+
 def differing(a: str, b: str, longs: int) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, longs)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
@@ -254,12 +276,12 @@ def largest(labelled: DataFrame) -> DataFrame:
 
 
 def compared(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    """`left` (key, size, a, ...) joined with `right` (key, size, b, ...) on key and neighbouring sizes, where `condition` holds.
+    """`left` (key, sizes, a, ...) joined with `right` (key, size, b, ...) on key and each of its sizes, where `condition` holds.
 
     The rows of a key and size are counted on both sides; where they fill more than a grid cell, each side is dealt into
     parts and copied to the other's parts, so that every pair meets in one cell.
     """
-    left = left.withColumn("size", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)))
+    left = left.withColumn("size", F.explode("sizes")).drop("sizes")
     n = left.groupBy("key", "size").agg(F.count("*").alias("n")).join(right.groupBy("key", "size").agg(F.count("*").alias("m")), ["key", "size"])
     hot = staged(n.where((F.col("n") > CELL) | (F.col("m") > CELL)).select("key", "size", F.ceil(F.col("n") / CELL).cast("int").alias("down"), F.ceil(F.col("m") / CELL).cast("int").alias("across")))
     on = ["key", "size"]
@@ -305,14 +327,14 @@ def decided(docs: DataFrame, percent: int) -> DataFrame:
     labelled = members.join(label, "vid", "left").select("key", "vid", F.coalesce("label", "vid").alias("label"))
     mixed_in = staged(salted_join(labelled, staged(largest(labelled)), "key", "vid", HOT_ROWS).select("vid", "label").distinct())
     sets = whole_sets(docs, classes, mixed_in.select("vid"))
-    size = F.floor(F.ln("n") / (math.log(100 / percent) + 1e-9)).cast("int") if percent < 100 else F.col("n")
     rare = staged(rare_keys(sets, percent).join(mixed_in, "vid"))
     rare = staged(salted_join(rare, staged(largest(rare)), "key", "vid", HOT_ROWS))
-    rare = salted_join(rare, staged(heads.join(mixed_in, "vid", "left_semi").select("vid", "n", "s", size.alias("size"))), "vid", "key", HOT_ROWS)
-    left = rare.where("label <> main").select("key", "size", F.col("vid").alias("a"), F.col("label").alias("la"), "main", "n", "s")
-    right = rare.select("key", "size", F.col("vid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("s").alias("s2"))
+    rare = salted_join(rare, staged(heads.join(mixed_in, "vid", "left_semi").select("vid", "n", "s", size_class("n", percent).alias("size"))), "vid", "key", HOT_ROWS)
+    left = rare.where("label <> main").select("key", classes_met(percent).alias("sizes"), F.col("vid").alias("a"), F.col("label").alias("la"), "main", "n", "s", F.col("at").alias("i"))
+    right = rare.select("key", "size", F.col("vid").alias("b"), F.col("label").alias("lb"), F.col("n").alias("n2"), F.col("s").alias("s2"), F.col("at").alias("j"))
     # Of two members outside the largest component, one order is enough.
-    new = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(percent)
+    new = (F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("main")) | (F.col("a") < F.col("b")))
+    new = new & reachable("n", "i", "n2", percent) & reachable("n2", "j", "n", percent) & alike(percent)
     rest = staged(compared(left, right, new).distinct())
     if not rest.isEmpty():
         fine = staged(fine_sketches(sets))

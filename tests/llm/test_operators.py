@@ -432,6 +432,51 @@ def test_texts_that_share_a_template_only_never_meet(spark, monkeypatch):
     assert all(r["kept"] for r in got) and met == [0]
 
 
+def test_alike_sets_meet_where_enough_is_left(spark):
+    """The first shared shingle of alike sets, in any order that all sets have, lies where `reachable` and `classes_met` hold."""
+    r, rows = np.random.default_rng(4), []
+    percents = (50, 75, 90, 100)
+    for percent in percents:
+        for n in (1, 2, 3, 4, 5, 7, 40, 400):
+            x = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
+            for gone in range(len(x)):
+                for more in (0, 1, n // 8, n // 3):
+                    y = np.unique(np.concatenate([r.permutation(x)[gone:], r.integers(0, 1 << 63, more, dtype=np.uint64)]))
+                    shared = np.intersect1d(x, y)
+                    if 100 * len(shared) >= percent * (len(x) + len(y) - len(shared)):
+                        held = r.integers(0, 3, 1 << near_dedup.COUNTER_BITS)
+                        at = [int(np.flatnonzero(np.isin(near_dedup.rarest(s, held, percent), shared))[0]) for s in (x, y)]
+                        rows += [(percent, len(x), at[0], len(y)), (percent, len(y), at[1], len(x))]
+    cases = spark.createDataFrame(rows, "percent int, n long, at long, n2 long")
+    for percent in percents:
+        found = cases.where(F.col("percent") == percent).withColumn("size", near_dedup.size_class("n", percent))
+        ok = near_dedup.reachable("n", "at", "n2", percent) & F.array_contains(near_dedup.classes_met(percent), near_dedup.size_class("n2", percent))
+        assert found.count() > 20 and found.where(~ok).count() == 0
+
+
+def test_near_copies_that_are_not_alike_seldom_meet(spark, monkeypatch):
+    """Copies of one text with five words changed each share half of their shingles: all pairs of them must not be made."""
+    made = []
+    compared = near_dedup.compared
+
+    def spy(left, right, condition):
+        out = compared(left, right, condition)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "compared", spy)
+    words, r, rows = data.prose(500, 160).split(" "), np.random.default_rng(7), []
+    for i in range(200):
+        own = list(words)
+        for k in r.choice(160, 5, replace=False):
+            own[k] = f"edit{r.integers(0, 40)}"
+        rows.append((i, " ".join(own)))
+    want = components(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert len({c for _, c in want.values()}) > 20 and sum(made) < len(rows) ** 2 / 10, made
+
+
 def test_recall_on_the_documents(spark):
     """Components against all links of sf0.01, found by an inverted index of whole shingles."""
     path = "/root/testdata/sf0.01"
