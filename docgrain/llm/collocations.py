@@ -1,15 +1,16 @@
 """Collocations by hierarchical pair naming.
 
-The corpus is held as blocks of positions. A position first has the id of its word, if the word is frequent; on each
-further level, two adjacent positions that both have an id form a pair, pairs are counted over the whole corpus, the
-frequent ones get ids by one global join, and each position's id is replaced by that of the pair that starts there. So a
-position of level k has the id of the k words from there on, as two (k-1)-grams that overlap make one k-gram.
+The corpus is held as blocks of positions, each with the id of its word, if the word is frequent. Two grams of k-1 frequent
+words that start at adjacent positions make one of k words. Level by level, such pairs are counted over the whole corpus where
+both may be frequent, and the frequent ones are named by their words' ids.
 
-A gram's pair of ids are its parents: the gram without its last and that without its first word. They lead to the counts of
+A gram's pair of names are its parents: the gram without its last and that without its first word. They lead to the counts of
 all its cuts, and to what it may subsume: if a longer candidate holds a phrase and is nearly as frequent, then so is the one
 that is longer by a single word, whose parent the phrase is.
 
-Blocks name ids by local numbers, and only a block's distinct pairs are counted and joined, not its positions.
+Blocks name words by local numbers, and send only a block's distinct grams, not its positions. Which grams are frequent they
+learn from a sieve (a Bloom filter of bounded size) and not from a join of each block's grams: it lets all frequent grams pass,
+and a few others, whose extensions are counted and dropped, so the result stays exact.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,10 +28,12 @@ from ._shared import bounded_batches, broadcast_checked, by_bytes, release, salt
 
 #: Positions in a block, and those that a task holds for all languages until it closes their blocks.
 BLOCK_WORDS, HELD_WORDS = 1 << 20, 3 << 20
-#: Bytes of text that are split into words at once, and pairs that leave a task at once.
-SLICE_BYTES, SENT_PAIRS = 2 << 20, 1 << 16
-#: Rows of one parent beyond which they are dealt to several tasks of a join, and frequent pairs up to which they are broadcast.
+#: Bytes of text that are split into words at once, and grams that leave a task at once.
+SLICE_BYTES, SENT_GRAMS = 2 << 20, 1 << 16
+#: Rows of one parent beyond which they are dealt to several tasks of a join, and frequent words up to which they are broadcast.
 HOT_ROWS, BROADCAST_ROWS = 200_000, 500_000
+#: Frequent grams for each 64-bit word of a sieve, and its most words (32 MB); beyond them it lets more grams pass.
+SIEVE_GRAMS, SIEVE_WORDS = 4, 1 << 22
 #: Fixed by the contract: A-Z is folded, the marks and line ends part pieces (here all become full stops), tabs part words.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?" or 10 <= c <= 13 else 32 if c == 9 else c for c in range(256))
 BLOCKS = "block long, lang string, own int, n_words long, ids binary, size int, names array<long>"
@@ -117,10 +120,34 @@ def word_blocks(texts: DataFrame, carry: int) -> DataFrame:
     return texts.mapInArrow(run, "block long, lang string, own int, n_words long, ids binary, size int, words array<string>, counts array<long>")
 
 
-def pair_codes(ids: np.ndarray) -> np.ndarray:
-    """A number for each pair of adjacent positions; -1 where one of them has no id."""
-    a, b = ids[:-1], ids[1:]
-    return np.where((a > 0) & (b > 0), a << 32 | b, -1)
+def sieve_places(grams: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word of a sieve, and the four bits in it, of each gram; `grams` has an array of word ids for each place in the gram."""
+    h = np.zeros(len(grams[0]), np.uint64)
+    for ids in grams:
+        h = (h ^ ids.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+    bits = np.zeros(len(h), np.uint64)
+    for shift in (0, 6, 12, 18):
+        bits |= np.uint64(1) << (h >> np.uint64(shift) & np.uint64(63))
+    return ((h >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64), bits
+
+
+def sieve(named: DataFrame, k: int) -> Broadcast:
+    """A Bloom filter of the grams of k words in `named` (id), broadcast; the driver gets its words, at most SIEVE_WORDS."""
+    size = min(named.count() // SIEVE_GRAMS + 1, SIEVE_WORDS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, bits = sieve_places([c.to_numpy() for c in batch.columns], size)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits.view(np.int64))], names=["at", "bits"])
+
+    rows = named.select(*(F.col("id")[i].alias(f"w{i}") for i in range(k))).mapInArrow(run, "at long, bits long")
+    found = rows.groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
+    words = np.zeros(size, np.uint64)
+    words[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return named.sparkSession.sparkContext.broadcast(words)
 
 
 def words_of(blocks: DataFrame) -> DataFrame:
@@ -129,41 +156,51 @@ def words_of(blocks: DataFrame) -> DataFrame:
     return found.select("block", "lang", (F.col("at") + 1).cast("long").alias("code"), F.col("w.words").alias("word"), F.col("w.counts").alias("n")).where("word <> '.'")
 
 
-def pairs_of(blocks: DataFrame) -> DataFrame:
-    """(block, code, left, right, n) of each distinct pair of a block: its parents' ids, and how many the block owns."""
+def grams_of(blocks: DataFrame, k: int, seen: Broadcast | None) -> DataFrame:
+    """(w0, w1, ..., n) of each distinct gram of k frequent words that a block owns, whose two parts of k-1 words pass the sieve
+    `seen`, if there is one: its words' ids, and how often the block owns it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                block, own, size, ids = (batch.column(c)[row].as_py() for c in ("block", "own", "size", "ids"))
-                codes = pair_codes(unpacked(ids, size))
-                at = np.flatnonzero(codes >= 0)
-                found, which = np.unique(codes[at], return_inverse=True)
-                if not len(found):
+                own, size, ids = (batch.column(c)[row].as_py() for c in ("own", "size", "ids"))
+                if size < k:
                     continue
-                n = np.bincount(which[at < own], minlength=len(found))
+                ids = unpacked(ids, size)
                 names = np.concatenate([[0], batch.column("names")[row].values.to_numpy()])
-                for i in range(0, len(found), SENT_PAIRS):
-                    code = found[i : i + SENT_PAIRS]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), block)), pa.array(code), pa.array(names[code >> 32]), pa.array(names[code & 0xFFFFFFFF]), pa.array(n[i : i + SENT_PAIRS])], names=["block", "code", "left", "right", "n"])
-
-    return blocks.select("block", "own", "size", "ids", "names").mapInArrow(run, "block long, code long, left long, right long, n long")
-
-
-def renamed(blocks: DataFrame, found: DataFrame, pairs: bool) -> DataFrame:
-    """`blocks` with each position's word or pair replaced by the id that `found` (block, code, id) has for it, or by none."""
+                parts = np.lib.stride_tricks.sliding_window_view(ids, k - 1).all(axis=1)
+                if seen is not None:
+                    at = np.flatnonzero(parts)
+                    place, bits = sieve_places([names[ids[at + i]] for i in range(k - 1)], len(seen.value))
+                    parts[at] = seen.value[place] & bits == bits
+                at = np.flatnonzero(parts[:-1] & parts[1:])
+                at = at[at < own]
+                which = ids[at]
+                for i in range(1, k):  # a local number for each distinct gram of i + 1 words
+                    which = np.unique(which << 32 | ids[at + i], return_inverse=True)[1]
+                n = np.bincount(which)
+                first = np.empty(len(n), np.int64)
+                first[which] = at
+                for i in range(0, len(n), SENT_GRAMS):
+                    part = first[i : i + SENT_GRAMS]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(names[ids[part + j]]) for j in range(k)), pa.array(n[i : i + SENT_GRAMS])], names=[*(f"w{j}" for j in range(k)), "n"])
+
+    return blocks.select("own", "size", "ids", "names").mapInArrow(run, ", ".join([*(f"w{i} long" for i in range(k)), "n long"]))
+
+
+def renamed(blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """`blocks` with each position's word replaced by the id that `found` (block, code, id) has for it, or by none."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:  # a block without a frequent pair ends here
+        if not left.num_rows or not right.num_rows:  # a block without a frequent word ends here
             return EMPTY
         row = {c: left.column(c)[0].as_py() for c in ("block", "lang", "own", "n_words", "ids", "size")}
         ids = unpacked(row["ids"], row["size"])
-        codes = np.append(pair_codes(ids), -1) if pairs else ids
         known, names = right.column("code").to_numpy(), right.column("id").to_numpy()
         order = np.argsort(known)
         known, names = known[order], names[order]
-        at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-        row["ids"] = packed(np.where(known[at] == codes, at + 1, 0))
+        at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
+        row["ids"] = packed(np.where(known[at] == ids, at + 1, 0))
         names = pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), pa.array(names))
         return pa.table({**{c: pa.array([row[c]], EMPTY.schema.field(c).type) for c in EMPTY.column_names[:-1]}, "names": names})
 
@@ -175,7 +212,7 @@ EMPTY = pa.table({"block": pa.array([], pa.int64()), "lang": pa.array([], pa.str
 
 
 def with_ids(counted: DataFrame) -> DataFrame:
-    """Frequent grams numbered from 1: their places in the files that they are written to, after those in the files before."""
+    """Frequent words numbered from 1: their places in the files that they are written to, after those in the files before."""
     rows = staged(counted.withColumn("place", F.monotonically_increasing_id()))
     file = F.shiftrightunsigned("place", 33)
     before, total = [], 1
@@ -200,15 +237,21 @@ def levels(texts: DataFrame, longest: int, least: int) -> tuple[DataFrame, list[
     totals = staged(blocks.groupBy("lang").agg(F.sum("n_words").alias("n")))
     named = with_ids(words_of(blocks).groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
     nothing = F.array().cast("array<long>")
-    null = F.lit(None).cast("long")
-    grams = [named.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", null.alias("left"), null.alias("right"), nothing.alias("heads"), nothing.alias("tails"))]
+    null = F.lit(None).cast("array<long>")
+    grams = [named.select(F.array("id").alias("id"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", null.alias("left"), null.alias("right"), nothing.alias("heads"), nothing.alias("tails"))]
     found = words_of(blocks).join(broadcast_checked(named, BROADCAST_ROWS), ["lang", "word"]).select("block", "code", "id")
+    before, blocks = blocks, staged(renamed(blocks, found), compression="zstd")
+    release(before)
+    seen = None
     for k in range(2, longest + 1):
-        before, blocks = blocks, staged(renamed(blocks, found, k > 2), compression="zstd")
-        release(before)
-        named = with_ids(pairs_of(blocks).groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
-        grams.append(staged(pair_grams(named, grams[-1])))
-        found = pairs_of(blocks).join(broadcast_checked(named.select("left", "right", "id"), BROADCAST_ROWS), ["left", "right"]).select("block", "code", "id")
+        words = [f"w{i}" for i in range(k)]
+        counted = grams_of(blocks, k, seen).groupBy(*words).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
+        counted = staged(counted.select(F.array(*words).alias("id"), F.array(*words[:-1]).alias("left"), F.array(*words[1:]).alias("right"), "f"))
+        grams.append(staged(pair_grams(counted, grams[-1])))
+        if seen is not None:
+            seen.destroy()
+        seen = sieve(counted, k) if k < longest else None
+        release(counted)
     release(blocks)
     return totals, grams
 
@@ -234,17 +277,16 @@ def mine(docs: DataFrame, longest: int = 4, least: int = 30, scale: int = 2_000_
     """
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     totals, grams = levels(texts, longest, least)
-    # Ids are a level's own.
-    longer = [g.select(F.lit(k).alias("k"), F.col(side).alias("id"), "f") for k, g in enumerate(grams[2:], 2) for side in ("left", "right")]
-    phrases = grams[1].withColumn("k", F.lit(2))
-    for k, g in enumerate(grams[2:], 3):
-        phrases = phrases.union(g.withColumn("k", F.lit(k)))
+    longer = [g.select(F.col(side).alias("id"), "f") for g in grams[2:] for side in ("left", "right")]
+    phrases = grams[1]
+    for g in grams[2:]:
+        phrases = phrases.union(g)
     if longer:
         holders = longer[0]
         for x in longer[1:]:
             holders = holders.union(x)
-        holders = holders.groupBy("k", "id").agg(F.max("f").alias("most"))
-        phrases = phrases.join(holders, ["k", "id"], "left").where(F.expr(f"most IS NULL OR {WIDE('most')} * 100 < {WIDE('f')} * {percent}"))
+        holders = holders.groupBy("id").agg(F.max("f").alias("most"))
+        phrases = phrases.join(holders, "id", "left").where(F.expr(f"most IS NULL OR {WIDE('most')} * 100 < {WIDE('f')} * {percent}"))
     scored = phrases.select("lang", "phrase", F.col("f").alias("a"), F.expr(worst_cut(scale)).alias("cut"))
     scored = scored.select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))

@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from docgrain.llm import collocations
@@ -73,3 +74,53 @@ def test_exact_beyond_64_bits(spark):
     assert (row["phrase"], row["heads"], row["tails"]) == ("a a", [9 * 10**15 + 1], [9 * 10**15 + 1])
     cut = wide.selectExpr(collocations.worst_cut(2_000_000) + " AS cut").collect()[0]["cut"]
     assert cut["score"] == 2_000_000 * 9 * 10**15 // (2 * (9 * 10**15 + 1))
+
+
+def joined_rows(spark, first):
+    """Rows that the joins of SQL executions from number `first` on have made."""
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(i) for i in range(runs.size())):
+        if run.executionId() < first:
+            continue
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in node.name():
+                for metric in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                    if metric.name() == "number of output rows" and values.contains(metric.accumulatorId()):
+                        total += int(values.apply(metric.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_blocks_do_not_join_their_pairs(spark, monkeypatch):
+    """Each of 200 blocks has all 64 pairs of eight words: joins make rows for a block's words and for grams, none for a block's pairs."""
+    monkeypatch.setattr(collocations, "BLOCK_WORDS", 300)
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 1)
+    r = random.Random(3)
+    rows = [(" ".join(r.choices("abcdefgh", k=300)), "en") for _ in range(200)]
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    first = max((runs.apply(i).executionId() for i in range(runs.size())), default=-1) + 1
+    got = collocations.mine(spark.createDataFrame(rows, "text string, lang string").coalesce(1), longest=3, top=50).collect()
+    assert sorted(map(tuple, got)) == plain(rows, 3, 30, 2_000_000, 80, 50)
+    assert 200 * 8 <= joined_rows(spark, first) < 200 * 64 / 2
+
+
+@pytest.mark.parametrize("most", [1, 3])
+def test_full_sieve_changes_no_result(spark, monkeypatch, most):
+    """A sieve with far too few words lets infrequent grams pass, which are counted and dropped."""
+    monkeypatch.setattr(collocations, "SIEVE_WORDS", most)
+    rows = texts(11, 80)
+    got = collocations.mine(spark.createDataFrame(rows, "text string, lang string").repartition(3), least=5, percent=70, top=60)
+    assert sorted(map(tuple, got.collect())) == plain(rows, 4, 5, 2_000_000, 70, 60)
+
+
+def test_sieve_keeps_its_grams_and_few_others(spark):
+    r = np.random.default_rng(5)
+    ids = np.unique(r.integers(1, 1 << 40, (20_000, 3)), axis=0)
+    words = collocations.sieve(spark.createDataFrame([(x,) for x in ids.tolist()], "id array<long>"), 3).value
+
+    def passed(grams):
+        place, bits = collocations.sieve_places(list(grams.T), len(words))
+        return (words[place] & bits == bits).mean()
+
+    assert passed(ids) == 1 and passed(r.integers(1, 1 << 40, (20_000, 3))) < 0.05 and passed(ids[:, ::-1]) < 0.05
