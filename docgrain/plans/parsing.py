@@ -123,10 +123,11 @@ _PARAGRAPHS = f"{_WORDS}, n AS (SELECT *, doc_id % 40 + 1 AS n FROM t), k AS (SE
 
 
 def _paragraphs():
-    """The word is bound outside of the paragraphs' function, which would look it up in the text once for each of them."""
-    places = F.sequence(F.lit(1), (F.col("doc_id") % 40 + 1).cast("int"))
-    numbered = lambda words: F.transform(places, lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(" "), words))
-    return F.get(F.transform(F.array(_repeated(F.col("a"), F.lit(99), " ")), lambda words: F.array_join(numbered(words), "\n\n")), F.lit(0))
+    """The word is repeated beside the numbers, so it is looked up once a text. No function uses another one's variable: a Python
+    step over such a column isn't planned (Spark 4.1)."""
+    n = (F.col("doc_id") % 40 + 1).cast("int")
+    numbers = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("p"), i.cast("string"), F.lit(" ")))
+    return F.array_join(F.zip_with(F.array_repeat(_repeated(F.col("a"), F.lit(99), " "), n), numbers, lambda words, number: F.concat(number, words)), "\n\n")
 
 
 @plan("ch4_greedy_chunks", f"WITH {_PARAGRAPHS} SELECT doc_id, i::INTEGER AS chunk_index, (100 * (last - first + 1))::INTEGER AS token_count FROM c")

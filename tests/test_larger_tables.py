@@ -56,6 +56,14 @@ def test_ch4_looks_up_its_word_once(spark, sf):
     assert "regexp_replace" not in each
 
 
+def test_ingested_chunks_are_planned_again(spark, sf):
+    """The Python step is planned apart each time; the first plan of a session has column numbers that can hide that it isn't."""
+    cursor = duckdb.connect().execute(SQL["engine_ingested_chunks"].replace("FROM documents", f"FROM '{sf}/documents.parquet'"))
+    columns, want = [c[0] for c in cursor.description], sorted(map(repr, cursor.fetchall()))
+    for _ in range(2):
+        assert sorted(map(repr, map(tuple, PLANS["engine_ingested_chunks"](spark, sf).select(*columns).collect()))) == want
+
+
 def test_sc2_writes_as_many_tasks_as_it_reads(spark, tmp_path, monkeypatch):
     rows = spark.range(0, 400, 1, 4).select(F.col("id").alias("doc_id"), F.lit("x\ny").alias("text"), F.lit("s").alias("source"))
     rows.write.parquet(f"{tmp_path}/documents.parquet")
